@@ -1,12 +1,18 @@
-"""Cutting a text where byte-level BPE can never merge across, so that equal pieces are encoded once."""
+"""Cutting texts where byte-level BPE can never merge across, so that equal pieces are encoded once."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+from itertools import chain
+
+import numpy as np
 
 #: A space with no white space on either side always starts a match of the pre-tokenising pattern.
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Stands before a text's first piece, which has no space before it; no other piece starts with white space.
+FIRST = "\n"
 
 
 def pieces(text: str) -> list[str]:
@@ -14,23 +20,43 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
 
-class PieceCache(dict):
-    """ids by piece; at most `most` pieces are held."""
-
-    def __init__(self, encode, most: int = 600_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids = tuple(self.encode(" " + piece))
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        first, *rest = pieces(text)
-        out = list(self.encode(first)) if first else []
-        get = self.__getitem__
-        for piece in rest:
-            out += get(piece)
-        return out
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + length[i] - 1 for each i in turn."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+
+class PieceTable:
+    """Ids of the pieces met so far, in one flat array; learn(pieces): their ids one after another, and the lengths.
+
+    The table starts anew beyond `most` pieces, so its memory is bounded.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int]]], most: int = 900_000):
+        self.learn, self.most = learn, most
+        self._reset()
+
+    def _reset(self) -> None:
+        self.at: dict[str, int] = {}
+        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin (and the last one's end)."""
+        cut = [pieces(x) for x in texts]
+        for x in cut:
+            x[0] = FIRST + x[0]
+        if len(self.at) > self.most:
+            self._reset()
+        new = list(set(chain.from_iterable(cut)) - self.at.keys())
+        if new:
+            ids, lengths = self.learn(new)
+            ids, lengths = np.asarray(ids, np.int32), np.asarray(lengths, np.int64)
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length = np.concatenate([self.length, lengths])
+            self.flat = np.concatenate([self.flat, ids])
+        counts = [len(x) for x in cut]
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
+        lengths = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[ranges(self.start[at], lengths)], ends[np.concatenate([[0], np.cumsum(counts)])] if counts else ends[:1]

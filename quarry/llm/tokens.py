@@ -20,22 +20,21 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import buffers, scratch, slices, texts
-from quarry.llm.pieces import pieces
+from quarry.llm.pieces import FIRST, PieceTable
 
 MAGIC, END_ID, BLOCK_BITS = b"DAC1", 2, 512
-#: A shard is closed after the document that brings it to so many ids.
+#: A shard is closed after the batch of documents that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Texts handed to the encoder together.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -117,7 +116,7 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each piece that isn't remembered once, many of them a call."""
 
-    MOST, JOINED = 600_000, 50
+    JOINED = 50
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,38 +126,24 @@ class Encoder:
         words = self.library.get_vocab()
         self.spaced = np.zeros(max(words.values()) + 1, bool)
         self.spaced[[i for word, i in words.items() if word.startswith("\u0120")]] = True
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        """A piece without white space holds no token that starts with a space but its first one."""
-        plain = [x for x in new if x and not _SPACE.search(x)]
-        batch = [" " + " ".join(plain[i : i + self.JOINED]) for i in range(0, len(plain), self.JOINED)]
-        for i, found in enumerate(self.library.encode_batch_fast(batch, add_special_tokens=False) if batch else []):
-            ids = found.ids
-            cuts = [*np.flatnonzero(self.spaced[ids]).tolist(), len(ids)]
-            own = plain[i * self.JOINED : (i + 1) * self.JOINED]
-            if len(cuts) != len(own) + 1:
-                raise ValueError("the vocabulary has tokens that start with a space inside a word")
-            for piece, a, b in zip(own, cuts, cuts[1:], strict=False):
-                self.known[piece] = ids[a:b]
-        odd = [x for x in new if x not in self.known]  # with white space, or empty
-        for piece, found in zip(odd, self.library.encode_batch_fast([" " + x for x in odd], add_special_tokens=False) if odd else [], strict=True):
-            self.known[piece] = found.ids
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [pieces(x) for x in texts]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        rest = set()
-        for x in cut:
-            rest.update(x[1:])
-        self._learn(list(rest - self.known.keys()))
-        first = self.library.encode_batch_fast([x[0] for x in cut], add_special_tokens=False)
-        get = self.known.__getitem__
-        return [f.ids + list(chain.from_iterable(map(get, x[1:]))) for f, x in zip(first, cut, strict=True)]
-
-
-_SPACE = re.compile(r"\s")
+        self.pieces = PieceTable(self._learn)
+
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces without white space are joined by spaces: then a token that starts with a space starts a piece."""
+        new.sort(key=lambda x: not x or _SPACE(x) is not None)  # those with white space, or empty, last
+        plain = next((i for i in range(len(new), 0, -1) if new[i - 1] and not _SPACE(new[i - 1])), 0)
+        joined = [" " + " ".join(new[i : min(i + self.JOINED, plain)]) for i in range(0, plain, self.JOINED)]
+        odd = [x[1:] if x.startswith(FIRST) else " " + x for x in new[plain:]]
+        found = [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(joined + odd, add_special_tokens=False)] if new else []
+        ids = np.concatenate(found[: len(joined)]) if joined else np.zeros(0, np.int32)
+        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        if len(cuts) != plain + 1:
+            raise ValueError("the vocabulary has tokens that start with a space inside a word")
+        rest = found[len(joined) :]
+        return np.concatenate([ids, *rest]), np.concatenate([np.diff(cuts), np.array([len(x) for x in rest], np.int64)])
+
+
+_SPACE = re.compile(r"\s").search
 
 
 @functools.cache
@@ -166,6 +151,9 @@ def tokenizer(path: str) -> Encoder:
     return Encoder(path)
 
 
+_ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
+
+
 def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int = SHARD_IDS, end_id: int = END_ID, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes whole texts in ascending doc_id order into shards under root (a folder that all executors share)."""
     path = path or tokenizer_path()
@@ -173,34 +161,29 @@ def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int =
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        cache, part, seq = tokenizer(path), TaskContext.get().partitionId(), 0
-        ids: list[np.ndarray] = []
-        names: list[int] = []
-        n = 0
+        table, part, seq, before = tokenizer(path).pieces, TaskContext.get().partitionId(), 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, documents' ids and lengths
 
         def shard():
-            lengths = [len(x) for x in ids]
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            blob = pack(np.concatenate(ids), np.array(names, np.int64), starts)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [n], "shard": [blob]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("shard", pa.binary())]))
+            ids, names, lengths = map(np.concatenate, zip(*held, strict=True))
+            blob = pack(ids, names, np.cumsum(lengths) - lengths)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "shard": [blob]}, schema=_ROW), len(ids)
 
         for batch in batches:
-            names_here = batch.column(0).to_pylist()
+            names = batch.column(0).fill_null(NO_ID).to_numpy()
             for i, j in slices(buffers(batch.column(1))[1], BYTES_AT_ONCE):
-                found = cache.encode(batch.column(1).slice(i, j - i).to_pylist())
-                for doc_id, own in zip(names_here[i:j], found, strict=True):
-                    own.append(end_id)
-                    ids.append(np.array(own, np.uint32))
-                    names.append(NO_ID if doc_id is None else doc_id)
-                    n += len(own)
-                    if n >= shard_ids:
-                        yield shard()
-                        ids, names, n, seq = [], [], 0, seq + 1
-        if ids:
-            yield shard()
+                ids, at = table.encode(batch.column(1).slice(i, j - i).to_pylist())
+                held.append((np.insert(ids, at[1:], end_id), names[i:j], np.diff(at) + 1))
+                if sum(len(x[0]) for x in held) >= shard_ids:
+                    row, n = shard()
+                    yield row
+                    seq, before = seq + 1, before + n
+        if held:
+            yield shard()[0]
 
     ordered = texts(docs, id_col, text_col).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, seq int, n_ids long, shard binary").write.parquet(root)
+    ordered.mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary").write.parquet(root)
 
 
 #: Stands for a null doc_id in a shard.
@@ -209,18 +192,15 @@ NO_ID = -(1 << 63)
 
 def read(spark: SparkSession, root: str) -> DataFrame:
     """From the shards under root, per document: doc_id, start (ids before it in all shards), n_tokens, ids_crc32."""
-    shards = spark.read.schema("part int, seq int, n_ids long, shard binary").parquet(root)
+    shards = spark.read.schema("part int, seq int, before long, n_ids long, shard binary").parquet(root)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each range of ids
-    before = np.concatenate([[0], np.cumsum([r.n for r in parts])[:-1]]).tolist() if parts else []
-    base = spark.createDataFrame([(r.part, int(b)) for r, b in zip(parts, before, strict=True)], "part int, base long")
-    places = shards.select("part", "seq", "n_ids").join(F.broadcast(base), "part")
-    w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    places = places.select("part", "seq", (F.col("base") + F.coalesce(F.sum("n_ids").over(w), F.lit(0))).alias("first"))
+    starts = np.cumsum([0, *(r.n for r in parts)]).tolist()
+    base = {r.part: b for r, b in zip(parts, starts, strict=False)}
 
     def run(batches):
         for batch in batches:
-            for first, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = Shard(blob)
+            for part, before, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                s, first = Shard(blob), base[part] + before
                 raw = memoryview(s.ids().astype("<u4").tobytes())
                 ends = np.append(s.starts[1:], len(s))
                 yield pa.RecordBatch.from_arrays(
@@ -233,8 +213,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    joined = shards.select("part", "seq", "shard").join(places, ["part", "seq"]).select("first", "shard")
-    return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "before", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, **options) -> DataFrame:
