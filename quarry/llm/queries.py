@@ -10,6 +10,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import toxicity
+
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import bpe
 
@@ -17,6 +25,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import neardup
+
+    return neardup.classes(_documents(spark, sf_dir))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import tokens
 
@@ -40,5 +54,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op7_token_files, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_minhash, op7_token_files, op10_media)}
 ORACLES: dict[str, str] = {}
