@@ -25,6 +25,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import imatch
+
+    return imatch.fingerprints(_documents(spark, sf_dir))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import neardup
 
@@ -54,5 +60,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op5_minhash, op7_token_files, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_imatch, op5_minhash, op7_token_files, op10_media)}
 ORACLES: dict[str, str] = {}
