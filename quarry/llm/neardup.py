@@ -82,7 +82,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 #: Buckets of at most SMALL members become explicit pairs; larger ones are compared blockwise, so many set elements a block.
-SMALL, BLOCK_ELEMENTS = 16, 2_000_000
+SMALL, BLOCK_ELEMENTS = 16, 400_000
 NO_ID = -(1 << 63)
 
 
@@ -156,7 +156,7 @@ def block_links(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> l
     row, at = row[order], at[order]
     width = int(at[-1]) + 1 if len(at) else 0
     common = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(1, (16 << 20) // len(sets))
+    step = max(1, (2 << 20) // len(sets))
     for lo in range(0, width, step):  # the incidence matrix, some columns at a time
         i, j = np.searchsorted(at, [lo, lo + step])
         m = np.zeros((len(sets), min(step, width - lo)), np.float32)
