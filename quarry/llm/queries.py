@@ -43,6 +43,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_and_read(_documents(spark, sf_dir))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import suffix
+
+    d = suffix.deduplicate(_documents(spark, sf_dir))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import media
 
@@ -60,5 +67,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_imatch, op5_minhash, op7_token_files, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_imatch, op5_minhash, op7_token_files, op8_suffix_array, op10_media)}
 ORACLES: dict[str, str] = {}
