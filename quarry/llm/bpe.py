@@ -27,8 +27,8 @@ from quarry.llm.pieces import FIRST, PieceTable, ranges
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most entries of the memos, which are emptied beyond them.
 MEMO, MATCHES = 200_000, 150_000
-#: Texts are encoded so many bytes at once.
-BYTES_AT_ONCE = 4 << 20
+#: Texts are encoded so many bytes at once, and so many ids decoded.
+BYTES_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 18
 #: A space, Latin letters, and marks that never join with either.
 PLAIN = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?]*)").fullmatch
 
@@ -189,8 +189,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         sets = batch.column(1)
         ids, at = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        data = b"".join(c.decode(ids[i : i + IDS_AT_ONCE]).tobytes() for i in range(0, len(ids), IDS_AT_ONCE))
         ends = np.concatenate([[0], np.cumsum(c.size[ids])])[at].astype(np.int32)
-        data = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(c.decode(ids).tobytes())])
+        data = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         return pa.RecordBatch.from_arrays([batch.column(0), sets, data], ["doc_id", "ids", "decoded"])
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")

@@ -124,7 +124,7 @@ _FOUND = "residual boolean, doc_id long, tie long, a long, b long"
 def _find_contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     data, offsets = buffers(batch.column(2))
     ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for i, j in slices(offsets, 8 << 20):
+    for i, j in slices(offsets, 4 << 20):
         for row, anchor, context, lo, hi, p in contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
             doc, tie, code = ids[i:j][row], ties[i:j][row], _pack(lo, hi, p)
             order = np.lexsort((code, tie, doc, context, anchor))

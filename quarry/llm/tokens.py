@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import buffers, scratch, slices, texts
+from quarry.llm.common import buffers, scratch, slices, small_batches, texts
 from quarry.llm.pieces import FIRST, PieceTable
 
 MAGIC, END_ID, BLOCK_BITS = b"DAC1", 2, 512
 #: A shard is closed after the batch of documents that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Texts handed to the encoder together.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 2 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -182,6 +182,7 @@ def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int =
         if held:
             yield shard()[0]
 
+    small_batches(spark)
     ordered = texts(docs, id_col, text_col).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary").write.parquet(root)
 
