@@ -18,6 +18,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import mixing
+
+    mix, rows = mixing.fit_mix(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    posteriors = [F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mix.model.names)]
+    return mixing.rates(rows, mix).select("doc_id", "tokens", *posteriors, "rate", "copies")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import bpe
 
@@ -37,6 +45,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_documents(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import lmscore
+
+    docs = _documents(spark, sf_dir)
+    wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
+    return lmscore.score(docs, lmscore.fit(docs, wanted))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import tokens
 
@@ -50,6 +66,14 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import shards
+    from quarry.llm.common import scratch
+
+    store = shards.ingest(_documents(spark, sf_dir), scratch(spark, "store"), 8)
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm import media
 
@@ -67,5 +91,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_imatch, op5_minhash, op7_token_files, op8_suffix_array, op10_media)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_bpe, op4_imatch, op5_minhash, op6_lm_scoring, op7_token_files, op8_suffix_array, op9_sharding, op10_media)}
+
+ORACLES: dict[str, str] = {
+    "op9_sharding": "select doc_id, lang, source, n_chars, strlen(text) as n_bytes, sha256(text) as text_sha256 from documents",
+}

@@ -40,14 +40,19 @@ IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 _U = np.uint64
 
 
-def features(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) arrays: words, word prefixes, pairs, pairs with one word between."""
+def features(w: Words, shapes: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) arrays: words, word prefixes, pairs, pairs with one word between; shapes: also what stands between words, and repeats of a word."""
     word = w.hashes(w.start, w.end)
     prefix = w.hashes(w.start, np.minimum(w.start + PREFIX, w.end))
     out = [(w.row, word), (w.row, prefix * _U(0xA24BAED4963EE407))]
     for gap, salt in ((1, 0x9FB21C651E98DF25), (2, 0xC2B2AE3D27D4EB4F)):
         same = w.row[gap:] == w.row[:-gap]
         out.append((w.row[gap:][same], mix(word[:-gap][same] * _U(salt) + word[gap:][same])))
+    if shapes and len(word) > 1:
+        same = w.row[1:] == w.row[:-1]
+        out.append((w.row[1:][same], w.hashes(w.end[:-1], w.start[1:])[same] * _U(0x94D049BB133111EB)))
+        twice = same & (word[1:] == word[:-1])
+        out.append((w.row[1:][twice], np.full(int(twice.sum()), 0xBF58476D1CE4E5B9, np.uint64)))
     return [(row, (h >> _U(64 - BITS)).astype(np.int64)) for row, h in out]
 
 
@@ -97,13 +102,13 @@ class Model:
         out[self.bucket] = self.weight
         return out
 
-    def margins(self, data: np.ndarray, offsets: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def margins(self, data: np.ndarray, offsets: np.ndarray, dense: np.ndarray, shapes: bool = False) -> np.ndarray:
         """Rows by classes: the sums of the distinct features' weights."""
         out = np.tile(self.bias, (len(offsets) - 1, 1))
         live = dense.any(axis=1)
         for i, j, w in blocks(data, offsets, IS_WORD):
             rows, found = [], []
-            for row, bucket in features(w):
+            for row, bucket in features(w, shapes):
                 keep = live[bucket]
                 rows.append(row[keep])
                 found.append(bucket[keep])
@@ -113,7 +118,7 @@ class Model:
         return out
 
 
-def _examples(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str) -> DataFrame:
+def _examples(docs: DataFrame, labels: DataFrame, sample: int, shapes: bool, id_col: str, text_col: str) -> DataFrame:
     """shard, doc_id, label, buckets of at most `sample` labelled rows; labels: doc_id, label (a string), one row for each id."""
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     sample = min(sample, labels.count())
@@ -125,16 +130,16 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text
     def run(batch: pa.RecordBatch):
         data, offsets = buffers(batch.column(3))
         for i, j, w in blocks(data, offsets, IS_WORD):
-            row, bucket = distinct(*zip(*features(w), strict=True))
+            row, bucket = distinct(*zip(*features(w, shapes), strict=True))
             at = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], ["shard", "doc_id", "label", "buckets"])
 
     return map_batches(rows, run, "shard int, doc_id long, label string, buckets array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], sample: int = SAMPLE, shapes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """One-against-rest models of `names`; labels: doc_id, label (strings)."""
-    examples = _examples(docs, labels, sample, id_col, text_col)
+    examples = _examples(docs, labels, sample, shapes, id_col, text_col)
 
     def train(table: pa.Table) -> pa.Table:
         order = np.argsort(mix(np.array(table["doc_id"].to_pylist(), np.int64).astype(np.uint64)), kind="stable")
