@@ -58,11 +58,15 @@ def parts(known: Column) -> Column:
 
     masks = F.array(*[F.lit((1 << rate) - 1).cast("long") for rate in range(2, RATES + 2)])
 
-    def part(k: Column) -> Column:
-        own = F.filter(known, lambda t: F.xxhash64(t, k).bitwiseAND(F.get(masks, k % RATES)) == 0)
+    def of_seed(seed: Column) -> Column:
+        # a seed's subsets are nested, so its smaller ones are sought in the largest
+        most = F.array(F.filter(known, lambda t: F.xxhash64(t, seed).bitwiseAND(F.lit(3)) == 0))
+        return F.flatten(F.transform(most, lambda own: F.transform(masks, lambda mask: part(F.filter(own, lambda t: F.xxhash64(t, seed).bitwiseAND(mask) == 0)))))
+
+    def part(own: Column) -> Column:
         return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), part)
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SUBSETS // RATES)), of_seed))
 
 
 def likeness(a: Column, b: Column) -> Column:
