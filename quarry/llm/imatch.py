@@ -23,7 +23,7 @@ from quarry.llm.common import texts
 LEAST, MOST = 0.005, 0.25
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-SUBSETS, RATES = 48, 8
+SUBSETS, RATES = 64, 8
 NO_ID = -(1 << 63)
 
 
@@ -56,12 +56,17 @@ def in_lexicon(found: Column, bits: Column) -> Column:
 def parts(known: Column) -> Column:
     """A hash for each lexicon subset, 0 where the text has no term in it."""
 
-    masks = F.array(*[F.lit((1 << rate) - 1).cast("long") for rate in range(2, RATES + 2)])
+    # a seed's subsets lie in one that keeps a quarter of the terms; each takes further bits of its own from the hash
+    bits = [(2 + rate * (rate - 1) // 2, (1 << rate) - 1) for rate in range(RATES)]
+    windows = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(mask).cast("long").alias("mask")) for at, mask in bits])
 
     def of_seed(seed: Column) -> Column:
-        # a seed's subsets are nested, so its smaller ones are sought in the largest
-        most = F.array(F.filter(known, lambda t: F.xxhash64(t, seed).bitwiseAND(F.lit(3)) == 0))
-        return F.flatten(F.transform(most, lambda own: F.transform(masks, lambda mask: part(F.filter(own, lambda t: F.xxhash64(t, seed).bitwiseAND(mask) == 0)))))
+        quarter = F.array(F.filter(known, lambda t: F.xxhash64(t, seed).bitwiseAND(F.lit(3)) == 0))
+
+        def within(w: Column, own: Column) -> Column:
+            return part(F.filter(own, lambda t: F.call_function("shiftrightunsigned", F.xxhash64(t, seed), w["at"]).bitwiseAND(w["mask"]) == 0))
+
+        return F.flatten(F.transform(quarter, lambda own: F.transform(windows, lambda w: within(w, own))))
 
     def part(own: Column) -> Column:
         return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
