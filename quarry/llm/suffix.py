@@ -28,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import buffers, map_batches, release, slices, texts, written
-from quarry.llm.words import BYTE, mix
+from quarry.llm.pieces import ranges
+from quarry.llm.words import BYTE, mix, powers
 
 STRING, GRAM = 100, 32
 #: Anchors are found in pieces of at most so many bytes, whose positions fit the low bits of a key.
 PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 4 * STRING
 #: Strings of one slice have offsets to their anchor in a range of this width.
-SLICE = 23
+SLICE, SLICES_AT_ONCE = 35, 1 << 14
 #: Groups are sorted together up to so many bytes; a larger group is sorted alone.
 SORT_BYTES = 1 << 20
 NO_ID = -(1 << 63)
@@ -98,10 +99,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         at = np.flatnonzero(new)
         lo, p, own = start[at], place[at], piece[at]
         hi = np.append(start[at[1:] - 1], start[-1])
-        power = np.cumprod(np.append(_U(1), np.full(len(block), 0x9E3779B97F4A7C15, np.uint64)), dtype=np.uint64)
-        sums = np.append(_U(0), np.cumsum(BYTE[block][::-1] * power[:-1], dtype=np.uint64))  # from the end, so that no inverse is needed
+        power, _ = powers(2 << PLACE_BITS)
+        sums = np.append(_U(0), np.cumsum(BYTE[block][::-1] * power[: len(block)], dtype=np.uint64))  # from the end, so that no inverse is needed
         end = hi + STRING
-        value = (sums[len(block) - lo] - sums[len(block) - end]) * power[end]  # the same for equal bytes wherever they stand
+        value = (sums[len(block) - lo] - sums[len(block) - end]) * power[(1 << PLACE_BITS) - len(block) + end]  # the same for equal bytes in any block
         value = mix(value + (end - lo).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + (p - lo).astype(np.uint64))
         base = np.array([s for _, s, _, _ in part])[own] - first[own]
         yield np.array([r for r, _, _, _ in part])[own], gram[p], value, lo + base, hi + base, p + base
@@ -117,8 +118,10 @@ def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, lo + (code >> 8 & 255), lo + (code & 255)
 
 
+#: What a context is: covered as a whole, or one of several around its anchor; others have no row.
+COVERED, RESIDUAL = 1, 2
 _CONTEXT = "anchor long, context long, doc_id long, tie long, code long, done boolean"
-_FOUND = "residual boolean, doc_id long, tie long, a long, b long"
+_FOUND = "kind int, doc_id long, tie long, a long, b long"
 
 
 def _find_contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -135,51 +138,44 @@ def _find_contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, doc, tie, code, done)], ["anchor", "context", "doc_id", "tie", "code", "done"])
 
 
-def _found(residual: bool, doc, tie, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), residual)), *(pa.array(np.asarray(x, np.int64)) for x in (doc, tie, a, b))], ["residual", "doc_id", "tie", "a", "b"])
+def _found(kind: int, doc, tie, a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (doc, tie, a, b))], ["kind", "doc_id", "tie", "a", "b"])
 
 
 def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by anchor, context and place: covered intervals, and the contexts of anchors that have several."""
-    last = (None, None)
-    held, many = None, False  # the last anchor's only context so far; whether it has had more
+    """From rows sorted by anchor, context and place: what each context is (a row's a and b: an interval, or anchor and code)."""
+    last, held, met = (None, None), None, 0  # of the last anchor: its only context yet, number of contexts
     for batch in batches:
         if not batch.num_rows:
             continue
         done = batch.column(5).to_numpy(zero_copy_only=False)
         anchor, context, doc, tie, code = (batch.column(k).to_numpy() for k in range(5))
-        same = np.zeros(len(anchor), bool)
         live = np.flatnonzero(~done)
         a, c = anchor[live], context[live]
-        same_live = np.zeros(len(live), bool)
-        same_live[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+        same = np.zeros(len(live), bool)
+        same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
         if len(live):
-            same_live[0] = last == (int(a[0]), int(c[0]))
-        same[live] = same_live
-        covered = done | same
+            same[0] = last == (int(a[0]), int(c[0]))
+        covered = np.concatenate([np.flatnonzero(done), live[same]])
         lo, hi, _ = _unpack(code[covered])
-        yield _found(False, doc[covered], tie[covered], lo, hi + STRING)
+        yield _found(COVERED, doc[covered], tie[covered], lo, hi + STRING)
         if not len(live):
             continue
-        first = live[~same_live]
-        rows = [x[first] for x in (anchor, doc, tie, code)]
-        if held is not None:
-            rows = [np.concatenate([[h], x]) for h, x in zip(held, rows, strict=True)]
-        held = None
-        own, at, count = np.unique(rows[0], return_inverse=True, return_counts=True)
-        several = count > 1
-        if many and last[0] is not None and len(own):
-            several |= own == last[0]
-        emit = several[at]
-        tail = int(a[-1])
-        end = own == tail
-        if end.any() and not several[end][0]:  # the last anchor may have more contexts in the next batch
-            k = int(np.flatnonzero(rows[0] == tail)[0])
-            held, many = tuple(int(x[k]) for x in rows), False
-        else:
-            many = bool(end.any() and several[end][0]) or (many and last[0] == tail)
-        last = (tail, int(c[-1]))
-        yield _found(True, rows[1][emit], rows[2][emit], rows[0][emit], rows[3][emit])
+        begins = np.ones(len(a), bool)
+        begins[1:] = a[1:] != a[:-1]
+        group = np.cumsum(begins) - 1
+        count = np.bincount(group, ~same)
+        rows = np.stack([x[live] for x in (anchor, doc, tie, code)])[:, ~same]
+        of = group[~same]
+        if last[0] == int(a[0]):
+            count[0] += met
+            if held is not None:
+                rows, of = np.concatenate([held, rows], axis=1), np.concatenate([[0], of])
+        end = group[-1]
+        left = rows[:, count[of] > 1]
+        yield _found(RESIDUAL, left[1], left[2], left[0], left[3])
+        held = rows[:, of == end] if count[end] == 1 else None
+        met, last = int(count[end]), (int(a[-1]), int(c[-1]))
 
 
 # ---- difference-cover suffix sorting
@@ -187,9 +183,13 @@ def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Dense ranks, from 1 on, of rows of non-negative integers, compared column by column."""
-    key = columns[0].astype(np.int64)
+    key, most = columns[0].astype(np.int64), int(columns[0].max()) + 1
     for c in columns[1:]:
-        key = np.unique(key, return_inverse=True)[1] * (int(c.max()) + 1) + c
+        width = int(c.max()) + 1
+        if most * width >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            most = int(key.max()) + 1
+        key, most = key * width + c, most * width
     return np.unique(key, return_inverse=True)[1] + 1
 
 
@@ -209,16 +209,27 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     rank = np.zeros(m + 3, np.int64)
     rank[sample] = name
     top = int(name.max()) + 1
-    pair = np.zeros(m, np.int64)
-    both = np.concatenate([at0, at2])
-    pair[both] = _names(padded[both], padded[both + 1])
+    count = np.bincount(name)
+    before = np.cumsum(count) - count  # of each name: the sampled suffixes that are smaller
+    # The others differ from a sampled suffix by one or two characters and a rank that both sides have.
+    letters = int(padded.max()) + 1
+    if letters * letters * top < 1 << 62:
+        pair = padded[:m] * letters + padded[1 : m + 1]
+    else:
+        pair = np.zeros(m, np.int64)
+        pair[np.concatenate([at0, at2])] = _names(padded[np.concatenate([at0, at2])], padded[np.concatenate([at0, at2]) + 1])
+    out = np.zeros(m, np.int64)
+    out[sample] = before[name]
     key0, key1 = padded[at0] * top + rank[at0 + 1], padded[at1] * top + rank[at1 + 1]
-    long0, long2 = pair[at0] * top + rank[at0 + 2], pair[at2] * top + rank[at2 + 2]
-    sorted0, sorted1, sorted_long0, sorted_long2, sorted_names = np.sort(key0), np.sort(key1), np.sort(long0), np.sort(long2), np.sort(name)
-    out = np.empty(m, np.int64)
-    out[at0] = np.searchsorted(sorted0, key0) + np.searchsorted(sorted1, key0) + np.searchsorted(sorted_long2, long0)
-    out[at1] = np.searchsorted(sorted_names, rank[at1]) + np.searchsorted(sorted0, key1)
-    out[at2] = np.searchsorted(sorted_names, rank[at2]) + np.searchsorted(sorted_long0, long2)
+    by0, by1 = np.argsort(key0), np.argsort(key1)
+    key0, key1 = key0[by0], key1[by1]
+    out[at0[by0]] = np.searchsorted(key0, key0) + np.searchsorted(key1, key0)
+    out[at1[by1]] += np.searchsorted(key0, key1)
+    key0, key2 = pair[at0] * top + rank[at0 + 2], pair[at2] * top + rank[at2 + 2]
+    by0, by2 = np.argsort(key0), np.argsort(key2)
+    key0, key2 = key0[by0], key2[by2]
+    out[at0[by0]] += np.searchsorted(key2, key0)
+    out[at2[by2]] += np.searchsorted(key0, key2)
     return out[:n]
 
 
@@ -249,29 +260,34 @@ def repeats(data: np.ndarray, start: np.ndarray, order: tuple[np.ndarray, ...])
 
 
 def _cut_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A row for each slice of a document's residual contexts; key: of the bytes that all its strings share."""
+    """A row for each slice of the documents' residual contexts; key: of the anchor, the offsets and the bytes that all strings of a slice share."""
     data, offsets = buffers(batch.column(2))
     sets = batch.column(3)
     flat = sets.flatten()
-    anchor, code = flat.field(0).to_numpy(), flat.field(1).to_numpy()
     at = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
     ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    out: list[tuple] = []
-    size = 0
-    for r in range(len(ids)):
-        text = memoryview(data[offsets[r] : offsets[r + 1]])
-        lo, hi, p = _unpack(code[at[r] : at[r + 1]])
-        for a, lo_, hi_, p_ in zip(anchor[at[r] : at[r + 1]].tolist(), lo.tolist(), hi.tolist(), p.tolist(), strict=True):
-            for k in range((p_ - hi_) // SLICE, (p_ - lo_) // SLICE + 1):
-                i, j = max(lo_, p_ - k * SLICE - SLICE + 1), min(hi_, p_ - k * SLICE)
-                shared = bytes(text[p_ - k * SLICE : p_ - k * SLICE - SLICE + 1 + STRING])
-                out.append((_digest(shared, a + k), ids[r], ties[r], i, j - i + 1, bytes(text[i : j + STRING])))
-                size += j + STRING - i
-            if size > 8 << 20:
-                yield _slice_rows(out)
-                out, size = [], 0
-    if out:
-        yield _slice_rows(out)
+    row = np.repeat(np.arange(len(ids)), np.diff(at))
+    anchor, code = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    lo, hi, p = _unpack(code)
+    first, last = (p - hi) // SLICE, (p - lo) // SLICE
+    of = np.repeat(np.arange(len(lo)), last - first + 1)
+    part = ranges(first, last - first + 1)
+    middle = p[of] - part * SLICE
+    begin, end = np.maximum(lo[of], middle - SLICE + 1), np.minimum(hi[of], middle)
+    order = np.lexsort((begin, row[of]))
+    of, part, middle, begin, end = (x[order] for x in (of, part, middle, begin, end))
+    view, base = memoryview(data), offsets[row[of]]
+    for i in range(0, len(of), SLICES_AT_ONCE):
+        k = slice(i, i + SLICES_AT_ONCE)
+        m = (base[k] + middle[k]).tolist()
+        keys = [_digest(view[x : x - SLICE + 1 + STRING], a + q) for x, a, q in zip(m, anchor[of[k]].tolist(), part[k].tolist(), strict=True)]
+        strings = end[k] - begin[k] + 1
+        size = strings + STRING - 1
+        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        payload = data[ranges(base[k] + begin[k], size)]
+        raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(payload.tobytes())])
+        own = row[of[k]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[own]), pa.array(ties[own]), pa.array(begin[k]), pa.array(strings), raw], ["key", "doc_id", "tie", "start", "strings", "bytes"])
 
 
 def _digest(shared: bytes, seed: int) -> int:
@@ -280,10 +296,6 @@ def _digest(shared: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(shared, seed & (1 << 64) - 1) - (1 << 63)
 
 
-def _slice_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], ["key", "doc_id", "tie", "start", "strings", "bytes"])
-
-
 def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From slices sorted by key: the intervals of repeated strings."""
     held: list[pa.RecordBatch] = []
@@ -308,7 +320,7 @@ def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.ones(len(at), bool)
         first[1:] = (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])
         begin, end = at[first], at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)]
-        return _found(False, doc[row[begin]], tie[row[begin]], place[begin], place[end] + STRING)
+        return _found(COVERED, doc[row[begin]], tie[row[begin]], place[begin], place[end] + STRING)
 
     for batch in batches:
         if not batch.num_rows:
@@ -340,16 +352,22 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = map_batches(docs, _find_contexts, _CONTEXT)
     judged = written(found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "tie", "code").mapInArrow(_judge_contexts, _FOUND), "contexts")
     release(spark)
-    residual = judged.where("residual").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("contexts"))
-    cut = map_batches(docs.dropDuplicates(["doc_id", "tie"]).join(residual, ["doc_id", "tie"]).select("doc_id", "tie", "text", "contexts"), _cut_slices, "key long, doc_id long, tie long, start long, strings long, bytes binary")
+    residual = judged.where(F.col("kind") == RESIDUAL).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("contexts"))
+    cut = map_batches(docs.join(residual, ["doc_id", "tie"]).select("doc_id", "tie", "text", "contexts"), _cut_slices, "key long, doc_id long, tie long, start long, strings long, bytes binary")
     again = written(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_slices, _FOUND), "repeats")
     release(spark)
-    return judged.where("not residual").select("doc_id", "tie", "a", "b"), again.select("doc_id", "tie", "a", "b")
+    return judged.where(F.col("kind") == COVERED).select("doc_id", "tie", "a", "b"), again.select("doc_id", "tie", "a", "b")
+
+
+def _tie(docs: DataFrame) -> Column:
+    """Tells documents of one id apart; a constant where ids don't repeat."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return F.xxhash64("text") if repeated else F.lit(0).cast("long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = texts(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.select("doc_id", _tie(rows).alias("tie"), "text")
 
 
 def spans(size: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -393,7 +411,8 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """docs with repeated strings cut out of the text (and what is left of a code point that was cut); all columns and rows stay."""
     names = docs.columns
     marks = F.struct(*[F.col(c) for c in names]).alias("row")
-    rows = docs.select(marks, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(marks, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("row", "doc_id", _tie(rows).alias("tie"))
     joined = rows.join(_intervals(_keyed(docs, id_col, text_col)), ["doc_id", "tie"], "left").select("row", "cuts")
     at = names.index(text_col)
 

@@ -18,8 +18,8 @@ LOWER[65:91] += 32
 BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=3)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse mod 2**64, to the powers 0..n-1."""
     inverse = pow(BASE, -1, 1 << 64)
     out = []
@@ -56,7 +56,7 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(own & after) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         size = 1 << max(20, int(n).bit_length())
-        power, self.inverse = _powers(size)
+        power, self.inverse = powers(size)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(BYTE[self.data] * power[:n], out=self.sums[1:])
 
