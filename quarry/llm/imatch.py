@@ -29,8 +29,8 @@ NO_ID = -(1 << 63)
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
 def _slot(term: Column) -> Column:
@@ -56,21 +56,19 @@ def in_lexicon(found: Column, bits: Column) -> Column:
 def parts(known: Column) -> Column:
     """A hash for each lexicon subset, 0 where the text has no term in it."""
 
-    # a seed's subsets lie in one that keeps a quarter of the terms; each takes further bits of its own from the hash
-    bits = [(2 + rate * (rate - 1) // 2, (1 << rate) - 1) for rate in range(RATES)]
-    windows = F.array(*[F.struct(F.lit(at).alias("at"), F.lit(mask).cast("long").alias("mask")) for at, mask in bits])
+    # A seed's subsets lie in one that keeps a quarter of the terms; each takes further bits of its own from the hash.
+    masks = [((1 << rate) - 1) << 2 + rate * (rate - 1) // 2 for rate in range(RATES)]
 
-    def of_seed(seed: Column) -> Column:
-        quarter = F.array(F.filter(known, lambda t: F.xxhash64(t, seed).bitwiseAND(F.lit(3)) == 0))
-
-        def within(w: Column, own: Column) -> Column:
-            return part(F.filter(own, lambda t: F.call_function("shiftrightunsigned", F.xxhash64(t, seed), w["at"]).bitwiseAND(w["mask"]) == 0))
-
-        return F.flatten(F.transform(quarter, lambda own: F.transform(windows, lambda w: within(w, own))))
+    def within(mask: int):
+        return lambda h: h.bitwiseAND(F.lit(mask).cast("long")) == 0
 
     def part(own: Column) -> Column:
         return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
 
+    def of_seed(seed: Column) -> Column:
+        quarter = F.filter(F.transform(known, lambda t: F.xxhash64(t, seed)), within(3))
+        return F.flatten(F.transform(F.array(quarter), lambda own: F.array(*[part(F.filter(own, within(mask))) for mask in masks])))
+
     return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SUBSETS // RATES)), of_seed))
 
 
