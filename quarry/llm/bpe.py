@@ -26,7 +26,7 @@ from quarry.llm.pieces import FIRST, PieceTable, ranges
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most entries of the memos, which are emptied beyond them.
-MEMO, MATCHES = 200_000, 150_000
+MEMO, MATCHES = 400_000, 400_000
 #: Texts are encoded so many bytes at once, and so many ids decoded.
 BYTES_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 18
 #: A space, Latin letters, and marks that never join with either.
@@ -104,40 +104,52 @@ class Codec:
             else:
                 before, b = b + 1, inner_b
 
-    def encode_bytes(self, data: bytes) -> list[int]:
-        if (whole := self.rank.get(data)) is not None:
+    def encode_word(self, match: str) -> list[int]:
+        """Ids of one match of the pattern."""
+        text = match if match.isascii() else match.encode().decode("latin-1")
+        ids, memo, compatible = self.by_text, self.memo, self.compatible
+        if (whole := ids.get(text)) is not None:
             return [whole]
-        text, end, out, dead = data.decode("latin-1"), len(data), [], set()
-        known, path, ids, length, widest, memo = None, self.trie.longest_prefix, self.by_text, self.length, self.widest, self.memo
-        at, last, token = 0, -1, None
+        # Longest matches one after another, as far as each may follow the one before; all of it for about every second word.
+        out = [token for _, token in self.trie.iter_long(text)]
+        last = out[0]
+        for i in range(1, len(out)):
+            token = out[i]
+            if not ((known := memo.get((last, token))) or known is None and compatible(last, token)):
+                break
+            last = token
+        else:
+            return out
+        path, length, shorter, widest = self.trie.longest_prefix, self.length, self.shorter, self.widest
+        end, dead = len(text), set()
+        del out[i:]
+        at = sum(map(length.__getitem__, out))
+        token = shorter[token]
         while True:
-            if token is None:
-                ahead = text[at : at + widest]
-                stop = path(ahead)
-                while (token := ids.get(ahead[:stop])) is None:  # the trie's path may end inside a longer token
-                    stop -= 1
-            stop = at + length[token]
-            if stop not in dead:
-                if last < 0 or ((known := memo.get((last, token))) or known is None and self.compatible(last, token)):
-                    out.append(token)
-                    if stop == end:
-                        return out
-                    at, last, token = stop, token, None
-                    continue
-            token = self.shorter[token]
             while token is None:  # nothing fits here: step back and shorten the token before
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
-                token = self.shorter[token]
-                last = out[-1] if out else -1
+                token = shorter[token]
+            last = out[-1] if out else -1
+            stop = at + length[token]
+            if stop in dead or last >= 0 and not ((known := memo.get((last, token))) or known is None and compatible(last, token)):
+                token = shorter[token]
+                continue
+            out.append(token)
+            if stop == end:
+                return out
+            at, ahead = stop, text[stop : stop + widest]
+            stop = path(ahead)
+            while (token := ids.get(ahead[:stop])) is None:  # the trie's path may end inside a longer token
+                stop -= 1
 
     def _match(self, match: str) -> list[int]:
         ids = self.matches.get(match)
         if ids is None:
             if len(self.matches) >= MATCHES:
                 self.matches.clear()
-            ids = self.matches[match] = self.encode_bytes(match.encode())
+            ids = self.matches[match] = self.encode_word(match)
         return ids
 
     def encode_matches(self, text: str) -> list[int]:

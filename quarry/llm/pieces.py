@@ -32,7 +32,7 @@ class PieceTable:
     The table starts anew beyond `most` pieces, so its memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int]]], most: int = 300_000):
+    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int]]], most: int = 700_000):
         self.learn, self.most = learn, most
         self._reset()
 
