@@ -27,6 +27,11 @@ SUBSETS, RATES = 64, 8
 NO_ID = -(1 << 63)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often it is used; plain columns would be computed anew at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Hashes of the distinct terms."""
     words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
@@ -49,8 +54,10 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def in_lexicon(found: Column, bits: Column) -> Column:
     """The sorted terms of the lexicon, or all where there is none."""
-    known = F.filter(found, lambda t: F.getbit(F.get(bits, F.shiftright(_slot(t), 6).cast("int")), (_slot(t).bitwiseAND(F.lit(63))).cast("int")) == 1)
-    return F.sort_array(F.when(F.size(known) > 0, known).otherwise(found))
+    def holds(t: Column) -> Column:
+        return F.getbit(F.get(bits, F.shiftright(_slot(t), 6).cast("int")), _slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return F.sort_array(let(found, lambda every: let(F.filter(every, holds), lambda known: F.when(F.size(known) > 0, known).otherwise(every))))
 
 
 def parts(known: Column) -> Column:
@@ -63,19 +70,18 @@ def parts(known: Column) -> Column:
         return lambda h: h.bitwiseAND(F.lit(mask).cast("long")) == 0
 
     def part(own: Column) -> Column:
-        return F.when(F.size(own) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(own))
+        return let(own, lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(found)))
 
-    def of_seed(seed: Column) -> Column:
-        quarter = F.filter(F.transform(known, lambda t: F.xxhash64(t, seed)), within(3))
-        return F.flatten(F.transform(F.array(quarter), lambda own: F.array(*[part(F.filter(own, within(mask))) for mask in masks])))
+    def of_seed(every: Column, seed: int) -> Column:
+        quarter = F.filter(F.transform(every, lambda t: F.xxhash64(t, F.lit(seed))), within(3))
+        return let(quarter, lambda own: F.array(*[part(F.filter(own, within(mask))) for mask in masks]))
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SUBSETS // RATES)), of_seed))
+    return let(known, lambda every: F.flatten(F.array(*[of_seed(every, seed) for seed in range(1, SUBSETS // RATES + 1)])))
 
 
 def likeness(a: Column, b: Column) -> Column:
     both = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
-    said = F.filter(both, lambda x: x.isNotNull())
-    return F.when(F.size(said) == 0, F.lit(1.0)).otherwise(F.aggregate(said, F.lit(0), lambda s, x: s + x) / F.size(said))
+    return let(F.filter(both, lambda x: x.isNotNull()), lambda said: F.when(F.size(said) == 0, F.lit(1.0)).otherwise(F.aggregate(said, F.lit(0), lambda s, x: s + x) / F.size(said)))
 
 
 def as_text(found: Column) -> Column:
