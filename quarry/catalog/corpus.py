@@ -438,3 +438,77 @@ def stream_session_counts(t):
 def stream_ttl(t):
     e = stream.read_log(t.spark, t.dir, "events.parquet", t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     return stream.run_to_end(stream.first_within(e, ["user_id", "event_type"], "400 days")).select("user_id", "event_type")
+
+
+# ---- macros and guidance
+
+
+def _chunk_rows(t):
+    from quarry.operators import macros  # noqa: F401
+
+    c = text.chunks(text.units(_programs(t)))
+    return step.row_counter(c, ["chunk_no"], ["source_id"], "idx")
+
+
+@query()
+def macro_variables(t):
+    from quarry.operators import macros
+
+    c = _chunk_rows(t)
+    return c.select("source_id", "idx", macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), macros.signature(F.col("text"))).alias("used"), macros.macro_name(F.col("text")).alias("macro"), macros.signature(F.col("text")).alias("parameters"))
+
+
+@query()
+def macro_calls(t):
+    from quarry.operators import macros
+
+    return macros.calls(_chunk_rows(t).where("kind = 'MACRO_CALL'"))
+
+
+@query("select l_orderkey as to_idx, m.from_idx, cast(l_suppkey as varchar) as macro from (select distinct l_orderkey, l_suppkey from lineitem) join (select l_suppkey as s, max(l_orderkey) as from_idx from lineitem where l_linenumber = 1 group by 1) m on m.s = l_suppkey")
+def macro_invocation(t):
+    from quarry.operators import macros
+
+    c = t.lineitem.selectExpr("l_orderkey as idx", "cast(l_suppkey as string) as macro")
+    return macros.invocations(c, t.lineitem.where("l_linenumber = 1").selectExpr("l_orderkey as idx", "cast(l_suppkey as string) as macro"))
+
+
+@query("select idx, direction, name from (select o_orderkey as idx, 'in' as direction, 'work.' || lower(o_orderstatus) as name from orders union select o_orderkey, 'out', 'lib.fixed' from orders)")
+def macro_body_io(t):
+    from quarry.operators import macros
+
+    c = t.orders.selectExpr("o_orderkey as idx", "'m' as macro", "1 as pos", "cast(null as string) as param", "o_orderstatus as value")
+    b = t.spark.createDataFrame([("m", "in", 1, None, "src"), ("m", "out", 0, "lib.fixed", None)], "macro string, direction string, pos int, name string, param string")
+    return macros.resolve_bodies(c, b)
+
+
+@query("select c_custkey as item_id, p_size as chunk_id, cast(min(case when p_partkey % 2 = 0 then 0 else 4 end) as integer) as tier_no from customer join part on p_size % 25 = c_nationkey group by 1, 2")
+def guidance_gates(t):
+    from quarry.operators import guidance
+
+    none = F.array().cast("array<string>")
+    chunks = t.part.select(F.col("p_size").alias("chunk_id"), F.when(F.col("p_partkey") % 2 == 0, "user_rule").otherwise("construct").alias("tier"), none.alias("langs"), none.alias("kinds"), F.array((F.col("p_size") % 25).cast("string")).alias("constructs"))
+    items = t.customer.select(F.col("c_custkey").alias("item_id"), F.lit("x").alias("lang"), F.lit("k").alias("kind"), F.array(F.col("c_nationkey").cast("string")).alias("constructs"))
+    return guidance.gated(chunks, items)
+
+
+@query("select user_id as instruction from (select user_id, event_type, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1 and event_type = 'click'")
+def approval_queue(t):
+    from quarry.operators import guidance
+
+    q = t.events.select(F.col("user_id").alias("instruction"), F.when(F.col("event_type") == "click", "approved").otherwise("pending").alias("status"), F.col("event_id").alias("seq"))
+    return guidance.standing(q)
+
+
+@query("select conv_id, substr(sha256(string_agg(n || '. ' || text, chr(10) order by turn)), 1, 16) as fingerprint from (select *, row_number() over (partition by conv_id order by turn) as n from conversations) group by 1")
+def content_fingerprint(t):
+    from quarry.operators import guidance
+
+    return guidance.fingerprint(t.conversations, "conv_id", "turn", "text")
+
+
+@query("select event_id, user_id, bool_and(event_type <> 'purchase') over (partition by user_id) as attributed from events")
+def cells_attributed(t):
+    from quarry.operators import guidance
+
+    return guidance.whole_items(t.events.withColumn("ok", F.col("event_type") != "purchase"), "user_id", "ok").select("event_id", "user_id", "attributed")

@@ -188,9 +188,9 @@ def hash_check_semi(t):
     return merge.check(t.customer.select("c_custkey", "c_name"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 def hash_check_anti(t):
-    return merge.check(t.customer.select("c_custkey", "c_name"), t.orders.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", negate=True)
+    return merge.check(t.customer.select("c_custkey", "c_name"), t.orders.where("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", negate=True)
 
 
 @query("select event_id, user_id, cast(row_number() over (partition by user_id order by event_id) > 1 as integer) as seen from events")
