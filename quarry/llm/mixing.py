@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
 from quarry.llm.common import buffers, map_batches, texts, written
-from quarry.llm.toxicity import IS_WORD, Model
-from quarry.llm.words import blocks, mix
+from quarry.llm.toxicity import Model
+from quarry.llm.words import mix
 
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 ROUNDS, CLOSE = 60, 1e-6
@@ -43,15 +43,11 @@ def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], of: Column,
     return toxicity.fit(docs, known.groupBy("doc_id").agg(F.max("label").alias("label")), names, shapes=True, **options)
 
 
-def posteriors(model: Model, column: pa.Array, dense: np.ndarray) -> np.ndarray:
-    odds = toxicity.probabilities(model.margins(*buffers(column), dense, shapes=True))
-    return odds / odds.sum(axis=1, keepdims=True)
-
-
-def token_counts(column: pa.Array) -> np.ndarray:
-    data, offsets = buffers(column)
-    out = [np.bincount(w.row, minlength=j - i) for i, j, w in blocks(data, offsets, IS_WORD)]
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+def posteriors(model: Model, column: pa.Array, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by domains, and each row's tokens."""
+    margins, tokens = model.margins(*buffers(column), dense, shapes=True)
+    odds = toxicity.probabilities(margins)
+    return odds / odds.sum(axis=1, keepdims=True), tokens
 
 
 def replay(p: np.ndarray, steps: np.ndarray, least: float) -> np.ndarray:
@@ -81,9 +77,9 @@ def memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "w" not in state:
             state["w"] = held.value.dense()
-        p = posteriors(held.value, batch.column(1), state["w"])
+        p, tokens = posteriors(held.value, batch.column(1), state["w"])
         at = np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(token_counts(batch.column(1)).astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(p.ravel()))], ["doc_id", "tokens", "p"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens), pa.ListArray.from_arrays(pa.array(at), pa.array(p.ravel()))], ["doc_id", "tokens", "p"])
 
     return map_batches(texts(docs, id_col, text_col), run, "doc_id long, tokens long, p array<double>")
 
@@ -156,7 +152,7 @@ def mixed(docs: DataFrame, mix_: Mix, id_col: str = "doc_id", text_col: str = "t
         m = held.value
         if "w" not in state:
             state["w"] = m.model.dense()
-        r = replay(posteriors(m.model, batch.column(at), state["w"]), m.steps, m.least)
+        r = replay(posteriors(m.model, batch.column(at), state["w"])[0], m.steps, m.least)
         n = _copies(r, batch.column(of).cast(pa.int64()).fill_null(0).to_numpy())
         return batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
 

@@ -102,11 +102,13 @@ class Model:
         out[self.bucket] = self.weight
         return out
 
-    def margins(self, data: np.ndarray, offsets: np.ndarray, dense: np.ndarray, shapes: bool = False) -> np.ndarray:
-        """Rows by classes: the sums of the distinct features' weights."""
+    def margins(self, data: np.ndarray, offsets: np.ndarray, dense: np.ndarray, shapes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by classes: the sums of the distinct features' weights; and each row's number of words."""
         out = np.tile(self.bias, (len(offsets) - 1, 1))
+        words = np.zeros(len(offsets) - 1, np.int64)
         live = dense.any(axis=1)
         for i, j, w in blocks(data, offsets, IS_WORD):
+            words[i:j] = np.bincount(w.row, minlength=j - i)
             rows, found = [], []
             for row, bucket in features(w, shapes):
                 keep = live[bucket]
@@ -115,7 +117,7 @@ class Model:
             row, bucket = distinct(rows, found)
             for k in range(len(self.names)):
                 out[i:j, k] += np.bincount(row, dense[bucket, k], minlength=j - i)
-        return out
+        return out, words
 
 
 def _examples(docs: DataFrame, labels: DataFrame, sample: int, shapes: bool, id_col: str, text_col: str) -> DataFrame:
@@ -198,7 +200,7 @@ def _scorer(df: DataFrame, model: Model):
         m = held.value
         if "w" not in state:
             state["w"] = m.dense()
-        return probabilities(m.margins(*buffers(column), state["w"]))[:, 0]
+        return probabilities(m.margins(*buffers(column), state["w"])[0])[:, 0]
 
     return run
 
