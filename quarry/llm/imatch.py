@@ -64,19 +64,18 @@ def parts(known: Column) -> Column:
     """A hash for each lexicon subset, 0 where the text has no term in it."""
 
     # A seed's subsets lie in one that keeps a quarter of the terms; each takes further bits of its own from the hash.
-    masks = [((1 << rate) - 1) << 2 + rate * (rate - 1) // 2 for rate in range(RATES)]
+    masks = F.array(*[F.lit(((1 << rate) - 1) << 2 + rate * (rate - 1) // 2).cast("long") for rate in range(RATES)])
+    seeds = F.sequence(F.lit(1), F.lit(SUBSETS // RATES))
 
-    def within(mask: int):
-        return lambda h: h.bitwiseAND(F.lit(mask).cast("long")) == 0
+    def part(own: Column, mask: Column) -> Column:
+        found = F.filter(own, lambda h: h.bitwiseAND(mask) == 0)
+        return let(found, lambda f: F.when(F.size(f) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(f)))
 
-    def part(own: Column) -> Column:
-        return let(own, lambda found: F.when(F.size(found) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(found)))
+    def of_seed(every: Column, seed: Column) -> Column:
+        quarter = F.filter(F.transform(every, lambda t: F.xxhash64(t, seed)), lambda h: h.bitwiseAND(F.lit(3)) == 0)
+        return let(quarter, lambda own: F.transform(masks, lambda mask: part(own, mask)))
 
-    def of_seed(every: Column, seed: int) -> Column:
-        quarter = F.filter(F.transform(every, lambda t: F.xxhash64(t, F.lit(seed))), within(3))
-        return let(quarter, lambda own: F.array(*[part(F.filter(own, within(mask))) for mask in masks]))
-
-    return let(known, lambda every: F.flatten(F.array(*[of_seed(every, seed) for seed in range(1, SUBSETS // RATES + 1)])))
+    return let(known, lambda every: F.flatten(F.transform(seeds, lambda seed: of_seed(every, seed))))
 
 
 def likeness(a: Column, b: Column) -> Column:
