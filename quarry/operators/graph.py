@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.files import scratch
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that executors share, if the session names one, else checkpoints eagerly; lineage ends here either way."""
+    """df written to the folder that executors share and read back: lineage ends here, and a lost executor costs no more than a read."""
     spark = df.sparkSession
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        out = f"{path.rstrip('/')}/graph-{uuid.uuid4().hex}"
-        df.write.parquet(out)
-        return spark.read.schema(df.schema).parquet(out)
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    return df.checkpoint()
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def nearest_preceding(df: DataFrame, name: str, idx: str, producer: str, consumer: str) -> DataFrame:

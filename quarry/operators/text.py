@@ -287,3 +287,83 @@ def shortest_suffix(paths: DataFrame, path: str) -> DataFrame:
     alone = x.groupBy("end").agg(F.count("*").alias("n")).where("n = 1").select("end")
     best = x.join(alone, "end").groupBy(path).agg(F.min_by("end", F.length("end")).alias("name"))
     return one.join(best, path, "left").select(path, F.coalesce("name", path).alias("name"))
+
+
+def line_of(body: Column, at: Column) -> Column:
+    """1-based line of a 0-based offset."""
+    head = F.substring(body, F.lit(1), at.cast("int"))
+    return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
+
+
+def words(body: Column) -> Column:
+    return F.size(F.filter(F.split(F.trim(body), r"\s+"), lambda w: w != ""))
+
+
+def step_count(body: Column) -> Column:
+    """DATA and PROC headers."""
+    return F.regexp_count(F.lower(body), F.lit(r"(?m)(^|;)\s*(data|proc)\s"))
+
+
+def language(name: Column) -> Column:
+    """Case, blanks, dashes and underscores don't count."""
+    return F.regexp_replace(F.lower(name), r"[\s_-]", "")
+
+
+def fences(markdown: Column) -> Column:
+    """(language, code) of each fenced block."""
+    tags_ = F.regexp_extract_all(markdown, F.lit(r"(?s)```([^\n`]*)\n(.*?)```"), F.lit(1))
+    code = F.regexp_extract_all(markdown, F.lit(r"(?s)```([^\n`]*)\n(.*?)```"), F.lit(2))
+    return F.arrays_zip(tags_.alias("language"), code.alias("code"))
+
+
+def headings(markdown: Column) -> Column:
+    return F.regexp_extract_all(markdown, F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1))
+
+
+def construct_key(title: Column) -> Column:
+    """'SCAN Function' to function:scan; titles of other shapes have none."""
+    kind_ = F.lower(F.regexp_extract(title, r"(?i)^(.+?)\s+(function|statement|routine|procedure)s?\b", 2))
+    name = F.lower(F.regexp_replace(F.regexp_extract(title, r"(?i)^(.+?)\s+(function|statement|routine|procedure)s?\b", 1), r"^(?i)(the|call)\s+", ""))
+    return F.when(kind_ != "", F.concat(kind_, F.lit(":"), name))
+
+
+def rewrite_paths(programs: DataFrame, key: str, body: str, table: DataFrame) -> DataFrame:
+    """Literal paths of LIBNAME, INFILE, FILE and %INCLUDE replaced by the longest mapping; paths with & are counted, not guessed.
+
+    table: source, target. Adds new_text, skipped.
+    """
+    from quarry.operators.graph import longest_prefix
+
+    found = F.regexp_extract_all(F.col(body), F.lit(r"(?i)\b(?:libname\s+\w+|infile|file|include)\s+['\"]([^'\"]+)['\"]"), F.lit(1))
+    paths = programs.select(key, F.explode(F.array_distinct(found)).alias("path"))
+    fixed = longest_prefix(paths.where(~F.contains("path", F.lit("&"))), "path", table.withColumn("pair", F.struct("source", "target")), "source", "pair", "to")
+    new = F.concat(F.col("to.target"), F.expr("substring(path, length(to.source) + 1)"))
+    swaps = fixed.where("to is not null").groupBy(key).agg(F.sort_array(F.collect_set(F.struct(F.length("path").alias("n"), F.col("path"), new.alias("new"))), asc=False).alias("swaps"))
+    skipped = paths.where(F.contains("path", F.lit("&"))).groupBy(key).agg(F.count("*").alias("skipped"))
+    out = programs.join(swaps, key, "left").join(skipped, key, "left")
+    done = F.aggregate(F.coalesce("swaps", F.array()), F.col(body), lambda s, x: F.replace(s, x["path"], x["new"]))
+    return out.select(*programs.columns, done.alias("new_text"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+
+
+def mapping_kind(source: Column) -> Column:
+    """How a mapping row is to be used: a path, a two-level name, or a library."""
+    return F.when(source.rlike(r"[/\\]|^['\"]"), "by_path").when(F.contains(source, F.lit(".")), "exact").otherwise("by_library")
+
+
+def python_parses(blocks: DataFrame, key: str, code: str) -> DataFrame:
+    """key, ok: whether each code block is Python."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ast
+
+        def good(c: str | None) -> bool:
+            try:
+                ast.parse(c or "")
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return False
+            return True
+
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "ok": [good(c) for c in pdf[code]]})
+
+    return blocks.select(key, code).mapInPandas(run, f"{key} {blocks.schema[key].dataType.simpleString()}, ok boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,12 @@ from pyspark.sql.types import StructType
 from quarry.errors import NonConvertible
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that executors share: in spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str, delimiter: str = ",", names: bool = True, first_row: int = 1) -> DataFrame:
     """The schema is always given, never guessed; first_row skips rows after the header."""
     df = spark.read.schema(schema).csv(path, sep=delimiter, header=names, mode="PERMISSIVE")
