@@ -70,7 +70,7 @@ def python_syntax(t):
     return text.python_parses(t.supplier.select("s_suppkey", code.alias("code")), "s_suppkey", "code")
 
 
-@query("select l_orderkey, list(x order by p) as names from (select l_orderkey, lower(l_returnflag) as x, min(l_linenumber) as p from lineitem group by 1, 2) group by 1")
+@query("select l_orderkey, list(x order by p, x) as names from (select l_orderkey, lower(l_returnflag) as x, min(l_linenumber) as p from lineitem group by 1, 2) group by 1")
 def first_spelling(t):
     x = t.lineitem.select("l_orderkey", "l_linenumber", F.lower("l_returnflag").alias("name"))
     return scoring.ordered_names(x, "l_orderkey", "name", "l_linenumber")
