@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Most entries of the memos, which are emptied beyond them.
 MEMO, MATCHES = 400_000, 400_000
 #: Texts are encoded so many bytes at once, and so many ids decoded.
-BYTES_AT_ONCE, IDS_AT_ONCE = 2 << 20, 1 << 18
+BYTES_AT_ONCE, IDS_AT_ONCE = 1000 << 10, 1 << 18
 #: A space, Latin letters, and marks that never join with either.
 PLAIN = re.compile(r"( [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?]*)").fullmatch
 
@@ -159,12 +159,12 @@ class Codec:
             return self._match(word) + self._match(marks) if marks else self._match(word)
         return list(chain.from_iterable(map(self._match, self.pattern.findall(text))))
 
-    def _learn_pieces(self, new: list[str]) -> tuple[list[int], list[int]]:
+    def _learn_pieces(self, new: list[str]) -> tuple[list[int], list[int], range]:
         found = [self.encode_matches(x[1:] if x.startswith(FIRST) else " " + x) for x in new]
-        return list(chain.from_iterable(found)), [len(x) for x in found]
+        return list(chain.from_iterable(found)), [len(x) for x in found], range(len(new))
 
     def encode(self, text: str) -> list[int]:
-        return self.pieces.encode([text])[0].tolist()
+        return self.pieces.encode_texts([text])[0].tolist()
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one after another."""
@@ -186,8 +186,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batch: pa.RecordBatch):
         c = codec(path)
-        for i, j in slices(buffers(batch.column(1))[1], BYTES_AT_ONCE):
-            ids, at = c.pieces.encode(batch.column(1).slice(i, j - i).to_pylist())
+        data, offsets = buffers(batch.column(1))
+        for i, j in slices(offsets, BYTES_AT_ONCE):
+            ids, at = c.pieces.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     return map_batches(texts(docs, id_col, text_col), run, "doc_id long, ids array<int>")

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
-from itertools import chain
 
 import numpy as np
 
-#: A space with no white space on either side always starts a match of the pre-tokenising pattern.
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+from quarry.llm.words import BYTE, mix, powers
+
 #: Stands before a text's first piece, which has no space before it; no other piece starts with white space.
 FIRST = "\n"
-
-
-def pieces(text: str) -> list[str]:
-    """The first piece as it stands, every other one without the space that precedes it; joined by spaces they are the text."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: First bytes of characters of two and of three bytes among which there is white space.
+_LEADS_2, _LEADS_3 = np.zeros(256, bool), np.zeros(256, bool)
+_LEADS_2[0xC2] = True
+_LEADS_3[[0xE1, 0xE2, 0xE3]] = True
+_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -26,37 +25,68 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first) of the pieces of UTF-8 texts: cut at each single space that certainly has no white space on either side.
+
+    Such a space always starts a match of the pre-tokenising pattern, and belongs to the piece after it.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~edge[at] & ~edge[at + 1]]
+    before, after = data[at - 1], data[at + 1]
+    clear = ~(_WHITE[before] | _WHITE[after] | _LEADS_2[after] | _LEADS_3[after] | _LEADS_2[data[np.maximum(at - 2, 0)]] | _LEADS_3[data[np.maximum(at - 3, 0)]])
+    at = at[clear]
+    full = np.diff(offsets) > 0
+    start = np.sort(np.concatenate([offsets[:-1][full], at + 1]))
+    return start, np.sort(np.concatenate([at, offsets[1:][full]])), edge[start]
+
+
 class PieceTable:
-    """Ids of the pieces met so far, in one flat array; learn(pieces): their ids one after another, and the lengths.
+    """Ids of the pieces met so far, by 64-bit hashes, in one flat array.
 
-    The table starts anew beyond `most` pieces, so its memory is bounded.
+    learn(pieces) gives their ids one after another, the lengths, and the order in which they come. The table starts anew beyond
+    `most` pieces, so its memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int]]], most: int = 700_000):
+    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int], Iterable[int]]], most: int = 700_000):
         self.learn, self.most = learn, most
         self._reset()
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (and the last one's end)."""
-        cut = [pieces(x) for x in texts]
-        for x in cut:
-            x[0] = FIRST + x[0]
+        start, end, first = cuts(data, offsets)
+        power, inverse = powers(1 << max(20, (len(data) + 1).bit_length()))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * power[: len(data)], dtype=np.uint64)])
+        h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        h[first] ^= _SALT
+        every, index, at = np.unique(h, return_index=True, return_inverse=True)
         if len(self.at) > self.most:
             self._reset()
-        new = list(set(chain.from_iterable(cut)) - self.at.keys())
-        if new:
-            ids, lengths = self.learn(new)
-            ids, lengths = np.asarray(ids, np.int32), np.asarray(lengths, np.int64)
-            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        names = every.tolist()
+        get = self.at.get
+        where = np.array([get(x, -1) for x in names], np.int64)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            raw, i = data.tobytes(), index[new]
+            texts = [(FIRST if f else "") + raw[a:b].decode() for a, b, f in zip(start[i].tolist(), end[i].tolist(), first[i].tolist(), strict=True)]
+            ids, lengths, order = self.learn(texts)
+            ids, lengths, order = np.asarray(ids, np.int32), np.asarray(lengths, np.int64), np.asarray(order, np.int64)
+            where[new[order]] = len(self.start) + np.arange(len(new))
+            self.at.update(zip(map(names.__getitem__, new.tolist()), where[new].tolist(), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
             self.length = np.concatenate([self.length, lengths])
             self.flat = np.concatenate([self.flat, ids])
-        counts = [len(x) for x in cut]
-        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(cut)), np.int64, sum(counts))
-        lengths = self.length[at]
+        own = where[at]
+        lengths = self.length[own]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[ranges(self.start[at], lengths)], ends[np.concatenate([[0], np.cumsum(counts)])] if counts else ends[:1]
+        pieces_before = np.searchsorted(start, offsets, "left")
+        return self.flat[ranges(self.start[own], lengths)], ends[pieces_before]
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        raw = [x.encode() for x in texts]
+        return self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))

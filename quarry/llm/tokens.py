@@ -34,7 +34,7 @@ MAGIC, END_ID, BLOCK_BITS = b"DAC1", 2, 512
 #: A shard is closed after the batch of documents that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Texts handed to the encoder together.
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1000 << 10
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -116,7 +116,7 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of texts by the tokenizers library, which sees each piece that isn't remembered once, many of them a call."""
 
-    JOINED = 50
+    JOINED = 200
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,19 +128,20 @@ class Encoder:
         self.spaced[[i for word, i in words.items() if word.startswith("\u0120")]] = True
         self.pieces = PieceTable(self._learn)
 
-    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """Pieces without white space are joined by spaces: then a token that starts with a space starts a piece."""
-        new.sort(key=lambda x: not x or _SPACE(x) is not None)  # those with white space, or empty, last
-        plain = next((i for i in range(len(new), 0, -1) if new[i - 1] and not _SPACE(new[i - 1])), 0)
-        joined = [" " + " ".join(new[i : min(i + self.JOINED, plain)]) for i in range(0, plain, self.JOINED)]
-        odd = [x[1:] if x.startswith(FIRST) else " " + x for x in new[plain:]]
-        found = [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(joined + odd, add_special_tokens=False)] if new else []
+        plain, odd = [], []
+        for i, x in enumerate(new):
+            (odd if not x or _SPACE(x) else plain).append(i)
+        joined = [" " + " ".join(map(new.__getitem__, plain[i : i + self.JOINED])) for i in range(0, len(plain), self.JOINED)]
+        rest = [new[i][1:] if new[i].startswith(FIRST) else " " + new[i] for i in odd]
+        found = [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(joined + rest, add_special_tokens=False)]
         ids = np.concatenate(found[: len(joined)]) if joined else np.zeros(0, np.int32)
-        cuts = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
-        if len(cuts) != plain + 1:
+        begins = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+        if len(begins) != len(plain) + 1:
             raise ValueError("the vocabulary has tokens that start with a space inside a word")
         rest = found[len(joined) :]
-        return np.concatenate([ids, *rest]), np.concatenate([np.diff(cuts), np.array([len(x) for x in rest], np.int64)])
+        return np.concatenate([ids, *rest]), np.concatenate([np.diff(begins), np.array([len(x) for x in rest], np.int64)]), plain + odd
 
 
 _SPACE = re.compile(r"\s").search
@@ -172,8 +173,9 @@ def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int =
 
         for batch in batches:
             names = batch.column(0).fill_null(NO_ID).to_numpy()
-            for i, j in slices(buffers(batch.column(1))[1], BYTES_AT_ONCE):
-                ids, at = table.encode(batch.column(1).slice(i, j - i).to_pylist())
+            data, offsets = buffers(batch.column(1))
+            for i, j in slices(offsets, BYTES_AT_ONCE):
+                ids, at = table.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 held.append((np.insert(ids, at[1:], end_id), names[i:j], np.diff(at) + 1))
                 if sum(len(x[0]) for x in held) >= shard_ids:
                     row, n = shard()

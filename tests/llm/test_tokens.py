@@ -17,7 +17,7 @@ from quarry.llm import bpe, media, queries, tokens
 from quarry.llm.common import scratch
 
 SF = "/root/testdata/sf0.001"
-ALPHABET = ["a", "b", "the", "  ", "\n", " ", "é", "ß", "中", "😀", "'s", "123", "\x1c", " ", "!!", "ing", "\t", "er", " t", "<|endoftext|>"]
+ALPHABET = ["a", "b", "the", "  ", "\n", " ", "é", "ß", "中", "😀", "'s", "123", "\x1c", " ", "!!", "ing", "\t", "er", " t", "<|endoftext|>", "\u00a0", "\u2003", "\u3000", "\x85", "\u2014", "\u00e9", "x y"]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +29,7 @@ def reference():
 def test_codec_equals_merging_by_rank(reference):
     c, r = bpe.codec(bpe.vocabulary()), random.Random(2)
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["a" * 5000, "abc" * 3000, " " * 4000, "\n \n" * 1000]
-    ids, at = c.pieces.encode(texts)
+    ids, at = c.pieces.encode_texts(texts)
     for i, text in enumerate(texts):
         own = ids[at[i] : at[i + 1]]
         assert own.tolist() == reference.encode_ordinary(text)
@@ -39,7 +39,7 @@ def test_codec_equals_merging_by_rank(reference):
 def test_pieces_equal_whole_texts():
     t, e, r = Tokenizer.from_file(tokens.tokenizer_path()), tokens.tokenizer(tokens.tokenizer_path()), random.Random(3)
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(2000)]
-    ids, at = e.pieces.encode(texts)
+    ids, at = e.pieces.encode_texts(texts)
     for i, text in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
