@@ -120,10 +120,10 @@ def transcript_pairs(t):
     return x.groupBy("conv_id", "turn_id").agg(F.max(F.when(own, F.length("text"))).alias("asked"), F.sum(F.when(~own, F.length("text"))).alias("answered")).withColumn("item", F.concat_ws("-", "conv_id", "turn_id"))
 
 
-@query("with u as (select distinct l_suppkey % 5 as source, l_partkey % 40 as name from lineitem), m as (select distinct p_size % 5 as source, p_partkey % 40 as name from part where p_partkey % 40 < 30) select u.source, list_sort(list(distinct m.source)) as depends_on, count(distinct u.name) as imports from u join m on m.name = u.name and m.source <> u.source where not exists (select 1 from m m2 where m2.source = u.source and m2.name = u.name) group by 1")
+@query("with u as (select distinct l_suppkey % 5 as source, l_partkey % 397 as name from lineitem), m as (select distinct p_size % 5 as source, p_partkey % 397 as name from part where p_partkey % 397 < 300) select u.source, list_sort(list(distinct m.source)) as depends_on, count(distinct u.name) as imports from u join m on m.name = u.name and m.source <> u.source where not exists (select 1 from m m2 where m2.source = u.source and m2.name = u.name) group by 1")
 def crossfile_profile(t):
-    uses = t.lineitem.selectExpr("l_suppkey % 5 as source", "l_partkey % 40 as name").distinct()
-    makes = t.part.where("p_partkey % 40 < 30").selectExpr("p_size % 5 as source", "p_partkey % 40 as name").distinct()
+    uses = t.lineitem.selectExpr("l_suppkey % 5 as source", "l_partkey % 397 as name").distinct()
+    makes = t.part.where("p_partkey % 397 < 300").selectExpr("p_size % 5 as source", "p_partkey % 397 as name").distinct()
     imported = graph.references(uses, makes, 5).where("status = 'import'").join(makes.withColumnRenamed("source", "maker"), "name")
     return imported.groupBy("source").agg(F.sort_array(F.collect_set("maker")).alias("depends_on"), F.count_distinct("name").alias("imports"))
 
