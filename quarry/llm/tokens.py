@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import zlib
 
@@ -34,7 +33,7 @@ MAGIC, END_ID, BLOCK_BITS = b"DAC1", 2, 512
 #: A shard is closed after the batch of documents that brings it to so many ids.
 SHARD_IDS = 1 << 20
 #: Texts handed to the encoder together.
-BYTES_AT_ONCE = 1000 << 10
+BYTES_AT_ONCE = 2000 << 10
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -129,10 +128,10 @@ class Encoder:
         self.pieces = PieceTable(self._learn)
 
     def _learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Pieces without white space are joined by spaces: then a token that starts with a space starts a piece."""
+        """Pieces that hold no space and no white space at an end are joined by spaces: then a token that starts with a space starts a piece."""
         plain, odd = [], []
         for i, x in enumerate(new):
-            (odd if not x or _SPACE(x) else plain).append(i)
+            (odd if " " in x or not x or x != x.strip() else plain).append(i)
         joined = [" " + " ".join(map(new.__getitem__, plain[i : i + self.JOINED])) for i in range(0, len(plain), self.JOINED)]
         rest = [new[i][1:] if new[i].startswith(FIRST) else " " + new[i] for i in odd]
         found = [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(joined + rest, add_special_tokens=False)]
@@ -144,9 +143,6 @@ class Encoder:
         return np.concatenate([ids, *rest]), np.concatenate([np.diff(begins), np.array([len(x) for x in rest], np.int64)]), plain + odd
 
 
-_SPACE = re.compile(r"\s").search
-
-
 @functools.cache
 def tokenizer(path: str) -> Encoder:
     return Encoder(path)
