@@ -53,7 +53,7 @@ def freq_crosstab(t):
     return procs.freq(t.orders, ["o_orderstatus", "o_orderpriority"]).select("o_orderstatus", "o_orderpriority", "count", _R("percent", 6).alias("percent"))
 
 
-@query("select event_type, count(*) as count, cast(row_number() over (order by count(*) desc, event_type) as integer) as place from events group by 1")
+@query("select event_type, count(*) as count, row_number() over (order by count(*) desc, event_type) as place from events group by 1")
 def freq_order_freq(t):
     from quarry.operators import step
 

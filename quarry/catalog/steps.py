@@ -271,7 +271,7 @@ def by_sequence(t):
     return step.row_counter(t.orders, ["o_orderdate", "o_orderkey"], ["o_custkey"], "seq").select("o_orderkey", "o_custkey", "seq")
 
 
-@query("select event_id, v, cast(row_number() over (order by v nulls first, event_id) as integer) as place from (select event_id, case when event_id % 7 = 0 then null else value end as v from events)")
+@query("select event_id, v, row_number() over (order by v nulls first, event_id) as place from (select event_id, case when event_id % 7 = 0 then null else value end as v from events)")
 def sort_missing_low(t):
     x = t.events.selectExpr("event_id", "case when event_id % 7 = 0 then null else value end as v")
     return step.row_counter(x, [F.col("v").asc_nulls_first(), "event_id"], name="place")
@@ -302,7 +302,7 @@ def set_union_by_name(t):
     return merge.stack(t.customer.selectExpr("c_custkey as key", "c_name as name", "c_acctbal as bal", "c_mktsegment as segment"), t.supplier.selectExpr("s_suppkey as key", "s_name as name", "s_acctbal as bal"))
 
 
-@query("select key, src, cast(row_number() over (order by key, src) as integer) as place from (select c_custkey as key, 0 as src from customer union all select s_suppkey, 1 from supplier)")
+@query("select key, src, row_number() over (order by key, src) as place from (select c_custkey as key, 0 as src from customer union all select s_suppkey, 1 from supplier)")
 def interleave_by(t):
     both = merge.stack(t.customer.selectExpr("c_custkey as key"), t.supplier.selectExpr("s_suppkey as key"), source="src")
     return step.row_counter(both, ["key", "src"], name="place")

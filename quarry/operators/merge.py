@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import NonConvertible, need_key, need_order
-from quarry.operators.step import _order, nodupkey
+from quarry.operators.step import _order, nodupkey, position
 
 
 def _shared(a: DataFrame, b: DataFrame, by: Sequence[str]) -> list[str]:
@@ -43,8 +43,8 @@ def match_merge(a: DataFrame, b: DataFrame, by, how: str = "full", flags: tuple[
 
 def positional_merge(a: DataFrame, b: DataFrame, order_a=None, order_b=None) -> DataFrame:
     """MERGE without BY pairs rows by position: refused without an order of both sides."""
-    wa, wb = (Window.partitionBy().orderBy(*_order(need_order(o, "MERGE without BY"))) for o in (order_a, order_b))
-    return match_merge(a.withColumn("_pos", F.row_number().over(wa)), b.withColumn("_pos", F.row_number().over(wb)), "_pos").drop("_pos")
+    x, y = (position(d, need_order(o, "MERGE without BY"), "_pos") for d, o in ((a, order_a), (b, order_b)))
+    return match_merge(x, y, "_pos").drop("_pos")
 
 
 def update(master: DataFrame, transactions: DataFrame, by, insert: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import NonConvertible, need_key
+from quarry.operators.step import position
 
 STATS = {
     "n": lambda c: F.count(c),
@@ -92,6 +93,13 @@ def rank(df: DataFrame, column: str, name: str | None = None, by: Sequence[str]
 def rank_groups(df: DataFrame, column: str, groups: int, tiebreak: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
     """Zero-based quantile groups; tiebreak makes equal values' places definite."""
     c = F.col(column)
+    if not by:  # the groups of a whole table from places, without one task for all rows
+        placed = position(df.where(c.isNotNull()), [column, *tiebreak], "_pos", "_all")
+        small, larger = F.floor(F.col("_all") / groups), F.col("_all") % groups
+        at = F.col("_pos") - 1
+        head = larger * (small + 1)
+        group = F.when(at < head, F.floor(at / (small + 1))).otherwise(larger + F.floor(F.try_divide(at - head, small)))
+        return placed.withColumn(name, group.cast("int")).drop("_pos", "_all").unionByName(df.where(c.isNull()).withColumn(name, F.lit(None).cast("int")))
     w = Window.partitionBy(*map(F.col, by), c.isNull()).orderBy(c, *tiebreak)
     return df.withColumn(name, F.when(c.isNotNull(), F.ntile(groups).over(w) - 1))
 

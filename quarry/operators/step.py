@@ -66,8 +66,33 @@ def obs(df: DataFrame, order, first: int = 1, last: int | None = None) -> DataFr
     return out.limit(last - first + 1) if last is not None else out
 
 
+def position(df: DataFrame, order, name: str = "_n_", total: str | None = None) -> DataFrame:
+    """The place of each row in a total order of the whole table, without bringing the table into one task.
+
+    Rows are range-partitioned and sorted; each partition numbers its own, and the counts of partitions (one row each) give where it
+    starts. The sorted rows are written to a shared folder in between, so that both passes see the same partitions.
+    """
+    from quarry.sources.files import scratch
+
+    spark = df.sparkSession
+    path = scratch(spark)
+    keyed = df.orderBy(*_order(need_order(order, "a position")))
+    keyed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
+    held = spark.read.parquet(path)
+    parts = held.groupBy("_part").agg(F.count("*").alias("_count"))  # a row for each partition
+    before = F.coalesce(F.sum("_count").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_part", before.alias("_before"), F.sum("_count").over(Window.partitionBy()).alias("_total"))
+    out = held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1)
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.select(*df.columns, name, *([total] if total else []))
+
+
 def row_counter(df: DataFrame, order, by: Sequence[str] = (), name: str = "_n_", end: str | None = None) -> DataFrame:
     """_N_ and END=."""
+    if not by:
+        out = position(df, order, name, "_total" if end else None)
+        return out.withColumn(end, (F.col(name) == F.col("_total")).cast("int")).drop("_total") if end else out
     w = _window(by, need_order(order, "_N_"))
     out = df.withColumn(name, F.row_number().over(w))
     if end:
