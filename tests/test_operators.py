@@ -58,6 +58,17 @@ def test_scalars(spark):
     assert tuple(got) == ("b", "b", None, "O-B X", "a-b", -2, 2.0, 2.0, "1960-01-01", 1, "2025-06-30", "high", 3, "c")
 
 
+def test_positions_without_one_task(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as k", "case when id % 10 = 0 then null else id % 5 end as g").repartition(9)
+    got = step.position(df, ["-k", "id"], "place", "total").collect()
+    assert {r.place for r in got} == set(range(1, 1001)) and {r.total for r in got} == {1000}
+    assert [r.k for r in sorted(got, key=lambda r: r.place)] == list(range(999, -1, -1))
+    tiles = procs.rank_groups(df.withColumn("v", F.when(F.col("k") < 997, F.col("k"))), "v", 10, ["id"], "tile").collect()
+    sizes = [sum(r.tile == i for r in tiles) for i in range(10)]
+    assert sizes == [100] * 7 + [99] * 3 and sum(r.tile is None for r in tiles) == 3
+    assert step.position(df.where("false"), ["id"], "place").count() == 0
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 6)], "upstream long, downstream long")
     assert rows(graph.cycles(e), "node") == [(1, 1), (2, 1), (3, 1)]
