@@ -94,5 +94,29 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_bpe, op4_imatch, op5_minhash, op6_lm_scoring, op7_token_files, op8_suffix_array, op9_sharding, op10_media)}
 
 ORACLES: dict[str, str] = {
+    # every pair that shares a shingle, and the closure of the links
+    "op5_minhash": """
+        with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as t from documents),
+        d as (select distinct doc_id, unnest(case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')] else list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) end) as s from w),
+        n as (select doc_id, count(*) as n from d group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from d a join d b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+        e as (select a, b from l union select b, a from l),
+        r(node, seen) as (select doc_id, doc_id from documents union select r.node, e.b from r join e on e.a = r.seen),
+        c as (select node as doc_id, min(seen) as component_id from r group by 1)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)""",
+    # every string of 100 bytes with its first place, as hexadecimal text
+    "op8_suffix_array": """
+        with w as (select doc_id, hex(encode(coalesce(text, ''))) as h, length(hex(encode(coalesce(text, '')))) // 2 as n from documents),
+        s as (select doc_id, i, substr(h, 2 * i + 1, 200) as g from (select doc_id, h, unnest(range(0, greatest(n - 99, 0))) as i from w)),
+        r as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as k from s) where k > 1),
+        m as (select doc_id, i, max(i + 100) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before from r),
+        k as (select doc_id, i, sum(case when before is null or i > before then 1 else 0 end) over (partition by doc_id order by i) as k from m),
+        c as (select doc_id, k, min(i) as a, max(i) + 100 as b from k group by 1, 2),
+        g as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as x, a as y from c
+              union all select doc_id, coalesce(b, 0), n from w left join (select doc_id, max(b) as b from c group by 1) using (doc_id)),
+        t as (select doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as kept from g join w using (doc_id) where y > x group by 1),
+        q as (select doc_id, sum(b - a) as removed, count(*) as spans from c group by 1)
+        select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from w left join t using (doc_id) left join q using (doc_id)""",
     "op9_sharding": "select doc_id, lang, source, n_chars, strlen(text) as n_bytes, sha256(text) as text_sha256 from documents",
 }
