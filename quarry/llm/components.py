@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,13 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node with an edge; edges: two long columns, any order, repeats allowed.
 
-    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+    Each round is written to the shared folder, so lineage stays short and a lost executor costs one round at most; the round before is then
+    deleted.
     """
     a, b = edges.columns
     now = written(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "edges")
+        last, now = now, written(_star(_star(now, True), False), "edges")
+        discard(last)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             break
