@@ -1,8 +1,8 @@
 """Language-model scoring by cross-entropy difference.
 
 A target and a background bigram model share one vocabulary (WORD_SLOTS hashed words), one table of hashed bigrams and one
-smoothing, so they differ by their counts alone. The background counts every token of every document; the target those of at most
-`sample` documents labelled as wanted. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score
+smoothing, so they differ by their counts alone. The background counts every token of every document; the target those of all
+documents labelled as wanted, which a left join on the id marks. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score
 is the mean over its tokens of target loss minus background loss: the lower, the more like the target. A document's own counts are
 left out of the models that judge it.
 
@@ -17,6 +17,7 @@ bigrams cross no text's end; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,6 @@ WORD_BITS, PAIR_BITS = 18, 21
 WORD_SLOTS, PAIR_SLOTS = 1 << WORD_BITS, 1 << PAIR_BITS
 SLOTS, RANGE_BITS = WORD_SLOTS + PAIR_SLOTS, 14
 RANGE = 1 << RANGE_BITS
-#: At most so many labelled documents make the target.
-SAMPLE = 24_000
 #: Weight of the word model in a bigram's probability, and added to every word's count.
 PRIOR, ADDED = 200.0, 0.5
 _U = np.uint64
@@ -96,12 +95,11 @@ _DENSE = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 class Models:
     """Both models' counts as float tables: [background, target]."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], wanted: np.ndarray):
+    def __init__(self, rows: list[tuple[int, bytes]]):
         table = np.zeros((2, -(-SLOTS // RANGE) * RANGE), np.float32)
         for block, data in rows:
             table[:, block * RANGE : (block + 1) * RANGE] = np.frombuffer(data, "<i8").reshape(2, RANGE)
         self.word, self.pair = table[:, :WORD_SLOTS], table[:, WORD_SLOTS:SLOTS]
-        self.wanted = wanted
         self.total = self.word.sum(axis=1, dtype=np.float64)
 
     def losses(self, row: np.ndarray, word: np.ndarray, pair: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -125,25 +123,40 @@ def _own(row: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:
     return n[at]
 
 
-def fit(docs: DataFrame, wanted: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Models:
+class Fitted(NamedTuple):
+    models: Models
+    #: The ids that the target counts.
+    chosen: DataFrame
+
+    @property
+    def total(self) -> np.ndarray:
+        return self.models.total
+
+
+def marked(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, wanted (whether the target counts the row)."""
+    flag = F.coalesce("wanted", F.lit(False)).alias("wanted")
+    return texts(docs, id_col, text_col).join(wanted.withColumn("wanted", F.lit(True)), "doc_id", "left").select("doc_id", "text", flag)
+
+
+def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
     """wanted: doc_id of the documents that are like the target."""
-    chosen = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = written(chosen, "target")
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen.withColumn("wanted", F.lit(True))), "doc_id", "left")  # at most `sample` ids
-    found = counts(rows.select("text", F.coalesce("wanted", F.lit(False)))).collect()  # one size for any corpus
-    return Models([tuple(r) for r in found], np.sort(np.array([r.doc_id for r in chosen.collect()], np.int64)))
+    chosen = written(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "target")
+    found = counts(marked(docs, chosen, id_col, text_col).select("text", "wanted")).collect()  # one size for any corpus
+    return Fitted(Models([tuple(r) for r in found]), chosen)
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means), score of every whole text."""
+    models, chosen = fitted
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = held.value
-        wanted = np.isin(batch.column(0).fill_null(-1).to_numpy(), m.wanted)
+        wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for i, j, row, word, pair in slots(*buffers(batch.column(1))):
             n = np.bincount(row, minlength=j - i)
             background, target = (np.bincount(row, x, minlength=j - i) / np.maximum(n, 1) for x in m.losses(row, word, pair, wanted[i:j]))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, (n.astype(np.int64), target, background, target - background))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return map_batches(texts(docs, id_col, text_col), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return map_batches(marked(docs, chosen, id_col, text_col), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -90,6 +90,13 @@ def test_lm_odd_tables(odd, none):
     assert lmscore.score(none, lmscore.fit(none, none)).count() == 0
 
 
+def test_lm_target_counts_all_wanted(spark):
+    n = 24_100
+    docs = spark.range(n + 100).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
+    models = lmscore.fit(docs, docs.where(F.col("doc_id") < n))
+    assert models.total.tolist() == [2 * (n + 100), 2 * n]
+
+
 def test_store(spark, small, odd, none, monkeypatch):
     monkeypatch.setattr(shards, "BASE_BYTES", 20_000)
     store = shards.ingest(small, scratch(spark, "store"), 9, target_bytes=60_000)
