@@ -1,162 +1,320 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary (WORD_SLOTS hashed words), one table of hashed bigrams and one
+A target and a background bigram model share one vocabulary, one table of words and bigrams (64-bit hashes) and one
 smoothing, so they differ by their counts alone. The background counts every token of every document; the target those of all
-documents labelled as wanted, which a left join on the id marks. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score
+documents labelled as wanted. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score
 is the mean over its tokens of target loss minus background loss: the lower, the more like the target. A document's own counts are
 left out of the models that judge it.
 
-Counts leave each task as sparse blocks of a fixed range of slots, are summed block by block as they stream in, and make tables of one
-size for any corpus, which are broadcast.
+The counts are a distributed table that grows with the corpus: tasks add up what they read and deal it out by ranges of hashes
+(blocks, about PART_BYTES of text for each), where it is added up again. For scoring, documents are dealt into chunks by
+a hash of the id; each chunk asks the blocks for its distinct words and bigrams in ascending order, and gets counts in that order back.
+Marks of wanted ids go the same way to the chunks, so that a document finds its mark as by a left join.
 
 Cases: null and empty texts have no tokens and score 0; a document's first token is judged by its word alone; without target
-labels every score is that of an unseen model; rows with equal ids stay separate rows; very long texts are counted in blocks but
-bigrams cross no text's end; an empty table gives no rows; other columns are ignored.
+labels every score is that of an unseen model; rows with equal ids stay separate rows, but land in one chunk, which a task holds as
+tokens; very long texts are counted in blocks but bigrams cross no text's end; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import buffers, map_batches, small_batches, texts, written
+from quarry.llm.common import _lean, buffers, release, small_batches, texts, written
 from quarry.llm.toxicity import IS_WORD
 from quarry.llm.words import blocks, mix
 
-WORD_BITS, PAIR_BITS = 18, 21
-WORD_SLOTS, PAIR_SLOTS = 1 << WORD_BITS, 1 << PAIR_BITS
-SLOTS, RANGE_BITS = WORD_SLOTS + PAIR_SLOTS, 14
-RANGE = 1 << RANGE_BITS
+#: Block numbers, one to a range of hashes: words have those below WORD_SLOTS, bigrams the others.
+RANGE, WORD_SLOTS = 1, 0
+#: Bytes of text for a block of the table and for a chunk of documents; the fewest chunks; counts and keys that a task holds back.
+PART_BYTES, CHUNK_BYTES, LEAST_CHUNKS, HELD, ROW_KEYS = 32 << 20, 16 << 20, 64, 1 << 22, 1 << 18
 #: Weight of the word model in a bigram's probability, and added to every word's count.
 PRIOR, ADDED = 200.0, 0.5
+MARK, REPLY, DOC = 0, 1, 2
 _U = np.uint64
+_TEXTS = Iterator[tuple[pa.Array, np.ndarray]]
 
 
-def slots(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, each token's row, its word slot, its bigram slot or -1 at a text's start)."""
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, each token's row, its word (even), its bigram (odd), whether it starts a text and has no bigram)."""
     for i, j, w in blocks(data, offsets, IS_WORD):
         h = w.hashes(w.start, w.end)
-        word = (h >> _U(64 - WORD_BITS)).astype(np.int64)
-        pair = np.full(len(word), -1, np.int64)
+        pair, first = np.ones(len(h), np.uint64), np.ones(len(h), bool)
         if len(h) > 1:
-            inner = w.row[1:] == w.row[:-1]
-            pair[1:] = np.where(inner, (mix(h[:-1] * _U(0x9FB21C651E98DF25) + h[1:]) >> _U(64 - PAIR_BITS)).astype(np.int64), -1)
-        yield i, j, w.row, word, pair
+            pair[1:] = mix(h[:-1] * _U(0x9FB21C651E98DF25) + h[1:]) | _U(1)
+            first[1:] = w.row[1:] != w.row[:-1]
+        yield i, j, w.row, h & ~_U(1), pair, first
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """block, counts (background then target, RANGE 64-bit numbers each); docs: text, wanted."""
+def laid(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """Ascending words, then ascending bigrams, cut into blocks; words fill an eighth as many blocks."""
+    n_words = int((keys & _U(1) == 0).sum())
+    for a, b in ((0, n_words), (n_words, len(keys))):
+        r = ((keys[a:b] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        r = r if a or not n_words else -1 - (r >> 3)
+        cut = np.flatnonzero(np.diff(r)) + 1
+        for x, y in zip([0, *cut], [*cut, b - a], strict=True):
+            if y > x:
+                yield int(r[x]), slice(a + x, a + y)
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and their counts (2 rows)."""
+    keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    n = np.concatenate([x for _, x in held], axis=1)
+    return keys, np.stack([np.bincount(at, x, len(keys)).astype(np.int64) for x in n])  # exact below 2**53
+
+
+def distinct(held: list[np.ndarray]) -> np.ndarray:
+    """Words, then bigrams, each once and ascending."""
+    keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    odd = keys & _U(1) == 1
+    return np.concatenate([keys[~odd], keys[odd]])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of their places, so that the many zero bytes lie together."""
+    return np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def sealed(keys: np.ndarray) -> bytes:
+    """Ascending keys by their steps."""
+    return _planes(np.diff(keys, prepend=_U(0)).astype("<u8"))
+
+
+def opened(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def packed(n: np.ndarray) -> bytes:
+    return _planes(n.astype("<i8"))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> _TEXTS:
+    for batch in batches:
+        yield batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def counts(docs: DataFrame, parts: int = 1, read: Callable[[Iterator[pa.RecordBatch]], _TEXTS] = _plain) -> DataFrame:
+    """block, keys, counts (background then target, 64-bit), n_keys, background, target (sums); docs: text, wanted, or what `read` takes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, SLOTS), np.int64)
-        for batch in batches:
-            wanted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, row, word, pair in slots(*buffers(batch.column(0))):
-                every = np.concatenate([word, pair[pair >= 0] + WORD_SLOTS])
-                table[0] += np.bincount(every, minlength=SLOTS)
+        _lean()
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = summed(held)
+            order = np.argsort(keys & _U(1), kind="stable")
+            keys, n = keys[order], n[:, order]
+            for block, at in laid(keys, parts):
+                yield pa.RecordBatch.from_pydict({"block": [block], "keys": [sealed(keys[at])], "n": [packed(n[:, at])]}, schema=_POSTED)
+
+        for column, wanted in read(batches):
+            for i, j, row, word, pair, first in grams(*buffers(column)):
                 own = wanted[i:j][row]
-                if own.any():
-                    every = np.concatenate([word[own], pair[own & (pair >= 0)] + WORD_SLOTS])
-                    table[1] += np.bincount(every, minlength=SLOTS)
-        for block in range(-(-SLOTS // RANGE)):
-            part = table[:, block * RANGE : (block + 1) * RANGE]
-            at = np.flatnonzero(part[0])
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "at": [at.astype("<u2").tobytes()], "n": [part[:, at].astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes()]}, schema=_SPARSE)
+                every = np.concatenate([word, pair[~first]])
+                held.append(summed([(every, np.stack([np.ones(len(every)), np.concatenate([own, own[~first]])]))]))
+                size += len(held[-1][0])
+                if size >= HELD:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, np.zeros((2, RANGE), np.int64)
-        done = lambda: pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "counts": [total.astype("<i8").tobytes()]}, schema=_DENSE)
-        for batch in batches:
-            for block, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield done()
-                    now, total = block, np.zeros((2, RANGE), np.int64)
-                at = np.frombuffer(at, "<u2")
-                total[:, at] += np.frombuffer(n, "<u4" if len(n) == 8 * len(at) else "<u8").reshape(2, -1).astype(np.int64)
-        if now is not None:
-            yield done()
+        _lean()
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for block, group in groupby(rows, lambda r: r[0]):
+            held, size = [], 0
+            for _, keys, n in group:
+                held.append((opened(keys), unpacked(n)))
+                size += len(held[-1][0])
+                if size >= HELD and size >= 2 * len(held[0][0]):
+                    held = [summed(held)]
+                    size = len(held[0][0])
+            keys, n = summed(held)
+            for i in range(0, len(keys), ROW_KEYS):
+                k, m = keys[i : i + ROW_KEYS], n[:, i : i + ROW_KEYS]
+                yield pa.RecordBatch.from_pydict({"block": [block], "keys": [sealed(k)], "counts": [m.astype("<i8").tobytes()], "n_keys": [len(k)], "background": [int(m[0].sum())], "target": [int(m[1].sum())]}, schema=_TABLE)
 
     small_batches(docs.sparkSession)
-    sparse = docs.mapInArrow(count, "block int, at binary, n binary")
-    return sparse.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
-
+    posted = docs.mapInArrow(count, "block int, keys binary, n binary")
+    return posted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, keys binary, counts binary, n_keys long, background long, target long")
 
-_SPARSE = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
-_DENSE = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
 
+_POSTED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+_TABLE = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
+_ASKED = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 
-class Models:
-    """Both models' counts as float tables: [background, target]."""
 
-    def __init__(self, rows: list[tuple[int, bytes]]):
-        table = np.zeros((2, -(-SLOTS // RANGE) * RANGE), np.float32)
-        for block, data in rows:
-            table[:, block * RANGE : (block + 1) * RANGE] = np.frombuffer(data, "<i8").reshape(2, RANGE)
-        self.word, self.pair = table[:, :WORD_SLOTS], table[:, WORD_SLOTS:SLOTS]
-        self.total = self.word.sum(axis=1, dtype=np.float64)
+class Fitted(NamedTuple):
+    """The table of counts(), its number of ranges, the ids that the target counts, both models' tokens, and the number of words."""
 
-    def losses(self, row: np.ndarray, word: np.ndarray, pair: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Each token's loss in nats under the background and the target; wanted: by row, whether the target counts it."""
-        out = np.empty((2, len(word)))
-        first = pair < 0
-        own_word, own_pair = _own(row, word, WORD_BITS), _own(row, np.maximum(pair, 0), PAIR_BITS) * ~first
-        own_all = np.bincount(row)[row] if len(row) else own_word
-        before, own_before = np.append(0, word[:-1])[: len(word)], np.append(0, own_word[:-1])[: len(word)]
-        for k, own in ((0, np.ones(len(word))), (1, wanted[row].astype(float))):
-            single = (np.maximum(self.word[k][word] - own * own_word, 0) + ADDED) / (np.maximum(self.total[k] - own * own_all, 0) + ADDED * WORD_SLOTS)
-            context = np.maximum(self.word[k][before] - own * own_before, 0)
-            joint = (np.maximum(self.pair[k][np.maximum(pair, 0)] - own * own_pair, 0) + PRIOR * single) / (context + PRIOR)
-            out[k] = -np.log(np.where(first, single, joint))
-        return out
+    table: DataFrame
+    parts: int
+    chosen: DataFrame
+    total: np.ndarray
+    vocabulary: int
+
+
+def losses(fitted: tuple[np.ndarray, int], row: np.ndarray, first: np.ndarray, at: np.ndarray, pair_at: np.ndarray, word: np.ndarray, pair: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Each token's loss in nats under the background and the target.
+
+    at, pair_at: places of its word and bigram; word, pair: their counts (2 rows); wanted: by row, whether the target counts it.
+    """
+    total, vocabulary = fitted
+    out = np.empty((2, len(at)))
+    own_word, own_pair = _own(row, at), _own(row, pair_at) * ~first
+    own_all = np.bincount(row)[row] if len(row) else own_word
+    before = lambda x: np.append(0, x[:-1])[: len(x)]
+    for k, own in ((0, np.ones(len(at))), (1, wanted[row].astype(float))):
+        left = np.maximum(word[k] - own * own_word, 0)
+        single = (left + ADDED) / (np.maximum(total[k] - own * own_all, 0) + ADDED * (vocabulary + 1))
+        context = np.maximum(before(word[k]) - own * before(own_word), 0)
+        joint = (np.maximum(pair[k] - own * own_pair, 0) + PRIOR * single) / (context + PRIOR)
+        out[k] = -np.log(np.where(first, single, joint))
+    return out
+
+
+def _own(row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How often each token's word or bigram comes up in its own row."""
+    _, where, n = np.unique(row.astype(np.int64) << 32 | at, return_inverse=True, return_counts=True)
+    return n[where]
+
+
+def _size(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def dealt(docs: DataFrame, chosen: DataFrame, n_bytes: int, replies: DataFrame | None = None) -> DataFrame:
+    """chunk, kind, block, doc_id, text, data, by chunks: marks of wanted ids, replies, documents; docs: doc_id, text."""
+    n = max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES))
+    chunk: Callable[[Column], Column] = lambda c: F.pmod(F.hash(c), F.lit(n)).cast("int").alias("chunk")
+    no = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    out = docs.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(DOC).alias("kind"), F.lit(0).alias("block"), "doc_id", "text", no("binary", "data"))
+    out = out.union(chosen.select(chunk(F.col("doc_id")), F.lit(MARK), F.lit(0), "doc_id", no("string", "text"), no("binary", "data")))
+    if replies is not None:
+        out = out.union(replies.select("chunk", F.lit(REPLY), "block", no("long", "doc_id"), no("string", "text"), "data"))
+    small_batches(docs.sparkSession)
+    return out.repartition("chunk").sortWithinPartitions("chunk", "kind")
 
 
-def _own(row: np.ndarray, slot: np.ndarray, bits: int) -> np.ndarray:
-    """How often each token's slot comes up in its own row."""
-    _, at, n = np.unique(row << bits | slot, return_inverse=True, return_counts=True)
-    return n[at]
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, pa.RecordBatch]]]]:
+    def pieces() -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        for batch in batches:
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cut], [*cut, len(chunk)], strict=True):
+                if b > a:
+                    yield int(chunk[a]), int(kind[a]), batch.slice(a, b - a)
 
+    return groupby(pieces(), lambda p: p[0])
 
-class Fitted(NamedTuple):
-    models: Models
-    #: The ids that the target counts.
-    chosen: DataFrame
 
-    @property
-    def total(self) -> np.ndarray:
-        return self.models.total
+def _is_wanted(ids: pa.Array, marks: list[np.ndarray]) -> np.ndarray:
+    if not marks:
+        return np.zeros(len(ids), bool)
+    return np.isin(ids.fill_null(0).to_numpy(), np.concatenate(marks)) & ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def marked(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, wanted (whether the target counts the row)."""
-    flag = F.coalesce("wanted", F.lit(False)).alias("wanted")
-    return texts(docs, id_col, text_col).join(wanted.withColumn("wanted", F.lit(True)), "doc_id", "left").select("doc_id", "text", flag)
+def _marked(batches: Iterator[pa.RecordBatch]) -> _TEXTS:
+    for _, group in _by_chunk(batches):
+        marks = []
+        for _, kind, part in group:
+            if kind == MARK:
+                marks.append(part.column(3).to_numpy())
+            else:
+                yield part.column(4), _is_wanted(part.column(3), marks)
 
 
 def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
     """wanted: doc_id of the documents that are like the target."""
     chosen = written(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "target")
-    found = counts(marked(docs, chosen, id_col, text_col).select("text", "wanted")).collect()  # one size for any corpus
-    return Fitted(Models([tuple(r) for r in found]), chosen)
+    rows = texts(docs, id_col, text_col)
+    n_bytes = _size(rows)
+    parts = max(8, -(-n_bytes // PART_BYTES))
+    table = written(counts(dealt(rows, chosen, n_bytes), parts, _marked), "grams")
+    release(docs.sparkSession)
+    words = table.where(F.col("block") < WORD_SLOTS).agg(F.sum("background"), F.sum("target"), F.sum("n_keys")).first()
+    return Fitted(table, parts, chosen, np.array([words[0] or 0, words[1] or 0], np.int64), words[2] or 0)
 
 
 def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (means), score of every whole text."""
-    models, chosen = fitted
-    held = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        wanted = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, row, word, pair in slots(*buffers(batch.column(1))):
-            n = np.bincount(row, minlength=j - i)
-            background, target = (np.bincount(row, x, minlength=j - i) / np.maximum(n, 1) for x in m.losses(row, word, pair, wanted[i:j]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *map(pa.array, (n.astype(np.int64), target, background, target - background))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return map_batches(marked(docs, chosen, id_col, text_col), run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    rows, parts, models = texts(docs, id_col, text_col), fitted.parts, (fitted.total, fitted.vocabulary)
+    n_bytes = _size(rows)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        for chunk, group in _by_chunk(batches):
+            held = [np.unique(np.concatenate([g[3], g[4][~g[5]]])) for _, kind, part in group if kind == DOC for g in grams(*buffers(part.column(4)))]
+            keys = distinct(held)
+            for block, at in laid(keys, parts):
+                yield pa.RecordBatch.from_pydict({"block": [block], "chunk": [chunk], "keys": [sealed(keys[at])], "counts": [None]}, schema=_ASKED)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        asked = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for block, group in groupby(asked, lambda r: r[0]):
+            known, keys, n = [], None, None
+            for _, chunk, data, found in group:
+                k = opened(data)
+                if chunk < 0:  # the table's rows come first
+                    known.append((k, np.frombuffer(found, "<i8").reshape(2, -1)))
+                    continue
+                if keys is None:
+                    known.sort(key=lambda x: x[0][0])
+                    keys = np.concatenate([x for x, _ in known] or [np.zeros(0, np.uint64)])
+                    n = np.concatenate([x for _, x in known] or [np.zeros((2, 0), np.int64)], axis=1)
+                    known = []
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    reply = n[:, at] * (keys[at] == k)
+                else:
+                    reply = np.zeros((2, len(k)), np.int64)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "block": [block], "data": [packed(reply)]}, schema=_REPLY)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        for _, group in _by_chunk(batches):
+            marks, replies, held = [], {}, []
+            for _, kind, part in group:
+                if kind == MARK:
+                    marks.append(part.column(3).to_numpy())
+                elif kind == REPLY:
+                    replies |= dict(zip(part.column(2).to_pylist(), part.column(5).to_pylist(), strict=True))
+                else:
+                    wanted = _is_wanted(part.column(3), marks)
+                    for i, j, row, word, pair, first in grams(*buffers(part.column(4))):
+                        ids = pa.array(part.column(3).slice(i, j - i).to_pylist(), pa.int64())  # a copy: the batch is let go
+                        held.append((ids, wanted[i:j], row.astype(np.int32), word, pair, first))
+            keys = distinct([np.unique(np.concatenate([h[3], h[4][~h[5]]])) for h in held])
+            n = np.zeros((2, len(keys)), np.int64)
+            for block, at in laid(keys, parts):
+                n[:, at] = unpacked(replies.pop(block))
+            n_words = int((keys & _U(1) == 0).sum())
+            for ids, wanted, row, word, pair, first in held:
+                at = np.searchsorted(keys[:n_words], word)
+                pair_at = np.where(first, 0, n_words + np.searchsorted(keys[n_words:], np.where(first, _U(0), pair)))
+                size = np.bincount(row, minlength=len(ids))
+                found = losses(models, row, first, at, pair_at, n[:, at], n[:, pair_at], wanted)
+                background, target = (np.bincount(row, x, minlength=len(ids)) / np.maximum(size, 1) for x in found)
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (size.astype(np.int64), target, background, target - background))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    asked = dealt(rows, fitted.chosen, n_bytes).mapInArrow(ask, "block int, chunk int, keys binary, counts binary")
+    table = fitted.table.select("block", F.lit(-1).alias("chunk"), "keys", "counts")
+    replies = written(table.union(asked).repartition("block").sortWithinPartitions("block", "chunk").mapInArrow(answer, "chunk int, block int, data binary"), "replies")
+    release(docs.sparkSession)
+    return dealt(rows, fitted.chosen, n_bytes, replies).mapInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

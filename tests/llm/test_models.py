@@ -97,6 +97,40 @@ def test_lm_target_counts_all_wanted(spark):
     assert models.total.tolist() == [2 * (n + 100), 2 * n]
 
 
+def test_lm_counts_are_exact(spark, small, labels, monkeypatch):
+    import re
+    from collections import Counter
+
+    monkeypatch.setattr(lmscore, "PART_BYTES", 4096)
+    wanted = labels.where("quality = 1")
+    chosen = {r.doc_id for r in wanted.collect()}
+    tokens = {r.doc_id: re.findall(rb"[0-9A-Za-z\x80-\xff]+", r.text.encode().lower()) for r in small.collect()}
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for i, t in tokens.items():
+        for k in (0, 1)[: 1 + (i in chosen)]:
+            words[k].update(t)
+            pairs[k].update(zip(t, t[1:]))
+    fitted = lmscore.fit(small, wanted)
+    assert fitted.vocabulary == len(words[0]) and fitted.table.agg(F.sum("n_keys")).first()[0] == len(words[0]) + len(pairs[0])
+
+    def loss(i, k):
+        t, own = tokens[i], k == 0 or i in chosen
+        w, p = Counter(words[k]), Counter(pairs[k])
+        if own:
+            w.subtract(t)
+            p.subtract(zip(t, t[1:]))
+        total, out = sum(w.values()), []
+        for a, b in zip([None, *t], t):
+            single = (w[b] + lmscore.ADDED) / (total + lmscore.ADDED * (len(words[0]) + 1))
+            out.append(-np.log(single if a is None else (p[a, b] + lmscore.PRIOR * single) / (w[a] + lmscore.PRIOR)))
+        return sum(out) / max(len(out), 1)
+
+    got = {r.doc_id: r for r in lmscore.score(small, fitted).collect()}
+    assert len(got) == len(tokens) and any(i in chosen for i in tokens)
+    for i in sorted(tokens)[:60]:
+        assert got[i].n_tokens == len(tokens[i]) and np.allclose([got[i].background_loss, got[i].target_loss], [loss(i, 0), loss(i, 1)], atol=1e-9)
+
+
 def test_store(spark, small, odd, none, monkeypatch):
     monkeypatch.setattr(shards, "BASE_BYTES", 20_000)
     store = shards.ingest(small, scratch(spark, "store"), 9, target_bytes=60_000)
