@@ -1,7 +1,7 @@
 """Media columns: texts' bytes as 8-bit WAV samples, and spectral-peak pair fingerprints of such samples.
 
 A WAV column is built and read by the wave module. A short-time Fourier transform (512 samples, a Hann window,
-a hop of 256) gives magnitudes; each frame keeps the strongest bin of each of four bands, if it stands above the
+a hop of 256; the end is filled with 128, silence, to a whole frame) gives magnitudes; each frame keeps the strongest bin of each of four bands, if it stands above the
 frame's mean; a peak pairs with the next band's peak in the same frame and in the following one. A pair is stored as one
 time-coded long: frame << 32 | lag << 18 | bin << 9 | partner's bin.
 
@@ -50,8 +50,8 @@ def wav_samples(media: bytes) -> bytes:
 def peaks(samples: bytes) -> np.ndarray:
     """Bin of the strongest peak by frame and band, -1 where none stands out."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.full(FRAME - len(x), 128, np.uint8)])
+    short = FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP
+    x = np.concatenate([x, np.full(short, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     hann = np.hanning(FRAME).astype(np.float32)
     out = np.full((len(frames), len(BANDS) - 1), -1, np.int64)

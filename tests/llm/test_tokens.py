@@ -98,6 +98,16 @@ def test_peaks_find_a_tone():
         assert (w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())) == (1, 1, tone)
 
 
+def test_last_samples_reach_the_pairs():
+    rng = np.random.default_rng(3)
+    for n in (576, 640, 704, 768, 832, 4096 + 64):
+        quiet = rng.integers(120, 136, n).astype(np.uint8)
+        loud = quiet.copy()
+        loud[-64:] = np.where(np.arange(64) % 4 < 2, 0, 255)
+        assert len(media.peaks(quiet.tobytes())) == 1 + -(-(n - media.FRAME) // media.HOP)
+        assert not np.array_equal(media.pair_codes(quiet.tobytes()), media.pair_codes(loud.tobytes()))
+
+
 def test_odd_tables(spark, odd, none):
     n = odd.count()
     for table, size in ((odd, n), (none, 0)):
