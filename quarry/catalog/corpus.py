@@ -185,6 +185,12 @@ def keyword_score(t):
 @query("with r as (select doc_id, cast(row_number() over (order by n_chars desc, doc_id) as integer) as pos, doc_id % 17 as s from documents) select doc_id, cast(row_number() over (order by case when pos <= 20 then 0 else 1 end, case when pos <= 20 then -s end, pos) as integer) as place from r where pos <= 60")
 def rerank_window(t):
     x = step.row_counter(t.documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], name="pos").where("pos <= 60").withColumn("s", F.expr("doc_id % 17"))
+    return retrieval.rerank_window(x, "pos", "s", 20).select("doc_id", F.col("place").cast("int").alias("place"))
+
+
+@query()
+def rerank_window_all(t):
+    x = step.row_counter(t.documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], name="pos").withColumn("s", F.expr("doc_id % 17"))
     return retrieval.rerank_window(x, "pos", "s", 20).select("doc_id", "place")
 
 

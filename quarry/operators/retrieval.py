@@ -84,9 +84,10 @@ def keyword_score(key: Column, value: Column, tags: Column, words: list[str]) ->
 
 def rerank_window(df: DataFrame, pos: str, score: str, window: int) -> DataFrame:
     """The first `window` places are ordered anew by score, the rest keep theirs: adds place."""
-    inside = F.col(pos) <= window
-    order = [F.when(inside, 0).otherwise(1), F.when(inside, -F.col(score)), F.col(pos)]
-    return df.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    inside = F.coalesce(F.col(pos) <= window, F.lit(False))
+    first = Window.partitionBy().orderBy(-F.col(score), F.col(pos))  # over `window` rows only
+    top = df.where(inside).withColumn("place", F.row_number().over(first).cast("long"))
+    return top.union(df.where(~inside).withColumn("place", F.col(pos).cast("long")))
 
 
 def select_history(df: DataFrame, by: str, seq: str, score: str, keep_tail: int, top: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import catalog
 from quarry.errors import MissingKey, MissingOrder, NonConvertible
 from quarry.functions import char, dates, formats, numeric, patterns
 from quarry.operators import evaluation, graph, memory, merge, procs, retrieval, scoring, step, text
@@ -162,3 +163,12 @@ def test_nothing_imports_llm():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any("llm" in n.split(".") for n in names), p
+
+
+def test_rerank_keeps_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "n_chars").collect()
+    rows = sorted(((r.n_chars, r.doc_id) for r in docs), key=lambda x: (-x[0], x[1]))
+    want = [i for _, i in rows]
+    want[:20] = sorted(want[:20], key=lambda i: (-(i % 17), want.index(i)))
+    got = catalog.QUERIES["rerank_window_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.place, r.doc_id) for r in got) == list(enumerate(want, 1))
