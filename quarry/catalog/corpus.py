@@ -370,6 +370,12 @@ def running_headers(t):
     return text.running_headers(x, "doc", "page", "text")
 
 
+@query()
+def running_headers_all(t):
+    x = t.documents.select(F.coalesce("source", F.lit("")).alias("doc"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return text.running_headers(x, "doc", "page", "text")
+
+
 @query()
 def html_sections(t):
     return text.html_sections(t.pages, "page_id", "html")

@@ -1,6 +1,8 @@
 """Hand-computed expectations and refusals."""
 
 import ast
+import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -172,3 +174,19 @@ def test_rerank_keeps_all_documents(spark):
     want[:20] = sorted(want[:20], key=lambda i: (-(i % 17), want.index(i)))
     got = catalog.QUERIES["rerank_window_all"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.place, r.doc_id) for r in got) == list(enumerate(want, 1))
+
+
+def test_running_headers_of_all_documents(spark):
+    pages = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        pages.setdefault(r.source or "", {})[r.doc_id] = (r.text or "").split("\n")
+    want = {}
+    for doc, by_page in pages.items():
+        edges = Counter(x for lines in by_page.values() for x in {lines[0], lines[-1]})
+        drop = {x for x, n in edges.items() if n >= max(3, len(by_page) // 2)}
+        for page, lines in by_page.items():
+            keep = [x for i, x in enumerate(lines) if i not in (0, len(lines) - 1) or not (x in drop or re.fullmatch("[0-9]+", x.strip(" ")))]
+            if keep:
+                want[doc, page] = "\n".join(keep)
+    got = {(r.doc, r.page): r.text for r in catalog.QUERIES["running_headers_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
