@@ -91,6 +91,13 @@ def weak_edges_promote(t):
     return graph.promote_weak(weak, parts)
 
 
+@query()
+def weak_edges_promote_all(t):
+    weak = t.lineitem.selectExpr("l_partkey as src", "-1 - l_suppkey as dst").distinct()  # keys of suppliers and parts stay apart
+    parts = weak.selectExpr("src as node", "src % 20 as component").distinct().union(weak.selectExpr("dst as node", "(-1 - dst) % 7 as component").distinct())
+    return graph.promote_weak(weak, parts)
+
+
 @query("with recursive e as (select distinct n_nationkey as u, n_nationkey * 2 + 1 as d from nation where n_nationkey * 2 + 1 < 40 union select n_nationkey, n_nationkey * 2 + 2 from nation where n_nationkey * 2 + 2 < 40), r(node, depth) as (select 0, 0 union select e.d, r.depth + 1 from r join e on e.u = r.node) select cast(node as bigint) as node, cast(max(depth) as integer) as layer from r group by node")
 def kahn_layers(t):
     e = merge.stack(*[t.nation.selectExpr("cast(n_nationkey as bigint) as upstream", f"cast(n_nationkey * 2 + {k} as bigint) as downstream").where("downstream < 40") for k in (1, 2)])

@@ -190,3 +190,12 @@ def test_running_headers_of_all_documents(spark):
                 want[doc, page] = "\n".join(keep)
     got = {(r.doc, r.page): r.text for r in catalog.QUERIES["running_headers_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_weak_edges_of_all_parts(spark):
+    want = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").collect():
+        if r.l_partkey % 20 != r.l_suppkey % 7:
+            want.setdefault(r.l_partkey % 20, set()).add(r.l_suppkey % 7)
+    got = catalog.QUERIES["weak_edges_promote_all"](spark, "/root/testdata/sf0.001").collect()
+    assert {tuple(r) for r in got} == {(k, len(v), "absorb" if len(v) == 1 else "promote") for k, v in want.items()}
