@@ -104,6 +104,8 @@ def layers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         done = wave if done is None else done.union(wave)
         todo = _cut(todo.join(ready, "node", "left_anti"))
         left = _cut(left.join(ready.withColumnRenamed("node", "upstream"), "upstream", "left_anti"))
+    else:
+        raise RuntimeError("no fixed point")
     rest = todo.withColumn("layer", F.lit(-1))
     return rest if done is None else done.union(rest)
 
@@ -121,6 +123,8 @@ def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         if (m := e.count()) == n:
             break
         n = m
+    else:
+        raise RuntimeError("no fixed point")
     reach = e
     for _ in range(rounds):
         step = reach.alias("a").join(reach.alias("b"), F.col("a.downstream") == F.col("b.upstream")).select("a.upstream", "b.downstream")
@@ -128,6 +132,8 @@ def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         if (m := more.count()) == n:
             break
         reach, n = more, m
+    else:
+        raise RuntimeError("no fixed point")
     back = reach.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"))
     mutual = reach.intersect(back)
     return mutual.groupBy("upstream").agg(F.min("downstream").alias("cycle")).withColumnRenamed("upstream", "node")

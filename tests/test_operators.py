@@ -199,3 +199,11 @@ def test_weak_edges_of_all_parts(spark):
             want.setdefault(r.l_partkey % 20, set()).add(r.l_suppkey % 7)
     got = catalog.QUERIES["weak_edges_promote_all"](spark, "/root/testdata/sf0.001").collect()
     assert {tuple(r) for r in got} == {(k, len(v), "absorb" if len(v) == 1 else "promote") for k, v in want.items()}
+
+
+def test_graph_rounds_run_out(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "upstream long, downstream long")
+    ring = chain.union(spark.createDataFrame([(6, 0)], chain.schema))
+    for f, edges in ((graph.layers, chain), (graph.cycles, chain), (graph.cycles, ring)):
+        with pytest.raises(RuntimeError):
+            f(edges, rounds=2)
