@@ -13,6 +13,9 @@ documents link if 100 * intersection >= 75 * union. A component is a set of docu
    large ones blockwise inside tasks, from which only joining links come. Pairs within one component cannot change the
    result and are never formed, and no other pair of a bucket is left out.
 
+A shingle is known by 64 bits that its five words' hashes give; no pattern of letters makes these collide, so two texts that
+are compared look more alike than they are with probability (shingles of one) * (shingles of the other) / 2 ** 64.
+
 Cases: null and empty texts have n_shingles 0 and stand alone; rows with equal ids are one
 document with the links of each of its texts; very long texts are hashed whole, in blocks; an empty table gives no rows; other columns are ignored.
 """
@@ -48,8 +51,8 @@ def shingles(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(h)
     left = count[w.row] - (np.arange(n) - first[w.row])  # words from here to the row's end
     value = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        value[: n - k] += np.where(left[: n - k] > k, (h[k:] if k else h) * _ROLL[k], _U(0))
+    for k in range(min(SHINGLE, n)):
+        value[: n - k] += np.where(left[: n - k] > k, h[k:] * _ROLL[k], _U(0))
     size = np.minimum(count, SHINGLE)[w.row]  # a short sequence is one shingle, which no longer one can equal
     own = (left >= SHINGLE) | (np.arange(n) == first[w.row])
     value = mix(value + size.astype(np.uint64))[own]
@@ -81,8 +84,10 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(BANDS, dtype=np.uint64))
 
 
-#: Buckets of at most SMALL members become explicit pairs; larger ones are compared blockwise, so many set elements a block.
-SMALL, BLOCK_ELEMENTS = 16, 400_000
+#: Buckets of at most SMALL members become explicit pairs; larger ones are compared blockwise, so many set elements and sets a block.
+SMALL, BLOCK_ELEMENTS, BLOCK_SETS = 16, 400_000, 2_000
+#: A set of n shingles can be as like another as n / (n + 1) at most.
+LEAST_LINKED = -(-SIMILARITY[0] // (SIMILARITY[1] - SIMILARITY[0]))
 NO_ID = -(1 << 63)
 
 
@@ -201,7 +206,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = written(features(base), "shingles")
     full = found.where("n > 0")
     distinct_sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("buckets").alias("buckets")), "classes")
-    members = distinct_sets.select(F.explode("buckets").alias("bucket"), "doc_id", "n")
+    members = distinct_sets.where(f"n >= {LEAST_LINKED}").select(F.explode("buckets").alias("bucket"), "doc_id", "n")
     hubs = members.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(hubs, "bucket").select("bucket", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     wanted = shared.select("doc_id").distinct()
@@ -214,7 +219,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = written(components(links), "components")
     placed = shared.select("bucket", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    left = written(placed.join(mixed, "bucket").select("bucket", "doc_id", "n", "component", "size", F.ceil(F.col("elements") / BLOCK_ELEMENTS).cast("long").alias("blocks")), "mixed")
+    left = written(placed.join(mixed, "bucket").select("bucket", "doc_id", "n", "component", "size", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("size") / BLOCK_SETS)).cast("long").alias("blocks")), "mixed")
     small = left.where(f"size <= {SMALL}").select("bucket", "doc_id", "n", "component")
     x, y = small.toDF("bucket", "a", "n", "p"), small.toDF("bucket", "b", "m", "q")
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & _may_link("n", "m")).select("a", "b").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-from quarry.llm.words import BYTE, mix, powers
+from quarry.llm.words import LONG, LOW, stretches, unaligned
 
 #: Stands before a text's first piece, which has no space before it; no other piece starts with white space.
 FIRST = "\n"
@@ -43,50 +43,85 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class PieceTable:
-    """Ids of the pieces met so far, by 64-bit hashes, in one flat array.
+    """Ids of the pieces met so far, in one flat array; pieces are found by 64-bit hashes and compared byte by byte.
 
     learn(pieces) gives their ids one after another, the lengths, and the order in which they come. The table starts anew beyond
-    `most` pieces, so its memory is bounded.
+    `most` pieces or `most_bytes` of them, so its memory is bounded.
     """
 
-    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int], Iterable[int]]], most: int = 700_000):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[str]], tuple[Iterable[int], Iterable[int], Iterable[int]]], most: int = 700_000, most_bytes: int = 32 << 20):
+        self.learn, self.most, self.most_bytes = learn, most, most_bytes
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[int, int] = {}
+        self.other: dict[bytes, int] = {}  # pieces whose hash another one has
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.begin, self.size, self.first = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known = unaligned(self.bytes)
+
+    def _add(self, raw: bytes, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Learns these pieces of raw; their places in the table."""
+        spans = list(zip(start.tolist(), end.tolist(), strict=True))
+        ids, lengths, order = self.learn([(FIRST if f else "") + raw[a:b].decode() for (a, b), f in zip(spans, first.tolist(), strict=True)])
+        ids, lengths, order = np.asarray(ids, np.int32), np.asarray(lengths, np.int64), np.asarray(order, np.int64)
+        where = np.empty(len(order), np.int64)
+        where[order] = len(self.start) + np.arange(len(order))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.flat = np.concatenate([self.flat, ids])
+        start, size = start[order], (end - start)[order]
+        self.begin = np.concatenate([self.begin, len(self.bytes) + np.cumsum(size) - size])
+        self.size, self.first = np.concatenate([self.size, size]), np.concatenate([self.first, first[order]])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(raw, np.uint8)[ranges(start, size)]])
+        self.known = unaligned(self.bytes)
+        return where
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin (and the last one's end)."""
         start, end, first = cuts(data, offsets)
-        power, inverse = powers(1 << max(20, (len(data) + 1).bit_length()))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * power[: len(data)], dtype=np.uint64)])
-        h = mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        eights = unaligned(data)
+        h = stretches(data, eights, start, end)
         h[first] ^= _SALT
         every, index, at = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.at) > self.most:
+        if len(self.at) + len(self.other) > self.most or len(self.bytes) > self.most_bytes:
             self._reset()
         names = every.tolist()
         get = self.at.get
         where = np.array([get(x, -1) for x in names], np.int64)
         new = np.flatnonzero(where < 0)
+        raw = data.tobytes()
         if len(new):
-            raw, i = data.tobytes(), index[new]
-            texts = [(FIRST if f else "") + raw[a:b].decode() for a, b, f in zip(start[i].tolist(), end[i].tolist(), first[i].tolist(), strict=True)]
-            ids, lengths, order = self.learn(texts)
-            ids, lengths, order = np.asarray(ids, np.int32), np.asarray(lengths, np.int64), np.asarray(order, np.int64)
-            where[new[order]] = len(self.start) + np.arange(len(new))
+            i = index[new]
+            where[new] = self._add(raw, start[i], end[i], first[i])
             self.at.update(zip(map(names.__getitem__, new.tolist()), where[new].tolist(), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.flat = np.concatenate([self.flat, ids])
         own = where[at]
+        for i in np.flatnonzero(~self._same(data, eights, start, end, first, own)).tolist():
+            key = (b"\1" if first[i] else b"\0") + raw[start[i] : end[i]]
+            if key not in self.other:
+                self.other[key] = int(self._add(raw, start[i : i + 1], end[i : i + 1], first[i : i + 1])[0])
+            own[i] = self.other[key]
         lengths = self.length[own]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         pieces_before = np.searchsorted(start, offsets, "left")
         return self.flat[ranges(self.start[own], lengths)], ends[pieces_before]
 
+    def _same(self, data: np.ndarray, eights: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether each piece is, byte by byte, the one at its place in the table."""
+        size = end - start
+        same = (self.size[own] == size) & (self.first[own] == first)
+        begin = self.begin[own]
+        live, k = np.flatnonzero(same & (size > 0)), 0
+        while len(live) and k < LONG:
+            left = size[live] - k
+            differ = ((eights[start[live] + k] ^ self.known[begin[live] + k]) & LOW[np.minimum(left, 8)]) != 0
+            same[live[differ]] = False
+            k += 8
+            live = live[(left > 8) & ~differ]
+        for i in live.tolist():
+            same[i] = np.array_equal(data[start[i] : end[i]], self.bytes[begin[i] : begin[i] + size[i]])
+        return same
+
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [x.encode() for x in texts]
         return self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import buffers, map_batches, release, slices, texts, written
 from quarry.llm.pieces import ranges
-from quarry.llm.words import BYTE, mix, powers
+from quarry.llm.words import BYTE, mix, stretches, unaligned
 
 STRING, GRAM = 100, 32
 #: Anchors are found in pieces of at most so many bytes, whose positions fit the low bits of a key.
@@ -99,11 +99,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         at = np.flatnonzero(new)
         lo, p, own = start[at], place[at], piece[at]
         hi = np.append(start[at[1:] - 1], start[-1])
-        power, _ = powers(2 << PLACE_BITS)
-        sums = np.append(_U(0), np.cumsum(BYTE[block][::-1] * power[: len(block)], dtype=np.uint64))  # from the end, so that no inverse is needed
-        end = hi + STRING
-        value = (sums[len(block) - lo] - sums[len(block) - end]) * power[(1 << PLACE_BITS) - len(block) + end]  # the same for equal bytes in any block
-        value = mix(value + (end - lo).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + (p - lo).astype(np.uint64))
+        value = mix(stretches(block, unaligned(block), lo, hi + STRING) + (p - lo).astype(np.uint64))
         base = np.array([s for _, s, _, _ in part])[own] - first[own]
         yield np.array([r for r, _, _, _ in part])[own], gram[p], value, lo + base, hi + base, p + base
         i = j

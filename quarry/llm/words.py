@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +15,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A 64-bit number for each byte value, from a fixed seed.
 BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-
-
-@functools.lru_cache(maxsize=3)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse mod 2**64, to the powers 0..n-1."""
-    inverse = pow(BASE, -1, 1 << 64)
-    out = []
-    for base in (BASE, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+#: Keeps the lowest k bytes of a number.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer stretches are hashed one by one.
+LONG = 192
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -39,6 +30,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def unaligned(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on (zeros behind its end) as a number."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+
+
+def stretches(data: np.ndarray, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end]; eights: unaligned(data).
+
+    Eight bytes at a time go through mix(), which is one to one, so stretches of at most eight bytes and one length never collide, and no
+    pattern of longer ones does by construction, as texts do under a polynomial.
+    """
+    n = end - start
+    h = n.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
+    own = np.flatnonzero((n > 0) & (n <= LONG))
+    k = 0
+    while len(own):
+        left = n[own] - k
+        h[own] = mix((h[own] ^ (eights[start[own] + k] & LOW[np.minimum(left, 8)])) * _U(BASE) + _U(k))
+        k += 8
+        own = own[left > 8]
+    if len(far := np.flatnonzero(n > LONG)):
+        import xxhash
+
+        view = memoryview(np.ascontiguousarray(data))
+        h[far] = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)], np.uint64)
+    return h
+
+
 class Words:
     """start, end and row of each word of a block, and hashes of stretches of its bytes."""
 
@@ -55,13 +74,10 @@ class Words:
         after[: n - 1] = ~own[1:] | first[1:n]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(own & after) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
-        size = 1 << max(20, int(n).bit_length())
-        power, self.inverse = powers(size)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[self.data] * power[:n], out=self.sums[1:])
+        self.eights = unaligned(self.data)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        return stretches(self.data, self.eights, start, end)
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, lower: bool = True) -> Iterator[tuple[int, int, Words]]:

@@ -73,6 +73,40 @@ def test_hot_family(spark, monkeypatch, small_bucket):
     assert got == parts
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6])
+def test_few_words(spark, n):
+    """One document and few of them, with fewer words in all than a shingle has."""
+    words = "one two three four five six".split()
+    assert [r.n_shingles for r in neardup.classes(spark.createDataFrame([(7, " ".join(words[:n]))], "doc_id long, text string")).collect()] == [max(1, n - 4)]
+    docs = [(i, " ".join(words[: n - i % 2])) for i in range(4)]
+    got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()}
+    sets = sets_of(docs)
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), c if sets[i] else i) for i, c in brute_components(sets).items()}
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_words_that_collide_under_polynomials(spark, n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    docs = [(1, a), (2, b), (3, f"{a} x y z {b} u"), (4, f"{b} x y z {a} u"), (5, a)]
+    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(sets_of(docs))
+
+
+def test_many_small_sets(spark):
+    """Templated lines share a bucket but link with none; memory stays that of a block."""
+    import resource
+
+    lines = spark.range(50_000).selectExpr("id as doc_id", "concat('one two three four five ', id) as text")
+    got = neardup.classes(lines.union(spark.range(6_000).selectExpr("id + 50000", "concat('a b c d e f ', id, case when id < 3000 then '' else ' g' end)")))
+    assert got.where("not kept").count() == 0 and got.where("n_shingles between 2 and 4").count() == 56_000
+    sets = [np.unique(np.append(np.array([1, 2, 3, 4, 5, 6], np.uint64), np.uint64(100 + i // 2))) for i in range(neardup.BLOCK_SETS)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert len(neardup.block_links(np.arange(len(sets)), np.arange(len(sets)), sets)) == len(sets) - 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+
+
 def test_components_of_a_chain(spark):
     e = spark.range(500).selectExpr("id as a", "id + 1 as b")
     assert [r[0] for r in components.components(e).select("component").distinct().collect()] == [0]

@@ -44,6 +44,48 @@ def test_pieces_equal_whole_texts():
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(a, b, n):
+    """Words like this collide under every polynomial hash modulo a power of two."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a
+
+
+def test_patterns_that_collide(reference):
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    for n in (10, 12):
+        texts = ["go " + thue_morse("a", "b", n), "go " + thue_morse("b", "a", n), "go on", thue_morse("b", "a", n)]
+        for encoder, want in ((bpe.codec(bpe.vocabulary()), reference.encode_ordinary), (tokens.tokenizer(tokens.tokenizer_path()), lambda x: t.encode(x, add_special_tokens=False).ids)):
+            ids, at = encoder.pieces.encode_texts(texts)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [want(x) for x in texts]
+
+
+@pytest.mark.parametrize("encoder", ["bpe", "library"])
+def test_pieces_of_equal_hash(monkeypatch, encoder, reference):
+    """With two hash values for all pieces, the bytes alone tell them apart."""
+    from quarry.llm import pieces
+
+    monkeypatch.setattr(pieces, "stretches", lambda data, eights, start, end: (end - start).astype(np.uint64) & np.uint64(1))
+    c = bpe.codec(bpe.vocabulary()) if encoder == "bpe" else tokens.tokenizer(tokens.tokenizer_path())
+    table = pieces.PieceTable(c._learn_pieces if encoder == "bpe" else c._learn, most=40)
+    r = random.Random(4)
+    for _ in range(20):
+        texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 30))) for _ in range(20)]
+        ids, at = table.encode_texts(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [reference.encode_ordinary(x) if encoder == "bpe" else c.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_long_texts(spark, reference):
+    """A text above every block size, and one word of a megabyte, through Spark."""
+    r = random.Random(9)
+    docs = [(1, " ".join(r.choice(["alpha", "beta,", "gamma.", "été", "x" * 70]) for _ in range(500_000))), (2, "z" * 1_000_000), (3, "short")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x for x in bpe.decode(bpe.encode(df)).collect()}
+    assert all(bytes(got[i].decoded) == t.encode() for i, t in docs) and got[1].ids == reference.encode_ordinary(docs[0][1])
+    start = {x.doc_id: (x.start, x.n_tokens) for x in tokens.write_and_read(df).collect()}
+    assert start[2][0] == start[1][1] and start[3][0] == sum(start[2])
+
+
 def test_op3(spark, small, reference):
     got = {r.doc_id: r for r in queries.op3_bpe(spark, SF).collect()}
     for r in small.collect():
