@@ -1,15 +1,16 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary, one table of words and bigrams (64-bit hashes) and one
-smoothing, so they differ by their counts alone. The background counts every token of every document; the target those of all
-documents labelled as wanted. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score
-is the mean over its tokens of target loss minus background loss: the lower, the more like the target. A document's own counts are
-left out of the models that judge it.
-
-The counts are a distributed table that grows with the corpus: tasks add up what they read and deal it out by ranges of hashes
-(blocks, about PART_BYTES of text for each), where it is added up again. For scoring, documents are dealt into chunks by
-a hash of the id; each chunk asks the blocks for its distinct words and bigrams in ascending order, and gets counts in that order back.
-Marks of wanted ids go the same way to the chunks, so that a document finds its mark as by a left join.
+A target and a background bigram model share one vocabulary, one smoothing and one size. The background counts every token of every
+document; the target those of all documents labelled as wanted; the background's counts are scaled to the target's number of tokens, so
+that the smoothing weighs alike in both. A bigram's probability backs off to its word's by a Dirichlet prior. A document's score is the
+mean over its tokens of target loss minus background loss: the lower, the more like the target. A document's own counts are left out of
+the models that judge it.
+
+Words and bigrams are known by 64-bit hashes and counted exactly. Documents are dealt into chunks by a hash of the id, and each chunk
+posts its distinct words and bigrams, ascending and counted, by ranges of hashes (blocks, about PART_BYTES of text for each). A block
+adds up what all chunks have posted and answers each chunk with the sums in the order of its post, so the counts of the whole corpus are
+a distributed table that grows with it and is never gathered. The chunks then judge their documents by those answers. Marks of
+wanted ids go to the chunks as documents do, so that a document finds its mark as by a left join.
 
 Cases: null and empty texts have no tokens and score 0; a document's first token is judged by its word alone; without target
 labels every score is that of an unseen model; rows with equal ids stay separate rows, but land in one chunk, which a task holds as
@@ -31,15 +32,12 @@ from quarry.llm.common import _lean, buffers, release, small_batches, texts, wri
 from quarry.llm.toxicity import IS_WORD
 from quarry.llm.words import blocks, mix
 
-#: Block numbers, one to a range of hashes: words have those below WORD_SLOTS, bigrams the others.
-RANGE, WORD_SLOTS = 1, 0
-#: Bytes of text for a block of the table and for a chunk of documents; the fewest chunks; counts and keys that a task holds back.
-PART_BYTES, CHUNK_BYTES, LEAST_CHUNKS, HELD, ROW_KEYS = 32 << 20, 16 << 20, 64, 1 << 22, 1 << 18
+#: Bytes of text for a block of the counts and for a chunk of documents; the fewest chunks; counted keys that a task holds before it adds them up.
+PART_BYTES, CHUNK_BYTES, LEAST_CHUNKS, HELD = 16 << 20, 16 << 20, 24, 1 << 21
 #: Weight of the word model in a bigram's probability, and added to every word's count.
 PRIOR, ADDED = 200.0, 0.5
-MARK, REPLY, DOC = 0, 1, 2
+MARK, REPLY, DOC, CORPUS, QUERY = range(5)
 _U = np.uint64
-_TEXTS = Iterator[tuple[pa.Array, np.ndarray]]
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -101,89 +99,34 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> _TEXTS:
-    for batch in batches:
-        yield batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-
-
-def counts(docs: DataFrame, parts: int = 1, read: Callable[[Iterator[pa.RecordBatch]], _TEXTS] = _plain) -> DataFrame:
-    """block, keys, counts (background then target, 64-bit), n_keys, background, target (sums); docs: text, wanted, or what `read` takes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
-        held, size = [], 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, n = summed(held)
-            order = np.argsort(keys & _U(1), kind="stable")
-            keys, n = keys[order], n[:, order]
-            for block, at in laid(keys, parts):
-                yield pa.RecordBatch.from_pydict({"block": [block], "keys": [sealed(keys[at])], "n": [packed(n[:, at])]}, schema=_POSTED)
-
-        for column, wanted in read(batches):
-            for i, j, row, word, pair, first in grams(*buffers(column)):
-                own = wanted[i:j][row]
-                every = np.concatenate([word, pair[~first]])
-                held.append(summed([(every, np.stack([np.ones(len(every)), np.concatenate([own, own[~first]])]))]))
-                size += len(held[-1][0])
-                if size >= HELD:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for block, group in groupby(rows, lambda r: r[0]):
-            held, size = [], 0
-            for _, keys, n in group:
-                held.append((opened(keys), unpacked(n)))
-                size += len(held[-1][0])
-                if size >= HELD and size >= 2 * len(held[0][0]):
-                    held = [summed(held)]
-                    size = len(held[0][0])
-            keys, n = summed(held)
-            for i in range(0, len(keys), ROW_KEYS):
-                k, m = keys[i : i + ROW_KEYS], n[:, i : i + ROW_KEYS]
-                yield pa.RecordBatch.from_pydict({"block": [block], "keys": [sealed(k)], "counts": [m.astype("<i8").tobytes()], "n_keys": [len(k)], "background": [int(m[0].sum())], "target": [int(m[1].sum())]}, schema=_TABLE)
-
-    small_batches(docs.sparkSession)
-    posted = docs.mapInArrow(count, "block int, keys binary, n binary")
-    return posted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, keys binary, counts binary, n_keys long, background long, target long")
+_POSTED = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+_REPLY = pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("n_keys", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
 
 
-_POSTED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-_TABLE = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), ("background", pa.int64()), ("target", pa.int64())])
-_ASKED = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+class Models(NamedTuple):
+    """Both models' tokens (background, target) and the number of words."""
 
-
-class Fitted(NamedTuple):
-    """The table of counts(), its number of ranges, the ids that the target counts, both models' tokens, and the number of words."""
-
-    table: DataFrame
-    parts: int
-    chosen: DataFrame
     total: np.ndarray
     vocabulary: int
 
 
-def losses(fitted: tuple[np.ndarray, int], row: np.ndarray, first: np.ndarray, at: np.ndarray, pair_at: np.ndarray, word: np.ndarray, pair: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def losses(models: Models, row: np.ndarray, first: np.ndarray, at: np.ndarray, pair_at: np.ndarray, word: np.ndarray, pair: np.ndarray, counted: np.ndarray) -> np.ndarray:
     """Each token's loss in nats under the background and the target.
 
-    at, pair_at: places of its word and bigram; word, pair: their counts (2 rows); wanted: by row, whether the target counts it.
+    at, pair_at: places of its word and bigram; word, pair: their counts (2 rows); counted: by row, whether the background and the target
+    count it (2 rows).
     """
-    total, vocabulary = fitted
+    total, vocabulary = models
+    scale = (total[1] / total[0] if total.all() else 1.0, 1.0)
     out = np.empty((2, len(at)))
     own_word, own_pair = _own(row, at), _own(row, pair_at) * ~first
     own_all = np.bincount(row)[row] if len(row) else own_word
     before = lambda x: np.append(0, x[:-1])[: len(x)]
-    for k, own in ((0, np.ones(len(at))), (1, wanted[row].astype(float))):
-        left = np.maximum(word[k] - own * own_word, 0)
-        single = (left + ADDED) / (np.maximum(total[k] - own * own_all, 0) + ADDED * (vocabulary + 1))
-        context = np.maximum(before(word[k]) - own * before(own_word), 0)
-        joint = (np.maximum(pair[k] - own * own_pair, 0) + PRIOR * single) / (context + PRIOR)
+    for k in (0, 1):
+        own = counted[k][row].astype(float)
+        single = (scale[k] * (word[k] - own * own_word) + ADDED) / (scale[k] * (total[k] - own * own_all) + ADDED * (vocabulary + 1))
+        context = scale[k] * (before(word[k]) - own * before(own_word))
+        joint = (scale[k] * (pair[k] - own * own_pair) + PRIOR * single) / (context + PRIOR)
         out[k] = -np.log(np.where(first, single, joint))
     return out
 
@@ -198,12 +141,11 @@ def _size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 
-def dealt(docs: DataFrame, chosen: DataFrame, n_bytes: int, replies: DataFrame | None = None) -> DataFrame:
-    """chunk, kind, block, doc_id, text, data, by chunks: marks of wanted ids, replies, documents; docs: doc_id, text."""
-    n = max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES))
-    chunk: Callable[[Column], Column] = lambda c: F.pmod(F.hash(c), F.lit(n)).cast("int").alias("chunk")
+def dealt(docs: DataFrame, chosen: DataFrame, chunks: int, replies: DataFrame | None = None) -> DataFrame:
+    """chunk, kind, block, doc_id, text, data, by chunks: marks of wanted ids, replies, documents; docs: kind, doc_id, text."""
+    chunk: Callable[[Column], Column] = lambda c: F.pmod(F.hash(c), F.lit(chunks)).cast("int").alias("chunk")
     no = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    out = docs.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(DOC).alias("kind"), F.lit(0).alias("block"), "doc_id", "text", no("binary", "data"))
+    out = docs.select(chunk(F.coalesce("doc_id", F.xxhash64("text"))), "kind", F.lit(0).alias("block"), "doc_id", "text", no("binary", "data"))
     out = out.union(chosen.select(chunk(F.col("doc_id")), F.lit(MARK), F.lit(0), "doc_id", no("string", "text"), no("binary", "data")))
     if replies is not None:
         out = out.union(replies.select("chunk", F.lit(REPLY), "block", no("long", "doc_id"), no("string", "text"), "data"))
@@ -223,70 +165,71 @@ def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
     return groupby(pieces(), lambda p: p[0])
 
 
-def _is_wanted(ids: pa.Array, marks: list[np.ndarray]) -> np.ndarray:
-    if not marks:
-        return np.zeros(len(ids), bool)
-    return np.isin(ids.fill_null(0).to_numpy(), np.concatenate(marks)) & ids.is_valid().to_numpy(zero_copy_only=False)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> _TEXTS:
-    for _, group in _by_chunk(batches):
-        marks = []
-        for _, kind, part in group:
-            if kind == MARK:
-                marks.append(part.column(3).to_numpy())
-            else:
-                yield part.column(4), _is_wanted(part.column(3), marks)
-
-
-def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fitted:
-    """wanted: doc_id of the documents that are like the target."""
-    chosen = written(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "target")
-    rows = texts(docs, id_col, text_col)
-    n_bytes = _size(rows)
-    parts = max(8, -(-n_bytes // PART_BYTES))
-    table = written(counts(dealt(rows, chosen, n_bytes), parts, _marked), "grams")
-    release(docs.sparkSession)
-    words = table.where(F.col("block") < WORD_SLOTS).agg(F.sum("background"), F.sum("target"), F.sum("n_keys")).first()
-    return Fitted(table, parts, chosen, np.array([words[0] or 0, words[1] or 0], np.int64), words[2] or 0)
+def _counted(kind: int, ids: pa.Array, marks: list[np.ndarray]) -> np.ndarray:
+    """By row, whether the background and the target count it."""
+    out = np.zeros((2, len(ids)), bool)
+    if kind != QUERY:
+        out[0] = True
+        if marks:
+            out[1] = np.isin(ids.fill_null(0).to_numpy(), np.concatenate(marks)) & ids.is_valid().to_numpy(zero_copy_only=False)
+    return out
 
 
-def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means), score of every whole text."""
-    rows, parts, models = texts(docs, id_col, text_col), fitted.parts, (fitted.total, fitted.vocabulary)
-    n_bytes = _size(rows)
+def post(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From dealt(): each chunk's distinct words and bigrams by blocks, with their counts in the chunk."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _lean()
         for chunk, group in _by_chunk(batches):
-            held = [np.unique(np.concatenate([g[3], g[4][~g[5]]])) for _, kind, part in group if kind == DOC for g in grams(*buffers(part.column(4)))]
-            keys = distinct(held)
-            for block, at in laid(keys, parts):
-                yield pa.RecordBatch.from_pydict({"block": [block], "chunk": [chunk], "keys": [sealed(keys[at])], "counts": [None]}, schema=_ASKED)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _lean()
-        asked = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for block, group in groupby(asked, lambda r: r[0]):
-            known, keys, n = [], None, None
-            for _, chunk, data, found in group:
-                k = opened(data)
-                if chunk < 0:  # the table's rows come first
-                    known.append((k, np.frombuffer(found, "<i8").reshape(2, -1)))
+            marks, held, size = [], [], 0
+            for _, kind, part in group:
+                if kind == MARK:
+                    marks.append(part.column(3).to_numpy())
                     continue
-                if keys is None:
-                    known.sort(key=lambda x: x[0][0])
-                    keys = np.concatenate([x for x, _ in known] or [np.zeros(0, np.uint64)])
-                    n = np.concatenate([x for _, x in known] or [np.zeros((2, 0), np.int64)], axis=1)
-                    known = []
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    reply = n[:, at] * (keys[at] == k)
-                else:
-                    reply = np.zeros((2, len(k)), np.int64)
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "block": [block], "data": [packed(reply)]}, schema=_REPLY)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                counted = _counted(kind, part.column(3), marks)
+                for i, j, row, word, pair, first in grams(*buffers(part.column(4))):
+                    own = counted[:, i:j][:, row]
+                    held.append(summed([(np.concatenate([word, pair[~first]]), np.concatenate([own, own[:, ~first]], axis=1))]))
+                    size += len(held[-1][0])
+                    if size >= HELD and size >= 2 * len(held[0][0]):
+                        held = [summed(held)]
+                        size = len(held[0][0])
+            if not held:
+                continue
+            keys, n = summed(held)
+            order = np.argsort(keys & _U(1), kind="stable")
+            keys, n = keys[order], n[:, order]
+            for block, at in laid(keys, parts):
+                yield pa.RecordBatch.from_pydict({"block": [block], "chunk": [chunk], "keys": [sealed(keys[at])], "n": [packed(n[:, at])]}, schema=_POSTED)
+
+    return run
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From posts by blocks: to each chunk the sums of its keys; and a row of each block's totals (chunk -1)."""
+    _lean()
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for block, group in groupby(rows, lambda r: r[0]):
+        posts, held, size = [], [], 0
+        for _, chunk, keys, n in group:
+            posts.append((chunk, keys))
+            held.append((opened(keys), unpacked(n)))
+            size += len(held[-1][0])
+            if size >= HELD and size >= 2 * len(held[0][0]):
+                held = [summed(held)]
+                size = len(held[0][0])
+        keys, n = summed(held)
+        held.clear()
+        yield pa.RecordBatch.from_pydict({"chunk": [-1], "block": [block], "data": [None], "n_keys": [int((n[0] > 0).sum())], "background": [int(n[0].sum())], "target": [int(n[1].sum())]}, schema=_REPLY)
+        for chunk, own in posts:
+            reply = packed(n[:, np.searchsorted(keys, opened(own))])
+            yield pa.RecordBatch.from_pydict({"chunk": [chunk], "block": [block], "data": [reply], "n_keys": [None], "background": [None], "target": [None]}, schema=_REPLY)
+
+
+def judge(models: Models, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From dealt() with replies: the scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _lean()
         for _, group in _by_chunk(batches):
             marks, replies, held = [], {}, []
@@ -296,25 +239,58 @@ def score(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str
                 elif kind == REPLY:
                     replies |= dict(zip(part.column(2).to_pylist(), part.column(5).to_pylist(), strict=True))
                 else:
-                    wanted = _is_wanted(part.column(3), marks)
+                    counted = _counted(kind, part.column(3), marks)
                     for i, j, row, word, pair, first in grams(*buffers(part.column(4))):
                         ids = pa.array(part.column(3).slice(i, j - i).to_pylist(), pa.int64())  # a copy: the batch is let go
-                        held.append((ids, wanted[i:j], row.astype(np.int32), word, pair, first))
-            keys = distinct([np.unique(np.concatenate([h[3], h[4][~h[5]]])) for h in held])
+                        held.append((kind, ids, counted[:, i:j], row.astype(np.int32), word, pair, first))
+            keys = distinct([np.unique(np.concatenate([h[4], h[5][~h[6]]])) for h in held])
             n = np.zeros((2, len(keys)), np.int64)
             for block, at in laid(keys, parts):
                 n[:, at] = unpacked(replies.pop(block))
             n_words = int((keys & _U(1) == 0).sum())
-            for ids, wanted, row, word, pair, first in held:
+            for kind, ids, counted, row, word, pair, first in held:
+                if kind == CORPUS:
+                    continue
                 at = np.searchsorted(keys[:n_words], word)
                 pair_at = np.where(first, 0, n_words + np.searchsorted(keys[n_words:], np.where(first, _U(0), pair)))
                 size = np.bincount(row, minlength=len(ids))
-                found = losses(models, row, first, at, pair_at, n[:, at], n[:, pair_at], wanted)
+                found = losses(models, row, first, at, pair_at, n[:, at], n[:, pair_at], counted)
                 background, target = (np.bincount(row, x, minlength=len(ids)) / np.maximum(size, 1) for x in found)
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (size.astype(np.int64), target, background, target - background))], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    asked = dealt(rows, fitted.chosen, n_bytes).mapInArrow(ask, "block int, chunk int, keys binary, counts binary")
-    table = fitted.table.select("block", F.lit(-1).alias("chunk"), "keys", "counts")
-    replies = written(table.union(asked).repartition("block").sortWithinPartitions("block", "chunk").mapInArrow(answer, "chunk int, block int, data binary"), "replies")
-    release(docs.sparkSession)
-    return dealt(rows, fitted.chosen, n_bytes, replies).mapInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return run
+
+
+class Scoring(NamedTuple):
+    """What fit() leaves: the documents to judge with marks' ids, the replies, the models, and how the work is cut."""
+
+    rows: DataFrame
+    chosen: DataFrame
+    replies: DataFrame
+    models: Models
+    chunks: int
+    parts: int
+
+    def scores(self) -> DataFrame:
+        return dealt(self.rows, self.chosen, self.chunks, self.replies.where("chunk >= 0")).mapInArrow(judge(self.models, self.parts), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
+def fit(docs: DataFrame, wanted: DataFrame, queries: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Scoring:
+    """Models of docs; wanted: doc_id of those that are like the target. queries: judge these instead of docs (they aren't counted)."""
+    spark = docs.sparkSession
+    chosen = written(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "target")
+    rows = texts(docs, id_col, text_col).select(F.lit(DOC if queries is None else CORPUS).alias("kind"), "doc_id", "text")
+    if queries is not None:
+        rows = rows.union(texts(queries, id_col, text_col).select(F.lit(QUERY).alias("kind"), "doc_id", "text"))
+    n_bytes = _size(rows)
+    chunks, parts = max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES)), max(8, -(-n_bytes // PART_BYTES))
+    posted = dealt(rows, chosen, chunks).mapInArrow(post(parts), "block int, chunk int, keys binary, n binary")
+    replies = written(posted.repartition("block").sortWithinPartitions("block", "chunk").mapInArrow(tally, "chunk int, block int, data binary, n_keys long, background long, target long"), "replies")
+    release(spark)
+    words = replies.where("chunk < 0 and block < 0").agg(F.sum("background"), F.sum("target"), F.sum("n_keys")).first()
+    return Scoring(rows, chosen, replies, Models(np.array([words[0] or 0, words[1] or 0], np.int64), words[2] or 0), chunks, parts)
+
+
+def score(docs: DataFrame, wanted: DataFrame, **options) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (means), score of every whole text."""
+    return fit(docs, wanted, **options).scores()

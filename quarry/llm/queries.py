@@ -50,7 +50,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     wanted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0")
-    return lmscore.score(docs, lmscore.fit(docs, wanted))
+    return lmscore.score(docs, wanted)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,70 +65,74 @@ def test_mix_keeps_every_row(small, labels, odd, none):
     mixing.fit_mix(none, labels, {"high": 1.0, "low": 1.0})
 
 
-def test_background_counts_are_whole(small):
-    rows = {r.block: np.frombuffer(r.counts, "<i8").reshape(2, -1) for r in lmscore.counts(small.select("text", F.lit(False))).collect()}
-    words = sum(int(t[0].sum()) for b, t in rows.items() if (b + 1) * lmscore.RANGE <= lmscore.WORD_SLOTS)
+def words_of(text):
     import re
 
-    assert words == sum(len(re.findall(rb"[0-9A-Za-z\x80-\xff]+", r.text.encode())) for r in small.collect())
-    assert not any(t[1].any() for t in rows.values())
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+
+
+def brute_losses(docs, chosen, queries=None):
+    """(id, tokens, target loss, background loss) by dictionaries; docs, queries: (id, text)."""
+    from collections import Counter
+
+    words, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for i, text in docs:
+        t = words_of(text)
+        for k in (0, 1)[: 1 + (i in chosen)]:
+            words[k].update(t)
+            pairs[k].update(zip(t, t[1:]))
+    size = [sum(w.values()) for w in words]
+    scale = [size[1] / size[0] if all(size) else 1, 1]
+    out = []
+    for i, text in docs if queries is None else queries:
+        t, loss = words_of(text), []
+        for k in (0, 1):
+            own = queries is None and (k == 0 or i in chosen)
+            ow, op = (Counter(t), Counter(zip(t, t[1:]))) if own else (Counter(), Counter())
+            total, each = scale[k] * (size[k] - len(t) * own), []
+            for a, b in zip([None, *t], t):
+                single = (scale[k] * (words[k][b] - ow[b]) + lmscore.ADDED) / (total + lmscore.ADDED * (len(words[0]) + 1))
+                each.append(-np.log(single if a is None else (scale[k] * (pairs[k][a, b] - op[a, b]) + lmscore.PRIOR * single) / (scale[k] * (words[k][a] - ow[a]) + lmscore.PRIOR)))
+            loss.append(sum(each) / max(len(each), 1))
+        out.append((i, len(t), loss[1], loss[0]))
+    return out
 
 
 def test_lm_prefers_its_target(spark):
     good = [(i, " ".join(f"alpha{(i + k) % 20} beta{k % 20}" for k in range(60))) for i in range(60)]
     bad = [(100 + i, " ".join(f"gamma{(i * k) % 20} delta{k % 20}" for k in range(60))) for i in range(60)]
     docs = spark.createDataFrame([*good, *bad], "doc_id long, text string")
-    models = lmscore.fit(docs, spark.range(30).withColumnRenamed("id", "doc_id"))
-    s = {r.doc_id: r.score for r in lmscore.score(docs, models).collect()}
+    s = {r.doc_id: r.score for r in lmscore.score(docs, spark.range(30).withColumnRenamed("id", "doc_id")).collect()}
     assert max(s[i] for i in range(30, 60)) < min(s[i] for i in range(100, 160))
 
 
 def test_lm_odd_tables(odd, none):
-    models = lmscore.fit(odd, odd.where("doc_id < 3"))
-    got = lmscore.score(odd, models).collect()
+    got = lmscore.score(odd, odd.where("doc_id < 3")).collect()
     assert len(got) == odd.count() and {r.score for r in got if r.doc_id in (3, 4)} == {0.0}
-    assert lmscore.score(none, lmscore.fit(none, none)).count() == 0
+    assert lmscore.score(none, none).count() == 0
+    unseen = lmscore.score(odd, none).collect()
+    assert len(unseen) == odd.count() and all(np.isfinite(r.score) for r in unseen)
 
 
 def test_lm_target_counts_all_wanted(spark):
     n = 24_100
     docs = spark.range(n + 100).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
-    models = lmscore.fit(docs, docs.where(F.col("doc_id") < n))
-    assert models.total.tolist() == [2 * (n + 100), 2 * n]
+    fitted = lmscore.fit(docs, docs.where(F.col("doc_id") < n))
+    assert fitted.models.total.tolist() == [2 * (n + 100), 2 * n]
 
 
-def test_lm_counts_are_exact(spark, small, labels, monkeypatch):
-    import re
-    from collections import Counter
-
-    monkeypatch.setattr(lmscore, "PART_BYTES", 4096)
+@pytest.mark.parametrize("chunk_bytes", [1 << 13, 16 << 20])
+def test_lm_losses_by_brute_force(spark, small, labels, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(lmscore, "PART_BYTES", 1 << 14)
+    monkeypatch.setattr(lmscore, "CHUNK_BYTES", chunk_bytes)
     wanted = labels.where("quality = 1")
     chosen = {r.doc_id for r in wanted.collect()}
-    tokens = {r.doc_id: re.findall(rb"[0-9A-Za-z\x80-\xff]+", r.text.encode().lower()) for r in small.collect()}
-    words, pairs = (Counter(), Counter()), (Counter(), Counter())
-    for i, t in tokens.items():
-        for k in (0, 1)[: 1 + (i in chosen)]:
-            words[k].update(t)
-            pairs[k].update(zip(t, t[1:]))
-    fitted = lmscore.fit(small, wanted)
-    assert fitted.vocabulary == len(words[0]) and fitted.table.agg(F.sum("n_keys")).first()[0] == len(words[0]) + len(pairs[0])
-
-    def loss(i, k):
-        t, own = tokens[i], k == 0 or i in chosen
-        w, p = Counter(words[k]), Counter(pairs[k])
-        if own:
-            w.subtract(t)
-            p.subtract(zip(t, t[1:]))
-        total, out = sum(w.values()), []
-        for a, b in zip([None, *t], t):
-            single = (w[b] + lmscore.ADDED) / (total + lmscore.ADDED * (len(words[0]) + 1))
-            out.append(-np.log(single if a is None else (p[a, b] + lmscore.PRIOR * single) / (w[a] + lmscore.PRIOR)))
-        return sum(out) / max(len(out), 1)
-
-    got = {r.doc_id: r for r in lmscore.score(small, fitted).collect()}
-    assert len(got) == len(tokens) and any(i in chosen for i in tokens)
-    for i in sorted(tokens)[:60]:
-        assert got[i].n_tokens == len(tokens[i]) and np.allclose([got[i].background_loss, got[i].target_loss], [loss(i, 0), loss(i, 1)], atol=1e-9)
+    docs = [(r.doc_id, r.text) for r in small.collect()]
+    same = lambda got, want: all(np.allclose(a, b, atol=1e-9) for a, b in zip(sorted(got), sorted(want), strict=True))
+    assert same([(r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.score(small, wanted).collect()], brute_losses(docs, chosen))
+    other = small.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" neverseen words")))
+    got = lmscore.score(small, wanted, queries=other).collect()
+    assert same([(r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got], brute_losses(docs, chosen, [(r.doc_id, r.text) for r in other.collect()]))
 
 
 def test_store(spark, small, odd, none, monkeypatch):
