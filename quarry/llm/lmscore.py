@@ -77,9 +77,18 @@ def distinct(held: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([keys[~odd], keys[odd]])
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
 def _planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte of their places, so that the many zero bytes lie together."""
-    return np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers byte by byte of their places, so that the many zero bytes lie together; compressed, behind their size."""
+    raw = np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _flat(data: bytes) -> np.ndarray:
+    raw = _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 def sealed(keys: np.ndarray) -> bytes:
@@ -88,7 +97,7 @@ def sealed(keys: np.ndarray) -> bytes:
 
 
 def opened(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+    return np.cumsum(_flat(data), dtype=np.uint64)
 
 
 def packed(n: np.ndarray) -> bytes:
@@ -96,7 +105,7 @@ def packed(n: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").reshape(2, -1)
+    return _flat(data).view("<i8").reshape(2, -1)
 
 
 _POSTED = pa.schema([("block", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
@@ -284,8 +293,14 @@ def fit(docs: DataFrame, wanted: DataFrame, queries: DataFrame | None = None, id
         rows = rows.union(texts(queries, id_col, text_col).select(F.lit(QUERY).alias("kind"), "doc_id", "text"))
     n_bytes = _size(rows)
     chunks, parts = max(LEAST_CHUNKS, -(-n_bytes // CHUNK_BYTES)), max(8, -(-n_bytes // PART_BYTES))
-    posted = dealt(rows, chosen, chunks).mapInArrow(post(parts), "block int, chunk int, keys binary, n binary")
-    replies = written(posted.repartition("block").sortWithinPartitions("block", "chunk").mapInArrow(tally, "chunk int, block int, data binary, n_keys long, background long, target long"), "replies")
+    replies = written(
+        dealt(rows, chosen, chunks)
+        .mapInArrow(post(parts), "block int, chunk int, keys binary, n binary")
+        .repartition("block")
+        .sortWithinPartitions("block", "chunk")
+        .mapInArrow(tally, "chunk int, block int, data binary, n_keys long, background long, target long"),
+        "replies",
+    )
     release(spark)
     words = replies.where("chunk < 0 and block < 0").agg(F.sum("background"), F.sum("target"), F.sum("n_keys")).first()
     return Scoring(rows, chosen, replies, Models(np.array([words[0] or 0, words[1] or 0], np.int64), words[2] or 0), chunks, parts)
