@@ -46,9 +46,12 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of finished steps now instead of at the driver's next garbage collection."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets the second free what it held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
