@@ -4,13 +4,20 @@ A classifier trained on the labels table gives each document posteriors p over d
 fitted by projected gradient to least squares: the expected tokens of each domain, sum of r * tokens * p, shall match a budget times
 the domain's weight. The residual is whitened by the second moments of p, so steps of length one converge in a few rounds. From
 r = 1 on, a document's rate depends on its posteriors and on the rounds' small gradients alone; each round is one distributed sum
-of as many numbers as domains, and no rate is ever gathered or shuffled.
+of as many numbers as domains, and no rate is ever gathered or shuffled. After every REPLAYED rounds the rates are written with the
+memberships, so that a round never repeats more than so many steps.
+
+Where no row may go (least of 1 or more), the budget is the smallest one at which rates that rise linearly with the posteriors reach the
+targets; so the domain that limits it gets as many tokens more as other domains' documents bring with them. A fit ends when the
+targets are met within CLOSE of all tokens (Mix.met), or when the least squares no longer fall (targets out of reach, met as closely as
+possible: Mix.met is false); after ROUNDS without either it raises NotSettled. Steps have momentum, which starts anew when the squares
+rise; the sums at the point ahead follow from those of the last two rounds, so that it costs no pass.
 
 A rate becomes whole copies: its integer part, and one more with the probability of the rest, drawn by a hash of the id.
 
 Cases: null and empty texts have no tokens and get the rate of the classifier's base posteriors; unlabelled domains have the posterior that
-their absence leaves; targets that cannot be met with rates of at least `least` are met as closely as least squares
-allow; equal texts get equal rates; rows with equal ids stay separate rows; an empty table gives no rows.
+their absence leaves; a weight of 0 asks for no tokens of a domain, which raises ValueError where no row may go, as do negative or no
+weights; equal texts get equal rates; rows with equal ids stay separate rows; an empty table gives no rows and meets its targets.
 """
 
 from __future__ import annotations
@@ -24,12 +31,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import toxicity
-from quarry.llm.common import buffers, map_batches, texts, written
+from quarry.llm.common import buffers, discard, map_batches, texts, written
 from quarry.llm.toxicity import Model
 from quarry.llm.words import mix
 
 TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
-ROUNDS, CLOSE = 60, 1e-6
+#: Most rounds; the share of all tokens by which a domain may miss; the least relative fall of the squares in SETTLED rounds
+#: that goes on; steps repeated a round.
+ROUNDS, CLOSE, STALLED, SETTLED, REPLAYED = 200, 1e-6, 2e-3, 6, 8
+
+
+class NotSettled(RuntimeError):
+    """The rounds ran out before the targets were met or the least squares stopped falling."""
 
 
 def domain(quality: str = "quality", toxic: str | None = "toxic") -> Column:
@@ -50,12 +63,12 @@ def posteriors(model: Model, column: pa.Array, dense: np.ndarray) -> tuple[np.nd
     return odds / odds.sum(axis=1, keepdims=True), tokens
 
 
-def replay(p: np.ndarray, steps: np.ndarray, least: float) -> np.ndarray:
-    """The rates of documents with posteriors p after these steps."""
-    r = np.maximum(np.ones(len(p)), least)
+def replay(p: np.ndarray, steps: np.ndarray, least: float, at: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The rates of documents with posteriors p after these steps (a gradient and, last, a momentum each) and before the last one; at: where to begin, if not at the first ones."""
+    r, past = at or (np.maximum(np.ones(len(p)), least),) * 2
     for step in steps:
-        r = np.maximum(r - p @ step, least)
-    return r
+        r, past = np.maximum(r + step[-1] * (r - past) - p @ step[:-1], least), r
+    return r, past
 
 
 @dataclasses.dataclass(frozen=True)
@@ -67,6 +80,7 @@ class Mix:
     before: np.ndarray
     after: np.ndarray
     asked: np.ndarray
+    met: bool = True
 
 
 def memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,44 +99,88 @@ def memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def _sums(rows: DataFrame, value, size: int) -> np.ndarray:
-    """The sum over all rows of value(tokens, p), `size` numbers."""
+    """The sum over all rows of value(tokens, p, (rate, the one before)), `size` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 n = batch.column(0).to_numpy().astype(float)
-                total += value(n, batch.column(1).flatten().to_numpy().reshape(len(n), -1))
+                total += value(n, batch.column(1).flatten().to_numpy().reshape(len(n), -1), tuple(batch.column(i).to_numpy() for i in (2, 3)))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["k", "v"])
 
-    found = rows.select("tokens", "p").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    found = rows.select("tokens", "p", "rate", "past").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for r in found:
         out[r.k] = r.v
     return out
 
 
+def _advanced(rows: DataFrame, steps: np.ndarray, least: float) -> DataFrame:
+    """rows with the rates after these steps."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+        found = replay(p, steps, least, tuple(batch.column(i).to_numpy() for i in (2, 3)))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, found)], ["tokens", "p", "rate", "past"])
+
+    return map_batches(rows, run, "tokens long, p array<double>, rate double, past double")
+
+
+def budget_of(before: np.ndarray, second: np.ndarray, weight: np.ndarray, least: float) -> float:
+    """All tokens; where no row may go, the smallest budget that rates 1 + (a non-negative combination of the posteriors) bring to the weights."""
+    total = before.sum() * max(1.0, least)
+    if least < 1 or not total:
+        return total
+    # second / before: a domain's tokens bring other domains' in these shares
+    shares = second / np.maximum(before, 1e-12)[:, None]
+    reach = np.linalg.lstsq(shares.T, weight, rcond=None)[0]
+    if (reach > 1e-3 * weight).all():
+        return max(total, least * (before / reach).max())
+    return max(total, 2 * least * (before / weight).max())  # out of linear reach: slack lets clipped rates come closer
+
+
 def solve(rows: DataFrame, model: Model, targets: dict[str, float], least: float = 0.0, rounds: int = ROUNDS) -> Mix:
-    """Rates of at least `least`; the budget is all tokens, or what keeps every domain at its tokens where least is 1 or more."""
+    """Rates of at least `least` for rows of memberships()."""
     k = len(model.names)
-    weight = np.array([targets[x] for x in model.names])
+    weight = np.array([targets[x] for x in model.names], float)
+    if (weight < 0).any() or not weight.sum() > 0:
+        raise ValueError(f"weights must be non-negative and not all zero: {targets}")
+    if least >= 1 and (weight == 0).any():
+        raise ValueError(f"a domain of weight 0 can't be left out where every row stays: {targets}")
     weight = weight / weight.sum()
-    moments = _sums(rows, lambda n, p: np.concatenate([n @ p, (p.T @ (p * n[:, None])).ravel()]), k + k * k)
+    first = F.lit(max(1.0, least))
+    now_at, table = rows.select("tokens", "p", first.alias("rate"), first.alias("past")), None
+    moments = _sums(now_at, lambda n, p, at: np.concatenate([n @ p, (p.T @ (p * n[:, None])).ravel()]), k + k * k)
     before, second = moments[:k], moments[k:].reshape(k, k)
     total = before.sum()
-    budget = max(total * max(1.0, least), (before * least / np.maximum(weight, 1e-12)).max() if least >= 1 else 0.0)
-    asked = budget * weight
-    inverse = np.linalg.pinv(second / total + 1e-9 * np.eye(k)) if total else np.zeros((k, k))
-    steps, now = np.zeros((0, k)), before
-    if least > 1:
-        now = before * least
-    for _ in range(rounds if total else 0):
+    asked = budget_of(before, second, weight, least) * weight
+    if not total:
+        return Mix(model, np.zeros((0, k + 1)), least, before, before, asked)
+    inverse = np.linalg.pinv(second / total + 1e-9 * np.eye(k))
+    steps, fresh, since = np.zeros((0, k + 1)), 0, 0
+    now = past = before * max(1.0, least)
+    squares, met = [], False
+    for _ in range(rounds):
         gap = (now - asked) / total
-        if np.abs(gap).max() < CLOSE:
+        met = bool(np.abs(gap).max() < CLOSE)
+        squares.append(float(gap @ inverse @ gap))
+        if met or len(squares) > SETTLED and min(squares) > (1 - STALLED) * min(squares[:-SETTLED]):
             break
-        steps = np.vstack([steps, inverse @ gap])
-        now = _sums(rows, lambda n, p, s=steps: (n * replay(p, s, least)) @ p, k)
-    return Mix(model, steps, least, before, now, asked)
+        since = 0 if len(squares) > 1 and squares[-1] > squares[-2] else since + 1
+        momentum = max(0, since - 1) / (since + 2)
+        steps, fresh = np.vstack([steps, [*(inverse @ (gap + momentum * (now - past) / total)), momentum]]), fresh + 1
+        now, past = _sums(now_at, lambda n, p, at, s=steps[-fresh:]: (n * replay(p, s, least, at)[0]) @ p, k), now
+        if fresh == REPLAYED:
+            old, table = table, written(_advanced(now_at, steps[-fresh:], least), "rates")
+            now_at, fresh = table, 0
+            if old is not None:
+                discard(old)
+    else:
+        raise NotSettled(f"{rounds} rounds; tokens {now.tolist()}, asked {asked.tolist()}")
+    if table is not None:
+        discard(table)
+    return Mix(model, steps, least, before, now, asked, met)
 
 
 def _copies(rate: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -135,7 +193,7 @@ def rates(rows: DataFrame, mix_: Mix) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
-        r = replay(p, mix_.steps, mix_.least)
+        r, _ = replay(p, mix_.steps, mix_.least)
         ids = batch.column(0).fill_null(0).to_numpy()
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(r), pa.array(_copies(r, ids))], ["doc_id", "tokens", "p", "rate", "copies"])
 
@@ -152,7 +210,7 @@ def mixed(docs: DataFrame, mix_: Mix, id_col: str = "doc_id", text_col: str = "t
         m = held.value
         if "w" not in state:
             state["w"] = m.model.dense()
-        r = replay(posteriors(m.model, batch.column(at), state["w"])[0], m.steps, m.least)
+        r, _ = replay(posteriors(m.model, batch.column(at), state["w"])[0], m.steps, m.least)
         n = _copies(r, batch.column(of).cast(pa.int64()).fill_null(0).to_numpy())
         return batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
 

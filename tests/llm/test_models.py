@@ -59,12 +59,66 @@ def test_mix_meets_targets(small, labels):
 
 def test_mix_keeps_every_row(small, labels, odd, none):
     mix, _ = mixing.fit_mix(small, labels, {"high": 0.9, "low": 0.1}, least=1.0, of=mixing.domain(toxic=None))
+    assert mix.met and np.allclose(mix.after, mix.asked, rtol=1e-3)
     got = mixing.mixed(small, mix)
     assert got.columns == small.columns and got.select("doc_id").distinct().count() == small.count() <= got.count()
     assert mixing.mixed(odd, mix).count() >= odd.count() and mixing.mixed(none, mix).count() == 0
     mixing.fit_mix(none, labels, {"high": 1.0, "low": 1.0})
 
 
+def nnls(p, tokens, asked, least, rounds=4000):
+    """Plain coordinate descent on the whitened least squares; what the domains get."""
+    a = (p * tokens[:, None]).T
+    w = np.linalg.pinv((p.T @ (p * tokens[:, None])) / tokens.sum() + 1e-9 * np.eye(p.shape[1]))
+    r = np.maximum(np.ones(len(p)), least)
+    scale = np.einsum("ki,kl,li->i", a, w, a)
+    gap = a @ r - asked
+    for _ in range(rounds):
+        for i in np.flatnonzero(tokens):
+            new = max(least, r[i] - a[:, i] @ w @ gap / scale[i])
+            gap += a[:, i] * (new - r[i])
+            r[i] = new
+    return gap + asked, float(gap @ w @ gap) / tokens.sum() ** 2
+
+
+class Names:
+    names = ("a", "b", "c")
+
+
+@pytest.mark.parametrize(("weights", "least", "reachable"), [((0.2, 0.3, 0.5), 0.0, True), ((0.9, 0.05, 0.05), 0.0, False), ((0.5, 0.3, 0.2), 1.0, True), ((0.0, 0.5, 0.5), 0.0, False)])
+def test_mix_against_plain_least_squares(spark, monkeypatch, weights, least, reachable):
+    monkeypatch.setattr(mixing, "REPLAYED", 3)
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([2, 2, 2], 60)
+    tokens = rng.integers(0, 400, 60)
+    rows = spark.createDataFrame([(i, int(n), x.tolist()) for i, (n, x) in enumerate(zip(tokens, p))], "doc_id long, tokens long, p array<double>")
+    mix = mixing.solve(rows, Names, dict(zip(Names.names, weights)), least)
+    want, squares = nnls(p, tokens.astype(float), mix.asked, least, 300)
+    assert mix.met == reachable
+    if reachable:
+        assert np.allclose(mix.after, mix.asked, atol=1e-5 * tokens.sum())
+    got = (mix.after - mix.asked) / tokens.sum()
+    w = np.linalg.pinv((p.T @ (p * tokens[:, None])) / tokens.sum() + 1e-9 * np.eye(3))
+    assert got @ w @ got <= squares * 1.25 + 1e-9
+    assert np.allclose(mix.after, (tokens * mixing.replay(p, mix.steps, least)[0]) @ p)
+
+
+def test_mix_refuses(spark):
+    rows = spark.createDataFrame([(1, 5, [0.2, 0.3, 0.5])], "doc_id long, tokens long, p array<double>")
+    for weights, least in (((0, 0, 0), 0.0), ((-1, 1, 1), 0.0), ((0, 0.5, 0.5), 1.0)):
+        with pytest.raises(ValueError):
+            mixing.solve(rows, Names, dict(zip(Names.names, weights)), least)
+    with pytest.raises(mixing.NotSettled):
+        mixing.solve(rows, Names, {"a": 1, "b": 1, "c": 1}, rounds=0)
+
+
+def test_mix_odd_tables(odd, none, small, labels):
+    mix, _ = mixing.fit_mix(small, labels)
+    rows = mixing.rates(mixing.memberships(odd, mix.model), mix)
+    assert rows.count() == odd.count() and rows.where("rate < 0 or copies < 0 or rate is null").count() == 0
+    assert mixing.rates(mixing.memberships(none, mix.model), mix).count() == 0
+
+
 def words_of(text):
     import re
 
