@@ -206,8 +206,46 @@ def test_store_commits_once(spark, small):
         store._commit(1, [])
     lost = store._write(small.limit(3))  # written, never committed
     assert store.read().count() == 5
-    store.vacuum()
-    assert not store.fs.exists(store.path(lost.path)) and store.read().count() == 5
+    assert store.vacuum() == 0 and store.fs.exists(store.path(lost.path))
+    assert store.vacuum(lease=0) == 1 and not store.fs.exists(store.path(lost.path)) and store.read().count() == 5
+    store._create(f"{store.root}/versions/{2:012d}", "")  # a writer that was lost while committing
+    assert store.version() == 1 and store.read().count() == 5
+    with pytest.raises(shards.Conflict):
+        store._commit(2, store.runs())
+    store.vacuum(lease=0)
+    store.append(small.limit(2))
+    assert store.version() == 2 and store.read().count() == 7
+
+
+def test_store_readers_and_writers_go_on(spark, small):
+    """Through a compaction: a reader of an earlier version, an older version, and a writer that commits afterwards."""
+    store, other = (shards.Store(spark, root) for root in [scratch(spark, "store")] * 2)
+    for _ in range(3):
+        store.append(small.limit(5))
+    early = store.read()
+    late = other._write(small.limit(7))
+    store.append(small.limit(5))
+    assert store.compact() == 1 and len(store.runs()) == 1
+    assert store.vacuum() == 0
+    assert early.count() == 15 and store.read(3).count() == 15 and store.read().count() == 20
+    version, runs = other._snapshot()
+    other._commit(version + 1, [*runs, late])
+    assert store.read().count() == 27
+    store.vacuum(keep=1, lease=0)
+    assert store.read().count() == 27
+    with pytest.raises(KeyError):
+        store.read(3)
+
+
+def test_store_concurrent_appends(spark, small):
+    import threading
+
+    root = scratch(spark, "store")
+    threads = [threading.Thread(target=lambda: shards.Store(spark, root).append(small.limit(4))) for _ in range(6)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    store = shards.Store(spark, root)
+    assert store.version() == 6 and store.read().count() == 24
 
 
 def test_store_odd_tables(spark, odd, none):
