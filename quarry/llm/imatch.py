@@ -2,8 +2,8 @@
 
 Terms are lower-cased runs of letters and digits. The lexicon holds the terms in a band of inverse document frequency, counted
 over all documents: a term in at least LEAST and at most MOST of them. Since a document has finitely many distinct terms, at
-most (mean distinct terms) / LEAST terms lie above the lower bound whatever the corpus; the lexicon is kept as a bitmap of SLOTS
-bits over term hashes, a fixed 128 KB. SUBSETS randomised subsets of the lexicon keep a term with probability 1/4 to
+most (mean distinct terms) / LEAST terms lie above the lower bound whatever the corpus. It is kept as an array of SLOTS short lists of
+terms' 64-bit hashes, in which a term is looked up by its slot and compared in full. SUBSETS randomised subsets of the lexicon keep a term with probability 1/4 to
 1/512; the sorted distinct terms of a text in a subset are hashed into one part of its fingerprint (0: no such term).
 Likeness is the share of equal parts among those where either text has terms.
 
@@ -15,16 +15,20 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import texts
 
 LEAST, MOST = 0.005, 0.25
-SLOT_BITS = 20
+SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 SUBSETS, RATES = 64, 8
 NO_ID = -(1 << 63)
+#: Bytes of text in a range of ids.
+RANGE_BYTES = 16 << 20
 
 
 def let(value: Column, use) -> Column:
@@ -43,20 +47,18 @@ def _slot(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: bits, an array of SLOTS / 64 longs in which the slots of terms within the band are set."""
+    """One row: slots, an array of SLOTS arrays with the hashes of the band's terms."""
     n = docs.count()
     df = docs.select(F.explode(terms(F.coalesce(text_col, F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    band = df.where((F.col("df") >= max(2, LEAST * n)) & (F.col("df") <= max(2, MOST * n))).select(_slot(F.col("term")).alias("slot"))
-    words = band.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    every = docs.sparkSession.range(SLOTS // 64).join(words, "id", "left")  # as many rows whatever the corpus
-    return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).getField("bits").alias("bits"))
+    band = df.where((F.col("df") >= max(2, LEAST * n)) & (F.col("df") <= max(2, MOST * n))).select("term", _slot(F.col("term")).alias("id"))
+    words = band.groupBy("id").agg(F.sort_array(F.collect_list("term")).alias("terms"))  # bounded by the band
+    every = docs.sparkSession.range(SLOTS).join(words, "id", "left")  # as many rows whatever the corpus
+    return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms")))).getField("terms").alias("slots"))
 
 
-def in_lexicon(found: Column, bits: Column) -> Column:
+def in_lexicon(found: Column, slots: Column) -> Column:
     """The sorted terms of the lexicon, or all where there is none."""
-    def holds(t: Column) -> Column:
-        return F.getbit(F.get(bits, F.shiftright(_slot(t), 6).cast("int")), _slot(t).bitwiseAND(F.lit(63)).cast("int")) == 1
-
+    holds = lambda t: F.array_contains(F.get(slots, _slot(t).cast("int")), t)
     return F.sort_array(let(found, lambda every: let(F.filter(every, holds), lambda known: F.when(F.size(known) > 0, known).otherwise(every))))
 
 
@@ -90,15 +92,14 @@ def as_text(found: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, bucket, donor and next_text, the text of the next document in descending doc_id (after the last: the first).
 
-    Documents are dealt by ranges of ids; the last of each range gets a copy of the next range's first (a donor), so no window
-    spans more than a range.
+    Documents are dealt by ranges of ids, as many as the table's bytes call for; the last of each range gets a copy of the next range's first
+    (a donor), so no window spans more than a range.
     """
     spark = docs.sparkSession
-    count = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20_000).alias("b")).first().b or []
-    edges = sorted(set(bounds))
-    dealt = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if edges else F.lit(0)
+    count = max(8, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE_BYTES))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], max(20_000, 10 * count)).alias("b")).first().b or []
+    dealt = _range_of(F.col("doc_id"), sorted(set(bounds)))
     rows = docs.withColumn("bucket", dealt)
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()  # a row for each range
     gives = [(r.top, tops[(i + 1) % len(tops)].bucket) for i, r in enumerate(tops)]  # to the range above; the highest to the lowest
@@ -107,6 +108,17 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(_order())).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def _range_of(value: Column, edges: list[int]) -> Column:
+    """How many of the ascending edges are at most value: first among every so many, then within that stretch."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(edges)))
+    heads, rows = edges[step::step], [edges[i : i + step] for i in range(0, len(edges), step)]
+    literal = lambda x, kind: F.from_json(F.lit(str(x)), kind)
+    below = lambda e: F.size(F.filter(e, lambda b: b <= value))
+    return let(below(literal(heads, "array<bigint>")), lambda row: row * step + below(F.get(literal(rows, "array<array<bigint>>"), row)))
+
+
 def _order():
     return Window.partitionBy("bucket").orderBy("donor", F.col("doc_id").desc(), F.xxhash64("text"))
 
@@ -114,12 +126,12 @@ def _order():
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document and its edited text."""
     base = texts(docs, id_col, text_col)
-    # the bitmap has one size for any corpus; as a constant it is held once a task, not copied by row
-    bits = F.from_json(F.lit(str(lexicon(base).first().bits)), "array<bigint>")
+    # the lexicon is bounded for any corpus; as a constant it is held once a task, not copied by row
+    slots = F.from_json(F.lit(str(lexicon(base).first().slots)), "array<array<bigint>>")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) as int))"), F.coalesce(F.substring("next_text", F.lit(1), half), F.lit("")))
     rows = with_next(base).withColumn("edited", edited)
-    rows = rows.select("bucket", "donor", "doc_id", F.xxhash64("text").alias("text"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), in_lexicon(terms(F.col("text")), bits).alias("own"), in_lexicon(terms(F.col("edited")), bits).alias("other"))
+    rows = rows.select("bucket", "donor", "doc_id", F.xxhash64("text").alias("text"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), in_lexicon(terms(F.col("text")), slots).alias("own"), in_lexicon(terms(F.col("edited")), slots).alias("other"))
     rows = rows.select("bucket", "donor", "doc_id", "text", "n_chars", "edited_sha256", parts(F.col("own")).alias("own"), parts(F.col("other")).alias("other"))
     rows = rows.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("donor", F.col("doc_id").desc(), "text"))).where("not donor")
     return rows.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.coalesce("next", "own")).alias("near_next"))

@@ -204,6 +204,68 @@ def test_op4(spark, small):
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.7 * len(got)
 
 
+def xxh64(data, seed=42):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def xxh64_long(value, seed):
+    """Spark's hash of a long: of its eight bytes."""
+    return xxh64((value & (1 << 64) - 1).to_bytes(8, "little"), seed)
+
+
+def brute_prints(texts, corpus):
+    """Fingerprints of texts by plain sets; corpus: the texts that the lexicon is counted over."""
+    of = lambda text: {w for w in re.split(r"[\W_]+", text.lower()) if w}
+    df = defaultdict(int)
+    for text in corpus:
+        for w in of(text):
+            df[w] += 1
+    n = len(corpus)
+    lexicon = {w for w, k in df.items() if max(2, imatch.LEAST * n) <= k <= max(2, imatch.MOST * n)}
+    masks = [((1 << r) - 1) << 2 + r * (r - 1) // 2 for r in range(imatch.RATES)]
+    out = []
+    for text in texts:
+        own = of(text) & lexicon or of(text)
+        hashes = sorted(signed(xxh64(w.encode())) for w in own)
+        parts = []
+        for seed in range(1, imatch.SUBSETS // imatch.RATES + 1):
+            # a term's draw: the hash of the seed, itself seeded by the hash of the term
+            drawn = [xxh64(seed.to_bytes(4, "little"), xxh64_long(h, 42)) for h in hashes]
+            for mask in masks:
+                kept = [signed(d) for d in drawn if not d & 3 and not d & mask]
+                h = 42
+                for d in kept:
+                    h = xxh64_long(d, h)
+                parts.append(h if kept else 0)
+        out.append(parts)
+    return out
+
+
+def test_op4_by_brute_force(spark, small):
+    docs = sorted(((r.doc_id, r.text) for r in small.collect()), reverse=True)
+    ascii_only = [(i, t) for i, t in docs if t.isascii()]
+    got = {r.doc_id: r for r in queries.op4_imatch(spark, SF).collect()}
+    want = dict(zip([i for i, _ in docs], brute_prints([t for _, t in docs], [t for _, t in docs])))
+    for i, _ in ascii_only:
+        assert got[i].fingerprint == "".join(f"{p:016x}" for p in want[i]), i
+    for (i, _), (j, _) in zip(docs, docs[1:] + docs[:1]):
+        said = [x == y for x, y in zip(want[i], want[j]) if x or y]
+        if i in dict(ascii_only) and j in dict(ascii_only):
+            assert abs(got[i].near_next - (sum(said) / len(said) if said else 1)) < 1e-9
+
+
+def test_op4_many_ranges(spark, small, monkeypatch):
+    whole = sorted(map(tuple, imatch.fingerprints(small).collect()))
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 20_000)
+    assert sorted(map(tuple, imatch.fingerprints(small).collect())) == whole
+
+
 def test_op4_odd_tables(odd, none, spark):
     got = imatch.fingerprints(odd).collect()
     assert len(got) == odd.count() and imatch.fingerprints(none).count() == 0
