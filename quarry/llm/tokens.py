@@ -1,5 +1,8 @@
 """Token ids in directly addressable files.
 
+Each shard is a file of its own, written and read through pyarrow's file systems (the shared folder must be in a store that these open on the
+executors); a table beside them, which Spark commits, names the files that count, so those of lost or repeated tasks are never read.
+
 A shard holds the ids of whole documents. An id is split into 8-bit chunks, lowest first: level 0 has a
 byte for every id, and a bit in the level's continuation bitmap says whether the next level holds more of it. A directory of
 ranks (set bits before each 512-bit block) turns an id's place on one level into its place on the next, so that any id is
@@ -8,6 +11,9 @@ read by one byte and at most one popcount of 64 bytes a level, without decoding
 Layout, little-endian: b"DAC1", u32 levels, u64 ids, u64 documents; by level u64 bytes; by level the chunk bytes; by level
 but the last the bitmap (64-byte blocks) and the u64 ranks; then documents' ids (i64) and starts in the shard (u64).
 
+Shard opens a file and reads single ids, or the ids of a stretch or of a document, by their places alone; from bytes it does the same
+in memory.
+
 Cases: null text is empty and holds the end id alone; documents are in ascending doc_id order (nulls
 first), equal ids in the order of their texts' hashes; a document never spans shards, however long; an empty
 table writes no shard and reads no rows; other columns of the input are ignored.
@@ -22,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,56 +62,84 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
 
 
 class Shard:
-    """Random access to the ids of a packed shard."""
+    """Random access to the ids of a packed shard; source: its bytes, or an open file of pyarrow's."""
 
-    def __init__(self, blob: bytes):
-        if blob[:4] != MAGIC:
+    def __init__(self, source):
+        self.read = (lambda at, size: source[at : at + size]) if isinstance(source, (bytes, memoryview)) else (lambda at, size: source.read_at(size, at))
+        if bytes(self.read(0, 4)) != MAGIC:
             raise ValueError("not a token shard")
-        levels, self.n, docs = struct.unpack_from("<IQQ", blob, 4)
-        sizes = struct.unpack_from(f"<{levels}Q", blob, 24)
+        levels, self.n, self.docs = struct.unpack("<IQQ", self.read(4, 20))
+        self.sizes = struct.unpack(f"<{levels}Q", self.read(24, 8 * levels))
         at = 24 + 8 * levels
-        take = lambda kind, count, pos: np.frombuffer(blob, kind, count, pos)
-        self.chunks, self.maps = [], []
-        for size in sizes:
-            self.chunks.append(take(np.uint8, size, at))
-            at += size
-        for size in sizes[:-1]:
+        self.chunk_at = [at + sum(self.sizes[:k]) for k in range(levels)]
+        at += sum(self.sizes)
+        self.maps = []  # where a level's bitmap and ranks begin
+        for size in self.sizes[:-1]:
             blocks = -(-size // BLOCK_BITS)
-            bits = take(np.uint8, blocks * BLOCK_BITS // 8, at)
-            at += len(bits)
-            self.maps.append((bits, take("<u8", blocks, at)))
-            at += 8 * blocks
-        self.doc_ids = take("<i8", docs, at)
-        self.starts = take("<u8", docs, at + 8 * docs).astype(np.int64)
+            self.maps.append((at, at + blocks * BLOCK_BITS // 8))
+            at += blocks * (BLOCK_BITS // 8 + 8)
+        self.docs_at = at
 
     def __len__(self) -> int:
         return self.n
 
+    def _array(self, kind: str, count: int, at: int) -> np.ndarray:
+        return np.frombuffer(self.read(at, count * np.dtype(kind).itemsize), kind)
+
+    def _ones_before(self, level: int, i: int) -> int:
+        """Set bits of a level's bitmap before place i: a rank and at most one block."""
+        bits, ranks = self.maps[level]
+        block = i // BLOCK_BITS
+        if block * BLOCK_BITS == self.sizes[level]:  # behind the last block
+            return self.sizes[level + 1]
+        n = int(self._array("<u8", 1, ranks + 8 * block)[0])
+        own = self._array("u1", (i >> 3) - block * BLOCK_BITS // 8 + 1, bits + block * BLOCK_BITS // 8)
+        return n + int(_ONES[own[:-1]].sum()) + int(_ONES[own[-1] & (1 << (i & 7)) - 1])
+
     def __getitem__(self, i: int) -> int:
         """The i-th id, from one byte a level."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for level, chunk in enumerate(self.chunks):
-            value |= int(chunk[i]) << 8 * level
-            if level == len(self.maps) or not self.maps[level][0][i >> 3] >> (i & 7) & 1:
+        for level, at in enumerate(self.chunk_at):
+            value |= int(self._array("u1", 1, at + i)[0]) << 8 * level
+            if level == len(self.maps) or not self._array("u1", 1, self.maps[level][0] + (i >> 3))[0] >> (i & 7) & 1:
                 break
-            bits, ranks = self.maps[level]
-            block = i // BLOCK_BITS
-            whole = bits[block * BLOCK_BITS // 8 : i >> 3]
-            i = int(ranks[block]) + int(_ONES[whole].sum()) + int(_ONES[bits[i >> 3] & (1 << (i & 7)) - 1])
+            i = self._ones_before(level, i)
         return value
 
-    def ids(self) -> np.ndarray:
-        """All ids at once."""
-        value = self.chunks[-1].astype(np.uint32)
-        for chunk, (bits, _) in zip(reversed(self.chunks[:-1]), reversed(self.maps), strict=True):
-            more = np.unpackbits(bits, count=len(chunk), bitorder="little").view(bool)
-            lower = chunk.astype(np.uint32)
-            lower[more] |= value << np.uint32(8)
-            value = lower
+    def ids(self, a: int = 0, b: int | None = None, level: int = 0) -> np.ndarray:
+        """The ids at places a to b (on a level: what they have from it on), of which alone the bytes are read."""
+        b = self.sizes[level] if b is None else b
+        value = self._array("u1", b - a, self.chunk_at[level] + a).astype(np.uint32)
+        if level < len(self.maps) and b > a:
+            byte = a >> 3
+            more = np.unpackbits(self._array("u1", (b + 7 >> 3) - byte, self.maps[level][0] + byte), bitorder="little")[a - 8 * byte : b - 8 * byte].view(bool)
+            first, n = self._ones_before(level, a), int(more.sum())
+            value[more] |= self.ids(first, first + n, level + 1) << np.uint32(8)
         return value
 
+    @functools.cached_property
+    def doc_ids(self) -> np.ndarray:
+        return self._array("<i8", self.docs, self.docs_at)
+
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        return self._array("<u8", self.docs, self.docs_at + 8 * self.docs).astype(np.int64)
+
+    def document(self, doc_id: int) -> np.ndarray:
+        """The ids of the first document with this id."""
+        k = int(np.searchsorted(self.doc_ids, doc_id))
+        if k == self.docs or self.doc_ids[k] != doc_id:
+            raise KeyError(doc_id)
+        return self.ids(int(self.starts[k]), int(self.starts[k + 1]) if k + 1 < self.docs else self.n)
+
+
+def open_file(path: str):
+    """A file of pyarrow's for random reads."""
+    store, place = FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -148,11 +183,12 @@ def tokenizer(path: str) -> Encoder:
     return Encoder(path)
 
 
-_ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary())])
+_ROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("file", pa.string())])
+_INDEX = "part int, seq int, before long, n_ids long, first long, last long, file string"
 
 
 def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int = SHARD_IDS, end_id: int = END_ID, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes whole texts in ascending doc_id order into shards under root (a folder that all executors share)."""
+    """Encodes whole texts in ascending doc_id order into shards under root (a folder that all executors share), and an index of them."""
     path = path or tokenizer_path()
     spark = docs.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -163,9 +199,13 @@ def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int =
 
         def shard():
             ids, names, lengths = map(np.concatenate, zip(*held, strict=True))
-            blob = pack(ids, names, np.cumsum(lengths) - lengths)
             held.clear()
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "shard": [blob]}, schema=_ROW), len(ids)
+            file = f"{root}/shards/{part:06d}-{seq:06d}-{TaskContext.get().taskAttemptId()}.dac"
+            store, place = FileSystem.from_uri(file)
+            store.create_dir(place.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(place) as out:
+                out.write(pack(ids, names, np.cumsum(lengths) - lengths))
+            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "before": [before], "n_ids": [len(ids)], "first": [int(names[0])], "last": [int(names[-1])], "file": [file]}, schema=_ROW), len(ids)
 
         for batch in batches:
             names = batch.column(0).fill_null(NO_ID).to_numpy()
@@ -182,37 +222,46 @@ def write(docs: DataFrame, root: str, path: str | None = None, shard_ids: int =
 
     small_batches(spark)
     ordered = texts(docs, id_col, text_col).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, seq int, before long, n_ids long, shard binary").write.parquet(root)
+    ordered.mapInArrow(run, _INDEX).write.parquet(f"{root}/index")
 
 
 #: Stands for a null doc_id in a shard.
 NO_ID = -(1 << 63)
 
 
+def index(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each shard: part and seq (its place in the order), before (ids of the part before it), n_ids, first and last doc_id, file."""
+    return spark.read.schema(_INDEX).parquet(f"{root}/index")
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
     """From the shards under root, per document: doc_id, start (ids before it in all shards), n_tokens, ids_crc32."""
-    shards = spark.read.schema("part int, seq int, before long, n_ids long, shard binary").parquet(root)
+    shards = index(spark, root)
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each range of ids
     starts = np.cumsum([0, *(r.n for r in parts)]).tolist()
     base = {r.part: b for r, b in zip(parts, starts, strict=False)}
 
     def run(batches):
         for batch in batches:
-            for part, before, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                s, first = Shard(blob), base[part] + before
-                raw = memoryview(s.ids().astype("<u4").tobytes())
+            for part, before, file in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with open_file(file) as f:
+                    s, first = Shard(memoryview(f.read_buffer())), base[part] + before
                 ends = np.append(s.starts[1:], len(s))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if x == NO_ID else x for x in s.doc_ids.tolist()], pa.int64()),
-                        pa.array(s.starts + first),
-                        pa.array(ends - s.starts),
-                        pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(s.starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return shards.select("part", "before", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                sums = [zlib.crc32(s.ids(a, b).astype("<u4").tobytes()) for a, b in zip(s.starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([None if x == NO_ID else x for x in s.doc_ids.tolist()], pa.int64()), pa.array(s.starts + first), pa.array(ends - s.starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    # a task for each few shards, however small the index's files are
+    tasks = max(1, min(sum(1 for _ in parts) * 2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return shards.select("part", "before", "file").repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def document(spark: SparkSession, root: str, doc_id: int) -> np.ndarray:
+    """The ids of one document: of the shards, one file is opened, and of it the document's bytes are read."""
+    rows = index(spark, root).where((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).orderBy("part", "seq").select("file").take(1)
+    if not rows:
+        raise KeyError(doc_id)
+    with open_file(rows[0].file) as f:
+        return Shard(f).document(doc_id)
 
 
 def write_and_read(docs: DataFrame, **options) -> DataFrame:

@@ -110,8 +110,13 @@ def test_shard_random_access():
     assert s.doc_ids.tolist() == [7, 9] and s.starts.tolist() == [0, 1500]
     with pytest.raises(IndexError):
         s[3000]
+    for a, b in ((0, 0), (0, 1), (511, 513), (512, 1024), (1000, 2999), (2990, 3000), (3000, 3000)):
+        assert s.ids(a, b).tolist() == ids[a:b].tolist()
+    assert s.document(9).tolist() == ids[1500:].tolist()
     small = tokens.Shard(tokens.pack(np.array([1, 2], np.uint32), np.array([1]), np.array([0])))
-    assert len(small.chunks) == 1 and small.ids().tolist() == [1, 2]
+    assert len(small.sizes) == 1 and small.ids().tolist() == [1, 2]
+    full = np.full(1024, 300, np.uint32)
+    assert tokens.Shard(tokens.pack(full, np.array([1]), np.array([0]))).ids(512).tolist() == full[512:].tolist()
 
 
 def test_many_small_shards(spark, small):
@@ -119,6 +124,35 @@ def test_many_small_shards(spark, small):
     root = scratch(spark, "shards")
     tokens.write(small, root, shard_ids=500, partitions=7)
     assert {tuple(r) for r in tokens.read(spark, root).collect()} == whole
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    for r in small.limit(5).collect():
+        assert tokens.document(spark, root, r.doc_id).tolist() == [*t.encode(r.text, add_special_tokens=False).ids, 2]
+    with pytest.raises(KeyError):
+        tokens.document(spark, root, -5)
+
+
+def test_files_are_addressed_directly(spark, small):
+    """Single ids and stretches from an open file, with no more bytes read than they need."""
+    root = scratch(spark, "shards")
+    tokens.write(small, root, partitions=3)
+
+    class Counting:
+        def __init__(self, file):
+            self.file, self.n = file, 0
+
+        def read_at(self, size, at):
+            self.n += size
+            return self.file.read_at(size, at)
+
+    for row in tokens.index(spark, root).collect():
+        with tokens.open_file(row.file) as f:
+            counting = Counting(f)
+            s, every = tokens.Shard(counting), tokens.Shard(memoryview(tokens.open_file(row.file).read_buffer())).ids()
+            assert len(s) == row.n_ids == len(every)
+            counting.n = 0
+            for i in range(0, len(s), 997):
+                assert s[i] == every[i]
+            assert counting.n < 90 * (len(s) // 997 + 1)
 
 
 def test_op10(spark, small):
