@@ -6,12 +6,15 @@ smaller start. The work is done in three steps, each written to the shared folde
 1. Candidates. Of a string's 69 32-byte grams, the one with the smallest hash (leftmost of equals) is its anchor, so equal strings have equal
    anchors at equal offsets. The strings that one anchor serves start side by side; the stretch they cover is its context. Rows of
    (anchor, hash of the context, place) are sorted: every context but the first of equal ones is covered as a whole, and an anchor with a
-   single context has no repeated string. What is left are first occurrences of different contexts around one anchor.
+   single context has no repeated string. What is left are first occurrences of different contexts around one anchor. Contexts of one anchor
+   are told apart by 64-bit hashes, not by their bytes: n of them have an equal pair with probability n ** 2 / 2 ** 65 (1e-6 for 10 million).
 2. Suffix arrays. Those contexts are cut into slices of neighbouring strings, dealt by the bytes that all strings of a slice share,
-   so equal strings meet in one group and hot anchors are split. A group's suffixes are sorted by the difference-cover algorithm:
+   so equal strings meet in one group; anchors of more than HOT contexts get narrower slices, which share more bytes, so that a
+   passage in very many texts is dealt by what stands around it. Of equal slices in a batch only the first is dealt. A group's suffixes are sorted by the difference-cover algorithm:
    sampled triples (positions not divisible by three) are sorted and named, names are sorted by recursion until
    they tell 100 bytes apart, the remaining suffixes are sorted by a character and a sampled rank, and merged. Adjacent
-   suffixes whose first 100 bytes are equal form a run; all of a run but its earliest are repeats.
+   suffixes whose first 100 bytes are equal form a run; all of a run but its earliest are repeats. That sort is local to a task. A
+   group that is still above GROUP_BYTES is read in the order of its places and only the strings' hashes (64 bits) are kept.
 3. The intervals of both steps are gathered by document and cut out.
 
 The characters of the suffix sort are 8-byte words; a text's words at each of the eight phases follow one another, so a
@@ -41,8 +44,10 @@ PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 4 * STRING
 #: Strings of one slice have offsets to their anchor in a range of this width.
 SLICE, SLICES_AT_ONCE = 35, 1 << 14
-#: Groups are sorted together up to so many bytes; a larger group is sorted alone.
-SORT_BYTES = 1 << 20
+#: Anchors of more than so many contexts, and the width of their slices.
+HOT, NARROW = 512, 12
+#: Groups are sorted together up to so many bytes; above GROUP_BYTES a group's strings are told apart by hashes alone.
+SORT_BYTES, GROUP_BYTES = 1 << 20, 4 << 20
 NO_ID = -(1 << 63)
 _U = np.uint64
 _GRAMS = STRING - GRAM + 1
@@ -114,8 +119,8 @@ def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lo, lo + (code >> 8 & 255), lo + (code & 255)
 
 
-#: What a context is: covered as a whole, or one of several around its anchor; others have no row.
-COVERED, RESIDUAL = 1, 2
+#: What a context is: covered as a whole, or one of several, or of more than HOT, around its anchor; others have no row.
+COVERED, RESIDUAL, CROWDED = 1, 2, 3
 _CONTEXT = "anchor long, context long, doc_id long, tie long, code long, done boolean"
 _FOUND = "kind int, doc_id long, tie long, a long, b long"
 
@@ -140,7 +145,8 @@ def _found(kind: int, doc, tie, a, b) -> pa.RecordBatch:
 
 def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, context and place: what each context is (a row's a and b: an interval, or anchor and code)."""
-    last, held, met = (None, None), None, 0  # of the last anchor: its only context yet, number of contexts
+    last, held, met = (None, None), None, 0  # of the last anchor: its distinct contexts if HOT at most, and their number
+    told = lambda rows, kind: _found(kind, rows[1], rows[2], rows[0], rows[3])
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -160,18 +166,23 @@ def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         begins = np.ones(len(a), bool)
         begins[1:] = a[1:] != a[:-1]
         group = np.cumsum(begins) - 1
-        count = np.bincount(group, ~same)
+        count = np.bincount(group, ~same).astype(np.int64)
         rows = np.stack([x[live] for x in (anchor, doc, tie, code)])[:, ~same]
         of = group[~same]
         if last[0] == int(a[0]):
             count[0] += met
             if held is not None:
-                rows, of = np.concatenate([held, rows], axis=1), np.concatenate([[0], of])
+                rows, of = np.concatenate([held, rows], axis=1), np.concatenate([np.zeros(held.shape[1], np.int64), of])
+        elif held is not None and met > 1:
+            yield told(held, RESIDUAL)
         end = group[-1]
-        left = rows[:, count[of] > 1]
-        yield _found(RESIDUAL, left[1], left[2], left[0], left[3])
-        held = rows[:, of == end] if count[end] == 1 else None
+        open_end = (of == end) & (count[end] <= HOT)
+        yield told(rows[:, (count[of] > 1) & (count[of] <= HOT) & ~open_end], RESIDUAL)
+        yield told(rows[:, count[of] > HOT], CROWDED)
+        held = rows[:, open_end] if count[end] <= HOT else None
         met, last = int(count[end]), (int(a[-1]), int(c[-1]))
+    if held is not None and met > 1:
+        yield told(held, RESIDUAL)
 
 
 # ---- difference-cover suffix sorting
@@ -256,7 +267,10 @@ def repeats(data: np.ndarray, start: np.ndarray, order: tuple[np.ndarray, ...])
 
 
 def _cut_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A row for each slice of the documents' residual contexts; key: of the anchor, the offsets and the bytes that all strings of a slice share."""
+    """A row for each slice of the documents' residual contexts; key: of the anchor, the offsets and the bytes that all strings of a slice share.
+
+    Slices that equal an earlier one of the batch are covered: they have no bytes and are dealt out anywhere.
+    """
     data, offsets = buffers(batch.column(2))
     sets = batch.column(3)
     flat = sets.flatten()
@@ -264,26 +278,33 @@ def _cut_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     row = np.repeat(np.arange(len(ids)), np.diff(at))
     anchor, code = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+    width = np.where(flat.field(2).to_numpy(zero_copy_only=False), NARROW, SLICE)
     lo, hi, p = _unpack(code)
-    first, last = (p - hi) // SLICE, (p - lo) // SLICE
+    first, last = (p - hi) // width, (p - lo) // width
     of = np.repeat(np.arange(len(lo)), last - first + 1)
     part = ranges(first, last - first + 1)
-    middle = p[of] - part * SLICE
-    begin, end = np.maximum(lo[of], middle - SLICE + 1), np.minimum(hi[of], middle)
+    middle = p[of] - part * width[of]
+    begin, end = np.maximum(lo[of], middle - width[of] + 1), np.minimum(hi[of], middle)
     order = np.lexsort((begin, row[of]))
     of, part, middle, begin, end = (x[order] for x in (of, part, middle, begin, end))
-    view, base = memoryview(data), offsets[row[of]]
+    view, base, eights = memoryview(data), offsets[row[of]], unaligned(data)
     for i in range(0, len(of), SLICES_AT_ONCE):
         k = slice(i, i + SLICES_AT_ONCE)
+        shared = (STRING + 1 - width[of[k]]).tolist()
         m = (base[k] + middle[k]).tolist()
-        keys = [_digest(view[x : x - SLICE + 1 + STRING], a + q) for x, a, q in zip(m, anchor[of[k]].tolist(), part[k].tolist(), strict=True)]
-        strings = end[k] - begin[k] + 1
+        key = np.array([_digest(view[x : x + w], a + q) for x, w, a, q in zip(m, shared, anchor[of[k]].tolist(), part[k].tolist(), strict=True)], np.int64)
+        own, strings = row[of[k]], end[k] - begin[k] + 1
         size = strings + STRING - 1
+        value = mix(stretches(data, eights, base[k] + begin[k], base[k] + begin[k] + size) ^ key.view(np.uint64)) + (middle[k] - begin[k]).astype(np.uint64)
+        by = np.lexsort((begin[k], ties[own], ids[own], value))
+        again = np.zeros(len(by), bool)
+        again[by[1:]] = value[by[1:]] == value[by[:-1]]
+        key[again] = mix(key[again].view(np.uint64) + ids[own[again]].astype(np.uint64) + begin[k][again].astype(np.uint64)).view(np.int64)
+        size = np.where(again, 0, size)
         bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         payload = data[ranges(base[k] + begin[k], size)]
         raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(payload.tobytes())])
-        own = row[of[k]]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[own]), pa.array(ties[own]), pa.array(begin[k]), pa.array(strings), raw], ["key", "doc_id", "tie", "start", "strings", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[own]), pa.array(ties[own]), pa.array(begin[k]), pa.array(strings), raw], ["key", "doc_id", "tie", "start", "strings", "bytes"])
 
 
 def _digest(shared: bytes, seed: int) -> int:
@@ -292,54 +313,125 @@ def _digest(shared: bytes, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(shared, seed & (1 << 64) - 1) - (1 << 63)
 
 
+def _intervals_of(part: pa.Table, again: np.ndarray, row: np.ndarray, place: np.ndarray) -> pa.RecordBatch | None:
+    """Repeated strings (of slices `row`, at `place`) as intervals; neighbours are joined."""
+    at = np.flatnonzero(again)
+    if not len(at):
+        return None
+    doc, tie = part["doc_id"].to_numpy(), part["tie"].to_numpy()
+    first = np.ones(len(at), bool)
+    first[1:] = (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])
+    begin, end = at[first], at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)]
+    return _found(COVERED, doc[row[begin]], tie[row[begin]], place[begin], place[end] + STRING)
+
+
+def _strings(part: pa.Table) -> tuple[np.ndarray, ...]:
+    """The slices' bytes; by string: its slice, where it begins in the bytes, and in its text."""
+    start, strings = part["start"].to_numpy(), part["strings"].to_numpy()
+    data, offsets = buffers(part["bytes"])
+    row = np.repeat(np.arange(part.num_rows), strings)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+    return data, row, offsets[:-1][row] + within, start[row] + within
+
+
+def _sorted_groups(part: pa.Table) -> pa.RecordBatch | None:
+    """Repeats in whole groups, by a suffix array of all their bytes."""
+    key = part["key"].to_numpy()
+    alone = np.ones(len(key), bool)
+    alone[1:] &= key[1:] != key[:-1]
+    alone[:-1] &= key[1:] != key[:-1]
+    part = part.filter(pa.array(~alone)).combine_chunks()
+    if not part.num_rows:
+        return None
+    data, row, at, place = _strings(part)
+    return _intervals_of(part, repeats(data, at, (part["doc_id"].to_numpy()[row], part["tie"].to_numpy()[row], place)), row, place)
+
+
+class _Streamed:
+    """A group too large to sort, in the order of its places: the hashes of the strings met so far."""
+
+    def __init__(self):
+        self.seen, self.held = np.zeros(0, np.uint64), None
+
+    def take(self, part: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        """Slices of one document are judged together, so those of the last one wait for the next call."""
+        part = part if self.held is None else pa.concat_tables([self.held, part]).combine_chunks()
+        cut = part.num_rows
+        if not last and cut:
+            doc, tie = part["doc_id"].to_numpy(), part["tie"].to_numpy()
+            cut = int(np.flatnonzero((doc != doc[-1]) | (tie != tie[-1]))[-1:].sum() + 1) if ((doc != doc[-1]) | (tie != tie[-1])).any() else 0
+        self.held, part = part.slice(cut), part.slice(0, cut).combine_chunks()
+        if part.num_rows:
+            data, row, at, place = _strings(part)
+            h = stretches(data, unaligned(data), at, at + STRING)
+            by = np.lexsort((place, part["tie"].to_numpy()[row], part["doc_id"].to_numpy()[row], h))
+            h = h[by]
+            again = np.zeros(len(h), bool)
+            again[1:] = h[1:] == h[:-1]
+            known = np.minimum(np.searchsorted(self.seen, h), max(0, len(self.seen) - 1))
+            if len(self.seen):
+                again |= self.seen[known] == h
+            out = np.zeros(len(h), bool)
+            out[by] = again
+            self.seen = np.sort(np.concatenate([self.seen, h[~again]]))
+            if (found := _intervals_of(part, out, row, place)) is not None:
+                yield found
+
+
 def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From slices sorted by key: the intervals of repeated strings."""
+    """From slices sorted by key, document and start: the intervals of repeated strings."""
     held: list[pa.RecordBatch] = []
+    hot, hot_key = None, None
 
-    def ready(part: pa.Table) -> pa.RecordBatch | None:
-        key = part["key"].to_numpy()
-        alone = np.ones(len(key), bool)
-        alone[1:] &= key[1:] != key[:-1]
-        alone[:-1] &= key[1:] != key[:-1]
-        part = part.filter(pa.array(~alone)).combine_chunks()
-        if not part.num_rows:
-            return None
-        key, doc, tie, start, strings = (part[c].to_numpy() for c in ("key", "doc_id", "tie", "start", "strings"))
-        data, offsets = buffers(part["bytes"])
-        row = np.repeat(np.arange(len(key)), strings)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
-        place = start[row] + within
-        again = repeats(data, offsets[:-1][row] + within, (doc[row], tie[row], place))
-        at = np.flatnonzero(again)
-        if not len(at):
-            return None
-        first = np.ones(len(at), bool)
-        first[1:] = (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])
-        begin, end = at[first], at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)]
-        return _found(COVERED, doc[row[begin]], tie[row[begin]], place[begin], place[end] + STRING)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.nbytes for b in held) < SORT_BYTES:
-            continue
-        table = pa.Table.from_batches(held)
+    def groups(table: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        """Judges all groups, or all but the last one, which may go on and is left in `held`."""
+        nonlocal held
         key = table["key"].to_numpy()
         cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        stop = int(cut[-1]) if len(cut) else 0  # the last group may go on
-        lengths = np.concatenate([[0], np.cumsum([len(x) for x in table["bytes"].to_pylist()])]) if stop else np.zeros(1)
+        stop = len(key) if whole else int(cut[-1]) if len(cut) else 0
+        cut = np.append(cut, len(key))
+        _, lengths = buffers(table["bytes"])
         i = 0
         while i < stop:
             k = int(np.searchsorted(cut, np.searchsorted(lengths, lengths[i] + SORT_BYTES, "right"), "left"))
             j = int(cut[min(k, len(cut) - 1)])
-            j = j if j > i else int(cut[np.searchsorted(cut, i, "right")])
-            if (out := ready(table.slice(i, j - i))) is not None:
+            j = min(j, stop) if j > i else int(cut[np.searchsorted(cut, i, "right")])
+            if lengths[j] - lengths[i] > 2 * SORT_BYTES:  # ends with a large group: the others first
+                before = cut[(cut > i) & (cut < j)]
+                j = int(before[-1]) if len(before) else j
+            if lengths[j] - lengths[i] > GROUP_BYTES:
+                yield from _Streamed().take(table.slice(i, j - i), True)
+            elif (out := _sorted_groups(table.slice(i, j - i))) is not None:
                 yield out
             i = j
         held = table.slice(stop).combine_chunks().to_batches()
-    if held and (out := ready(pa.Table.from_batches(held))) is not None:
-        yield out
+
+    for batch in batches:
+        sizes = np.diff(buffers(batch.column(5))[1])
+        if (done := np.flatnonzero(sizes == 0)).size:
+            doc, tie, start, strings = (batch.column(k).to_numpy()[done] for k in (1, 2, 3, 4))
+            yield _found(COVERED, doc, tie, start, start + strings - 1 + STRING)
+            batch = batch.filter(pa.array(sizes > 0))
+        if hot is not None and batch.num_rows:
+            n = int(np.searchsorted(batch.column(0).to_numpy() != hot_key, True))
+            yield from hot.take(pa.Table.from_batches([batch.slice(0, n)]), n < batch.num_rows)
+            batch = batch.slice(n)
+            hot = hot if not batch.num_rows else None
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size = sum(b.nbytes for b in held)
+        if size < SORT_BYTES:
+            continue
+        yield from groups(pa.Table.from_batches(held), False)
+        if sum(b.nbytes for b in held) > GROUP_BYTES:  # one group, which goes on
+            hot, hot_key = _Streamed(), held[0].column(0)[0].as_py()
+            yield from hot.take(pa.Table.from_batches(held), False)
+            held = []
+    if hot is not None:
+        yield from hot.take(pa.Table.from_batches([], schema=hot.held.schema), True)
+    if held:
+        yield from groups(pa.Table.from_batches(held), True)
 
 
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,9 +440,9 @@ def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = map_batches(docs, _find_contexts, _CONTEXT)
     judged = written(found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "tie", "code").mapInArrow(_judge_contexts, _FOUND), "contexts")
     release(spark)
-    residual = judged.where(F.col("kind") == RESIDUAL).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("contexts"))
+    residual = judged.where(F.col("kind") != COVERED).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b", (F.col("kind") == CROWDED).alias("hot"))).alias("contexts"))
     cut = map_batches(docs.join(residual, ["doc_id", "tie"]).select("doc_id", "tie", "text", "contexts"), _cut_slices, "key long, doc_id long, tie long, start long, strings long, bytes binary")
-    again = written(cut.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_slices, _FOUND), "repeats")
+    again = written(cut.repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start").mapInArrow(_sort_slices, _FOUND), "repeats")
     release(spark)
     return judged.where(F.col("kind") == COVERED).select("doc_id", "tie", "a", "b"), again.select("doc_id", "tie", "a", "b")
 

@@ -181,6 +181,47 @@ def test_op8_small_pieces(spark, monkeypatch):
     assert got == brute_cut([(i, t.encode()) for i, t in docs])
 
 
+@pytest.mark.parametrize(("hot", "group_bytes", "sort_bytes"), [(3, 4 << 20, 1 << 20), (512, 3_000, 1_000), (3, 2_000, 1_000)])
+def test_op8_hot_passages(spark, monkeypatch, hot, group_bytes, sort_bytes):
+    """A passage of 66, 95 and 300 bytes in very many texts with other bytes around it, in all ways that a hot group may take."""
+    for name, value in (("HOT", hot), ("GROUP_BYTES", group_bytes), ("SORT_BYTES", sort_bytes)):
+        monkeypatch.setattr(suffix, name, value)
+    r = random.Random(8)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in (66, 95, 300)]
+    around = lambda: "".join(r.choice("xyz") for _ in range(r.choice([0, 2, 40])))
+    docs = [(i, around() + r.choice(passages) + around() + (r.choice(passages) if i % 7 == 0 else "") + around()) for i in range(400)]
+    want = brute_cut([(i, t.encode()) for i, t in docs])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffix.deduplicate(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert got == want
+
+
+def test_op8_memory_of_a_hot_key():
+    """100,000 slices of one key, every second one a repeat of strings."""
+    import resource
+
+    import pyarrow as pa
+
+    def batches():
+        for lo in range(0, 100_000, 5_000):
+            ids = np.arange(lo, lo + 5_000)
+            raw = [b"%08d" % (i // 2) + b"p" * 66 + b"%026d" % (i // 2) + b"tail" for i in ids.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(5_000, 7)), pa.array(ids), pa.array(ids * 0), pa.array(ids * 0), pa.array(ids * 0 + 5), pa.array(raw, pa.binary())], ["key", "doc_id", "tie", "start", "strings", "bytes"])
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = pa.Table.from_batches(list(suffix._sort_slices(batches())))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
+    assert found["doc_id"].to_pylist() == list(range(1, 100_000, 2)) and set(found["b"].to_pylist()) == {104}
+
+
+def test_op8_long_text(spark):
+    """A text above the size of a piece, twice, the second time with a byte changed."""
+    r = random.Random(11)
+    text = "".join(r.choice("abcdefghijklmnop ") for _ in range((1 << suffix.PLACE_BITS) + 200_000))
+    docs = [(1, text), (2, text[:700_000] + "!" + text[700_001:])]
+    got = {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept).decode()) for x in suffix.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1][:2] == (0, 0) and got[2] == (len(text) - 1, 2, "!")
+
+
 def test_cut_odd_tables(odd, none):
     cut = suffix.cut_texts(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
