@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,16 +15,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests, one machine)."""
+    """Folder that every executor sees: spark.checkpoint.dir, or a temporary one where it is unset and there is one machine alone (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Paths in the shared folder that this process has given out and not deleted.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,11 +44,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    spark = df.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what operators have left in the shared folder within this block, but for the tables that are put into the list.
+
+    An operator's result reads its last tables when it is used, so these stay until the caller has written the result.
+    """
+    before, kept = set(_MADE), []
+    try:
+        yield kept
+    finally:
+        for path in [x for x in _MADE if x not in before and x not in {df.written_to for df in kept}]:
+            _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -42,4 +42,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")
     roots = now.select(F.col("lo").alias("node")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out = now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+    out.written_to = now.written_to
+    return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import buffers, map_batches, texts, written
+from quarry.llm.common import buffers, discard, map_batches, texts, written
 from quarry.llm.components import components
 from quarry.llm.words import Words, blocks, mix
 
@@ -216,7 +216,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", -F.col("hub"), "n", "hub_n")).alias("v")).select(F.col("doc_id").alias("a"), (-F.col("v.col2")).alias("b"), "v.n", "v.hub_n")
     links = written(confirmed(best.where(_may_link("n", "hub_n")).select("a", "b"), sets), "links")
 
-    first = written(components(links), "components")
+    of_hubs = components(links)
+    first = written(of_hubs, "components")
+    discard(of_hubs)
     placed = shared.select("bucket", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     left = written(placed.join(mixed, "bucket").select("bucket", "doc_id", "n", "component", "size", F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("size") / BLOCK_SETS)).cast("long").alias("blocks")), "mixed")
@@ -225,6 +227,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & _may_link("n", "m")).select("a", "b").distinct()
     more = written(confirmed(pairs, sets).union(_blockwise(left.where(f"size > {SMALL}"), sets)), "links")
     parts = components(links.union(more))
+    discard(shared, sets, links, first, left, more)
 
     of_set = distinct_sets.join(parts, distinct_sets.doc_id == parts.node, "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
     rows = full.join(of_set, "set_key").select("doc_id", "n", "component").union(found.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component")))

@@ -66,6 +66,45 @@ def test_mix_keeps_every_row(small, labels, odd, none):
     mixing.fit_mix(none, labels, {"high": 1.0, "low": 1.0})
 
 
+def test_ftrl_by_the_book():
+    """Against the published update, coordinate by coordinate."""
+    r = np.random.default_rng(4)
+    examples = [(sorted(set(r.integers(0, 30, 6).tolist())), int(r.random() < 0.4)) for _ in range(300)]
+    m, z, n = toxicity.Ftrl(0.4), {}, {}
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    bias = toxicity.BUCKETS
+    z[bias], n[bias] = -np.log(0.4 / 0.6) * (b / a + l2), 0.0
+
+    def weight(i):
+        own = 0 if i == bias else l1
+        if abs(z.get(i, 0.0)) <= own:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * own) / ((b + np.sqrt(n[i])) / a + l2)
+
+    for own, label in examples:
+        own = [*own, bias]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in own:
+            sigma = (np.sqrt(n.get(i, 0.0) + g * g) - np.sqrt(n.get(i, 0.0))) / a
+            z[i] = z.get(i, 0.0) + g - sigma * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+        m.learn(np.array(own), label)
+    assert np.allclose(m.weights(np.array([*range(30), bias])), [weight(i) for i in [*range(30), bias]])
+    assert any(weight(i) for i in range(30)) and not all(weight(i) for i in range(30))
+
+
+def test_scores_are_sums_of_distinct_features(spark, small, labels):
+    from quarry.llm.words import Words
+
+    model = toxicity.fit_toxic(small, labels)
+    weights = dict(zip(model.bucket.tolist(), model.weight[:, 0].tolist()))
+    for r in toxicity.score(small, model).join(small, "doc_id").limit(30).collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        found = {x for _, bucket in toxicity.features(Words(raw, np.array([0, len(raw)]), toxicity.IS_WORD)) for x in bucket.tolist()}
+        assert abs(r.score - 1 / (1 + np.exp(-(model.bias[0] + sum(weights.get(x, 0.0) for x in found))))) < 1e-5
+
+
 def nnls(p, tokens, asked, least, rounds=4000):
     """Plain coordinate descent on the whitened least squares; what the domains get."""
     a = (p * tokens[:, None]).T

@@ -28,4 +28,22 @@ def test_stages(spark, small):
 
 
 def test_run(spark):
+    import os
+
+    from quarry.llm.common import shared_dir
+
+    listed = lambda: set(os.listdir(f"{shared_dir(spark).removeprefix('file://')}/quarry"))
+    before = listed()
     assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [x.split("-")[0] for x in listed() - before] == [corpus_pipeline.STAGES[-2][0]]
+
+
+def test_odd_tables_through_all_stages(spark, odd, none):
+    for table in (odd, none):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, docs, SF), name)
+            assert name == corpus_pipeline.STAGES[-1][0] or (out.columns == table.columns and out.schema["bucket"].dataType == table.schema["bucket"].dataType)
+            docs = out
+        ids = {r.doc_id for r in docs.collect()}
+        assert ids == ({r.doc_id for r in odd.collect()} - {2} if table is odd else set())
