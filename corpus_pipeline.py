@@ -3,6 +3,10 @@ mixed to target weights, and what is left is encoded.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written and read again as the next stage's docs. No stage
 but the last changes the columns. The mixing stage repeats rows and never drops one (rates are 1 or more).
+
+Cases, stage by stage as in the operators: null and empty texts are clean, alone, uncut, kept once or more, and have no ids; null ids stay;
+rows of equal ids are judged for toxicity one by one, are one document for near-duplicates, and stay or go together; columns of any
+other name, those of results included, pass through all stages but the last; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, mixing, neardup, suffix, toxicity
-from quarry.llm.common import written
+from quarry.llm.common import discard, temporary, written
 
 #: Token weights of the domains after mixing.
 TARGETS = {"high": 0.9, "low": 0.1}
@@ -49,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the stages leave in the shared folder goes when the next stage's docs are written."""
+    docs = last = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as kept:
+            docs = written(stage(spark, last, sf_dir), name)
+            kept.append(docs)
+        if last is not docs and hasattr(last, "written_to"):
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
