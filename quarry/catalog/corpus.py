@@ -56,59 +56,49 @@ def name_map_fallback(t):
     return files.name_mapping(names, "name", exact, libs).select("p_partkey", "target")
 
 
-_DEP = "(select distinct l_orderkey % 97 as upstream, l_orderkey % 97 + 1 + l_linenumber as downstream from lineitem where l_linenumber <= 2)"
+#: Orders, parts and suppliers of all line items; keys of the three kinds stay apart.
+_DEP = "(select distinct l_orderkey * 4 as upstream, l_partkey * 4 + 1 as downstream from lineitem union select l_partkey * 4 + 1, l_suppkey * 4 + 2 from lineitem)"
 
 
 def _dep(t):
-    return t.lineitem.where("l_linenumber <= 2").selectExpr("l_orderkey % 97 as upstream", "l_orderkey % 97 + 1 + l_linenumber as downstream").distinct()
+    return t.lineitem.selectExpr("l_orderkey * 4 as upstream", "l_partkey * 4 + 1 as downstream").union(t.lineitem.selectExpr("l_partkey * 4 + 1", "l_suppkey * 4 + 2")).distinct()
 
 
-@query(f"select upstream, downstream from {_DEP}")
+@query("select l_orderkey * 4 as upstream, l_partkey * 4 + 1 as downstream, list_sort(list(distinct l_returnflag)) as subjects from lineitem group by 1, 2")
 def dep_edges(t):
-    return _dep(t)
+    e = t.lineitem.select((F.col("l_orderkey") * 4).alias("src"), (F.col("l_partkey") * 4 + 1).alias("dst"), F.col("l_returnflag").alias("subject"), F.lit("export").alias("kind"))
+    return graph.fold_edges(e.union(e.select("dst", "src", "subject", F.lit("import"))))
 
 
-_LINK = "(select distinct p_partkey as a, p_partkey + 1 as b from part where p_partkey % 5 <> 0 union select p_partkey, p_partkey + 50 from part where p_partkey % 37 = 0)"
-
-
-def _link(t):
-    x = t.part.where("p_partkey % 5 <> 0").selectExpr("p_partkey as a", "p_partkey + 1 as b")
-    return x.union(t.part.where("p_partkey % 37 = 0").selectExpr("p_partkey as a", "p_partkey + 50 as b")).distinct()
-
-
-@query(f"with recursive e as (select a, b from {_LINK} union select b, a from {_LINK}), r(node, seen) as (select a, a from e union select e.b, r.seen from r join e on e.a = r.node) select node, min(seen) as component from r group by node")
+@query("select o_orderkey as node, -1000000000000 - c_nationkey as component from orders join customer on c_custkey = o_custkey union select -1 - c_custkey, -1000000000000 - c_nationkey from customer union select distinct -1000000000000 - c_nationkey, -1000000000000 - c_nationkey from customer")
 def components(t):
-    return graph.components(_link(t))
+    return graph.components(t.orders.selectExpr("o_orderkey as a", "-1 - o_custkey as b").union(t.customer.selectExpr("-1 - c_custkey", "-1000000000000 - c_nationkey")))
 
 
-_WEAK = "(select distinct l_partkey as src, l_suppkey as dst from lineitem where l_linenumber = 1 and l_partkey <= 60)"
+_WEAK = "(select distinct l_partkey as src, l_suppkey as dst from lineitem)"
 
 
 @query(f"with e as (select src, src % 20 as p, dst % 7 as c from {_WEAK}) select p as producer_root, count(distinct c) as consumers, case when count(distinct c) = 1 then 'absorb' else 'promote' end as decision from e where p <> c group by 1")
 def weak_edges_promote(t):
-    weak = t.lineitem.where("l_linenumber = 1 and l_partkey <= 60").selectExpr("l_partkey as src", "l_suppkey + 1000000 as dst").distinct()
-    parts = weak.selectExpr("src as node", "src % 20 as component").distinct().union(weak.selectExpr("dst as node", "(dst - 1000000) % 7 as component").distinct())
+    weak = t.lineitem.selectExpr("l_partkey as src", "-1 - l_suppkey as dst").distinct()  # keys of suppliers and parts stay apart
+    parts = weak.selectExpr("src as node", "src % 20 as component").distinct().union(weak.selectExpr("dst as node", "(-1 - dst) % 7 as component").distinct())
     return graph.promote_weak(weak, parts)
 
 
 @query()
 def weak_edges_promote_all(t):
-    weak = t.lineitem.selectExpr("l_partkey as src", "-1 - l_suppkey as dst").distinct()  # keys of suppliers and parts stay apart
-    parts = weak.selectExpr("src as node", "src % 20 as component").distinct().union(weak.selectExpr("dst as node", "(-1 - dst) % 7 as component").distinct())
-    return graph.promote_weak(weak, parts)
+    return weak_edges_promote(t)
 
 
-@query("with recursive e as (select distinct n_nationkey as u, n_nationkey * 2 + 1 as d from nation where n_nationkey * 2 + 1 < 40 union select n_nationkey, n_nationkey * 2 + 2 from nation where n_nationkey * 2 + 2 < 40), r(node, depth) as (select 0, 0 union select e.d, r.depth + 1 from r join e on e.u = r.node) select cast(node as bigint) as node, cast(max(depth) as integer) as layer from r group by node")
+@query("select node, cast(max(layer) as integer) as layer from (select l_orderkey * 4 as node, 0 as layer from lineitem union select l_partkey * 4 + 1, 1 from lineitem union select l_suppkey * 4 + 2, 2 from lineitem) group by 1")
 def kahn_layers(t):
-    e = merge.stack(*[t.nation.selectExpr("cast(n_nationkey as bigint) as upstream", f"cast(n_nationkey * 2 + {k} as bigint) as downstream").where("downstream < 40") for k in (1, 2)])
-    return graph.layers(e)
+    return graph.layers(_dep(t))
 
 
-@query("select cast(k as bigint) as node, cast(k - k % 4 as bigint) as cycle from range(0, 24) r(k)")
+@query("select o_orderkey * 5 + k as node, o_orderkey * 5 as cycle from orders, range(0, 4) r(k)")
 def graph_cycles(t):
-    n = t.nation.where("n_nationkey < 24").selectExpr("cast(n_nationkey as bigint) as k")
-    ring = n.selectExpr("k as upstream", "case when k % 4 = 3 then k - 3 else k + 1 end as downstream")
-    return graph.cycles(ring.union(n.selectExpr("k", "k + 100")))
+    n = t.orders.select((F.col("o_orderkey") * 5).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    return graph.cycles(n.selectExpr("n + k as upstream", "n + case when k = 4 then 0 else (k + 1) % 4 end as downstream"))
 
 
 @query(f"with e as {_DEP}, n as (select upstream as node from e union select downstream from e) select node, cast(node not in (select downstream from e) as integer) as is_root, cast(node not in (select upstream from e) as integer) as is_leaf from n")
@@ -189,16 +179,15 @@ def keyword_score(t):
     return t.pages.select("page_id", F.round(retrieval.keyword_score(F.col("url"), F.col("html"), F.array().cast("array<string>"), ["Page"]), 4).alias("score"))
 
 
-@query("with r as (select doc_id, cast(row_number() over (order by n_chars desc, doc_id) as integer) as pos, doc_id % 17 as s from documents) select doc_id, cast(row_number() over (order by case when pos <= 20 then 0 else 1 end, case when pos <= 20 then -s end, pos) as integer) as place from r where pos <= 60")
+@query("with r as (select doc_id, cast(row_number() over (order by n_chars desc, doc_id) as integer) as pos, doc_id % 17 as s from documents) select doc_id, cast(row_number() over (order by case when pos <= 20 then 0 else 1 end, case when pos <= 20 then -s end, pos) as integer) as place from r")
 def rerank_window(t):
-    x = step.row_counter(t.documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], name="pos").where("pos <= 60").withColumn("s", F.expr("doc_id % 17"))
+    x = step.row_counter(t.documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], name="pos").withColumn("s", F.expr("doc_id % 17"))
     return retrieval.rerank_window(x, "pos", "s", 20).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query()
 def rerank_window_all(t):
-    x = step.row_counter(t.documents.select("doc_id", "n_chars"), ["-n_chars", "doc_id"], name="pos").withColumn("s", F.expr("doc_id % 17"))
-    return retrieval.rerank_window(x, "pos", "s", 20).select("doc_id", "place")
+    return rerank_window(t).withColumn("place", F.col("place").cast("long"))
 
 
 @query("with a as (select conv_id, turn, length(text) as s, row_number() over (partition by conv_id order by turn desc) as tl from conversations), b as (select *, row_number() over (partition by conv_id, tl <= 2 order by s desc, turn desc) as bs from a) select conv_id, turn from b where tl <= 2 or bs <= 1")
@@ -371,9 +360,9 @@ def catalogue_inherit(t):
 # ---- text
 
 
-@query("select doc_id % 10 as doc, doc_id as page, case when doc_id % 3 = 0 then 'body ' || doc_id else 'head' || chr(10) || 'body ' || doc_id end as text from documents where doc_id < 100".replace("case when doc_id % 3 = 0 then 'body ' || doc_id else 'head' || chr(10) || 'body ' || doc_id end", "'body ' || doc_id"))
+@query("select doc_id % 10 as doc, doc_id as page, 'body ' || doc_id as text from documents")
 def running_headers(t):
-    x = t.documents.where("doc_id < 100").select((F.col("doc_id") % 10).alias("doc"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("body "), "doc_id", F.lit("\n17"))).otherwise(F.concat(F.lit("head\nbody "), "doc_id")).alias("text"))
+    x = t.documents.select((F.col("doc_id") % 10).alias("doc"), F.col("doc_id").alias("page"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("body "), "doc_id", F.lit("\n17"))).otherwise(F.concat(F.lit("head\nbody "), "doc_id")).alias("text"))
     return text.running_headers(x, "doc", "page", "text")
 
 

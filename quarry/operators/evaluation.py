@@ -70,7 +70,9 @@ def required_terms(text: Column, terms: list[str]) -> Column:
 
 def mentioned(text: Column, name: str) -> Column:
     """The full name as a substring, or its last part as a word of its own."""
-    bare = name.lower().rpartition(".")[2]
+    import re
+
+    bare = re.escape(name.lower().rpartition(".")[2])
     return F.contains(F.lower(text), F.lit(name.lower())) | F.rlike(F.lower(text), F.lit(rf"(?<![a-z0-9_]){bare}(?![a-z0-9_])"))
 
 
@@ -108,18 +110,26 @@ def greedy_matches(pairs: DataFrame, by: str, left: str, right: str, score: str,
     schema = StructType([pairs.schema[c] for c in (by, left, right, score)])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used_l, used_r = None, set(), set()
+        used_l, used_r = set(), set()
         for pdf in batches:
             take = []
-            for g, a, b in zip(pdf[by], pdf[left], pdf[right], strict=True):
-                if g != now:
-                    now, used_l, used_r = g, set(), set()
+            for o, a, b in zip(pdf["_o"], pdf[left], pdf[right], strict=True):
+                if o == 1:
+                    used_l, used_r = set(), set()
                 free = a not in used_l and b not in used_r
                 take.append(free)
                 if free:
                     used_l.add(a)
                     used_r.add(b)
-            yield pdf[take]
+            yield pdf[take].drop(columns="_o")
+
+    best = Window.partitionBy(by).orderBy(F.col(score).desc(), left, right)
+    rows = pairs.where(F.col(score) >= least).select(by, left, right, score).withColumn("_o", F.row_number().over(best))
+    return rows.sortWithinPartitions(by, "_o").mapInPandas(fold, schema)
+
 
-    rows = pairs.where(F.col(score) >= least).select(by, left, right, score)
-    return rows.repartition(by).sortWithinPartitions(by, F.col(score).desc(), left, right).mapInPandas(fold, schema)
+def match_f1(matches: DataFrame, sizes: DataFrame, by: str, left: str, right: str) -> DataFrame:
+    """by, score: F1 of one-to-one matches (by, ...) against the numbers of items on both sides (sizes: by, left, right); 1 where both are none."""
+    n = matches.groupBy(by).agg(F.count("*").alias("_n"))
+    total = F.col(left) + F.col(right)
+    return sizes.join(n, by, "left").select(by, F.when(total == 0, 1.0).otherwise(2 * F.coalesce("_n", F.lit(0)) / total).alias("score"))

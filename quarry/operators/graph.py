@@ -10,12 +10,20 @@ from pyspark.sql import functions as F
 from quarry.sources.files import scratch
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share and read back: lineage ends here, and a lost executor costs no more than a read."""
+def _cut(df: DataFrame, *old: DataFrame) -> DataFrame:
+    """df written to the folder that executors share and read back: lineage ends here, and a lost executor costs no more than a read.
+
+    old: tables of earlier calls that nothing reads any more; they are deleted.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_to = path
+    for x in old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(x.cut_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return out
 
 
 def nearest_preceding(df: DataFrame, name: str, idx: str, producer: str, consumer: str) -> DataFrame:
@@ -68,7 +76,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = _cut(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct())
     mark = None
     for _ in range(rounds):
-        now = _cut(_star(_star(now, True), False))
+        now = _cut(_star(_star(now, True), False), now)
         row = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if row == mark:
             break
@@ -94,49 +102,77 @@ def layers(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """node, layer: waves of nodes whose upstreams are all done; what lies on or behind a cycle gets layer -1. edges: upstream, downstream."""
     left = _cut(edges.select("upstream", "downstream").distinct())
     every = edges.select(F.col("upstream").alias("node")).union(edges.select("downstream")).distinct()
-    todo, done = _cut(every), None
+    todo, waves = _cut(every.select("node", F.lit(-1).alias("layer"))), []
     for layer in range(rounds):
-        waiting = left.select(F.col("downstream").alias("node")).distinct()
-        ready = _cut(todo.join(waiting, "node", "left_anti"))
-        if ready.isEmpty():
+        waiting = left.select(F.col("downstream").alias("node"), F.lit(True).alias("waits")).distinct()
+        judged = _cut(todo.join(waiting, "node", "left").select("node", F.when(F.col("waits"), -1).otherwise(layer).alias("layer")), todo)
+        wave, todo = judged.where("layer >= 0"), judged.where("layer < 0")
+        todo.cut_to = judged.cut_to
+        if wave.isEmpty():
             break
-        wave = ready.withColumn("layer", F.lit(layer))
-        done = wave if done is None else done.union(wave)
-        todo = _cut(todo.join(ready, "node", "left_anti"))
-        left = _cut(left.join(ready.withColumnRenamed("node", "upstream"), "upstream", "left_anti"))
+        waves.append(_cut(wave))
+        todo = _cut(todo, judged)
+        left = _cut(left.join(waves[-1].select(F.col("node").alias("upstream")), "upstream", "left_anti"), left)
     else:
         raise RuntimeError("no fixed point")
-    rest = todo.withColumn("layer", F.lit(-1))
-    return rest if done is None else done.union(rest)
+    out = todo
+    for wave in waves:
+        out = out.union(wave)
+    return out
+
+
+def _trimmed(edges: DataFrame, rounds: int) -> tuple[DataFrame, int]:
+    """Edges whose ends have both an edge in and an edge out, and their number: what isn't between cycles goes from both ends."""
+    n = edges.count()
+    for _ in range(rounds):
+        outs, ins = edges.select(F.col("downstream").alias("upstream")).distinct(), edges.select(F.col("upstream").alias("downstream")).distinct()
+        edges = _cut(edges.join(outs, "upstream", "left_semi").join(ins, "downstream", "left_semi").select("upstream", "downstream"), edges)
+        if (m := edges.count()) == n:
+            return edges, m
+        n = m
+    raise RuntimeError("no fixed point")
 
 
 def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """node, cycle (its least node) of every node on a cycle: nodes that reach each other, by closing paths until none is new.
+    """node, cycle (its least node) of every node on a cycle, that is of every strongly connected set.
 
-    Nodes outside any cycle are first peeled off from both ends, so the closure is taken of little.
+    By colouring: the least node from which a node can be reached is its colour; a node of its own colour is the least of its set, and the
+    set is what reaches that node within the colour. Sets that are found go, and the rest is coloured anew. Each round's rows are as many as
+    nodes and edges, however large a set is.
     """
-    e = _cut(edges.select("upstream", "downstream").distinct())
-    n = e.count()
-    for _ in range(rounds):
-        outs, ins = e.select(F.col("downstream").alias("x")).distinct(), e.select(F.col("upstream").alias("x")).distinct()
-        e = _cut(e.join(outs.withColumnRenamed("x", "upstream"), "upstream", "left_semi").join(ins.withColumnRenamed("x", "downstream"), "downstream", "left_semi").select("upstream", "downstream"))
-        if (m := e.count()) == n:
-            break
-        n = m
-    else:
-        raise RuntimeError("no fixed point")
-    reach = e
-    for _ in range(rounds):
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.downstream") == F.col("b.upstream")).select("a.upstream", "b.downstream")
-        more = _cut(reach.union(step).distinct())
-        if (m := more.count()) == n:
-            break
-        reach, n = more, m
-    else:
-        raise RuntimeError("no fixed point")
-    back = reach.select(F.col("downstream").alias("upstream"), F.col("upstream").alias("downstream"))
-    mutual = reach.intersect(back)
-    return mutual.groupBy("upstream").agg(F.min("downstream").alias("cycle")).withColumnRenamed("upstream", "node")
+    e, n = _trimmed(_cut(edges.select("upstream", "downstream").distinct()), rounds)
+    found = None
+    while n:
+        colour = _cut(e.select(F.col("upstream").alias("node")).union(e.select("downstream")).distinct().withColumn("colour", F.col("node")))
+        mark = None
+        for _ in range(rounds):
+            passed = e.join(colour.withColumnRenamed("node", "upstream"), "upstream").select(F.col("downstream").alias("node"), "colour")
+            colour = _cut(colour.union(passed).groupBy("node").agg(F.min("colour").alias("colour")), colour)
+            row = colour.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+            if row == mark:
+                break
+            mark = row
+        else:
+            raise RuntimeError("no fixed point")
+        up, down = (colour.select(F.col("node").alias(k), F.col("colour").alias(f"{k}_colour")) for k in ("upstream", "downstream"))
+        inside = _cut(e.join(up, "upstream").join(down, "downstream").where("upstream_colour = downstream_colour").select("upstream", "downstream", F.col("upstream_colour").alias("colour")))
+        reach, size = _cut(colour.where("node = colour")), None
+        for _ in range(rounds):
+            back = inside.join(reach.select(F.col("node").alias("downstream"), "colour"), ["downstream", "colour"]).select(F.col("upstream").alias("node"), "colour")
+            reach = _cut(reach.union(back).distinct(), reach)
+            if (m := reach.count()) == size:
+                break
+            size = m
+        else:
+            raise RuntimeError("no fixed point")
+        loops = e.where("upstream = downstream").select(F.col("upstream").alias("node")).distinct().withColumn("loop", F.lit(True))
+        sizes = reach.groupBy("colour").agg(F.count("*").alias("n"))
+        real = reach.join(sizes, "colour").join(loops, "node", "left").where("n > 1 or loop").select("node", F.col("colour").alias("cycle"))
+        found = _cut(real) if found is None else _cut(found.union(real), found)
+        gone = reach.select("node")
+        e = _cut(e.join(gone.withColumnRenamed("node", "upstream"), "upstream", "left_anti").join(gone.withColumnRenamed("node", "downstream"), "downstream", "left_anti").select("upstream", "downstream"), e)
+        e, n = _trimmed(e, rounds)
+    return found if found is not None else e.select(F.col("upstream").alias("node"), F.col("upstream").alias("cycle")).limit(0)
 
 
 def roots_leaves(edges: DataFrame) -> DataFrame:

@@ -47,9 +47,24 @@ def positional_merge(a: DataFrame, b: DataFrame, order_a=None, order_b=None) ->
     return match_merge(x, y, "_pos").drop("_pos")
 
 
-def update(master: DataFrame, transactions: DataFrame, by, insert: bool = True) -> DataFrame:
-    """UPDATE (insert) or MODIFY: a missing transaction value leaves the master's; new keys are inserted or not."""
+def _collapsed(transactions: DataFrame, by: Sequence[str], order) -> DataFrame:
+    """One row for each key: the last non-missing value of each column in the stated order; without an order, keys that repeat are refused."""
+    values = [c for c in transactions.columns if c not in by]
+    if order is None:
+        many = F.raise_error(F.lit("UPDATE: a transaction key repeats, and no order says which row comes last"))
+        found = transactions.groupBy(*by).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in values])
+        return found.select(*by, *[F.when(F.col("_n") > 1, many.cast(transactions.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in values])
+    place = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order)])
+    return transactions.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in values])
+
+
+def update(master: DataFrame, transactions: DataFrame, by, insert: bool = True, order=None) -> DataFrame:
+    """UPDATE (insert) or MODIFY: a missing transaction value leaves the master's; new keys are inserted or not.
+
+    Transactions of one key are applied in `order` (columns, ascending); without one a repeated key raises.
+    """
     by = need_key(by, "UPDATE")
+    transactions = _collapsed(transactions, by, order)
     j = _joined(master, transactions, by, "full_outer" if insert else "left")
     both = _shared(master, transactions, by)
     out = [F.coalesce(f"_a_{k}", f"_b_{k}").alias(k) for k in by]
@@ -58,8 +73,8 @@ def update(master: DataFrame, transactions: DataFrame, by, insert: bool = True)
     return j.select(*out)
 
 
-def modify(master: DataFrame, transactions: DataFrame, by) -> DataFrame:
-    return update(master, transactions, by, insert=False)
+def modify(master: DataFrame, transactions: DataFrame, by, order=None) -> DataFrame:
+    return update(master, transactions, by, insert=False, order=order)
 
 
 def find_first(df: DataFrame, table: DataFrame, key, order) -> DataFrame:

@@ -105,9 +105,14 @@ def rank_groups(df: DataFrame, column: str, groups: int, tiebreak: Sequence[str]
 
 
 def rank_percent(df: DataFrame, column: str, name: str, by: Sequence[str] = (), fraction: bool = False) -> DataFrame:
-    c = F.col(column)
+    c, scale = F.col(column), 1 if fraction else 100
+    if not by:  # of a whole table from places: a value's rank is the least place of its rows
+        placed = position(df.where(c.isNotNull()).select(column), [column], "_pos", "_all")
+        low = placed.groupBy(column).agg(F.min("_pos").alias("_low"), F.max("_all").alias("_all"))
+        share = F.coalesce(F.try_divide(F.col("_low") - 1, F.col("_all") - 1), F.lit(0.0)) * scale
+        return df.join(low, column, "left").select(*[F.col(x) for x in df.columns], F.when(c.isNotNull(), share).alias(name))
     w = Window.partitionBy(*map(F.col, by), c.isNull()).orderBy(c)
-    return df.withColumn(name, F.when(c.isNotNull(), F.percent_rank().over(w) * (1 if fraction else 100)))
+    return df.withColumn(name, F.when(c.isNotNull(), F.percent_rank().over(w) * scale))
 
 
 def normal_scores(*_):
@@ -116,10 +121,18 @@ def normal_scores(*_):
 
 def standardize(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), mean: float = 0, std: float = 1, replace_only: bool = False) -> DataFrame:
     """Mean and standard deviation to the given ones; replace_only: missing values become the group's mean, nothing else changes."""
-    w = Window.partitionBy(*by)
+    if not by:  # one row of statistics for all tasks instead of one task for all rows
+        stats = df.agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns], *[F.stddev_samp(c).alias(f"_std_{c}") for c in columns])
+        rows = df.crossJoin(F.broadcast(stats))
+        avg, dev = (lambda c: F.col(f"_mean_{c}")), (lambda c: F.col(f"_std_{c}"))
+    else:
+        w = Window.partitionBy(*by)
+        rows, avg, dev = df, (lambda c: F.avg(c).over(w)), (lambda c: F.stddev_samp(c).over(w))
     if replace_only:
-        return df.withColumns({c: F.coalesce(F.col(c), F.avg(c).over(w)) for c in columns})
-    return df.withColumns({c: F.try_divide(F.col(c) - F.avg(c).over(w), F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))) * std + mean for c in columns})
+        new = {c: F.coalesce(F.col(c), avg(c)) for c in columns}
+    else:
+        new = {c: F.try_divide(F.col(c) - avg(c), F.nullif(dev(c), F.lit(0.0))) * std + mean for c in columns}
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
 def report_across(df: DataFrame, group: Sequence[str], across: str, values: Sequence, analysis: str, statistic: str = "sum", computed: dict[str, Column] | None = None) -> DataFrame:

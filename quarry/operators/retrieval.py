@@ -47,8 +47,9 @@ def normalised(v: Column) -> Column:
 
 
 def cosine(docs: DataFrame, key: str, vector: str, query: DataFrame) -> DataFrame:
-    """key, score against a one-row query (column q); exact."""
-    q = F.broadcast(query.limit(1).select(normalised(F.col("q")).alias("_q")))
+    """key, score against a one-row query (column q), exact; more rows raise."""
+    one = query.agg(F.when(F.count("*") > 1, F.raise_error(F.lit("cosine: the query has several rows")).cast(query.schema["q"].dataType)).otherwise(F.first("q")).alias("q"))
+    q = F.broadcast(one.where("q is not null").select(normalised(F.col("q")).alias("_q")))
     return docs.select(key, normalised(F.col(vector)).alias("_v")).crossJoin(q).select(key, dot(F.col("_v"), F.col("_q")).alias("score"))
 
 
@@ -103,36 +104,37 @@ def pack_best_first(df: DataFrame, by: str, order: Column, size: str, budget: in
     rows = df.withColumn("_o", F.row_number().over(Window.partitionBy(by).orderBy(order)))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, left = None, budget
+        left = budget
         for pdf in batches:
             take = []
-            for g, s in zip(pdf[by], pdf[size], strict=True):
-                if g != now:
-                    now, left = g, budget
+            for o, s in zip(pdf["_o"], pdf[size], strict=True):
+                if o == 1:
+                    left = budget
                 take.append(s <= left)
                 left -= s if take[-1] else 0
             yield pdf[take].drop(columns="_o")
 
-    return rows.repartition(by).sortWithinPartitions(by, "_o").mapInPandas(fold, df.schema)
+    return rows.sortWithinPartitions(by, "_o").mapInPandas(fold, df.schema)
 
 
 def pack_windows(df: DataFrame, by: str, order: str, size: str, budget: int, most: int) -> DataFrame:
     """Adds batch: rows in order, a new batch where one more would exceed budget or `most` rows; an oversize row stands alone."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, used, n = None, 0, 0, 0
+        batch, used, n = 0, 0, 0
         for pdf in batches:
             out = []
-            for g, s in zip(pdf[by], pdf[size], strict=True):
-                if g != now:
-                    now, batch, used, n = g, 0, 0, 0
+            for o, s in zip(pdf["_o"], pdf[size], strict=True):
+                if o == 1:
+                    batch, used, n = 0, 0, 0
                 elif used + s > budget or n >= most:
                     batch, used, n = batch + 1, 0, 0
                 used, n = used + s, n + 1
                 out.append(batch)
-            yield pdf.assign(batch=out)
+            yield pdf.drop(columns="_o").assign(batch=out)
 
     from pyspark.sql.types import LongType, StructType
 
     schema = StructType(df.schema.fields).add("batch", LongType())
-    return df.repartition(by).sortWithinPartitions(by, order).mapInPandas(fold, schema)
+    rows = df.withColumn("_o", F.row_number().over(Window.partitionBy(by).orderBy(order)))  # 1 begins a group, its key null or not
+    return rows.sortWithinPartitions(by, "_o").mapInPandas(fold, schema)

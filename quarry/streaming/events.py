@@ -41,14 +41,35 @@ def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def upsert_sink(changes: DataFrame, paths: dict[str, str], now: float, checkpoint: str):
-    """Keyed upserts batch by batch; a batch that is run again after a failure writes the same version's folder anew."""
+    """Keyed upserts batch by batch into version folders under paths["root"], from the table paths["current"] on.
+
+    A batch's base is the last complete version of a lower number, found on disk: so a batch that is run again after a failure writes the
+    same version anew from the same base, and a restarted stream goes on from what earlier ones wrote. versions() lists them.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         last = F.max_by(F.struct("value", "tags", "source"), "seq").alias("r")
         new = batch.groupBy("kv_key").agg(last).select("kv_key", "r.value", "r.tags", "r.source")
-        old = batch.sparkSession.read.parquet(paths["current"])
-        target = f"{paths['root']}/v{number:09d}"
-        upsert(old, new, now).write.mode("overwrite").parquet(target)
-        paths["current"] = target
+        before = [v for v in versions(spark, paths["root"]) if v < number]
+        old = spark.read.parquet(_version(paths["root"], max(before)) if before else paths["current"])
+        upsert(old, new, now).write.mode("overwrite").parquet(_version(paths["root"], number))
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _version(root: str, number: int) -> str:
+    return f"{root}/v{number:09d}"
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The complete versions that upsert_sink has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(x.getPath().getName()) for x in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}/_SUCCESS")))
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The table after the last complete batch."""
+    return spark.read.parquet(_version(root, max(versions(spark, root))))

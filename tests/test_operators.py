@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import catalog
 from quarry.errors import MissingKey, MissingOrder, NonConvertible
 from quarry.functions import char, dates, formats, numeric, patterns
-from quarry.operators import evaluation, graph, memory, merge, procs, retrieval, scoring, step, text
+from quarry.operators import evaluation, graph, guidance, memory, merge, procs, retrieval, scoring, step, text
 from quarry.plans import scripting
 from quarry.sources import files
 
@@ -155,7 +155,13 @@ def test_upsert_stream(spark, tmp_path):
     changes.write.parquet(log)
     paths = {"current": store, "root": str(tmp_path / "versions")}
     events.upsert_sink(spark.readStream.schema(changes.schema).parquet(log), paths, 9.0, str(tmp_path / "cp")).awaitTermination()
-    assert [r[:2] for r in rows(spark.read.parquet(paths["current"]), "kv_key")] == [("a", "3"), ("b", "4")]
+    assert [r[:2] for r in rows(events.current(spark, paths["root"]), "kv_key")] == [("a", "3"), ("b", "4")]
+    # a restart, which knows the first table alone, goes on from the last version; a batch run again has the same base
+    more = spark.createDataFrame([(4, "c", "5", None, None)], changes.schema)
+    more.write.mode("append").parquet(log)
+    events.upsert_sink(spark.readStream.schema(changes.schema).parquet(log), {"current": store, "root": paths["root"]}, 10.0, str(tmp_path / "cp")).awaitTermination()
+    assert [r[:2] for r in rows(events.current(spark, paths["root"]), "kv_key")] == [("a", "3"), ("b", "4"), ("c", "5")]
+    assert events.versions(spark, paths["root"]) == [0, 1]
 
 
 def test_nothing_imports_llm():
@@ -207,3 +213,61 @@ def test_graph_rounds_run_out(spark):
     for f, edges in ((graph.layers, chain), (graph.cycles, chain), (graph.cycles, ring)):
         with pytest.raises(RuntimeError):
             f(edges, rounds=2)
+
+
+def test_update_applies_repeated_transactions_in_order(spark):
+    m = spark.createDataFrame([(1, 10, 5), (2, 20, 6)], "k int, x int, y int")
+    t = spark.createDataFrame([(1, 11, None, 1), (1, None, 7, 2), (1, 12, None, 3), (3, None, 9, 1)], "k int, x int, y int, seq int")
+    assert [r[:3] for r in rows(merge.update(m, t, ["k"], order="seq").select("k", "x", "y"))] == [(1, 12, 7), (2, 20, 6), (3, None, 9)]
+    assert [r[:3] for r in rows(merge.modify(m, t, ["k"], order=["seq"]).select("k", "x", "y"))] == [(1, 12, 7), (2, 20, 6)]
+    with pytest.raises(Exception, match="repeats"):
+        merge.update(m, t.drop("seq"), ["k"]).collect()
+
+
+def test_folds_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 5), (None, 3, 1), ("a", 1, 5), ("a", 2, 5)], "g string, o int, s int")
+    assert rows(retrieval.pack_best_first(df, "g", F.col("o").asc(), "s", 7), "g", "o") == [(None, 1, 5), (None, 3, 1), ("a", 1, 5)]
+    assert rows(retrieval.pack_windows(df, "g", "o", "s", 7, 2).select("g", "o", "batch"), "g", "o") == [(None, 1, 0), (None, 2, 1), (None, 3, 1), ("a", 1, 0), ("a", 2, 1)]
+    pairs = spark.createDataFrame([(None, 1, 1, 0.9), (None, 1, 2, 0.8), (None, 2, 1, 0.8), (None, 2, 2, 0.7)], "g string, l int, r int, score double")
+    assert rows(evaluation.greedy_matches(pairs, "g", "l", "r", "score", 0.5).select("l", "r")) == [(1, 1), (2, 2)]
+
+
+def test_match_f1(spark):
+    m = spark.createDataFrame([("a", 1, 1, 0.9)], "g string, l int, r int, score double")
+    sizes = spark.createDataFrame([("a", 1, 3), ("b", 0, 0), ("c", 2, 0)], "g string, l int, r int")
+    assert rows(evaluation.match_f1(m, sizes, "g", "l", "r")) == [("a", 0.5), ("b", 1.0), ("c", 0.0)]
+
+
+def test_cosine_refuses_several_queries(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "k int, v array<double>")
+    assert rows(retrieval.cosine(v, "k", "v", v.where("k = 1").select(F.col("v").alias("q")))) == [(1, 1.0), (2, 0.0)]
+    with pytest.raises(Exception, match="several rows"):
+        retrieval.cosine(v, "k", "v", v.select(F.col("v").alias("q"))).collect()
+
+
+def test_gates_without_constructs(spark):
+    schema = "chunk_id int, tier string, langs array<string>, kinds array<string>, constructs array<string>"
+    chunks = spark.createDataFrame([(1, "pinned", [], [], []), (2, "hazard", ["sql"], [], []), (3, "topical", [], ["k2"], []), (4, "example", ["sql", "py"], ["k1"], [])], schema)
+    items = spark.createDataFrame([(1, "sql", "k1", []), (2, "py", "k2", ["c"])], "item_id int, lang string, kind string, constructs array<string>")
+    assert rows(guidance.gated(chunks, items).select("item_id", "chunk_id"), "item_id", "chunk_id") == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 3)]
+
+
+def test_strongly_connected_sets(spark):
+    """Against reachability by brute force."""
+    import random
+
+    r = random.Random(3)
+    edges = sorted({(r.randrange(30), r.randrange(30)) for _ in range(45)})
+    reach = set(edges)
+    while more := {(a, d) for a, b in reach for c, d in edges if b == c} - reach:
+        reach |= more
+    want = sorted({(a, min([a] + [b for b in range(30) if (a, b) in reach and (b, a) in reach])) for a in range(30) if (a, a) in reach})
+    assert rows(graph.cycles(spark.createDataFrame(edges, "upstream int, downstream int")), "node") == want
+
+
+def test_rank_percent_and_standardize_without_by(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([5.0, 1.0, 5.0, None, 3.0])], "i int, x double")
+    assert [r[2] for r in rows(procs.rank_percent(df, "x", "p"), "i")] == [pytest.approx(200 / 3), 0.0, pytest.approx(200 / 3), None, pytest.approx(100 / 3)]
+    z = [r[1] for r in rows(procs.standardize(df, ["x"]), "i")]
+    assert z[3] is None and abs(sum(x for x in z if x is not None)) < 1e-9
+    assert [r[1] for r in rows(procs.standardize(df, ["x"], replace_only=True), "i")] == [5.0, 1.0, 5.0, 3.5, 3.0]
