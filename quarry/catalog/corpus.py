@@ -6,9 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quarry import fixtures
 from quarry.catalog.base import query
-from quarry.operators import evaluation, graph, memory, merge, retrieval, scoring, step, text
+from quarry.operators import batching, evaluation, graph, macros, memory, merge, retrieval, scoring, step, text
 from quarry.sources import files
 from quarry.streaming import events as stream
 
@@ -123,10 +122,10 @@ def graph_fold(t):
 # ---- packing and retrieval
 
 
-@query("select conv_id, turn, cast((turn - 1) // 4 as bigint) as batch from (select conv_id, row_number() over (partition by conv_id order by turn) as turn from conversations)")
+@query("with n as (select conv_id, turn, length(text) < 120 as alone from conversations), f as (select *, case when not alone or not coalesce(lag(alone) over w, false) then 1 else 0 end as fresh from n window w as (partition by conv_id order by turn)), g as (select *, sum(fresh) over (partition by conv_id order by turn) as island from f), h as (select *, (row_number() over (partition by conv_id, island order by turn) - 1) % 4 = 0 as cut from g) select conv_id, turn, cast(sum(cut::int) over (partition by conv_id order by turn) - 1 as bigint) as batch from h")
 def singleton_runs(t):
-    x = step.row_counter(t.conversations, ["turn"], ["conv_id"], "n")
-    return x.selectExpr("conv_id", "cast(n as bigint) as turn", "cast(floor((n - 1) / 4) as bigint) as batch")
+    x = t.conversations.select("conv_id", "turn", (F.length("text") < 120).alias("alone"))
+    return batching.runs(x, ["conv_id"], "turn", "alone", 4, "batch").select("conv_id", "turn", "batch")
 
 
 @query()
@@ -382,32 +381,91 @@ def para_windows(t):
     return text.paragraph_windows(t.documents, "doc_id", "text")
 
 
+#: A program for each customer: statements (# is the customer's key) with what is to be found in them: text, comment?, chunk, kind, reads, writes.
+_STATEMENTS = [
+    ("/* load; it's # */\n", True, 1, None, [], []),
+    ("%let cut = #;\n", False, 2, "GLOBAL_STATEMENT", [], []),
+    ("data work.big# (keep=id x) lib.side#; ", False, 3, "DATA_STEP", [], ["lib.side#", "work.big#"]),
+    ("merge raw# (in=a where=(x > 1)) lib.other (in=b) end=eof; ", False, 3, None, ["lib.other", "work.raw#"], []),
+    ("by id; ", False, 3, None, [], []),
+    ("note = 'retain; set z'; ", False, 3, None, [], []),
+    ("if amount >= &cut then do i = 1 to 3; ", False, 3, None, [], []),
+    ("end; ", False, 3, None, [], []),
+    ("run;\n", False, 3, "STEP_BOUNDARY", [], []),
+    ("proc sort data=work.big#; ", False, 4, "PROC_STEP", ["work.big#"], ["work.big#"]),
+    ("by id; ", False, 4, None, [], []),
+    ("run;\n", False, 4, "STEP_BOUNDARY", [], []),
+    ("proc sql; ", False, 5, "PROC_STEP", [], []),
+    ("create table sum# as select a.id from big# a, lib.dim b left join extra c on a.id = c.id; ", False, 5, None, ["lib.dim", "work.big#", "work.extra"], ["work.sum#"]),
+    ("quit;\n", False, 5, "STEP_BOUNDARY", [], []),
+    ("%load(sum#, 'x)y', out=fin#);\n", False, 6, "MACRO_CALL", [], []),
+    ("proc means data=inv# sum; ", False, 7, "PROC_STEP", ["work.inv#"], []),
+    ("var x; ", False, 7, None, [], []),
+    ("run;\n", False, 7, "STEP_BOUNDARY", [], []),
+]
+
+
+def _sql(v):
+    return "null" if v is None else str(v).lower() if isinstance(v, (bool, int)) else "[" + ", ".join(map(_sql, v)) + "]::varchar[]" if isinstance(v, list) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_EXPECTED = f"(select c_custkey as k, u.*, replace(t, '#', c_custkey::varchar) as text from customer, (values {', '.join(f'({i}, {", ".join(map(_sql, x))})' for i, x in enumerate(_STATEMENTS, 1))}) u(no, t, comment, chunk, kind, reads, writes))"
+
+
 def _programs(t):
-    return t.spark.createDataFrame(fixtures.PROGRAMS, fixtures.SCHEMA)
+    body = F.replace(F.lit("".join(x[0] for x in _STATEMENTS)), F.lit("#"), F.col("c_custkey").cast("string"))
+    return t.customer.select(F.col("c_custkey").cast("string").alias("source_id"), body.alias("text"))
 
 
-@query()
+def _chunk_rows(t):
+    return text.chunks(text.units(_programs(t))).withColumnRenamed("chunk_no", "idx")
+
+
+@query(f"select k::varchar as source_id, no as unit_no, coalesce(sum(length(text)) over (partition by k order by no rows between unbounded preceding and 1 preceding), 0)::integer as start_char, sum(length(text)) over (partition by k order by no)::integer as end_char, text, comment as is_comment, true as terminated, false as unclosed_comment from {_EXPECTED}")
 def lex_units(t):
     return text.units(_programs(t))
 
 
-@query()
+@query(f"select k::varchar as source_id, chunk as chunk_no, case when bool_or(comment) then 'COMMENT_BLOCK' else arg_min(kind, no) end as kind, min(no) as first_unit, max(no) as last_unit, min(a)::integer as start_char, max(b)::integer as end_char, string_agg(text, '' order by no) as text from (select *, coalesce(sum(length(text)) over (partition by k order by no rows between unbounded preceding and 1 preceding), 0) as a, sum(length(text)) over (partition by k order by no) as b from {_EXPECTED}) group by 1, 2")
 def chunk_program(t):
     return text.chunks(text.units(_programs(t)))
 
 
-@query()
+@query(f"select distinct k::varchar as source_id, chunk as chunk_no, case when chunk = 3 then ['do_loop', 'merge'] else [] end as constructs, case when chunk in (3, 4, 5, 7) then 1 else 0 end as steps from {_EXPECTED}")
 def detect_constructs(t):
-    return text.chunks(text.units(_programs(t))).select("source_id", "chunk_no", text.constructs(F.col("text")).alias("constructs"))
+    return text.chunks(text.units(_programs(t))).select("source_id", "chunk_no", text.constructs(F.col("text")).alias("constructs"), text.step_count(F.col("text")).alias("steps"))
 
 
-@query()
+def _named(column):
+    return f"list_transform({column}, lambda x: replace(x, '#', k::varchar))"
+
+
+@query(f"select k::varchar as source_id, no as unit_no, kind, {_named('reads')} as reads, {_named('writes')} as writes from {_EXPECTED} where not comment")
 def metadata_extract(t):
     reads, writes = text.datasets(F.col("text"))
     u = text.units(_programs(t)).where("not is_comment")
     return u.select("source_id", "unit_no", text.kind(F.col("text")).alias("kind"), reads.alias("reads"), writes.alias("writes"))
 
 
+_CHAIN = "(values (3, 4, 'dataset_flow', 'work.big#'), (4, 5, 'dataset_flow', 'work.big#'), (2, 3, 'macro_var_flow', 'cut'), (5, 6, 'macro_arg_dataset', 'work.sum#')) e(f, g, kind, subject)"
+
+
+@query(f"select c_custkey::varchar as source_id, f as from_idx, g as to_idx, kind, replace(subject, '#', c_custkey::varchar) as subject from customer, {_CHAIN}")
+def chunk_edges(t):
+    return batching.edges(batching.described(_chunk_rows(t)))
+
+
+@query("select c_custkey::varchar as source_id, i as idx, r as role, b as batch_no from customer, (values (1, 'context', 1), (2, 'member', 1), (3, 'member', 1), (4, 'member', 1), (5, 'member', 1), (6, 'member', 1), (7, 'member', 2)) v(i, r, b)")
+def program_batches(t):
+    rows = batching.described(_chunk_rows(t))
+    return batching.batches(rows, batching.edges(rows))
+
+
+@query("select doc_id, i as part, i * 900 as start, substr(text, i * 900 + 1, 1000) as text from (select doc_id, text, unnest(range(0, greatest(ceil((length(text) - 100) / 900.0)::integer, 1))) as i from documents)")
+def oversized_split(t):
+    return text.split_oversized(t.documents, ["doc_id"], "text", 1000, 100)
+
+
 @query("select page_id, url, cast(length(replace(html, '<', '')) as integer) as n from pages")
 def text_normalise(t):
     return t.pages.select("page_id", "url", F.length(F.replace("html", F.lit("<"), F.lit(""))).alias("n"))
@@ -451,40 +509,25 @@ def stream_ttl(t):
 # ---- macros and guidance
 
 
-def _chunk_rows(t):
-    from quarry.operators import macros  # noqa: F401
-
-    c = text.chunks(text.units(_programs(t)))
-    return step.row_counter(c, ["chunk_no"], ["source_id"], "idx")
-
-
-@query()
+@query(f"select distinct k::varchar as source_id, chunk as idx, case when chunk = 2 then ['cut'] else [] end as made, case when chunk = 3 then ['cut'] else [] end as used, null::varchar as macro, []::varchar[] as parameters from {_EXPECTED}")
 def macro_variables(t):
-    from quarry.operators import macros
-
     c = _chunk_rows(t)
     return c.select("source_id", "idx", macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), macros.signature(F.col("text"))).alias("used"), macros.macro_name(F.col("text")).alias("macro"), macros.signature(F.col("text")).alias("parameters"))
 
 
-@query()
+@query("select c_custkey::varchar as source_id, 'load' as macro, p as pos, q as param, replace(v, '#', c_custkey::varchar) as value from customer, (values (1, null, 'sum#'), (2, null, chr(39) || 'x)y' || chr(39)), (3, 'out', 'fin#')) a(p, q, v)")
 def macro_calls(t):
-    from quarry.operators import macros
-
-    return macros.calls(_chunk_rows(t).where("kind = 'MACRO_CALL'"))
+    return macros.calls(_chunk_rows(t).where("kind = 'MACRO_CALL'"), "source_id")
 
 
 @query("select l_orderkey as to_idx, m.from_idx, cast(l_suppkey as varchar) as macro from (select distinct l_orderkey, l_suppkey from lineitem) join (select l_suppkey as s, max(l_orderkey) as from_idx from lineitem where l_linenumber = 1 group by 1) m on m.s = l_suppkey")
 def macro_invocation(t):
-    from quarry.operators import macros
-
     c = t.lineitem.selectExpr("l_orderkey as idx", "cast(l_suppkey as string) as macro")
     return macros.invocations(c, t.lineitem.where("l_linenumber = 1").selectExpr("l_orderkey as idx", "cast(l_suppkey as string) as macro"))
 
 
 @query("select idx, direction, name from (select o_orderkey as idx, 'in' as direction, 'work.' || lower(o_orderstatus) as name from orders union select o_orderkey, 'out', 'lib.fixed' from orders)")
 def macro_body_io(t):
-    from quarry.operators import macros
-
     c = t.orders.selectExpr("o_orderkey as idx", "'m' as macro", "1 as pos", "cast(null as string) as param", "o_orderstatus as value")
     b = t.spark.createDataFrame([("m", "in", 1, None, "src"), ("m", "out", 0, "lib.fixed", None)], "macro string, direction string, pos int, name string, param string")
     return macros.resolve_bodies(c, b)

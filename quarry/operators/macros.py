@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -51,37 +52,24 @@ def executed(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(text), r"\bcall\s+execute\s*\(\s*['\"]%?([a-z_]\w*)", 1), F.lit(""))
 
 
-def top_level(text: str, separator: str = ",") -> list[str]:
-    """Parts between separators outside brackets and quotes."""
-    parts, depth, quote, now = [], 0, None, []
-    for c in text:
-        if quote:
-            quote = None if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth -= 1
-        if c == separator and not depth and not quote:
-            parts.append("".join(now).strip())
-            now = []
-        else:
-            now.append(c)
-    return [*parts, "".join(now).strip()] if parts or "".join(now).strip() else []
+#: A quoted string, a bracket, a comma, or anything else.
+_TOKEN = re.compile(r"'[^']*(?:''[^']*)*'?|\"[^\"]*(?:\"\"[^\"]*)*\"?|[()\[\]{},]|[^'\"()\[\]{},]+")
+_DEEPER = dict.fromkeys("([{", 1) | dict.fromkeys(")]}", -1)
+
+
+def arguments(text: str) -> tuple[list[str], int]:
+    """Parts between the commas outside of brackets and strings, up to the bracket that closes what was open before text; and where that stands."""
+    tokens = list(_TOKEN.finditer(text))
+    depth = list(itertools.accumulate(_DEEPER.get(t[0], 0) for t in tokens))
+    end = next((t.start() for t, d in zip(tokens, depth, strict=True) if d < 0), len(text))
+    cuts = [t.start() for t, d in zip(tokens, depth, strict=True) if t[0] == "," and d == 0 and t.start() < end]
+    parts = [text[a:b].strip() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, end], strict=True)]
+    return (parts if len(parts) > 1 or parts[0] else []), end
 
 
 def _call(text: str) -> tuple[str, list[str]] | None:
     m = re.match(r"\s*%([a-z_]\w*)\s*(\()?", text, re.I)
-    if not m:
-        return None
-    if not m[2]:
-        return m[1].lower(), []
-    depth, at = 1, m.end()
-    while at < len(text) and depth:
-        depth += (text[at] == "(") - (text[at] == ")")
-        at += 1
-    return m[1].lower(), top_level(text[m.end() : at - (depth == 0)])
+    return (m[1].lower(), arguments(text[m.end() :])[0] if m[2] else []) if m else None
 
 
 def calls(chunks: DataFrame, key: str = "idx", text: str = "text") -> DataFrame:

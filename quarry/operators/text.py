@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 def scan_statements(text: str) -> list[tuple[int, int, str, bool, bool, bool]]:
     """(start, end, text, is_comment, terminated, unclosed_comment): quotes (doubled ones inside), /* */ and ; end at ;, with the white space after it."""
     out, at, n = [], 0, len(text)
-    stop = re.compile(r"['\"]|/\*|;")
+    stop, blank = re.compile(r"['\"]|/\*|;"), re.compile(r"\s*")
+    begins = lambda mark: text.startswith(mark, blank.match(text, at).end())
 
     def close(end: int, comment: bool, terminated: bool, unclosed: bool = False) -> int:
         while end < n and text[end].isspace():
@@ -25,17 +26,17 @@ def scan_statements(text: str) -> list[tuple[int, int, str, bool, bool, bool]]:
 
     while at < n:
         i, done = at, False
-        if text[at:].lstrip().startswith("/*"):
+        if begins("/*"):
             k = text.find("*/", text.index("/*", at) + 2)
             at = close(n if k < 0 else k + 2, True, k >= 0, k < 0)
             continue
         while not done:
             m = stop.search(text, i)
             if not m:
-                at = close(n, text[at:].lstrip().startswith("*"), False)
+                at = close(n, begins("*"), False)
                 break
             if m[0] == ";":
-                at, done = close(m.end(), text[at:].lstrip().startswith("*"), True), True
+                at, done = close(m.end(), begins("*"), True), True
             elif m[0] == "/*":
                 k = text.find("*/", m.end())
                 if k < 0:
@@ -70,28 +71,23 @@ def normalised(text: Column) -> Column:
     return F.lower(one)
 
 
-#: Kinds of statements, the first pattern that fits counts.
-KINDS = [
-    ("DATA_STEP", r"^data\b"),
-    ("PROC_STEP", r"^proc\b"),
-    ("MACRO_DEFINITION", r"^%\s*macro\b"),
-    ("INCLUDE", r"^%\s*include\b"),
-    ("GLOBAL_STATEMENT", r"^%\s*(let|put|global|local)\b"),
-    ("MACRO_CONTROL_FLOW", r"^%\s*(if|else|do|end|return|goto|abort)\b"),
-    ("MACRO_CALL", r"^%[a-z_]\w*\b"),
-    ("STEP_BOUNDARY", r"^(run|quit)\b"),
-    ("OPTIONS", r"^options\b"),
-    ("GLOBAL_STATEMENT", r"^(libname|filename|title\d*|footnote\d*|ods)\b"),
-    ("FORMAT_OR_INFORMAT", r"^(format|informat)\b"),
-]
+#: What a statement is, by its first word; after a percent sign, by the word that follows it (any other word there is a macro call).
+WORDS = {
+    "data": "DATA_STEP", "proc": "PROC_STEP", "run": "STEP_BOUNDARY", "quit": "STEP_BOUNDARY", "options": "OPTIONS", "libname": "GLOBAL_STATEMENT", "filename": "GLOBAL_STATEMENT",
+    "title": "GLOBAL_STATEMENT", "footnote": "GLOBAL_STATEMENT", "ods": "GLOBAL_STATEMENT", "format": "FORMAT_OR_INFORMAT", "informat": "FORMAT_OR_INFORMAT",
+}
+MACRO_WORDS = {"macro": "MACRO_DEFINITION", "include": "INCLUDE"} | dict.fromkeys(("let", "put", "global", "local"), "GLOBAL_STATEMENT") | dict.fromkeys(("if", "else", "do", "end", "return", "goto", "abort"), "MACRO_CONTROL_FLOW")
+
+
+def _looked_up(word: Column, table: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), word)
 
 
 def kind(text: Column) -> Column:
-    n = normalised(text)
-    out = None
-    for name, pattern in KINDS:
-        out = F.when(n.rlike(pattern), name) if out is None else out.when(n.rlike(pattern), name)
-    return out
+    head = F.regexp_extract(normalised(text), r"^%?\s*[a-z_]\w*", 0)
+    word = F.regexp_extract(head, r"\w+", 0)
+    plain = F.coalesce(_looked_up(word, WORDS), F.when(word.rlike(r"^(title|footnote)\d+$"), "GLOBAL_STATEMENT"))
+    return F.when(head == "", None).when(head.startswith("%"), F.coalesce(_looked_up(word, MACRO_WORDS), F.lit("MACRO_CALL"))).otherwise(plain)
 
 
 def chunks(found: DataFrame) -> DataFrame:
@@ -163,38 +159,86 @@ def sanitised(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-#: Constructs and their patterns, over sanitised lower-case text.
-CONSTRUCTS = {
-    "array": r"\barray\s+[a-z_]\w*",
-    "do_loop": r"(?<!%)\bdo\s+[a-z_]\w*\s*=",
-    "do_while": r"(?<!%)\bdo\s+while\s*\(",
-    "do_until": r"(?<!%)\bdo\s+until\s*\(",
-    "merge": r"(?s)\bmerge\s+[a-z_&][\w.&]*.*\bby\s+[a-z_&]",
-    "merge_no_by": r"(?s)\bmerge\s+[a-z_&][\w.&]*(?!.*\bby\s+[a-z_&])",
-    "modify": r"\bmodify\s+[a-z_&][\w.&]*",
-    "update": r"\bupdate\s+[a-z_&][\w.&]*",
-    "retain": r"\bretain\b",
-    "first_last": r"\b(first|last)\.[a-z_]\w*",
-    "infile": r"\binfile\s+[a-z_'\"]",
-    "file_output": r"\bfile\s+((print|log|_webout)\b|['\"]|[a-z_]\w*\s*;)",
-    "link": r"\blink\s+[a-z_]\w*",
-    "goto": r"(?<!%)\b(goto|go\s+to)\s+[a-z_]\w*",
-}
+def blanked(text: Column) -> Column:
+    """text in lower case with comments as a space and strings as an empty pair of quotes; a quote in a comment and a comment in a string count for nothing."""
+    pattern = r"/\*[\s\S]*?(?:\*/|\z)|(')[^']*(?:''[^']*)*(?:'|\z)|(\")[^\"]*(?:\"\"[^\"]*)*(?:\"|\z)"
+    return F.regexp_replace(F.lower(text), pattern, " $1$1$2$2")
+
+
+def statements(text: Column) -> Column:
+    """The statements of a text, blanked, without comments of either sort."""
+    return F.filter(F.transform(F.split(blanked(text), ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: (s != "") & ~s.rlike(r"^%?\*"))
+
+
+#: Constructs that a clause is by its first word, where another word, a string or an array's name follows.
+LEADING = {"array": "array", "modify": "modify", "update": "update", "infile": "infile", "file": "file_output", "link": "link", "goto": "goto"}
 
 
 def constructs(text: Column) -> Column:
-    """The names of constructs in a text, sorted."""
-    low = F.lower(text)
-    return F.sort_array(F.filter(F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in CONSTRUCTS.items()]), lambda x: x.isNotNull()))
+    """The names of constructs in a text, sorted: found in the words of its clauses, so that neither comments nor strings count."""
+    clauses = F.flatten(F.transform(statements(text), lambda s: F.split(s, r"\b(?:then|else)\b")))
+    words_ = F.transform(clauses, lambda c: F.regexp_extract_all(c, F.lit(r"%?[a-z_&][\w.&]*|''|\"\"|[=(]"), F.lit(0)))
+    at = lambda w, k: F.coalesce(F.get(w, F.lit(k)), F.lit(""))
+    name = lambda x: x.rlike(r"^[a-z_&]")
+    by = F.exists(words_, lambda w: (at(w, 0) == "by") & name(at(w, 1)))
+
+    def of(w: Column) -> Column:
+        first, second, third = (at(w, k) for k in range(3))
+        quoted = second.isin("''", '""')
+        led = F.when(name(second) | (quoted & first.isin("infile", "file")), _looked_up(first, LEADING))
+        do = F.when(first == "do", F.when((second == "while") & (third == "("), "do_while").when((second == "until") & (third == "("), "do_until").when(name(second) & (third == "="), "do_loop"))
+        joined = F.when((first == "merge") & name(second), F.when(by, "merge").otherwise("merge_no_by"))
+        edge = F.when(F.exists(w, lambda x: x.rlike(r"^(first|last)\.[a-z_]")), "first_last")
+        return F.array(F.coalesce(led, do, joined, F.when(first == "retain", "retain"), F.when((first == "go") & (second == "to") & name(third), "goto")), edge)
+
+    found = F.flatten(F.transform(words_, of))
+    return F.sort_array(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+
+
+_NAME = r"[a-z_&][\w.&]*"
+_ITEM = rf"{_NAME}(?:\s+(?:as\s+)?[a-z_]\w*)?"
+
+
+def _all(s: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
+
+
+def _listed(s: Column) -> Column:
+    """The names after the first word of a statement, options in brackets and name=value aside."""
+    bare = s
+    for _ in range(3):  # brackets within brackets
+        bare = F.regexp_replace(bare, r"\([^()]*\)", " ")
+    names = _all(F.regexp_replace(F.regexp_replace(bare, r"\b[a-z_]\w*\s*=\s*\S+", " "), r"/.*$", ""), rf"(?:^|\s)({_NAME})")
+    return F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))
+
+
+def _reads(s: Column) -> Column:
+    first, none = F.regexp_extract(s, r"^[a-z_]\w*", 0), F.array().cast("array<string>")
+    froms = F.flatten(F.transform(_all(s, rf"\bfrom\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"), lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda y: F.regexp_extract(y, _NAME, 0))))
+    return F.concat(
+        F.when(first.isin("set", "merge", "update", "modify"), _listed(s)).otherwise(none),
+        F.when(first == "proc", _all(s, rf"\b(?:data|compare)\s*=\s*({_NAME})")).otherwise(none),
+        F.when(first.isin("create", "select", "insert", "delete"), F.concat(froms, _all(s, rf"\bjoin\s+({_NAME})"))).otherwise(none),
+    )
+
+
+def _writes(s: Column) -> Column:
+    first, none = F.regexp_extract(s, r"^[a-z_]\w*", 0), F.array().cast("array<string>")
+    out = _all(s, rf"\b(?:out|base)\s*=\s*({_NAME})")
+    sorts = s.rlike(r"^proc sort\b") & (F.size(out) == 0)
+    return F.concat(
+        F.when(first == "data", F.filter(_listed(s), lambda x: x != "_null_")).otherwise(none),
+        F.when(first == "proc", F.when(sorts, _all(s, rf"\bdata\s*=\s*({_NAME})")).otherwise(out)).otherwise(none),
+        F.when(first == "create", _all(s, rf"^create table ({_NAME})")).when(first == "insert", _all(s, rf"^insert into ({_NAME})")).otherwise(none),
+    )
 
 
 def datasets(text: Column) -> tuple[Column, Column]:
-    """Names that a statement reads and writes, canonical."""
-    low = normalised(text)
-    reads = F.concat(F.regexp_extract_all(low, F.lit(r"\b(?:set|merge|from|join)\s+([a-z_][\w.]*)"), F.lit(1)), F.regexp_extract_all(low, F.lit(r"\bdata\s*=\s*([a-z_][\w.]*)"), F.lit(1)))
-    writes = F.concat(F.regexp_extract_all(low, F.lit(r"^data\s+([a-z_][\w.]*)"), F.lit(1)), F.regexp_extract_all(low, F.lit(r"\bout\s*=\s*([a-z_][\w.]*)"), F.lit(1)), F.regexp_extract_all(low, F.lit(r"\bcreate\s+table\s+([a-z_][\w.]*)"), F.lit(1)))
+    """Names that a statement or several read and write, canonical: lists of names, options, tables of SQL and of hash objects."""
+    every = statements(text)
+    hashed = _all(F.lower(text), rf"\bdataset\s*:\s*['\"]({_NAME})")
     each = lambda c: F.sort_array(F.array_distinct(F.transform(c, canonical)))
-    return each(reads), each(writes)
+    return each(F.concat(F.flatten(F.transform(every, _reads)), hashed)), each(F.flatten(F.transform(every, _writes)))
 
 
 def canonical(name: Column) -> Column:
@@ -301,7 +345,18 @@ def words(body: Column) -> Column:
 
 def step_count(body: Column) -> Column:
     """DATA and PROC headers."""
-    return F.regexp_count(F.lower(body), F.lit(r"(?m)(^|;)\s*(data|proc)\s"))
+    return F.size(F.filter(statements(body), lambda s: s.rlike(r"^(data|proc)\s")))
+
+
+def split_oversized(chunks_: DataFrame, key: Sequence[str], text: str, most: int, overlap: int) -> DataFrame:
+    """key, part, start, text: texts of more than `most` characters in parts of at most so many, each repeating the last `overlap` of the one before."""
+    step_ = most - overlap
+    if not 0 <= overlap < most:
+        raise ValueError("the overlap must be shorter than a part")
+    n = F.length(text)
+    last = F.greatest(F.ceil((n - overlap) / step_) - 1, F.lit(0)).cast("int")
+    parts = chunks_.select(*key, F.col(text).alias("_body"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    return parts.select(*key, "part", (F.col("part") * step_).alias("start"), F.substring("_body", F.col("part") * step_ + 1, F.lit(most)).alias("text"))
 
 
 def language(name: Column) -> Column:
