@@ -1,4 +1,4 @@
 """The registered queries and their SQL."""
 
-from quarry.catalog import corpus, extras, procs, steps  # noqa: F401
+from quarry.catalog import corpus, extras, more, procs, steps  # noqa: F401
 from quarry.catalog.base import ORACLES, QUERIES  # noqa: F401

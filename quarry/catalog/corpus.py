@@ -466,9 +466,12 @@ def oversized_split(t):
     return text.split_oversized(t.documents, ["doc_id"], "text", 1000, 100)
 
 
-@query("select page_id, url, cast(length(replace(html, '<', '')) as integer) as n from pages")
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(translate(html, '‘’“”–—' || chr(160), chr(39) || chr(39) || '""-- '), '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(f"select page_id, sha256({_TIDY}) as tidy from pages")
 def text_normalise(t):
-    return t.pages.select("page_id", "url", F.length(F.replace("html", F.lit("<"), F.lit(""))).alias("n"))
+    return t.pages.select("page_id", F.sha2(text.tidy(F.col("html")).cast("binary"), 256).alias("tidy"))
 
 
 @query("with p as (select distinct 'a/' || p_size || '/' || p_brand as path from part), e as (select path, path as e3, regexp_replace(path, '^[^/]*/', '') as e2, regexp_replace(path, '^.*/', '') as e1 from p) select path, case when count(*) over (partition by e1) = 1 then e1 else e2 end as name from e")

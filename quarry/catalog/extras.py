@@ -18,9 +18,9 @@ def tokenizers(t):
     return t.documents.select("doc_id", n(retrieval.RETRIEVAL).alias("a"), n(retrieval.METRICS).alias("b"), n(retrieval.LEAKAGE).alias("c"))
 
 
-@query("select doc_id, len(list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\r]+'), lambda w: w <> ''))::integer as n, (length(substr(text, 1, 400)) - length(replace(substr(text, 1, 400), chr(10), '')) + 1)::integer as line from documents")
+@query("select doc_id, len(list_filter(regexp_split_to_array(trim(text), '[ \\t\\n\\r]+'), lambda w: w <> ''))::integer as n, (length(substr(text, 1, n_chars::integer // 2)) - length(replace(substr(text, 1, n_chars::integer // 2), chr(10), '')) + 1)::integer as line from documents")
 def words_and_lines(t):
-    return t.documents.select("doc_id", text.words(F.col("text")).alias("n"), text.line_of(F.col("text"), F.lit(400)).alias("line"))
+    return t.documents.select("doc_id", text.words(F.col("text")).alias("n"), text.line_of(F.col("text"), F.floor(F.col("n_chars") / 2)).alias("line"))
 
 
 @query("select p_partkey, replace(replace(replace(lower(p_type), ' ', ''), '_', ''), '-', '') as lang from part")
@@ -35,7 +35,7 @@ def balance_check(t):
 
 @query("select doc_id, regexp_matches(lower(text), 'license|password|@') as cued from documents")
 def cue_gate(t):
-    return t.documents.select("doc_id", F.lower("text").rlike("license|password|@").alias("cued"))
+    return t.documents.select("doc_id", text.cued(F.col("text"), ["license", "password", "@"]).alias("cued"))
 
 
 @query("select n_name, case when n_regionkey = 0 then 'function:' || lower(n_name) when n_regionkey = 1 then 'procedure:' || lower(n_name) end as key from nation")
@@ -80,8 +80,7 @@ def first_spelling(t):
 def io_roles(t):
     r = t.lineitem.select(F.col("l_partkey").alias("x"), F.lit(1).alias("r"), F.lit(0).alias("w"))
     w = t.part.where("p_size < 40").select(F.col("p_partkey").alias("x"), F.lit(0).alias("r"), F.lit(1).alias("w"))
-    g = r.union(w).groupBy("x").agg(F.max("r").alias("r"), F.max("w").alias("w"))
-    return g.select("x", F.when((F.col("r") == 1) & (F.col("w") == 1), "intermediate").when(F.col("r") == 1, "input").otherwise("output").alias("role"))
+    return scoring.io_roles(r.union(w), "x", "r", "w")
 
 
 @query("select o_orderkey as key, case o_orderstatus when 'O' then 'HIGH' when 'F' then 'MEDIUM' else 'LOW' end as tier from orders order by case o_orderstatus when 'O' then 3 when 'F' then 2 else 1 end desc, o_totalprice desc, o_orderkey limit 15")
@@ -104,13 +103,12 @@ def judge_grades(t):
 @query("select lang, round(least(avg(quality), avg(1 - toxic)), 6) as score from labels join documents using (doc_id) group by 1")
 def summary_score(t):
     x = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
-    return x.groupBy("lang").agg(_R(F.least(F.avg("quality"), F.avg(1 - F.col("toxic")))).alias("score"))
+    return evaluation.weakest(x, "lang", F.col("quality"), 1 - F.col("toxic")).withColumn("score", _R("score"))
 
 
 @query("with u as (select conv_id, count(*) as asked from conversations where role = 'user' group by 1), a as (select conv_id, count(*) as said from conversations where role = 'assistant' group by 1) select conv_id, round(least(coalesce(said, 0) / asked, 1.0), 6) as coverage from u left join a using (conv_id)")
 def response_coverage(t):
-    g = t.conversations.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.count_if(F.col("role") == "assistant").alias("said")).where("asked > 0")
-    return g.select("conv_id", _R(F.least(F.col("said") / F.col("asked"), F.lit(1.0))).alias("coverage"))
+    return evaluation.coverage(t.conversations, "conv_id", F.col("role") == "user", F.col("role") == "assistant").withColumn("coverage", _R("coverage"))
 
 
 @query("with t as (select *, sum(case when role = 'user' or rn = 1 then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding)::bigint as k from (select *, row_number() over (partition by conv_id order by turn) as rn from conversations)) select conv_id, k as turn_id, conv_id || '-' || k as item, max(case when role = 'user' then length(text) end)::integer as asked, sum(case when role <> 'user' then length(text) end)::bigint as answered from t group by 1, 2")
@@ -145,10 +143,10 @@ def import_delimited(t):
     return files.read_delimited(t.spark, path, "n_nationkey int, n_name string", "|")
 
 
-@query("select n_nationkey, n_name from nation where n_nationkey >= 10")
+@query("select n_nationkey, n_name from nation")
 def infile_fixed(t):
     path = files.scratch(t.spark)
-    t.nation.where("n_nationkey >= 10").select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, " "), F.rpad("n_name", 25, " ")).alias("value")).write.mode("overwrite").text(path)
+    t.nation.select(F.concat(F.lpad(F.col("n_nationkey").cast("string"), 4, " "), F.rpad("n_name", 25, " ")).alias("value")).write.mode("overwrite").text(path)
     return files.read_fixed(t.spark, path, {"n_nationkey": (1, 4, "int"), "n_name": (5, 25, "string")})
 
 

@@ -327,12 +327,12 @@ def fn_prx(t):
 
 @query("select p_partkey, md5(p_name) as m, sha256(p_name) as s, sha256(rpad(p_name, 60, ' ')) as padded from part")
 def fn_hash(t):
-    return t.part.select("p_partkey", F.md5("p_name").alias("m"), F.sha2("p_name", 256).alias("s"), F.sha2(F.rpad("p_name", 60, " "), 256).alias("padded"))
+    return t.part.select("p_partkey", *[F.lower(char.hashing(k, x)).alias(n) for n, k, x in (("m", "MD5", F.col("p_name")), ("s", "SHA256", F.col("p_name")), ("padded", "SHA256", F.rpad("p_name", 60, " ")))])
 
 
 @query("select p_partkey, cast(p_size as varchar) as a, try_cast(p_brand as double) as b, printf('%05d', p_size) as z from part")
 def fn_put_input(t):
-    return t.part.select("p_partkey", F.col("p_size").cast("string").alias("a"), F.col("p_brand").try_cast("double").alias("b"), F.format_string("%05d", "p_size").alias("z"))
+    return t.part.select("p_partkey", char.put("p_size").alias("a"), char.input_number("p_brand").alias("b"), char.put("p_size", 5, zeros=True).alias("z"))
 
 
 @query("select p_partkey, cast(case when regexp_matches(p_brand, '[0-9]') then strpos(p_brand, regexp_extract(p_brand, '[0-9]')) else 0 end as integer) as d, cast(case when regexp_matches(p_brand, '[^A-Za-z]') then strpos(p_brand, regexp_extract(p_brand, '[^A-Za-z]')) else 0 end as integer) as n from part")

@@ -160,3 +160,35 @@ def indexc(s, chars: str) -> Column:
 def verify(s, chars: str) -> Column:
     """Place of the first character that isn't one of these."""
     return F.regexp_instr(_col(s), F.lit("[^" + char_class(chars)[1:]))
+
+
+def digest(kind: str, x: Column) -> Column:
+    """MD5, SHA1, SHA256 or SHA512 of the bytes, as bytes; hex() of it is what HASHING gives."""
+    kind = kind.upper()
+    found = {"MD5": F.md5, "SHA1": F.sha1}.get(kind) or (lambda c: F.sha2(c, {"SHA256": 256, "SHA512": 512}[kind]))
+    return F.unhex(found(x.cast("binary")))
+
+
+def hashing(kind: str, x: Column) -> Column:
+    """HASHING: upper-case hexadecimal digits."""
+    return F.hex(digest(kind, x))
+
+
+def hashing_hmac(x: Column, key: bytes) -> Column:
+    """HMAC-SHA256 under a constant key, upper-case hexadecimal digits."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return hashing("SHA256", F.concat(outer, digest("SHA256", F.concat(inner, x.cast("binary")))))
+
+
+def put(x, width: int | None = None, zeros: bool = False) -> Column:
+    """PUT of a whole number: as text, or right-aligned to a width (with zeros for the Z format)."""
+    text = F.col(x).cast("string") if isinstance(x, str) else x.cast("string")
+    return text if width is None else F.lpad(text, width, "0" if zeros else " ")
+
+
+def input_number(x) -> Column:
+    """INPUT of text as a number; missing where it isn't one."""
+    return F.trim(F.col(x) if isinstance(x, str) else x).try_cast("double")

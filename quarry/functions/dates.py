@@ -128,3 +128,18 @@ def holiday(d, calendar) -> Column:
     if not calendar:
         raise NonConvertible("holiday functions need a calendar")
     return _col(d).isin(list(calendar)).cast("int")
+
+
+def today() -> Column:
+    """The date at the start of the query, in days from 1960."""
+    return to_days(F.current_date())
+
+
+def datetime() -> Column:
+    """The time at the start of the query, in seconds from 1960."""
+    return F.unix_timestamp(F.current_timestamp()) + EPOCH_SECONDS
+
+
+def dhms(d, h, m, s) -> Column:
+    """Seconds from 1960 of a day (in days from 1960) and a time."""
+    return _col(d) * 86_400 + _col(h) * 3600 + _col(m) * 60 + _col(s)

@@ -89,3 +89,41 @@ def runs(df: DataFrame, by: Sequence[str], order: str, alone: str, most: int, na
     inside = F.row_number().over(Window.partitionBy(*by, "_island").orderBy(order)) - 1
     x = x.withColumn("_cut", (inside % most == 0).cast("int"))
     return x.withColumn(name, F.sum("_cut").over(w) - 1).drop("_island", "_cut")
+
+
+def flattened(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """chunks of all files in one order: adds item_no, by file_rank, then idx. files: source_id, file_rank."""
+    from quarry.operators.step import position
+
+    return position(chunks.join(files.select("source_id", "file_rank"), "source_id"), ["file_rank", "source_id", "idx"], "item_no")
+
+
+def batch_io(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """source_id, batch_no, inputs, outputs: names that a batch reads before any of its own chunks writes them, and all that it writes."""
+    key = ["source_id", "batch_no"]
+    x = rows.join(placed.where("batch_no is not null"), ["source_id", "idx"])
+    made = x.select(*key, "idx", F.explode("writes").alias("name"), F.lit(False).alias("reads"))
+    used = x.select(*key, "idx", F.explode("reads").alias("name"), F.lit(True))
+    # a chunk that reads and writes a name reads it first
+    first = made.union(used).groupBy(*key, "name").agg(F.min(F.when(F.col("reads"), F.col("idx"))).alias("r"), F.min(F.when(~F.col("reads"), F.col("idx"))).alias("w"))
+    outer = F.col("r").isNotNull() & (F.col("w").isNull() | (F.col("r") <= F.col("w")))
+    names = first.groupBy(*key).agg(F.sort_array(F.collect_set(F.when(outer, F.col("name")))).alias("inputs"), F.sort_array(F.collect_set(F.when(F.col("w").isNotNull(), F.col("name")))).alias("outputs"))
+    none = F.array().cast("array<string>")
+    return x.select(*key).distinct().join(names, key, "left").select(*key, F.coalesce("inputs", none).alias("inputs"), F.coalesce("outputs", none).alias("outputs"))
+
+
+def merged_metadata(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """source_id, batch_no, kinds, made, used, macros, n_chunks of each batch: the union of its chunks' metadata; variables made inside aren't used."""
+    x = rows.join(placed.where("batch_no is not null"), ["source_id", "idx"])
+    union = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
+    out = x.groupBy("source_id", "batch_no").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), union("made").alias("made"), union("used").alias("used"), F.sort_array(F.collect_set("macro")).alias("macros"), F.count("*").alias("n_chunks"))
+    return out.withColumn("used", F.array_except("used", "made"))
+
+
+def batch_texts(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """source_id, batch_no, text, n_chunks: each batch's chunks in their order, global context of the source before them."""
+    x = rows.join(placed, ["source_id", "idx"])
+    body = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda c: c["text"]), "")
+    shared = x.where("batch_no is null").groupBy("source_id").agg(body().alias("_shared"))
+    own = x.where("batch_no is not null").groupBy("source_id", "batch_no").agg(body().alias("_own"), F.count("*").alias("n_chunks"))
+    return own.join(shared, "source_id", "left").select("source_id", "batch_no", F.concat(F.coalesce("_shared", F.lit("")), "_own").alias("text"), "n_chunks")

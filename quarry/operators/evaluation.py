@@ -133,3 +133,23 @@ def match_f1(matches: DataFrame, sizes: DataFrame, by: str, left: str, right: st
     n = matches.groupBy(by).agg(F.count("*").alias("_n"))
     total = F.col(left) + F.col(right)
     return sizes.join(n, by, "left").select(by, F.when(total == 0, 1.0).otherwise(2 * F.coalesce("_n", F.lit(0)) / total).alias("score"))
+
+
+def language_compliance(markdown: Column, wanted: str) -> Column:
+    """Share of the fenced blocks that are marked as the wanted language; 0 where there is no block."""
+    from quarry.operators.text import fences, language
+
+    found = F.transform(fences(markdown), lambda x: language(F.trim(x["language"])))
+    hits = F.size(F.filter(found, lambda x: x == F.lit("".join(c for c in wanted.lower() if c not in " _-"))))
+    return F.when(F.size(found) == 0, 0.0).otherwise(hits / F.size(found))
+
+
+def coverage(rows: DataFrame, by: str, asked: Column, answered: Column) -> DataFrame:
+    """by, coverage: the answered share of what was asked, 1 at most; groups that ask nothing are left out."""
+    g = rows.groupBy(by).agg(F.count_if(asked).alias("_asked"), F.count_if(answered).alias("_said")).where("_asked > 0")
+    return g.select(by, F.least(F.col("_said") / F.col("_asked"), F.lit(1.0)).alias("coverage"))
+
+
+def weakest(rows: DataFrame, by: str, *scores: Column) -> DataFrame:
+    """by, score: the least of the mean scores, which is how a summary is judged."""
+    return rows.groupBy(by).agg(F.least(*[F.avg(s) for s in scores]).alias("score"))

@@ -92,3 +92,40 @@ def completed(facts: DataFrame, by: str, pos: str, ok: Column) -> DataFrame:
     """The facts before the first unsatisfied position."""
     bad = F.min(F.when(~ok, F.col(pos))).over(Window.partitionBy(by))
     return facts.withColumn("_bad", bad).where(F.col("_bad").isNull() | (F.col(pos) < F.col("_bad"))).drop("_bad")
+
+
+def snapshot(store: DataFrame, prefix: str) -> DataFrame:
+    """The rows under a literal prefix, as they are, for restore()."""
+    return with_prefix(store, prefix)
+
+
+def restore(store: DataFrame, saved: DataFrame, prefix: str) -> DataFrame:
+    """What is under the prefix becomes what was saved, times included; saved rows under other keys are ignored."""
+    return delete_prefix(store, prefix).unionByName(with_prefix(saved, prefix).select(store.columns))
+
+
+def threads(store: DataFrame) -> DataFrame:
+    """thread, n, first_at, last_at of the msg::{thread}::{...} keys, for listing."""
+    own = with_prefix(store, "msg::").withColumn("thread", F.element_at(F.split("kv_key", "::"), 2))
+    return own.groupBy("thread").agg(F.count("*").alias("n"), F.min("created_at").alias("first_at"), F.max("updated_at").alias("last_at"))
+
+
+def unread(messages: DataFrame, marks: DataFrame, by: str, order: str) -> DataFrame:
+    """by, n_unread, next_unread: what lies behind each thread's read frontier. marks: by, seen (none: nothing has been read)."""
+    x = messages.join(marks.select(by, "seen"), by, "left")
+    fresh = F.col("seen").isNull() | (F.col(order) > F.col("seen"))
+    return x.groupBy(by).agg(F.count_if(fresh).alias("n_unread"), F.min(F.when(fresh, F.col(order))).alias("next_unread"))
+
+
+def advanced(marks: DataFrame, read: DataFrame, by: str, order: str) -> DataFrame:
+    """The frontier after reading these messages; it never goes back. by, seen."""
+    return marks.select(by, "seen").union(read.select(by, order)).groupBy(by).agg(F.max("seen").alias("seen"))
+
+
+def fork_before(store: DataFrame, source: str, target: str, before: float | None = None) -> DataFrame:
+    """Copies of a thread's msg:: rows under another thread, created before a time (none: all): the thread's name is rewritten in keys and tags."""
+    head = f"msg::{source}::"
+    own = with_prefix(store, head)
+    own = own if before is None else own.where(F.col("created_at") < before)
+    tags_ = F.transform(F.from_json("tags", "array<string>"), lambda x: F.when(x == f"thread:{source}", f"thread:{target}").otherwise(x))
+    return own.withColumn("kv_key", F.concat(F.lit(f"msg::{target}::"), F.expr(f"substring(kv_key, {len(head) + 1})"))).withColumn("tags", F.to_json(tags_))

@@ -92,3 +92,9 @@ def inherit(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
 def hardest(df: DataFrame, n: int, tier: str = "tier", score: str = "score", key: str = "key") -> DataFrame:
     rank = F.when(F.col(tier) == "HIGH", 3).when(F.col(tier) == "MEDIUM", 2).otherwise(1)
     return df.orderBy(rank.desc(), F.col(score).desc(), key).limit(n)
+
+
+def io_roles(rows: DataFrame, name: str, reads: str, writes: str) -> DataFrame:
+    """name, role: intermediate if it is read and written, input if only read, output if only written. reads, writes: 0 or 1 by row."""
+    g = rows.groupBy(name).agg(F.max(reads).alias("_r"), F.max(writes).alias("_w"))
+    return g.select(name, F.when((F.col("_r") == 1) & (F.col("_w") == 1), "intermediate").when(F.col("_r") == 1, "input").otherwise("output").alias("role"))

@@ -170,3 +170,13 @@ def do_while(*_):
 
 def label(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata=df.schema[c].metadata | {"comment": labels[c]}) if c in labels else F.col(c) for c in df.columns])
+
+
+def length(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
+    """LENGTH: character columns hold at most so many characters; trailing blanks don't count."""
+    return df.select(*[F.rtrim(F.substring(c, 1, lengths[c])).alias(c, metadata=df.schema[c].metadata | {"length": lengths[c]}) if c in lengths else F.col(c) for c in df.columns])
+
+
+def formatted(df: DataFrame, formats_: dict[str, str]) -> DataFrame:
+    """FORMAT: the display format goes with the column as metadata; values stay."""
+    return df.select(*[F.col(c).alias(c, metadata=df.schema[c].metadata | {"format": formats_[c]}) if c in formats_ else F.col(c) for c in df.columns])

@@ -422,3 +422,55 @@ def python_parses(blocks: DataFrame, key: str, code: str) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "ok": [good(c) for c in pdf[code]]})
 
     return blocks.select(key, code).mapInPandas(run, f"{key} {blocks.schema[key].dataType.simpleString()}, ok boolean")
+
+
+def merge_sections(sections: DataFrame, by: str, order: str, text: str, most: int) -> DataFrame:
+    """by, part, first, n, text: neighbouring sections joined while they hold at most `most` words together; a longer one stands alone."""
+    from quarry.operators.retrieval import pack_windows
+
+    packed = pack_windows(sections.select(by, order, F.col(text).alias("_body")).withColumn("_words", words(F.col("_body")).cast("long")), by, order, "_words", most, 1 << 30)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_body"))), lambda x: x["_body"]), "\n\n")
+    return packed.groupBy(by, F.col("batch").alias("part")).agg(F.min(order).alias("first"), F.count("*").alias("n"), body.alias("text"))
+
+
+def rewrite_tables(programs: DataFrame, key: str, body: str, table: DataFrame) -> DataFrame:
+    """Adds new_text: table names after FROM, JOIN, INTO, TABLE and UPDATE replaced as `table` (source, target) says; strings and comments stay.
+
+    Names are compared without case; a name that the mapping doesn't have stays. A body is cut into strings, comments and the rest, so that only
+    the rest is searched.
+    """
+    pieces_ = F.regexp_extract_all(F.col(body), F.lit(r"(?s)/\*.*?(?:\*/|\z)|--[^\n]*|'[^']*(?:''[^']*)*(?:'|\z)|\"[^\"]*(?:\"|\z)|[^'\"/\-]+|."), F.lit(0))
+    piece = programs.select(key, F.posexplode(pieces_).alias("pos", "piece"))
+    word = r"(?i)\b(?:from|join|into|table|update)\s+([a-z_][\w.]*)"
+    is_code = ~F.col("piece").rlike(r"^(/\*|--|'|\")")
+    named = piece.where(is_code).select(key, F.explode(F.regexp_extract_all("piece", F.lit(word), F.lit(1))).alias("name")).distinct()
+    names = table.select(F.lower("source").alias("_name"), "target").groupBy("_name").agg(F.max("target").alias("target"))
+    swaps = named.join(names, F.lower("name") == F.col("_name")).groupBy(key).agg(F.sort_array(F.collect_set(F.struct("name", "target"))).alias("swaps"))
+
+    def swap(code: Column, x: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?i)\b(from|join|into|table|update)(\s+)"), F.lit(r"\Q"), x["name"], F.lit(r"\E(?![\w.])"))
+        return F.regexp_replace(code, pattern, F.concat(F.lit("$1$2"), F.regexp_replace(x["target"], r"([$\\])", r"\\$1")))
+
+    done = piece.join(swaps, key, "left").withColumn("piece", F.when(is_code, F.aggregate(F.coalesce("swaps", F.array()), F.col("piece"), swap)).otherwise(F.col("piece")))
+    whole = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("new_text"))
+    return programs.join(whole, key, "left").withColumn("new_text", F.coalesce("new_text", body))
+
+
+def diagnostics(found: DataFrame, programs: DataFrame, source: str = "source_id") -> DataFrame:
+    """source_id, code, at: comments that never close, a last statement without its semicolon, macros that never end, and programs without statements. found: units()."""
+    low = normalised(F.col("text"))
+    per = found.groupBy("source_id").agg(
+        F.min(F.when(F.col("unclosed_comment"), F.col("start_char"))).alias("unclosed_comment"),
+        F.min(F.when(~F.col("terminated") & ~F.col("unclosed_comment"), F.col("start_char"))).alias("unterminated"),
+        F.when(F.count_if(low.rlike(r"^% ?macro\b")) > F.count_if(low.rlike(r"^% ?mend\b")), F.max(F.when(low.rlike(r"^% ?macro\b"), F.col("start_char")))).alias("open_macro"),
+        F.when(F.count_if(~F.col("is_comment")) == 0, F.lit(0)).alias("no_statement"),
+    )
+    every = programs.select(F.col(source).alias("source_id")).distinct().join(per.withColumn("_met", F.lit(True)), "source_id", "left")
+    every = every.withColumn("no_statement", F.when(F.col("_met").isNull(), 0).otherwise(F.col("no_statement")))
+    codes = ["unclosed_comment", "unterminated", "open_macro", "no_statement"]
+    return every.select("source_id", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("at")) for c in codes])).alias("d")).select("source_id", "d.code", "d.at").where("at is not null")
+
+
+def cued(text: Column, words_: Sequence[str]) -> Column:
+    """Whether any of these words (parts of words, case aside) is in a text."""
+    return F.rlike(F.lower(text), F.lit("|".join(re.escape(w.lower()) for w in words_)))

@@ -16,3 +16,11 @@ def publish(one_row: DataFrame) -> dict:
     if len(rows) != 1:
         raise ValueError(f"a published value needs one row, not {'none' if not rows else 'several'}")
     return rows[0].asDict()
+
+
+def sysfunc(spark: SparkSession, name: str, *args):
+    """%SYSFUNC: one value of a SQL function of constants, when the plan is built."""
+    if not name.isidentifier():
+        raise ValueError(f"not a function name: {name}")
+    marks = ", ".join(f":a{i}" for i in range(len(args)))
+    return spark.sql(f"select {name}({marks})", args={f"a{i}": x for i, x in enumerate(args)}).first()[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import catalog
 from quarry.errors import MissingKey, MissingOrder, NonConvertible
 from quarry.functions import char, dates, formats, numeric, patterns
-from quarry.operators import evaluation, graph, guidance, memory, merge, procs, retrieval, scoring, step, text
+from quarry.operators import batching, evaluation, graph, guidance, macros, memory, merge, procs, retrieval, scoring, step, text
 from quarry.plans import scripting
 from quarry.sources import files
 
@@ -271,3 +271,80 @@ def test_rank_percent_and_standardize_without_by(spark):
     z = [r[1] for r in rows(procs.standardize(df, ["x"]), "i")]
     assert z[3] is None and abs(sum(x for x in z if x is not None)) < 1e-9
     assert [r[1] for r in rows(procs.standardize(df, ["x"], replace_only=True), "i")] == [5.0, 1.0, 5.0, 3.5, 3.0]
+
+
+def test_datasets_of_statements(spark):
+    """Lists of names, options in brackets, SQL lists, hash objects, sorting in place; strings and comments don't count."""
+    cases = [
+        ("set x y z;", ["work.x", "work.y", "work.z"], []),
+        ("merge l (in=a where=(v > (1 + 2))) lib.r(keep=k) end=eof;", ["lib.r", "work.l"], []),
+        ("data a lib.b (drop=c) / view=a;", [], ["lib.b", "work.a"]),
+        ("data _null_;", [], []),
+        ("update m t;", ["work.m", "work.t"], []),
+        ("declare hash h(dataset: 'lib.h');", ["lib.h"], []),
+        ("create table n as select * from p, q as r left join s on p.i = s.i;", ["work.p", "work.q", "work.s"], ["work.n"]),
+        ("insert into n select * from p;", ["work.p"], ["work.n"]),
+        ("proc sort data=k;", ["work.k"], ["work.k"]),
+        ("proc sort data=k out=lib.o;", ["work.k"], ["lib.o"]),
+        ("x = 'set y;'; /* merge l r; */ * set w;", [], []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    reads, writes = text.datasets(F.col("t"))
+    got = df.select("i", reads.alias("a"), writes.alias("b")).orderBy("i").collect()
+    for r, c in zip(got, cases):
+        assert (r.a, r.b) == (c[1], c[2]), c
+
+
+def test_constructs_of_texts(spark):
+    cases = [
+        ("x = 'please retain this'; /* merge a; by b; */", []),
+        ("* retain x; retain y;", ["retain"]),
+        ("merge a b; by k; if first.k then do i = 1 to 3; end;", ["do_loop", "first_last", "merge"]),
+        ("merge a b;", ["merge_no_by"]),
+        ("do while (x); end; do until(y); end;", ["do_until", "do_while"]),
+        ("%do i = 1 %to 3; %end;", []),
+        ("if a then goto done; else link sub;", ["goto", "link"]),
+        ("go to done; array s[3] a b; infile '/x'; file print; modify m; update m t;", ["array", "file_output", "goto", "infile", "modify", "update"]),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    for r, c in zip(df.select("i", text.constructs(F.col("t")).alias("c"), text.step_count(F.col("t")).alias("n")).orderBy("i").collect(), cases):
+        assert (r.c, r.n) == (c[1], 0), c
+    assert df.limit(1).select(text.step_count(F.lit("/* data x; */ data a; y = 'proc z'; run; proc print; run;"))).first()[0] == 2
+
+
+def test_call_arguments():
+    for body, want in (("%m('a)b', c)", ["'a)b'", "c"]), ("%m(f(x, y), \"q,r\", k=[1, 2])", ["f(x, y)", '"q,r"', "k=[1, 2]"]), ("%m()", []), ("%m", []), ("%m(a", ["a"]), ("%m(,b)", ["", "b"]), ("%m('it''s, ok')", ["'it''s, ok'"])):
+        assert macros._call(body) == ("m", want), body
+
+
+def test_statement_scan_is_linear():
+    import time
+
+    body = "data a; x = 'it''s; ok'; run;\n" * 60_000
+    start = time.time()
+    assert len(text.scan_statements(body)) == 180_000 and time.time() - start < 10
+
+
+def test_batches_with_shared_context(spark):
+    """A variable that two batches use is global context; a remark goes with the chunk after it, the last one with the chunk before."""
+    rows_ = [(1, "GLOBAL_STATEMENT", "%let cut = 1;"), (2, "COMMENT_BLOCK", "/* one */"), (3, "DATA_STEP", "data a; set r; if x > &cut; run;"), (4, "PROC_STEP", "proc means data=a; run;"), (5, "DATA_STEP", "data b; set s; if x > &cut; run;"), (6, "COMMENT_BLOCK", "/* end */")]
+    chunks = spark.createDataFrame([("p", *r) for r in rows_], "source_id string, idx int, kind string, text string")
+    d = batching.described(chunks)
+    placed = batching.batches(d, batching.edges(d))
+    assert rows(placed.select("idx", "role", "batch_no"), "idx") == [(1, "global", None), (2, "context", 1), (3, "member", 1), (4, "member", 1), (5, "member", 2), (6, "context", 2)]
+    assert [r.text for r in batching.batch_texts(chunks, placed).orderBy("batch_no").collect()] == ["%let cut = 1;/* one */data a; set r; if x > &cut; run;proc means data=a; run;", "%let cut = 1;data b; set s; if x > &cut; run;/* end */"]
+    assert rows(batching.batch_io(d, placed), "batch_no") == [("p", 1, ["work.r"], ["work.a"]), ("p", 2, ["work.s"], ["work.b"])]
+    long = spark.createDataFrame([("q", i, "DATA_STEP", f"data c{i + 1}; set c{i}; run;") for i in range(1, 8)], chunks.schema)
+    d = batching.described(long)
+    assert [r[0] for r in rows(batching.batches(d, batching.edges(d), most=3).orderBy("idx").select("batch_no"))] == [1, 1, 1, 2, 2, 2, 3]
+
+
+def test_more_refusals(spark):
+    with pytest.raises(NonConvertible):
+        procs.plots()
+    from quarry.plans import params
+
+    with pytest.raises(ValueError):
+        params.sysfunc(spark, "upper('x') --")
+    with pytest.raises(ValueError):
+        text.split_oversized(spark.range(1).selectExpr("id", "'x' as t"), ["id"], "t", 5, 5)
