@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from quarry.catalog.base import query
+from quarry.catalog.base import ORACLES, query
 from quarry.operators import batching, evaluation, graph, macros, memory, merge, retrieval, scoring, step, text
 from quarry.sources import files
 from quarry.streaming import events as stream
@@ -84,7 +84,7 @@ def weak_edges_promote(t):
     return graph.promote_weak(weak, parts)
 
 
-@query()
+@query(ORACLES["weak_edges_promote"])
 def weak_edges_promote_all(t):
     return weak_edges_promote(t)
 
@@ -128,16 +128,20 @@ def singleton_runs(t):
     return batching.runs(x, ["conv_id"], "turn", "alone", 4, "batch").select("conv_id", "turn", "batch")
 
 
-@query()
+_FOLD = "with recursive x as (select conv_id, turn, length(text)::bigint as size, row_number() over (partition by conv_id order by {order}) as k from conversations), "
+_OVER = "r.used + x.size > 400 or r.n >= 8"
+
+
+@query(_FOLD.format(order="turn") + f"r(conv_id, k, batch, used, n) as (select conv_id, k, 0::bigint, size, 1 from x where k = 1 union all select x.conv_id, x.k, case when {_OVER} then r.batch + 1 else r.batch end, case when {_OVER} then x.size else r.used + x.size end, case when {_OVER} then 1 else r.n + 1 end from r join x on x.conv_id = r.conv_id and x.k = r.k + 1) select conv_id, turn, size, batch from r join x using (conv_id, k)")
 def pack_greedy(t):
     x = t.conversations.select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return retrieval.pack_windows(x, "conv_id", "turn", "size", 400, 8)
 
 
-@query()
+@query(_FOLD.format(order="length(text) desc, turn") + "r(conv_id, k, take, room) as (select conv_id, k, size <= 500, case when size <= 500 then 500 - size else 500 end from x where k = 1 union all select x.conv_id, x.k, x.size <= r.room, case when x.size <= r.room then r.room - x.size else r.room end from r join x on x.conv_id = r.conv_id and x.k = r.k + 1) select conv_id, turn, size from r join x using (conv_id, k) where take")
 def pack_best_first(t):
     x = t.conversations.select("conv_id", "turn", F.length("text").cast("long").alias("size"))
-    return retrieval.pack_best_first(x, "conv_id", F.col("size").desc(), "size", 500)
+    return retrieval.pack_best_first(x, "conv_id", F.struct(-F.col("size"), "turn").asc(), "size", 500)
 
 
 _BM = """with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as tk from documents), s as (select count(*) as n, avg(len(tk)) as a from d),
@@ -184,7 +188,7 @@ def rerank_window(t):
     return retrieval.rerank_window(x, "pos", "s", 20).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
-@query()
+@query(ORACLES["rerank_window"])
 def rerank_window_all(t):
     return rerank_window(t).withColumn("place", F.col("place").cast("long"))
 
@@ -314,11 +318,12 @@ def report_rollup(t):
     return evaluation.roll_up(x, "case_id").select("case_id", _R("score").alias("score"), "passed")
 
 
-@query()
+@query("with recursive p as (select a.conv_id, a.turn as l, b.turn as r, 1 - abs(length(a.text) - length(b.text)) / greatest(length(a.text), length(b.text)) as score from conversations a join conversations b on a.conv_id = b.conv_id and a.role = 'user' and b.role = 'assistant'), x as (select *, row_number() over (partition by conv_id order by score desc, l, r) as k from p where score >= 0.6), f(conv_id, k, n, ul, ur) as (select conv_id, k, 1, [l], [r] from x where k = 1 union all select x.conv_id, x.k, case when list_contains(ul, l) or list_contains(ur, r) then n else n + 1 end, case when list_contains(ul, l) or list_contains(ur, r) then ul else list_append(ul, l) end, case when list_contains(ul, l) or list_contains(ur, r) then ur else list_append(ur, r) end from f join x on x.conv_id = f.conv_id and x.k = f.k + 1), m as (select conv_id, max(n) as n from f group by 1), s as (select conv_id, count(*) filter (role = 'user') as a, count(*) filter (role = 'assistant') as b from conversations group by 1) select conv_id, round(case when a + b = 0 then 1.0 else 2.0 * coalesce(n, 0) / (a + b) end, 6) as score from s left join m using (conv_id)")
 def greedy_match_f1(t):
     pairs = t.conversations.alias("a").join(t.conversations.alias("b"), (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.role") == "user") & (F.col("b.role") == "assistant"))
     x = pairs.select(F.col("a.conv_id").alias("conv_id"), F.col("a.turn").alias("l"), F.col("b.turn").alias("r"), (1 - F.abs(F.length("a.text") - F.length("b.text")) / F.greatest(F.length("a.text"), F.length("b.text"))).alias("score"))
-    return evaluation.greedy_matches(x, "conv_id", "l", "r", "score", 0.6)
+    sizes = t.conversations.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("l"), F.count_if(F.col("role") == "assistant").alias("r"))
+    return evaluation.match_f1(evaluation.greedy_matches(x, "conv_id", "l", "r", "score", 0.6), sizes, "conv_id", "l", "r").withColumn("score", F.round("score", 6))
 
 
 # ---- sizing
@@ -466,7 +471,7 @@ def oversized_split(t):
     return text.split_oversized(t.documents, ["doc_id"], "text", 1000, 100)
 
 
-_TIDY = r"regexp_replace(regexp_replace(regexp_replace(translate(html, '‘’“”–—' || chr(160), chr(39) || chr(39) || '""-- '), '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(translate(html, '‘’“”–—' || chr(160), chr(39) || chr(39) || chr(34) || chr(34) || '-- '), '(\w)-\n(\w)', '\1\2', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
 @query(f"select page_id, sha256({_TIDY}) as tidy from pages")

@@ -142,12 +142,12 @@ def intersect_all(t):
     return _base(t).intersectAll(_changed(t))
 
 
-@query()
+@query("select * from (values ('o_orderkey', 'bigint', 1), ('o_custkey', 'bigint', 2), ('o_orderstatus', 'string', 3), ('o_totalprice', 'double', 4), ('o_orderdate', 'timestamp_ntz', 5), ('o_orderpriority', 'string', 6)) v(name, type, varnum), (select null::varchar as label)")
 def contents_schema(t):
     return merge.contents(t.orders)
 
 
-@query()
+@query("select * from (values ('o_orderpriority', 'string', null), ('o_totalprice', 'double', 'decimal(18,2)')) v(name, base, compare)")
 def schema_diff(t):
     return merge.schema_diff(t.orders, t.orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")).drop("o_orderpriority"))
 
