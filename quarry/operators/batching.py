@@ -19,10 +19,11 @@ STRONG = ("dataset_flow", "macro_arg_dataset", "macro_invocation")
 
 
 def described(chunks: DataFrame) -> DataFrame:
-    """chunks with what each reads, writes, publishes and consumes (arrays), and the macro it defines (null: none)."""
+    """chunks with what each reads, writes, publishes and consumes (arrays), and the macro it defines (null: none); written once, since much is asked of it."""
     reads, writes = text.datasets(F.col("text"))
     parameters = macros.signature(F.col("text"))
-    return chunks.select("source_id", "idx", "kind", "text", reads.alias("reads"), writes.alias("writes"), macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), parameters).alias("used"), macros.macro_name(F.col("text")).alias("macro"))
+    found = chunks.select("source_id", "idx", "kind", "text", reads.alias("reads"), writes.alias("writes"), macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), parameters).alias("used"), macros.macro_name(F.col("text")).alias("macro"))
+    return graph._cut(found)
 
 
 def _flow(rows: DataFrame, made: str, used: str, kind: str) -> DataFrame:
@@ -56,10 +57,12 @@ def batches(rows: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
     of several. What only stands beside others goes with the next member of its source (after the last: with that one). A batch of more than
     `most` members is cut in its order.
     """
+    links = graph._cut(links)
     strong = links.where(F.col("kind").isin(*STRONG))
     tied = graph.components(strong.select(_node("from_idx"), _node("to_idx")))
     nodes = rows.select("source_id", "idx", "kind", _node("idx").alias("node")).join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
     weak = links.where(~F.col("kind").isin(*STRONG)).select(_node("from_idx").alias("src"), _node("to_idx").alias("dst"))
+    nodes = graph._cut(nodes)
     parts = nodes.select("node", "component")
     fate = graph.promote_weak(weak, parts).select(F.col("producer_root").alias("component"), "decision")
     uses = weak.join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "user"), "dst").where("component <> user").groupBy("component").agg(F.min("user").alias("user"))
