@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,41 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+NO_ID = -(1 << 63)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """doc_id (null: NO_ID), tie, text of doc_id, text: tie numbers rows of equal ids by a hash of the text; 0 throughout where ids don't repeat."""
+    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    if not rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return rows.select("doc_id", F.lit(0).cast("int").alias("tie"), "text")
+    return rows.withColumn("tie", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).select("doc_id", "tie", "text")
+
+
+def lower_ascii(text):
+    """A-Z lower-cased; translate() looks every character up, so it is kept for texts beyond ASCII, where lower() would change more."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def own_id():
+    """The doc_id of numbered() as it was."""
+    return F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+
+
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the place (from 1) of each row in a total order; no task holds more than a range of it.
+
+    The rows are sorted by ranges and written with their places within a range; the counts of the ranges, a row each, give where it starts.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(df.orderBy(*order).withColumns({"_range": F.spark_partition_id(), "_within": within}), "ranges")
+    counts = held.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("_range", before.alias("_before")))  # a row for each range
+    return held.join(starts, "_range").select(*df.columns, (F.col("_before") + F.col("_within") + 1).alias(name))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets (rows + 1) of a string or binary Arrow column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

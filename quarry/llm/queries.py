@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -91,7 +95,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_bpe, op4_imatch, op5_minhash, op6_lm_scoring, op7_token_files, op8_suffix_array, op9_sharding, op10_media)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import resample
+
+    return resample.resample(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import phrases
+
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import lines
+    from quarry.llm.common import scratch
+
+    kept = lines.deduplicate(_documents(spark, sf_dir), scratch(spark, "lines"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_bpe, op4_imatch, op5_minhash, op6_lm_scoring, op7_token_files, op8_suffix_array, op9_sharding, op10_media, op11_resample, op12_phrases, op13_lines)}
 
 ORACLES: dict[str, str] = {
     # every pair that shares a shingle, and the closure of the links
@@ -119,4 +143,45 @@ ORACLES: dict[str, str] = {
         q as (select doc_id, sum(b - a) as removed, count(*) as spans from c group by 1)
         select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from w left join t using (doc_id) left join q using (doc_id)""",
     "op9_sharding": "select doc_id, lang, source, n_chars, strlen(text) as n_bytes, sha256(text) as text_sha256 from documents",
+    # CRC-32 by its table, over the bytes of each distinct word
+    "op11_resample": """
+        with steps(i, v, k) as (select i::bigint, i::bigint, 0 from range(256) t(i)),
+        t1 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from steps), t2 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t1),
+        t3 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t2), t4 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t3),
+        t5 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t4), t6 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t5),
+        t7 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t6), t8 as (select i, case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end as v from t7),
+        tbl as (select list(v order by i) as tbl from t8),
+        w as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents),
+        v as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark),
+        d as (select word, hex(encode(word)) as h from (select word from w union select word from v)),
+        b as (select word, list_transform(range(0, length(h) // 2), lambda i: ((instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)::bigint) as bytes from d),
+        c as (select word, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295::bigint) % 10000 as bucket from b, tbl),
+        s as (select bucket, count(*) as s from w join c using (word) group by 1), t as (select bucket, count(*) as t from v join c using (word) group by 1),
+        g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from w) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from v) + 10000)::double)))::bigint as gain from s left join t using (bucket)),
+        m as (select doc_id, count(*) as n, sum(gain) as total from w join c using (word) join g using (bucket) group by 1),
+        x as (select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(total::double / n), 0)::bigint as weight, sha256('2024:' || doc_id) as h from documents left join m using (doc_id)),
+        y as (select doc_id, n_features, weight, list_reduce(list_transform(range(1, 9), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1)::bigint), lambda a, q: a * 16 + q) as h from x),
+        z as (select doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from y),
+        r as (select doc_id, row_number() over (order by score desc, doc_id) as rank from z where n_features >= 20)
+        select z.doc_id, n_features, weight, score, rank from z left join r on r.doc_id = z.doc_id and rank <= (select count(*) from r) * 10 // 100""",
+    "op12_phrases": """
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as piece from documents),
+        w as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') as w from p),
+        g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*)::hugeint as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 5) t(k)) group by all),
+        n as (select lang, sum(f)::bigint as n from g where k = 1 group by 1),
+        c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from g where k > 1 and f >= 30),
+        u as (select lang, k, phrase, a, c, array_to_string(w[1:c], ' ') as x, array_to_string(w[c + 1:], ' ') as y from (select *, unnest(range(1, k)) as c from c)),
+        s as (select u.lang, u.k, u.phrase, a, c, x.f as l, y.f as r, 2000000 * a // (x.f + y.f) as score from u join g x on x.lang = u.lang and x.phrase = u.x join g y on y.lang = u.lang and y.phrase = u.y),
+        b as (select * from s qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+        i as (select lang, a, array_to_string(w[i:i + m - 1], ' ') as phrase from (select *, unnest(range(1, k - m + 2)) as i from c, range(2, 4) t(m) where m < k)),
+        o as (select distinct b.lang, b.phrase from b join i on i.lang = b.lang and i.phrase = b.phrase and 100 * i.a >= 80 * b.a),
+        e as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b anti join o using (lang, phrase))
+        select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score from e join n using (lang) where rank <= 2000""",
+    "op13_lines": """
+        with s as (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents),
+        r as (select doc_id, unnest(x) as line, unnest(range(len(x))) as i from s),
+        k as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from r),
+        f as (select key, min(doc_id) as lo from k where length(key) >= 10 group by key having min(doc_id) < max(doc_id)),
+        g as (select doc_id, i, line, lo is not null and doc_id > lo as gone from k left join f using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from g group by 1""",
 }
