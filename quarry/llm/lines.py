@@ -323,7 +323,7 @@ class LineStore(shards.Store):
         rows = every if only is None else every.join(only.select("doc_id").distinct(), "doc_id", "left_semi").select(every.columns)
         asked = written(self._asked(filters, rows, SALTS).where("copies > 1").select("key", "doc_id", "tie", "place"), "asked")
         source = asked if only is None else every.join(asked.select("key").distinct(), "key", "left_semi")
-        shared = _held(source).where("lo < hi").select("key", "lo")
+        shared = written(_held(source).where("lo < hi").select("key", "lo"), "shared")  # written, so that the join can split a key
         return asked.join(shared, "key").where("doc_id > lo").select("doc_id", "tie", "place")
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

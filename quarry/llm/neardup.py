@@ -7,14 +7,15 @@ documents link if 100 * intersection >= 75 * union. A component is a set of docu
 1. Texts with equal shingle sets are one class; its smallest id stands for it.
 2. Each permutation of the shingle hashes keeps its minimum and its maximum, so PERMUTATIONS passes give twice as
    many values; bands of ROWS values of a kind are hashed to buckets (a pair at 0.75 shares none of the BANDS buckets with a
-   probability below 1e-7).
+   probability of 5e-6).
 3. Each representative is compared with the hub (the smallest id of a bucket) that it shares most buckets with; links join
    components. Buckets that still hold several components are then compared across components: small ones as pairs,
    large ones blockwise inside tasks, from which only joining links come. Pairs within one component cannot change the
    result and are never formed, and no other pair of a bucket is left out.
 
-A shingle is known by 64 bits that its five words' hashes give; no pattern of letters makes these collide, so two texts that
-are compared look more alike than they are with probability (shingles of one) * (shingles of the other) / 2 ** 64.
+Buckets come from hashes without a secret and are only candidates. Whether sets or shingles are equal is judged by keyed hashes whose key is
+drawn for each run: 128 bits for a set as a whole, 64 bits for a shingle when the sets of a pair are compared. A pair then looks more alike
+than it is with probability (shingles of one) * (shingles of the other) / 2 ** 64, whoever wrote the texts.
 
 Cases: null and empty texts have n_shingles 0 and stand alone; rows with equal ids are one
 document with the links of each of its texts; very long texts are hashed whole, in blocks; an empty table gives no rows; other columns are ignored.
@@ -22,6 +23,8 @@ document with the links of each of its texts; very long texts are hashed whole,
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,25 +46,29 @@ _SEED = np.random.default_rng(5).integers(0, 1 << 63, (2, PERMUTATIONS), dtype=n
 _ROLL = [_U(pow(0xC2B2AE3D27D4EB4F, k, 1 << 64)) for k in range(SHINGLE)]
 
 
-def shingles(w: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of a block's rows, and where each row's begin (and the last one's end)."""
-    h = w.hashes(w.start, w.end)
+def shingles(w: Words, rows: int, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a block's rows: hashes without a secret, keyed hashes (two columns), and where each row's begin (and the last one's end)."""
     count = np.bincount(w.row, minlength=rows)
     first = np.cumsum(count) - count
-    n = len(h)
+    n = len(w.start)
     left = count[w.row] - (np.arange(n) - first[w.row])  # words from here to the row's end
-    value = np.zeros(n, np.uint64)
-    for k in range(min(SHINGLE, n)):
-        value[: n - k] += np.where(left[: n - k] > k, h[k:] * _ROLL[k], _U(0))
-    size = np.minimum(count, SHINGLE)[w.row]  # a short sequence is one shingle, which no longer one can equal
+    size = np.minimum(count, SHINGLE)[w.row].astype(np.uint64)  # a short sequence is one shingle, which no longer one can equal
     own = (left >= SHINGLE) | (np.arange(n) == first[w.row])
-    value = mix(value + size.astype(np.uint64))[own]
+
+    def joined(h: np.ndarray) -> np.ndarray:
+        value = np.zeros(n, np.uint64)
+        for k in range(min(SHINGLE, n)):
+            value[: n - k] += np.where(left[: n - k] > k, h[k:] * _ROLL[k], _U(0))
+        return mix(value + size)[own]
+
+    secret = w.digests(key)
+    value, first_key, second_key = joined(w.hashes(w.start, w.end)), joined(secret[:, 0]), joined(secret[:, 1])
     row = w.row[own]
-    order = np.lexsort((value, row))
-    value, row = value[order], row[order]
+    order = np.lexsort((first_key, row))
+    value, first_key, second_key, row = value[order], first_key[order], second_key[order], row[order]
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    return value[new], np.searchsorted(row[new], np.arange(rows + 1))
+    new[1:] = (first_key[1:] != first_key[:-1]) | (second_key[1:] != second_key[:-1]) | (row[1:] != row[:-1])
+    return value[new], np.stack([first_key[new], second_key[new]], axis=1), np.searchsorted(row[new], np.arange(rows + 1))
 
 
 def minmax(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -91,28 +98,27 @@ LEAST_LINKED = -(-SIMILARITY[0] // (SIMILARITY[1] - SIMILARITY[0]))
 NO_ID = -(1 << 63)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (distinct shingles), set_key (128-bit hash of the set; null if empty), buckets (a number for each band)."""
+def features(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n (distinct shingles), set_key (128-bit keyed hash of the set; null if empty), buckets (a number for each band)."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = buffers(batch.column(1))
         for i, j, w in blocks(data, offsets, IS_WORD):
-            values, at = shingles(w, j - i)
+            values, keyed, at = shingles(w, j - i, key)
             n = np.diff(at)
             full = np.flatnonzero(n)
             starts = at[full]
-            key = np.zeros((j - i, 2), np.uint64)
+            of_set = np.zeros((j - i, 2), np.uint64)
             found = np.zeros((len(full), BANDS), np.uint64)
             if len(full):
-                key[full, 0] = mix(np.add.reduceat(values, starts))
-                key[full, 1] = mix(np.add.reduceat(mix(values ^ _U(0x5851F42D4C957F2D)), starts))
+                of_set[full] = np.add.reduceat(mix(keyed), starts, axis=0)
                 found = bands(minmax(values, np.append(starts, at[-1])))
             lengths = np.where(n > 0, BANDS, 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array(n.astype(np.int64)),
-                    pa.array([k.tobytes() if m else None for k, m in zip(key, n, strict=True)], pa.binary()),
+                    pa.array([k.tobytes() if m else None for k, m in zip(of_set, n, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(found.ravel().view(np.int64))),
                 ],
                 ["doc_id", "n", "set_key", "buckets"],
@@ -121,14 +127,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(texts(docs, id_col, text_col), run, "doc_id long, n long, set_key binary, buckets array<long>")
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
+def shingle_sets(rows: DataFrame, key: bytes) -> DataFrame:
     """doc_id, shingles (the whole set) of doc_id, text."""
 
     def run(batch: pa.RecordBatch):
         data, offsets = buffers(batch.column(1))
         for i, j, w in blocks(data, offsets, IS_WORD):
-            values, at = shingles(w, j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["doc_id", "shingles"])
+            _, keyed, at = shingles(w, j - i, key)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.ascontiguousarray(keyed[:, 0]).view(np.int64)))], ["doc_id", "shingles"])
 
     return map_batches(rows, run, "doc_id long, shingles array<long>")
 
@@ -203,14 +209,15 @@ def _blockwise(members: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     base = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = written(features(base), "shingles")
+    key = os.urandom(16)
+    found = written(features(base, key), "shingles")
     full = found.where("n > 0")
     distinct_sets = written(full.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("buckets").alias("buckets")), "classes")
     members = distinct_sets.where(f"n >= {LEAST_LINKED}").select(F.explode("buckets").alias("bucket"), "doc_id", "n")
     hubs = members.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = written(members.join(hubs, "bucket").select("bucket", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
     wanted = shared.select("doc_id").distinct()
-    sets = written(shingle_sets(base.join(wanted, "doc_id", "left_semi")), "sets")
+    sets = written(shingle_sets(base.join(wanted, "doc_id", "left_semi"), key), "sets")
 
     votes = shared.where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("votes"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("votes", -F.col("hub"), "n", "hub_n")).alias("v")).select(F.col("doc_id").alias("a"), (-F.col("v.col2")).alias("b"), "v.n", "v.hub_n")

@@ -7,14 +7,15 @@ smaller start. The work is done in three steps, each written to the shared folde
    anchors at equal offsets. The strings that one anchor serves start side by side; the stretch they cover is its context. Rows of
    (anchor, hash of the context, place) are sorted: every context but the first of equal ones is covered as a whole, and an anchor with a
    single context has no repeated string. What is left are first occurrences of different contexts around one anchor. Contexts of one anchor
-   are told apart by 64-bit hashes, not by their bytes: n of them have an equal pair with probability n ** 2 / 2 ** 65 (1e-6 for 10 million).
+   are told apart by 128 bits of BLAKE2b under a key that is drawn for each run, so no text can be made that is taken for another.
 2. Suffix arrays. Those contexts are cut into slices of neighbouring strings, dealt by the bytes that all strings of a slice share,
    so equal strings meet in one group; anchors of more than HOT contexts get narrower slices, which share more bytes, so that a
    passage in very many texts is dealt by what stands around it. Of equal slices in a batch only the first is dealt. A group's suffixes are sorted by the difference-cover algorithm:
    sampled triples (positions not divisible by three) are sorted and named, names are sorted by recursion until
    they tell 100 bytes apart, the remaining suffixes are sorted by a character and a sampled rank, and merged. Adjacent
    suffixes whose first 100 bytes are equal form a run; all of a run but its earliest are repeats. That sort is local to a task. A
-   group that is still above GROUP_BYTES is read in the order of its places and only the strings' hashes (64 bits) are kept.
+   group that is still above GROUP_BYTES is read in the order of its places and only hashes of its strings are kept: two polynomials modulo
+   2 ** 61 - 1 at secret points, under which any two different strings are equal with probability (100 / 2 ** 61) ** 2, 2 ** -108.
 3. The intervals of both steps are gathered by document and cut out.
 
 The characters of the suffix sort are 8-byte words; a text's words at each of the eight phases follow one another, so a
@@ -27,6 +28,8 @@ come first; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import buffers, map_batches, release, slices, texts, written
 from quarry.llm.pieces import ranges
-from quarry.llm.words import BYTE, mix, stretches, unaligned
+from quarry.llm.words import BYTE, digests, mix, unaligned
 
 STRING, GRAM = 100, 32
 #: Anchors are found in pieces of at most so many bytes, whose positions fit the low bits of a key.
@@ -77,8 +80,40 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key & low).astype(np.int64), gram
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, anchor's hash, context's hash, first start, last start, anchor's place) arrays; places are within the row."""
+PRIME = (1 << 61) - 1
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    low, b1, b0 = _U((1 << 32) - 1), _U(b >> 32), _U(b & (1 << 32) - 1)
+    a1, a0 = a >> _U(32), a & low
+    middle, small = a1 * b0 + a0 * b1, a0 * b0
+    s = (a1 * b1 << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + (small & _U(PRIME)) + (small >> _U(61))
+    return _reduced(s)
+
+
+def _reduced(s: np.ndarray) -> np.ndarray:
+    s = (s & _U(PRIME)) + (s >> _U(61))
+    return np.where(s >= _U(PRIME), s - _U(PRIME), s)
+
+
+def windows(data: np.ndarray, width: int, point: int) -> np.ndarray:
+    """The polynomial of the `width` bytes from each position on, at `point`, modulo PRIME."""
+    n = len(data) - width + 1
+    h, size, out, done = data.astype(np.uint64) + _U(1), 1, None, width  # h: polynomials of `size` bytes
+    while True:
+        if width & size:  # the last bytes of the window that are still to come
+            done -= size
+            part = h[done : done + n]
+            out = part if out is None else _reduced(_times(part, pow(point, width - done - size, PRIME)) + out)
+        if 2 * size > width:
+            return out
+        h = _reduced(_times(h[:-size], pow(point, size, PRIME)) + h[size:])
+        size *= 2
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, key: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, anchor's hash, context's digest in two columns, first start, last start, anchor's place) arrays; places are within the row."""
     cuts = []  # (row, start in row, begin, end in data): pieces that share STRING - 1 bytes with the next one
     for row in np.flatnonzero(np.diff(offsets) >= STRING).tolist():
         a, b = int(offsets[row]), int(offsets[row + 1])
@@ -104,7 +139,8 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         at = np.flatnonzero(new)
         lo, p, own = start[at], place[at], piece[at]
         hi = np.append(start[at[1:] - 1], start[-1])
-        value = mix(stretches(block, unaligned(block), lo, hi + STRING) + (p - lo).astype(np.uint64))
+        view = memoryview(block)
+        value = digests([view[x:y] for x, y in zip(lo.tolist(), (hi + STRING).tolist(), strict=True)], key) ^ np.stack([p - lo, p - lo], axis=1).astype(np.uint64)
         base = np.array([s for _, s, _, _ in part])[own] - first[own]
         yield np.array([r for r, _, _, _ in part])[own], gram[p], value, lo + base, hi + base, p + base
         i = j
@@ -121,22 +157,26 @@ def _unpack(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: What a context is: covered as a whole, or one of several, or of more than HOT, around its anchor; others have no row.
 COVERED, RESIDUAL, CROWDED = 1, 2, 3
-_CONTEXT = "anchor long, context long, doc_id long, tie long, code long, done boolean"
+_CONTEXT = "anchor long, context long, context2 long, doc_id long, tie long, code long, done boolean"
 _FOUND = "kind int, doc_id long, tie long, a long, b long"
 
 
-def _find_contexts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    data, offsets = buffers(batch.column(2))
-    ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    for i, j in slices(offsets, 4 << 20):
-        for row, anchor, context, lo, hi, p in contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-            doc, tie, code = ids[i:j][row], ties[i:j][row], _pack(lo, hi, p)
-            order = np.lexsort((code, tie, doc, context, anchor))
-            anchor, context, doc, tie, code = (x[order] for x in (anchor.view(np.int64), context.view(np.int64), doc, tie, code))
-            done = np.zeros(len(order), bool)  # equal to an earlier one of this block: covered already, dealt out anywhere
-            done[1:] = (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])
-            anchor = np.where(done, mix(code.astype(np.uint64) + doc.astype(np.uint64)).view(np.int64), anchor)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, context, doc, tie, code, done)], ["anchor", "context", "doc_id", "tie", "code", "done"])
+def _find_contexts(key: bytes):
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = buffers(batch.column(2))
+        ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, j in slices(offsets, 4 << 20):
+            for row, anchor, context, lo, hi, p in contexts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], key):
+                doc, tie, code = ids[i:j][row], ties[i:j][row], _pack(lo, hi, p)
+                one, two = np.ascontiguousarray(context.T).view(np.int64)
+                order = np.lexsort((code, tie, doc, two, one, anchor))
+                anchor, one, two, doc, tie, code = (x[order] for x in (anchor.view(np.int64), one, two, doc, tie, code))
+                done = np.zeros(len(order), bool)  # equal to an earlier one of this block: covered already, dealt out anywhere
+                done[1:] = (anchor[1:] == anchor[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                anchor = np.where(done, mix(code.astype(np.uint64) + doc.astype(np.uint64)).view(np.int64), anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, one, two, doc, tie, code, done)], ["anchor", "context", "context2", "doc_id", "tie", "code", "done"])
+
+    return run
 
 
 def _found(kind: int, doc, tie, a, b) -> pa.RecordBatch:
@@ -145,19 +185,19 @@ def _found(kind: int, doc, tie, a, b) -> pa.RecordBatch:
 
 def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by anchor, context and place: what each context is (a row's a and b: an interval, or anchor and code)."""
-    last, held, met = (None, None), None, 0  # of the last anchor: its distinct contexts if HOT at most, and their number
+    last, held, met = (None, None, None), None, 0  # of the last anchor: its distinct contexts if HOT at most, and their number
     told = lambda rows, kind: _found(kind, rows[1], rows[2], rows[0], rows[3])
     for batch in batches:
         if not batch.num_rows:
             continue
-        done = batch.column(5).to_numpy(zero_copy_only=False)
-        anchor, context, doc, tie, code = (batch.column(k).to_numpy() for k in range(5))
+        done = batch.column(6).to_numpy(zero_copy_only=False)
+        anchor, context, context2, doc, tie, code = (batch.column(k).to_numpy() for k in range(6))
         live = np.flatnonzero(~done)
-        a, c = anchor[live], context[live]
+        a, c, d = anchor[live], context[live], context2[live]
         same = np.zeros(len(live), bool)
-        same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
+        same[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])
         if len(live):
-            same[0] = last == (int(a[0]), int(c[0]))
+            same[0] = last == (int(a[0]), int(c[0]), int(d[0]))
         covered = np.concatenate([np.flatnonzero(done), live[same]])
         lo, hi, _ = _unpack(code[covered])
         yield _found(COVERED, doc[covered], tie[covered], lo, hi + STRING)
@@ -180,7 +220,7 @@ def _judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield told(rows[:, (count[of] > 1) & (count[of] <= HOT) & ~open_end], RESIDUAL)
         yield told(rows[:, count[of] > HOT], CROWDED)
         held = rows[:, open_end] if count[end] <= HOT else None
-        met, last = int(count[end]), (int(a[-1]), int(c[-1]))
+        met, last = int(count[end]), (int(a[-1]), int(c[-1]), int(d[-1]))
     if held is not None and met > 1:
         yield told(held, RESIDUAL)
 
@@ -287,7 +327,7 @@ def _cut_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     begin, end = np.maximum(lo[of], middle - width[of] + 1), np.minimum(hi[of], middle)
     order = np.lexsort((begin, row[of]))
     of, part, middle, begin, end = (x[order] for x in (of, part, middle, begin, end))
-    view, base, eights = memoryview(data), offsets[row[of]], unaligned(data)
+    view, base = memoryview(data), offsets[row[of]]
     for i in range(0, len(of), SLICES_AT_ONCE):
         k = slice(i, i + SLICES_AT_ONCE)
         shared = (STRING + 1 - width[of[k]]).tolist()
@@ -295,10 +335,12 @@ def _cut_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key = np.array([_digest(view[x : x + w], a + q) for x, w, a, q in zip(m, shared, anchor[of[k]].tolist(), part[k].tolist(), strict=True)], np.int64)
         own, strings = row[of[k]], end[k] - begin[k] + 1
         size = strings + STRING - 1
-        value = mix(stretches(data, eights, base[k] + begin[k], base[k] + begin[k] + size) ^ key.view(np.uint64)) + (middle[k] - begin[k]).astype(np.uint64)
-        by = np.lexsort((begin[k], ties[own], ids[own], value))
-        again = np.zeros(len(by), bool)
-        again[by[1:]] = value[by[1:]] == value[by[:-1]]
+        again = np.zeros(len(own), bool)
+        met, x = set(), (base[k] + begin[k]).tolist()
+        for q in np.lexsort((begin[k], ties[own], ids[own])).tolist():  # by place; equal bytes around the same middle, and dealt alike
+            slice_ = (key[q], middle[k][q] - begin[k][q], bytes(view[x[q] : x[q] + size[q]]))
+            again[q] = slice_ in met
+            met.add(slice_)
         key[again] = mix(key[again].view(np.uint64) + ids[own[again]].astype(np.uint64) + begin[k][again].astype(np.uint64)).view(np.int64)
         size = np.where(again, 0, size)
         bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -350,8 +392,8 @@ def _sorted_groups(part: pa.Table) -> pa.RecordBatch | None:
 class _Streamed:
     """A group too large to sort, in the order of its places: the hashes of the strings met so far."""
 
-    def __init__(self):
-        self.seen, self.held = np.zeros(0, np.uint64), None
+    def __init__(self, points: tuple[int, int]):
+        self.points, self.seen, self.held = points, np.zeros((2, 0), np.uint64), None
 
     def take(self, part: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
         """Slices of one document are judged together, so those of the last one wait for the next call."""
@@ -363,22 +405,23 @@ class _Streamed:
         self.held, part = part.slice(cut), part.slice(0, cut).combine_chunks()
         if part.num_rows:
             data, row, at, place = _strings(part)
-            h = stretches(data, unaligned(data), at, at + STRING)
-            by = np.lexsort((place, part["tie"].to_numpy()[row], part["doc_id"].to_numpy()[row], h))
-            h = h[by]
+            h, other = (windows(data, STRING, x)[at] for x in self.points)
+            by = np.lexsort((place, part["tie"].to_numpy()[row], part["doc_id"].to_numpy()[row], other, h))
+            h, other = h[by], other[by]
             again = np.zeros(len(h), bool)
-            again[1:] = h[1:] == h[:-1]
-            known = np.minimum(np.searchsorted(self.seen, h), max(0, len(self.seen) - 1))
-            if len(self.seen):
-                again |= self.seen[known] == h
+            again[1:] = (h[1:] == h[:-1]) & (other[1:] == other[:-1])
+            if self.seen.shape[1]:
+                known = np.minimum(np.searchsorted(self.seen[0], h), self.seen.shape[1] - 1)
+                again |= (self.seen[0][known] == h) & (self.seen[1][known] == other)
             out = np.zeros(len(h), bool)
             out[by] = again
-            self.seen = np.sort(np.concatenate([self.seen, h[~again]]))
+            new = np.concatenate([self.seen, np.stack([h[~again], other[~again]])], axis=1)
+            self.seen = new[:, np.argsort(new[0], kind="stable")]
             if (found := _intervals_of(part, out, row, place)) is not None:
                 yield found
 
 
-def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_slices(batches: Iterator[pa.RecordBatch], points: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """From slices sorted by key, document and start: the intervals of repeated strings."""
     held: list[pa.RecordBatch] = []
     hot, hot_key = None, None
@@ -400,7 +443,7 @@ def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = cut[(cut > i) & (cut < j)]
                 j = int(before[-1]) if len(before) else j
             if lengths[j] - lengths[i] > GROUP_BYTES:
-                yield from _Streamed().take(table.slice(i, j - i), True)
+                yield from _Streamed(points).take(table.slice(i, j - i), True)
             elif (out := _sorted_groups(table.slice(i, j - i))) is not None:
                 yield out
             i = j
@@ -425,7 +468,7 @@ def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         yield from groups(pa.Table.from_batches(held), False)
         if sum(b.nbytes for b in held) > GROUP_BYTES:  # one group, which goes on
-            hot, hot_key = _Streamed(), held[0].column(0)[0].as_py()
+            hot, hot_key = _Streamed(points), held[0].column(0)[0].as_py()
             yield from hot.take(pa.Table.from_batches(held), False)
             held = []
     if hot is not None:
@@ -437,12 +480,13 @@ def _sort_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables of intervals doc_id, tie, a, b (bytes a to b are covered), for documents doc_id, tie, text."""
     spark = docs.sparkSession
-    found = map_batches(docs, _find_contexts, _CONTEXT)
-    judged = written(found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc_id", "tie", "code").mapInArrow(_judge_contexts, _FOUND), "contexts")
+    key, points = os.urandom(16), (2 + secrets.randbelow(PRIME - 2), 2 + secrets.randbelow(PRIME - 2))
+    found = map_batches(docs, _find_contexts(key), _CONTEXT)
+    judged = written(found.repartition("anchor").sortWithinPartitions("anchor", "context", "context2", "doc_id", "tie", "code").mapInArrow(_judge_contexts, _FOUND), "contexts")
     release(spark)
     residual = judged.where(F.col("kind") != COVERED).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("a", "b", (F.col("kind") == CROWDED).alias("hot"))).alias("contexts"))
     cut = map_batches(docs.join(residual, ["doc_id", "tie"]).select("doc_id", "tie", "text", "contexts"), _cut_slices, "key long, doc_id long, tie long, start long, strings long, bytes binary")
-    again = written(cut.repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start").mapInArrow(_sort_slices, _FOUND), "repeats")
+    again = written(cut.repartition("key").sortWithinPartitions("key", "doc_id", "tie", "start").mapInArrow(lambda batches: _sort_slices(batches, points), _FOUND), "repeats")
     release(spark)
     return judged.where(F.col("kind") == COVERED).select("doc_id", "tie", "a", "b"), again.select("doc_id", "tie", "a", "b")
 

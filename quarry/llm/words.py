@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -38,8 +39,8 @@ def unaligned(data: np.ndarray) -> np.ndarray:
 def stretches(data: np.ndarray, eights: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end]; eights: unaligned(data).
 
-    Eight bytes at a time go through mix(), which is one to one, so stretches of at most eight bytes and one length never collide, and no
-    pattern of longer ones does by construction, as texts do under a polynomial.
+    Eight bytes at a time go through mix(), which is one to one, so stretches of at most eight bytes and one length never collide. Longer ones
+    that do can be made, as there is no secret; where equality is judged by hashes, digests() with a key of the run's own are used.
     """
     n = end - start
     h = n.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)
@@ -58,6 +59,12 @@ def stretches(data: np.ndarray, eights: np.ndarray, start: np.ndarray, end: np.n
     return h
 
 
+def digests(stretches: Sequence[bytes | memoryview], key: bytes) -> np.ndarray:
+    """128 bits (two uint64) of each, by BLAKE2b with a secret key: nobody without the key can make two that are equal."""
+    make = hashlib.blake2b
+    return np.frombuffer(b"".join([make(x, digest_size=16, key=key).digest() for x in stretches]), np.uint64).reshape(-1, 2)
+
+
 class Words:
     """start, end and row of each word of a block, and hashes of stretches of its bytes."""
 
@@ -75,6 +82,16 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(own & after) + 1
         self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.eights = unaligned(self.data)
+        self.own = own
+
+    def digests(self, key: bytes) -> np.ndarray:
+        """digests() of all words; equal ones are hashed once."""
+        import pyarrow as pa
+
+        bounds = np.zeros(len(self.start) + 1, np.int32)
+        np.cumsum(self.end - self.start, out=bounds[1:])
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(bounds), pa.py_buffer(self.data[self.own])]).dictionary_encode()
+        return digests(coded.dictionary.to_pylist(), key)[coded.indices.to_numpy()]
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return stretches(self.data, self.eights, start, end)

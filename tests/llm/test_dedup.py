@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from quarry.llm import components, imatch, neardup, queries, suffix
+from quarry.llm import components, imatch, neardup, queries, suffix, words
 
 SF = "/root/testdata/sf0.001"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -94,6 +94,70 @@ def test_words_that_collide_under_polynomials(spark, n):
     assert got == brute_components(sets_of(docs))
 
 
+def twins(size, want, seed=1):
+    """Pairs of texts of 16 letters that hash alike without a secret, once the same bytes follow up to `size`."""
+    r, u = random.Random(seed), np.uint64
+    number = lambda b: np.frombuffer(b, "<u8")
+    after = lambda e: words.mix((np.array([size], u) * u(0xC2B2AE3D27D4EB4F) ^ number(e)) * u(words.BASE))
+    out, first = [], b"suffixes"
+    begin = b"vgchkvlc"
+    while len(out) < want:
+        other = bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=8))
+        second = (number(first) ^ after(begin) ^ after(other)).tobytes()
+        if all(33 <= x < 127 and not 65 <= x <= 90 for x in second) and other != begin:
+            out.append(((begin + first).decode(), (other + second).decode()))
+            begin = bytes(r.choices(b"abcdefghijklmnopqrstuvwxyz", k=8))
+    return out
+
+
+@pytest.fixture(scope="module")
+def short_twins():
+    pairs = twins(16, 4)
+    for a, b in pairs:
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        h = words.stretches(data, words.unaligned(data), np.array([0, 16]), np.array([16, 32]))
+        assert h[0] == h[1]
+    return pairs
+
+
+def test_op5_with_words_that_collide(spark, short_twins):
+    """As whole sets, as words of shingles in a pair, and blockwise."""
+    docs = [(1, "bvlmcsqisuffixes"), (2, "drzdzzpl`|+7t\""), *((10 + 2 * k + j, x) for k, pair in enumerate(short_twins) for j, x in enumerate(pair))]
+    a, b = short_twins[0]
+    body = [f"w{k}" for k in range(40)]
+    for k in range(30):  # 5 of 36 shingles differ by a twin alone, and some more: links only if twins were taken for equal
+        own = list(body)
+        own[20] = (a, b)[k % 2]
+        own[3 + k // 2 % 2] = f"v{k // 2}"
+        docs.append((100 + k, " ".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classes(df).collect()}
+    sets = sets_of(docs)
+    assert got == {i: (len(sets[i]), c) for i, c in brute_components(sets).items()} and got[1][1] == 1 and got[2][1] == 2
+
+
+@pytest.mark.parametrize(("hot", "group_bytes", "sort_bytes"), [(512, 4 << 20, 1 << 20), (1, 300, 100)])
+def test_op8_with_strings_that_collide(spark, monkeypatch, hot, group_bytes, sort_bytes):
+    """Contexts, slices and streamed groups that only a secret tells apart."""
+    for name, value in (("HOT", hot), ("GROUP_BYTES", group_bytes), ("SORT_BYTES", sort_bytes)):
+        monkeypatch.setattr(suffix, name, value)
+    tail = "".join(random.Random(4).choice("abcdefgh") for _ in range(84))
+    docs = [(2 * k + j, x + tail) for k, pair in enumerate(twins(100, 3)) for j, x in enumerate(pair)]
+    docs += [(50 + k, t + "zz") for k, (_, t) in enumerate(docs[:3])] + [(60 + k, f"{k % 7}yy" + t) for k, (_, t) in enumerate(docs[:6])]
+    want = brute_cut([(i, t.encode()) for i, t in docs])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in suffix.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and got[1][1] == 0
+
+
+def test_windows():
+    """Polynomials by doubling equal those by their sum."""
+    data = np.random.default_rng(2).integers(0, 256, 300, dtype=np.uint8)
+    for width in (1, 7, 64, 100):
+        point = 1234567890123456789 % suffix.PRIME
+        want = [sum((int(x) + 1) * pow(point, width - 1 - k, suffix.PRIME) for k, x in enumerate(data[i : i + width])) % suffix.PRIME for i in range(300 - width + 1)]
+        assert suffix.windows(data, width, point).tolist() == want
+
+
 def test_many_small_sets(spark):
     """Templated lines share a bucket but link with none; memory stays that of a block."""
     import resource
@@ -172,7 +236,7 @@ def test_op8_small_pieces(spark, monkeypatch):
     offsets = np.cumsum([0, *map(len, data)])
     flat = np.frombuffer(b"".join(data), np.uint8)
     starts = defaultdict(list)
-    for row, _, _, lo, hi, p in suffix.contexts(flat, offsets):
+    for row, _, _, lo, hi, p in suffix.contexts(flat, offsets, b"key"):
         for k, a, b in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
             starts[k] += range(a, b + 1)
         assert ((p >= lo - 0) & (p - lo <= 68)).all()
@@ -208,7 +272,7 @@ def test_op8_memory_of_a_hot_key():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(5_000, 7)), pa.array(ids), pa.array(ids * 0), pa.array(ids * 0), pa.array(ids * 0 + 5), pa.array(raw, pa.binary())], ["key", "doc_id", "tie", "start", "strings", "bytes"])
 
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    found = pa.Table.from_batches(list(suffix._sort_slices(batches())))
+    found = pa.Table.from_batches(list(suffix._sort_slices(batches(), (12345678901234567, 98765432109876543))))
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 << 10
     assert found["doc_id"].to_pylist() == list(range(1, 100_000, 2)) and set(found["b"].to_pylist()) == {104}
 
