@@ -50,13 +50,21 @@ def program_diagnostics(t):
     bodies = ["data a; x /* open", "data a; run", "%macro m; data a; run;", "/* a remark */", "data a; run;"]
     body = F.get(F.array(*map(F.lit, bodies)), (F.col("s_suppkey") % 5).cast("int"))
     programs = t.supplier.select(F.col("s_suppkey").cast("string").alias("source_id"), body.alias("text"))
-    return text.diagnostics(text.units(programs), programs).withColumn("at", F.when(F.col("code") == "unclosed_comment", 10).otherwise(F.col("at")))
+    return text.diagnostics(text.units(programs), programs)
 
 
-@query("select s_suppkey, 'create table new.t as select * from new.s' || s_suppkey || ' a join other b on a.x = ''from old.t'' -- from old.t' as new_text from supplier")
+@query("select s_suppkey, case s_suppkey % 3 when 0 then 'create table new.t as select * from new.s' || s_suppkey || ' a join other b on a.x = ''from old.t'' -- from old.t' when 1 then 'select old.t from q x, new.s' || s_suppkey || ' as s, new.t left join r on p(old.t)' else 'df = spark.table(\"new.t\").join(spark.read.table(''q''), \"old.t\").write.saveAsTable(\"r\")' end as new_text from supplier")
 def table_rewrite(t):
-    body = F.concat(F.lit("create table OLD.T as select * from old.s"), "s_suppkey", F.lit(" a join other b on a.x = 'from old.t' -- from old.t"))
-    table = t.supplier.select(F.concat(F.lit("old.S"), "s_suppkey").alias("source"), F.concat(F.lit("new.s"), "s_suppkey").alias("target")).union(t.spark.createDataFrame([("old.t", "new.t")], "source string, target string"))
+    """Lists, names in Python, and p, q, r that become q, r and p."""
+    n = F.col("s_suppkey").cast("string")
+    bodies = [
+        F.concat(F.lit("create table OLD.T as select * from old.s"), n, F.lit(" a join other b on a.x = 'from old.t' -- from old.t")),
+        F.concat(F.lit("select old.t from p x, old.s"), n, F.lit(" as s, OLD.t left join q on p(old.t)")),
+        F.lit("df = spark.table(\"old.t\").join(spark.read.table('p'), \"old.t\").write.saveAsTable(\"q\")"),
+    ]
+    body = F.get(F.array(*bodies), (F.col("s_suppkey") % 3).cast("int"))
+    fixed = t.spark.createDataFrame([("old.t", "new.t"), ("p", "q"), ("q", "r"), ("r", "p")], "source string, target string")
+    table = t.supplier.select(F.concat(F.lit("old.S"), "s_suppkey").alias("source"), F.concat(F.lit("new.s"), "s_suppkey").alias("target")).union(fixed)
     return text.rewrite_tables(t.supplier.select("s_suppkey", body.alias("body")), "s_suppkey", "body", table).select("s_suppkey", "new_text")
 
 
@@ -91,9 +99,17 @@ def fork_with_bound(t):
     return memory.fork_before(_messages(t), "2", "f", bound).select("kv_key", "value", "tags")
 
 
-@query("select s_suppkey, round(case s_suppkey % 3 when 0 then 0.5 when 1 then 1 else 0 end, 6) as score from supplier")
+@query("select s_suppkey, round(case s_suppkey % 6 when 0 then 0.5 when 1 then 1 when 2 then 0 when 3 then 1 when 4 then 0.5 else 0 end, 6) as score from supplier")
 def language_share(t):
-    md = F.get(F.array(F.lit("```py_spark\nx\n```\nand\n```sql\ny\n```"), F.lit("```PySpark\nx\n```"), F.lit("no block")), (F.col("s_suppkey") % 3).cast("int"))
+    bodies = [
+        "```py_spark\nx\n```\nand\n```sql\ny\n```",
+        "```PySpark\nx\n```",
+        "no block",
+        "```\nuntagged\n```\n```sas\nan echo\n```\n```Text\nprose\n```",
+        "## Analysis\n```sql\na\n```\n## Translation\n```pyspark\nb\n```\n```r\nc\n```\n## Notes\n```sql\nd\n```",
+        "## Translation of all\nprose only\n## Notes\n```pyspark\nd\n```",
+    ]
+    md = F.get(F.array(*map(F.lit, bodies)), (F.col("s_suppkey") % 6).cast("int"))
     return t.supplier.select("s_suppkey", F.round(evaluation.language_compliance(md, "pyspark"), 6).alias("score"))
 
 

@@ -15,7 +15,7 @@ from quarry.operators import graph, macros, text
 #: Chunks that only stand beside others.
 CONTEXT = ("COMMENT_BLOCK", "OPTIONS", "STEP_BOUNDARY")
 #: Edges that tie chunks into one batch; the others make context of their producers, or pull them in if one batch alone uses them.
-STRONG = ("dataset_flow", "macro_arg_dataset", "macro_invocation")
+STRONG = ("dataset_flow", "macro_body_dataset")
 
 
 def described(chunks: DataFrame) -> DataFrame:
@@ -26,24 +26,37 @@ def described(chunks: DataFrame) -> DataFrame:
     return graph._cut(found)
 
 
-def _flow(rows: DataFrame, made: str, used: str, kind: str) -> DataFrame:
-    """Edges from the last chunk before that has a name in `made` to each that has it in `used`."""
-    either = rows.select("source_id", "idx", F.explode(made).alias("name"), F.lit(True).alias("p"), F.lit(False).alias("c")).union(rows.select("source_id", "idx", F.explode(used), F.lit(False), F.lit(True)))
-    one = either.groupBy("source_id", "name", "idx").agg(F.bool_or("p").alias("p"), F.bool_or("c").alias("c")).withColumn("key", F.struct("source_id", "name"))
-    return graph.nearest_preceding(one, "key", "idx", "p", "c").select("key.source_id", "from_idx", "to_idx", F.lit(kind).alias("kind"), F.col("key.name").alias("subject"))
-
-
 def edges(rows: DataFrame) -> DataFrame:
-    """source_id, from_idx, to_idx, kind, subject of described() chunks: datasets, macro variables, macro calls, and datasets that calls name."""
-    called = rows.where("kind = 'MACRO_CALL'").withColumn("key", F.struct("source_id", "idx"))
-    args = macros.calls(called, "key").select("key.source_id", "key.idx", "macro", "value")
-    wrote = rows.select("source_id", "idx", F.col("writes").alias("made"), F.array().cast("array<string>").alias("given"))
-    given = args.where("value is not null").groupBy("source_id", "idx").agg(F.collect_set(text.canonical(F.col("value"))).alias("given"))
-    named = wrote.union(given.select("source_id", "idx", F.array().cast("array<string>"), "given"))
-    define = rows.where("macro is not null").groupBy("source_id", "macro").agg(F.max("idx").alias("from_idx"))
+    """source_id, from_idx, to_idx, kind, subject of described() chunks.
+
+    dataset_flow, macro_var_flow: from the last chunk before that writes or publishes a name to each that reads it; macro_body_dataset: to a
+    call whose macro reads it by a parameter; macro_arg_dataset: to a call that has it as an argument; macro_invocation: from a macro's
+    last definition to its calls. What a call writes by a parameter counts as written there. All names of all kinds go through one window.
+    """
+    called, defined = rows.where("kind = 'MACRO_CALL'"), rows.where("macro is not null")
+    args = macros.calls(called.withColumn("key", F.struct("source_id", "idx")), "key").select("key.source_id", "key.idx", "macro", "value")
+    bodies = macros.body_datasets(defined, called)
+    # names with a parameter in a definition are nobody's; what they stand for belongs to the calls
+    own = lambda c: F.when(F.col("macro").isNotNull(), F.filter(c, lambda x: ~F.contains(x, F.lit("&")))).otherwise(F.col(c))
+    row = lambda df, space, name, kind: df.select("source_id", F.lit(space).alias("space"), name.alias("name"), "idx", F.lit(kind).alias("kind"))
+    parts = [
+        row(rows, "data", F.explode(own("writes")), None),
+        row(rows, "data", F.explode(own("reads")), "dataset_flow"),
+        row(rows, "variable", F.explode("made"), None),
+        row(rows, "variable", F.explode("used"), "macro_var_flow"),
+        row(bodies.where("direction = 'out'"), "data", F.col("name"), None),
+        row(bodies.where("direction = 'in'"), "data", F.col("name"), "macro_body_dataset"),
+        row(args.where("value is not null"), "data", text.canonical(F.col("value")), "macro_arg_dataset"),
+    ]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.union(x)
+    one = every.groupBy("source_id", "space", "name", "idx").agg(F.bool_or(F.col("kind").isNull()).alias("p"), F.collect_set("kind").alias("kinds"))
+    near = graph.nearest_preceding(one.select(F.struct("source_id", "space", "name", "kinds").alias("whole"), F.struct("source_id", "space", "name").alias("key"), "idx", "p", (F.size("kinds") > 0).alias("c")), "key", "idx", "p", "c", "whole")
+    flow = near.select("whole.source_id", "from_idx", "to_idx", F.explode("whole.kinds").alias("kind"), F.col("whole.name").alias("subject"))
+    define = defined.groupBy("source_id", "macro").agg(F.max("idx").alias("from_idx"))
     calls_ = args.select("source_id", F.col("idx").alias("to_idx"), "macro").distinct().join(define, ["source_id", "macro"])
-    calls_ = calls_.select("source_id", "from_idx", "to_idx", F.lit("macro_invocation").alias("kind"), F.col("macro").alias("subject"))
-    return _flow(rows, "writes", "reads", "dataset_flow").union(_flow(rows, "made", "used", "macro_var_flow")).union(_flow(named, "made", "given", "macro_arg_dataset")).union(calls_)
+    return flow.union(calls_.select("source_id", "from_idx", "to_idx", F.lit("macro_invocation"), "macro"))
 
 
 def _node(idx: str) -> Column:
@@ -53,9 +66,9 @@ def _node(idx: str) -> Column:
 def batches(rows: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
     """source_id, idx, role (member, context, global), batch_no: 1, 2, ... in the order of the batches' first chunks; null for global context.
 
-    Chunks tied by strong edges are one batch. A producer of weak edges is pulled into the one batch that uses it, or becomes global context
-    of several. What only stands beside others goes with the next member of its source (after the last: with that one). A batch of more than
-    `most` members is cut in its order.
+    Chunks tied by strong edges are one component. Weak edges are judged against these: a producer that one other component uses joins it, those
+    that several use become the source's global context, all by the components as they were. What only stands beside others goes with the
+    next member of its source (after the last: with that one). A batch of more than `most` members is cut in its order.
     """
     links = graph._cut(links)
     strong = links.where(F.col("kind").isin(*STRONG))
@@ -66,12 +79,18 @@ def batches(rows: DataFrame, links: DataFrame, most: int = 8) -> DataFrame:
     parts = nodes.select("node", "component")
     fate = graph.promote_weak(weak, parts).select(F.col("producer_root").alias("component"), "decision")
     uses = weak.join(parts.toDF("src", "component"), "src").join(parts.toDF("dst", "user"), "dst").where("component <> user").groupBy("component").agg(F.min("user").alias("user"))
+    fate = graph._cut(fate.join(uses, "component"))
+    absorbed = fate.where("decision = 'absorb'").select("component", "user")
+    promoted = fate.where("decision = 'promote'").select("component", F.substring_index("component", "#", 1).alias("source_id"))
+    hubs = promoted.join(promoted.groupBy("source_id").agg(F.min("component").alias("user")), "source_id").select("component", "user")
+    joined = graph.components(absorbed.union(hubs.where("component <> user"))).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    shared = promoted.select("component").join(joined, "component", "left").select(F.coalesce("root", "component").alias("root"), F.lit(True).alias("shared")).distinct()
     alone = nodes.groupBy("component").agg(F.bool_and(F.col("kind") == "GLOBAL_STATEMENT").alias("only_global"))
-    placed = nodes.join(fate, "component", "left").join(uses, "component", "left").join(alone, "component")
+    placed = nodes.join(fate.select("component", "decision"), "component", "left").join(alone, "component").join(joined, "component", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "component")).join(shared, "root", "left")
     is_context = F.col("kind").isin(*CONTEXT) | (F.col("only_global") & F.col("decision").isNull())
-    role = F.when(F.col("only_global") & (F.col("decision") == "promote"), "global").when(is_context, "context").otherwise("member")
-    home = F.when(role == "member", F.when(F.col("decision") == "absorb", F.col("user")).otherwise(F.col("component")))
-    placed = placed.select("source_id", "idx", role.alias("role"), home.alias("home"))
+    role = F.when(F.col("shared"), "global").when(is_context, "context").otherwise("member")
+    placed = placed.select("source_id", "idx", role.alias("role"), F.when(role == "member", F.col("root")).alias("home"))
     after = Window.partitionBy("source_id").orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
     before = Window.partitionBy("source_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     near = F.coalesce(F.first("home", ignorenulls=True).over(after), F.last("home", ignorenulls=True).over(before))

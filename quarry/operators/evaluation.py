@@ -135,12 +135,22 @@ def match_f1(matches: DataFrame, sizes: DataFrame, by: str, left: str, right: st
     return sizes.join(n, by, "left").select(by, F.when(total == 0, 1.0).otherwise(2 * F.coalesce("_n", F.lit(0)) / total).alias("score"))
 
 
+#: Tags of fences that hold prose or an echo, not code.
+PROSE_FENCES = ("sas", "text", "txt", "log", "output", "console", "markdown", "md")
+
+
+def translation(markdown: Column) -> Column:
+    """The section under a second-level heading that begins with Translation, or all where there is none."""
+    section = F.regexp_extract(markdown, r"(?is)(?:\A|\n)##[ \t]+translation[^\n]*(?:\n(.*?))?(?=\n##[ \t]|\z)", 1)
+    return F.when(markdown.rlike(r"(?i)(?:\A|\n)##[ \t]+translation"), section).otherwise(markdown)
+
+
 def language_compliance(markdown: Column, wanted: str) -> Column:
-    """Share of the fenced blocks that are marked as the wanted language; 0 where there is no block."""
+    """Share of the translation's code blocks that are marked as the wanted language or not marked at all; 0 where there is no code block."""
     from quarry.operators.text import fences, language
 
-    found = F.transform(fences(markdown), lambda x: language(F.trim(x["language"])))
-    hits = F.size(F.filter(found, lambda x: x == F.lit("".join(c for c in wanted.lower() if c not in " _-"))))
+    found = F.filter(F.transform(fences(translation(markdown)), lambda x: language(F.trim(x["language"]))), lambda x: ~x.isin(*PROSE_FENCES))
+    hits = F.size(F.filter(found, lambda x: x.isin("", "".join(c for c in wanted.lower() if c not in " _-"))))
     return F.when(F.size(found) == 0, 0.0).otherwise(hits / F.size(found))
 
 

@@ -20,20 +20,26 @@ def _cut(df: DataFrame, *old: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_to = path
-    for x in old:
+    _drop(*old)
+    return out
+
+
+def _drop(*tables: DataFrame) -> None:
+    """Deletes tables of _cut() that nothing reads any more."""
+    for x in tables:
+        spark = x.sparkSession
         place = spark._jvm.org.apache.hadoop.fs.Path(x.cut_to)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    return out
 
 
-def nearest_preceding(df: DataFrame, name: str, idx: str, producer: str, consumer: str) -> DataFrame:
-    """name, from_idx, to_idx: each consumer with the greatest producer index strictly below its own.
+def nearest_preceding(df: DataFrame, name: str, idx: str, producer: str, consumer: str, *more: str) -> DataFrame:
+    """name, from_idx, to_idx (and more columns of the consumer): each consumer with the greatest producer index strictly below its own.
 
     One window over rows of a name, no inequality join; rows of one index don't see each other.
     """
     made = F.max(F.when(F.col(producer), F.col(idx)))
     w = Window.partitionBy(name).orderBy(idx).rangeBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("from_idx", made.over(w)).where(F.col(consumer) & F.col("from_idx").isNotNull()).select(name, "from_idx", F.col(idx).alias("to_idx"))
+    return df.withColumn("from_idx", made.over(w)).where(F.col(consumer) & F.col("from_idx").isNotNull()).select(name, "from_idx", F.col(idx).alias("to_idx"), *more)
 
 
 def next_row(df: DataFrame, by: Sequence[str], idx: str, wanted: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.text import canonical, normalised
+from quarry.operators.text import canonical, expanded, named_datasets, normalised, statements
 
 
 def produced(text: Column) -> Column:
@@ -19,7 +19,8 @@ def produced(text: Column) -> Column:
     let = F.regexp_extract_all(low, F.lit(r"%\s*let\s+([a-z_]\w*)\s*="), F.lit(1))
     scope = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"%\s*(?:global|local)\s+([a-z_][\w\s]*)"), F.lit(1)), lambda s: F.split(F.trim(s), r"\s+")))
     symput = F.regexp_extract_all(low, F.lit(r"\bcall\s+symputx?\s*\(\s*['\"]([a-z_]\w*)['\"]"), F.lit(1))
-    into = F.regexp_extract_all(F.array_join(F.regexp_extract_all(low, F.lit(r"\binto\s+((?::\s*[a-z_]\w*[\s,]*)+)"), F.lit(1)), " "), F.lit(r":\s*([a-z_]\w*)"), F.lit(1))
+    targets = F.array_join(F.regexp_extract_all(low, F.lit(r"\binto\s+((?::\s*[a-z_]\w*[\s,\-]*)+)"), F.lit(1)), ", ")
+    into = expanded(F.regexp_extract_all(targets, F.lit(r":\s*([a-z_]\w*(?:\s*-\s*:\s*[a-z_]\w*)?)"), F.lit(1)))
     return F.sort_array(F.array_distinct(F.filter(F.concat(let, scope, symput, into), lambda x: x != "")))
 
 
@@ -109,5 +110,93 @@ def resolve_bodies(call_rows: DataFrame, bodies: DataFrame, key: str = "idx") ->
     return by_pos.select(key, "direction", canonical(name).alias("name")).where("name is not null").distinct()
 
 
+def definitions(chunks: DataFrame) -> DataFrame:
+    """source_id, macro, parameters (with defaults), refs (datasets of the body whose names have a & in them), inner (the calls in the body).
+
+    chunks: source_id, idx, text of macro definitions. The last definition of a name counts.
+    """
+    inside = F.regexp_extract(normalised(F.col("text")), r"^%\s*macro\s+\w+\s*\(([^)]*)\)", 1)
+    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("param"), F.when(F.contains(p, F.lit("=")), F.trim(F.regexp_replace(p, r"^[^=]*=", ""))).otherwise("").alias("value"), F.contains(p, F.lit("=")).alias("by_name"))
+    parameters = F.filter(F.transform(F.split(inside, ","), pair), lambda p: p["param"] != "")
+    reads, writes = named_datasets(F.col("text"))
+    open_ = lambda names, way: F.transform(F.filter(names, lambda x: F.contains(x, F.lit("&"))), lambda x: F.struct(F.lit(way).alias("direction"), x.alias("name")))
+    inner = F.filter(statements(F.col("text")), lambda x: x.rlike(rf"^% ?(?!(?:{_CONTROL})\b)[a-z_]"))
+    found = chunks.select("source_id", "idx", macro_name(F.col("text")).alias("macro"), parameters.alias("parameters"), F.array_distinct(F.concat(open_(reads, "in"), open_(writes, "out"))).alias("refs"), F.array_distinct(inner).alias("inner")).where("macro is not null")
+    last = F.max_by(F.struct("parameters", "refs", "inner"), "idx").alias("d")
+    return found.groupBy("source_id", "macro").agg(last).select("source_id", "macro", "d.*")
+
+
+#: Words after a percent sign that aren't the name of a macro.
+_CONTROL = "macro|mend|let|put|global|local|if|then|else|do|end|return|goto|abort|include|str|nrstr|quote|eval|sysevalf|sysfunc"
+
+
+def _with_arguments(calls_: DataFrame, key: str) -> DataFrame:
+    """key, macro, args (in their order) of call texts."""
+    one = calls(calls_, key).groupBy(key, "macro").agg(F.array_sort(F.collect_list(F.struct("pos", "param", "value"))).alias("a"))
+    real = F.filter("a", lambda x: x["pos"] > 0)
+    return one.select(key, "macro", F.transform(real, lambda x: F.struct(x["param"].alias("param"), x["value"].alias("value"))).alias("args"))
+
+
+def _bound(parameters: Column, args: Column) -> Column:
+    """Each parameter with what a call gives it: by name, by its place (those without a default), or its default."""
+
+    def value(p: Column, k: Column) -> Column:
+        named = F.filter(args, lambda a: a["param"] == p["param"])
+        placed = F.filter(args, lambda a: a["param"].isNull())
+        given = F.when(F.size(named) > 0, F.get(named, F.lit(0))["value"]).when(~p["by_name"], F.get(placed, k)["value"])
+        return F.struct(p["param"].alias("param"), F.coalesce(F.nullif(given, F.lit("")), p["value"]).alias("value"))
+
+    return F.transform(parameters, value)
+
+
+def _settled(bound: Column) -> Column:
+    """bound, with what defaults say by other parameters replaced."""
+    return F.transform(bound, lambda b: F.struct(b["param"].alias("param"), _substituted(b["value"], bound).alias("value")))
+
+
+def _substituted(text: Column, bound: Column) -> Column:
+    """text with &name and &name. replaced."""
+    swap = lambda t, b: F.regexp_replace(t, F.concat(F.lit("&+"), b["param"], F.lit(r"(?!\w)\.?")), F.regexp_replace(b["value"], r"([$\\])", r"\\$1"))
+    return F.aggregate(bound, text, swap)
+
+
+def body_datasets(chunks: DataFrame, calls_: DataFrame, rounds: int = 50) -> DataFrame:
+    """source_id, idx, direction (in, out), name: datasets that macro calls read and write by the names which their arguments give.
+
+    chunks: source_id, idx, text of macro definitions; calls_: source_id, idx, text of calls. The closure over the call graph: calls are joined
+    to bodies, parameters are replaced in the bodies' names and in the arguments of the calls inside, and what these call comes next,
+    until no call is new. A macro that is called while it is being expanded is refused: that call is left out. Names that still hold a & are
+    nobody's.
+    """
+    from quarry.operators.graph import _cut
+
+    bodies = _cut(definitions(chunks))
+    nested = bodies.select("source_id", "macro", F.posexplode("inner").alias("n", "text")).withColumn("key", F.struct("source_id", "macro", "n"))
+    inner = _cut(_with_arguments(nested, "key").select("key.source_id", F.col("key.macro").alias("outer"), F.col("macro").alias("called"), "args"))
+    first = _with_arguments(calls_.withColumn("key", F.struct("source_id", "idx")), "key")
+    now = _cut(first.select("key.source_id", "key.idx", "macro", "args", F.array("macro").alias("path")))
+    met, found = None, []
+    for _ in range(rounds):
+        bound = now.join(bodies, ["source_id", "macro"]).select("source_id", "idx", "macro", "path", "refs", _bound(F.col("parameters"), F.col("args")).alias("bound"))
+        bound = _cut(bound.withColumn("bound", _settled(F.col("bound"))))
+        names = bound.select("source_id", "idx", "bound", F.explode("refs").alias("r")).select("source_id", "idx", "r.direction", _substituted(F.col("r.name"), F.col("bound")).alias("name"))
+        found.append(_cut(names.where("not contains(name, '&') and name <> ''").select("source_id", "idx", "direction", canonical(F.col("name")).alias("name")).distinct()))
+        swapped = F.transform("args", lambda a: F.struct(a["param"].alias("param"), _substituted(a["value"], F.col("bound")).alias("value")))
+        deeper = bound.join(inner.withColumnRenamed("outer", "macro"), ["source_id", "macro"]).where("not array_contains(path, called)")
+        deeper = deeper.select("source_id", "idx", F.col("called").alias("macro"), swapped.alias("args"), F.concat("path", F.array("called")).alias("path"))
+        states = ["source_id", "idx", "macro", "args"]
+        new = deeper.groupBy(*states).agg(F.min("path").alias("path"))
+        met = now.select(*states) if met is None else met.union(now.select(*states))
+        now = _cut(new.join(met, states, "left_anti"))
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"calls are nested more than {rounds} deep")
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_rn = 1").drop("_rn")

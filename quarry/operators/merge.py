@@ -53,7 +53,8 @@ def _collapsed(transactions: DataFrame, by: Sequence[str], order) -> DataFrame:
     if order is None:
         many = F.raise_error(F.lit("UPDATE: a transaction key repeats, and no order says which row comes last"))
         found = transactions.groupBy(*by).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in values])
-        return found.select(*by, *[F.when(F.col("_n") > 1, many.cast(transactions.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in values])
+        # the check is a filter on what only the aggregation knows, so it stays whatever columns are asked for
+        return found.where(F.when(F.col("_n") > 1, many.cast("boolean")).otherwise(F.lit(True))).select(*by, *values)
     place = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order)])
     return transactions.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in values])
 

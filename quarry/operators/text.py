@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # ---- statements
 
@@ -166,8 +167,9 @@ def blanked(text: Column) -> Column:
 
 
 def statements(text: Column) -> Column:
-    """The statements of a text, blanked, without comments of either sort."""
-    return F.filter(F.transform(F.split(blanked(text), ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: (s != "") & ~s.rlike(r"^%?\*"))
+    """The statements of a text, blanked, without comments of either sort and without the lines of data that follow DATALINES."""
+    code = F.regexp_replace(blanked(text), r"\b((?:datalines|cards)4?)\s*;[^;]*;", "$1;")
+    return F.filter(F.transform(F.split(code, ";"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: (s != "") & ~s.rlike(r"^%?\*"))
 
 
 #: Constructs that a clause is by its first word, where another word, a string or an array's name follows.
@@ -203,22 +205,57 @@ def _all(s: Column, pattern: str) -> Column:
     return F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
 
 
+def expanded(names: Column) -> Column:
+    """m1-m3 becomes m1, m2, m3."""
+    spread = r"^(.*?)(\d+)\s*-\s*:?\s*\1(\d+)$"
+    part = lambda x, k: F.regexp_extract(x, spread, k)
+    run = lambda x: F.transform(F.sequence(part(x, 2).try_cast("int"), part(x, 3).try_cast("int")), lambda k: F.concat(part(x, 1), k.cast("string")))
+    return F.flatten(F.transform(names, lambda x: F.when(x.rlike(spread) & (part(x, 2).try_cast("int") <= part(x, 3).try_cast("int")), run(x)).otherwise(F.array(x))))
+
+
 def _listed(s: Column) -> Column:
-    """The names after the first word of a statement, options in brackets and name=value aside."""
+    """The names after the first word of a statement, options in brackets and name=value aside; ranges are spelt out."""
     bare = s
     for _ in range(3):  # brackets within brackets
         bare = F.regexp_replace(bare, r"\([^()]*\)", " ")
-    names = _all(F.regexp_replace(F.regexp_replace(bare, r"\b[a-z_]\w*\s*=\s*\S+", " "), r"/.*$", ""), rf"(?:^|\s)({_NAME})")
-    return F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0)))
+    names = _all(F.regexp_replace(F.regexp_replace(bare, r"\b[a-z_]\w*\s*=\s*\S+", " "), r"/.*$", ""), rf"(?:^|\s)({_NAME}(?:\s*-\s*{_NAME})?)")
+    return expanded(F.slice(names, 2, F.greatest(F.size(names) - 1, F.lit(0))))
+
+
+#: Stands for a subquery in the query around it.
+_INNER = "\x01"
+
+
+def _queries(s: Column) -> Column:
+    """A statement's queries, each with its subqueries taken out (up to four deep)."""
+    out, rest = [], s
+    for _ in range(4):
+        out.append(_all(rest, r"\(([^()]*)\)"))
+        rest = F.regexp_replace(rest, r"\([^()]*\)", f" {_INNER} ")
+    return F.concat(*out, F.array(rest))
+
+
+def _sources(s: Column) -> Column:
+    """The tables after FROM (lists, too) and JOIN of a statement and its subqueries."""
+    item = rf"(?:{_INNER}|{_NAME})(?:\s+(?:as\s+)?(?!(?:where|join|left|right|full|inner|cross|natural|on|group|order|having|union|except|intersect|outer)\b)[a-z_]\w*)?"
+    lists = F.flatten(F.transform(_queries(s), lambda q: _all(q, rf"\bfrom\s+({item}(?:\s*,\s*{item})*)")))
+    froms = F.flatten(F.transform(lists, lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda y: F.regexp_extract(y, rf"^({_NAME})", 1))))
+    return F.filter(F.concat(F.filter(froms, lambda x: x != ""), _all(s, rf"\bjoin\s+({_NAME})")), lambda x: x != "connection")
+
+
+def _in_place(s: Column) -> Column:
+    """The table that an UPDATE or DELETE of SQL changes; empty for other statements (UPDATE of a DATA step has no SET with an equal sign)."""
+    return F.concat(_all(s, rf"^update\s+({_NAME})\s+(?:as\s+)?(?:[a-z_]\w*\s+)?set\s+[a-z_][\w.]*\s*="), _all(s, rf"^delete\s+from\s+({_NAME})"))
 
 
 def _reads(s: Column) -> Column:
     first, none = F.regexp_extract(s, r"^[a-z_]\w*", 0), F.array().cast("array<string>")
-    froms = F.flatten(F.transform(_all(s, rf"\bfrom\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"), lambda x: F.transform(F.split(x, r"\s*,\s*"), lambda y: F.regexp_extract(y, _NAME, 0))))
+    changed = _in_place(s)
     return F.concat(
-        F.when(first.isin("set", "merge", "update", "modify"), _listed(s)).otherwise(none),
+        changed,
+        F.when(first.isin("set", "merge", "modify") | ((first == "update") & (F.size(changed) == 0)), _listed(s)).otherwise(none),
         F.when(first == "proc", _all(s, rf"\b(?:data|compare)\s*=\s*({_NAME})")).otherwise(none),
-        F.when(first.isin("create", "select", "insert", "delete"), F.concat(froms, _all(s, rf"\bjoin\s+({_NAME})"))).otherwise(none),
+        F.when(first.isin("create", "select", "insert", "delete") | ((first == "update") & (F.size(changed) > 0)), _sources(s)).otherwise(none),
     )
 
 
@@ -227,18 +264,26 @@ def _writes(s: Column) -> Column:
     out = _all(s, rf"\b(?:out|base)\s*=\s*({_NAME})")
     sorts = s.rlike(r"^proc sort\b") & (F.size(out) == 0)
     return F.concat(
+        _in_place(s),
         F.when(first == "data", F.filter(_listed(s), lambda x: x != "_null_")).otherwise(none),
         F.when(first == "proc", F.when(sorts, _all(s, rf"\bdata\s*=\s*({_NAME})")).otherwise(out)).otherwise(none),
-        F.when(first == "create", _all(s, rf"^create table ({_NAME})")).when(first == "insert", _all(s, rf"^insert into ({_NAME})")).otherwise(none),
+        F.when(first.isin("output", "tables", "table"), _all(s, rf"\bout\s*=\s*({_NAME})")).otherwise(none),
+        F.when(first == "create", _all(s, rf"^create (?:table|view) ({_NAME})")).when(first == "insert", _all(s, rf"^insert into ({_NAME})")).otherwise(none),
     )
 
 
-def datasets(text: Column) -> tuple[Column, Column]:
-    """Names that a statement or several read and write, canonical: lists of names, options, tables of SQL and of hash objects."""
+def named_datasets(text: Column) -> tuple[Column, Column]:
+    """Names that a statement or several read and write, as they stand there: lists of names, options, tables of SQL and of hash objects."""
     every = statements(text)
     hashed = _all(F.lower(text), rf"\bdataset\s*:\s*['\"]({_NAME})")
+    return F.concat(F.flatten(F.transform(every, _reads)), hashed), F.flatten(F.transform(every, _writes))
+
+
+def datasets(text: Column) -> tuple[Column, Column]:
+    """named_datasets(), canonical, sorted, each once."""
+    reads, writes = named_datasets(text)
     each = lambda c: F.sort_array(F.array_distinct(F.transform(c, canonical)))
-    return each(F.concat(F.flatten(F.transform(every, _reads)), hashed)), each(F.flatten(F.transform(every, _writes)))
+    return each(reads), each(writes)
 
 
 def canonical(name: Column) -> Column:
@@ -313,13 +358,17 @@ def paragraph_windows(docs: DataFrame, key: str, text: str, most: int = 200, ove
 
 
 def balanced(text: Column) -> Column:
-    """Whether brackets and quotes pair up in number, strings aside."""
-    bare = F.regexp_replace(text, r"'[^']*'", "")
-    pairs = [("(", ")"), ("[", "]"), ("{", "}")]
-    ok = F.length(bare) - F.length(F.replace(bare, F.lit("'"), F.lit(""))) == 0
-    for a, b in pairs:
-        ok &= F.length(F.replace(bare, F.lit(a), F.lit(""))) == F.length(F.replace(bare, F.lit(b), F.lit("")))
-    return ok.cast("int")
+    """Whether brackets and quotes pair up, each closed by its own kind and in order; what is in strings doesn't count."""
+    bare = F.regexp_replace(text, r"'[^']*'|\"[^\"]*\"", "")
+    marks = F.regexp_extract_all(bare, F.lit(r"[()\[\]{}]"), F.lit(0))
+    opens = F.create_map(*[F.lit(x) for x in (")", "(", "]", "[", "}", "{")])
+
+    def step(open_: Column, mark: Column) -> Column:
+        wanted = F.try_element_at(opens, mark)
+        closed = F.when(F.endswith(open_, wanted), F.left(open_, F.length(open_) - 1)).otherwise("!")
+        return F.when(F.startswith(open_, F.lit("!")), open_).when(wanted.isNull(), F.concat(open_, mark)).otherwise(closed)
+
+    return (~bare.rlike("['\"]") & (F.aggregate(marks, F.lit(""), step) == "")).cast("int")
 
 
 def shortest_suffix(paths: DataFrame, path: str) -> DataFrame:
@@ -359,6 +408,71 @@ def split_oversized(chunks_: DataFrame, key: Sequence[str], text: str, most: int
     return parts.select(*key, "part", (F.col("part") * step_).alias("start"), F.substring("_body", F.col("part") * step_ + 1, F.lit(most)).alias("text"))
 
 
+OVERLAP_UNITS, OVERLAP_WORDS = 3, 100
+
+
+def split_steps(found: DataFrame, chunks_: DataFrame, most: int = 700) -> DataFrame:
+    """Chunks of more than `most` words in parts that end between statements. found: units(); chunks_: chunks().
+
+    source_id, chunk_no, part, parent, first_unit, last_unit, start_char, end_char, words, text, reads, writes, oversized. Part 0 is the chunk as it
+    was; those of an oversized one, 1, 2, ..., have it as their parent and its datasets. A part takes statements while it holds at most `most`
+    words (a longer statement stands in a part whole, as does what is repeated before it); each repeats the last statements of the one before,
+    OVERLAP_UNITS at most and no more than OVERLAP_WORDS words, one at least. oversized: a part has more than twice `most` words all the same.
+    A fold over sorted partitions, which holds one part at a time.
+    """
+    schema = "source_id string, chunk_no int, part int, first_unit int, last_unit int, start_char int, end_char int, words int, text string"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, part, held = None, 0, []
+        count = lambda units_: len("".join(u.text for u in units_).split())
+
+        def told() -> tuple:
+            return (*key, part, int(held[0].unit_no), int(held[-1].unit_no), int(held[0].start_char), int(held[-1].end_char), count(held), "".join(u.text for u in held))
+
+        def repeated() -> list:
+            last, n = [], 0
+            for u in reversed(held[-OVERLAP_UNITS:]):
+                own = len(u.text.split())
+                if last and n + own > OVERLAP_WORDS:
+                    break
+                last.insert(0, u)
+                n += own
+            return last
+
+        size = 0  # of what is held, counted anew only where statements touch without white space
+        for pdf in batches:
+            out = []
+            for u in pdf.itertuples(index=False):
+                if (u.source_id, u.chunk_no) != key:
+                    if held:
+                        out.append(told())
+                    key, part, held, size = (u.source_id, u.chunk_no), 1, [], 0
+                own = len(u.text.split())
+                glued = bool(held) and bool(own) and not held[-1].text[-1:].isspace() and not u.text[:1].isspace()
+                if held and size + own - glued > most:
+                    out.append(told())
+                    part += 1
+                    held = [*repeated(), u]
+                    size = count(held)
+                else:
+                    held.append(u)
+                    size += own - glued
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([told()] if held else [], columns=names)
+
+    reads, writes = datasets(F.col("text"))
+    whole = chunks_.withColumn("words", words(F.col("text"))).withColumn("reads", reads).withColumn("writes", writes)
+    large = whole.where((F.col("words") > most) & (F.col("first_unit") < F.col("last_unit")))
+    wanted = large.select("source_id", "chunk_no", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no"))
+    rows = found.join(wanted, ["source_id", "unit_no"]).select("source_id", "chunk_no", "unit_no", "start_char", "end_char", "text")
+    parts = rows.repartition("source_id", "chunk_no").sortWithinPartitions("source_id", "chunk_no", "unit_no").mapInPandas(run, schema)
+    parts = parts.join(large.select("source_id", "chunk_no", "reads", "writes"), ["source_id", "chunk_no"]).withColumn("parent", F.lit(0))
+    every = whole.withColumn("part", F.lit(0)).withColumn("parent", F.lit(None).cast("int"))
+    columns = [*names[:3], "parent", *names[3:], "reads", "writes"]
+    return every.select(*columns).unionByName(parts.select(*columns)).withColumn("oversized", (F.col("words") > 2 * most) & (F.col("parent").isNotNull() | (F.col("first_unit") == F.col("last_unit"))))
+
+
 def language(name: Column) -> Column:
     """Case, blanks, dashes and underscores don't count."""
     return F.regexp_replace(F.lower(name), r"[\s_-]", "")
@@ -434,33 +548,53 @@ def merge_sections(sections: DataFrame, by: str, order: str, text: str, most: in
 
 
 def rewrite_tables(programs: DataFrame, key: str, body: str, table: DataFrame) -> DataFrame:
-    """Adds new_text: table names after FROM, JOIN, INTO, TABLE and UPDATE replaced as `table` (source, target) says; strings and comments stay.
+    """Adds new_text: table names after FROM (all of a list), JOIN, INTO, TABLE and UPDATE, and those in quotes that are the argument of a
+    reader or writer of tables in Python, replaced as `table` (source, target) says; other strings and comments stay.
 
-    Names are compared without case; a name that the mapping doesn't have stays. A body is cut into strings, comments and the rest, so that only
-    the rest is searched.
+    Names are compared without case; a name that the mapping doesn't have stays. A body is cut into strings, comments and the rest. Names are first
+    replaced by marks, and the marks by the targets, so a target that is itself a source isn't replaced again.
     """
     pieces_ = F.regexp_extract_all(F.col(body), F.lit(r"(?s)/\*.*?(?:\*/|\z)|--[^\n]*|'[^']*(?:''[^']*)*(?:'|\z)|\"[^\"]*(?:\"|\z)|[^'\"/\-]+|."), F.lit(0))
     piece = programs.select(key, F.posexplode(pieces_).alias("pos", "piece"))
-    word = r"(?i)\b(?:from|join|into|table|update)\s+([a-z_][\w.]*)"
-    is_code = ~F.col("piece").rlike(r"^(/\*|--|'|\")")
-    named = piece.where(is_code).select(key, F.explode(F.regexp_extract_all("piece", F.lit(word), F.lit(1))).alias("name")).distinct()
+    before = F.lag("piece").over(Window.partitionBy(key).orderBy("pos"))
+    argument = F.col("piece").rlike(r"^['\"]") & F.coalesce(before.rlike(r"\b(?:table|saveAsTable|insertInto|createOrReplaceTempView)\s*\(\s*\z"), F.lit(False))
+    piece = piece.withColumn("argument", argument).withColumn("code", ~F.col("piece").rlike(r"^(/\*|--|'|\")"))
+    inside = F.regexp_replace("piece", r"^['\"]|['\"]$", "")
+    words_ = F.when(F.col("argument"), F.array(inside)).otherwise(F.regexp_extract_all("piece", F.lit(r"(?<![\w.])[A-Za-z_][\w.]*"), F.lit(0)))
+    named = piece.where("code or argument").select(key, F.explode(words_).alias("name")).distinct()
     names = table.select(F.lower("source").alias("_name"), "target").groupBy("_name").agg(F.max("target").alias("target"))
     swaps = named.join(names, F.lower("name") == F.col("_name")).groupBy(key).agg(F.sort_array(F.collect_set(F.struct("name", "target"))).alias("swaps"))
+    quoted = lambda x: F.regexp_replace(x, r"([$\\])", r"\\$1")
+    mark = lambda k: F.concat(F.lit("\x02"), k.cast("string"), F.lit("\x03"))
+    item = r"[\w.\x02\x03]+(?:\s+(?:as\s+)?(?!(?:where|join|left|right|full|inner|cross|on|group|order|having|union)\b)\w+)?"
+    numbered = F.transform("swaps", lambda x, k: F.struct(x["name"].alias("name"), x["target"].alias("target"), mark(k).alias("mark")))
+
+    def marked(code: Column, x: Column) -> Column:
+        pattern = F.concat(F.lit(rf"(?i)(\b(?:from|join|into|table|update)\s+(?:{item}\s*,\s*)*)\Q"), x["name"], F.lit(r"\E(?![\w.(])"))
+        return F.regexp_replace(F.regexp_replace(code, pattern, F.concat(F.lit("$1"), x["mark"])), pattern, F.concat(F.lit("$1"), x["mark"]))
+
+    settled = lambda code, x: F.regexp_replace(code, x["mark"], quoted(x["target"]))
+    own = F.filter("swaps", lambda x: x["name"] == inside)
+    held = piece.join(swaps.withColumn("swaps", numbered), key, "left")
+    new = F.when(F.col("swaps").isNull(), F.col("piece")).when(F.col("code"), F.aggregate("swaps", F.aggregate("swaps", F.col("piece"), marked), settled))
+    new = new.when(F.col("argument") & (F.size(own) > 0), F.concat(F.left("piece", F.lit(1)), F.get(own, F.lit(0))["target"], F.right("piece", F.lit(1)))).otherwise(F.col("piece"))
+    whole = held.withColumn("piece", new).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("new_text"))
+    return programs.join(whole, key, "left").withColumn("new_text", F.coalesce("new_text", body))
 
-    def swap(code: Column, x: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?i)\b(from|join|into|table|update)(\s+)"), F.lit(r"\Q"), x["name"], F.lit(r"\E(?![\w.])"))
-        return F.regexp_replace(code, pattern, F.concat(F.lit("$1$2"), F.regexp_replace(x["target"], r"([$\\])", r"\\$1")))
 
-    done = piece.join(swaps, key, "left").withColumn("piece", F.when(is_code, F.aggregate(F.coalesce("swaps", F.array()), F.col("piece"), swap)).otherwise(F.col("piece")))
-    whole = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "").alias("new_text"))
-    return programs.join(whole, key, "left").withColumn("new_text", F.coalesce("new_text", body))
+@F.pandas_udf(IntegerType())
+def _comment_start(bodies: pd.Series) -> pd.Series:
+    """Where a comment opens that never closes."""
+    mark = re.compile(r"/\*.*?(\*/|\Z)|'(?:[^']|'')*'?|\"(?:[^\"]|\"\")*\"?", re.S)
+    return bodies.map(lambda b: next((m.start() for m in mark.finditer(b) if m[0].startswith("/*") and not m[1]), 0)).astype("int32")
 
 
 def diagnostics(found: DataFrame, programs: DataFrame, source: str = "source_id") -> DataFrame:
     """source_id, code, at: comments that never close, a last statement without its semicolon, macros that never end, and programs without statements. found: units()."""
     low = normalised(F.col("text"))
-    per = found.groupBy("source_id").agg(
-        F.min(F.when(F.col("unclosed_comment"), F.col("start_char"))).alias("unclosed_comment"),
+    open_ = found.where("unclosed_comment").select("source_id", "unit_no", _comment_start("text").alias("_comment"))  # few
+    per = found.join(open_, ["source_id", "unit_no"], "left").groupBy("source_id").agg(
+        F.min(F.when(F.col("unclosed_comment"), F.col("start_char") + F.col("_comment"))).alias("unclosed_comment"),
         F.min(F.when(~F.col("terminated") & ~F.col("unclosed_comment"), F.col("start_char"))).alias("unterminated"),
         F.when(F.count_if(low.rlike(r"^% ?macro\b")) > F.count_if(low.rlike(r"^% ?mend\b")), F.max(F.when(low.rlike(r"^% ?macro\b"), F.col("start_char")))).alias("open_macro"),
         F.when(F.count_if(~F.col("is_comment")) == 0, F.lit(0)).alias("no_statement"),

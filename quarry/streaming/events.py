@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.memory import upsert
+from quarry.operators.memory import SCHEMA, upsert
+from quarry.streaming.buckets import Buckets
 
 
 def read_log(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
@@ -40,36 +41,33 @@ def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def upsert_sink(changes: DataFrame, paths: dict[str, str], now: float, checkpoint: str):
-    """Keyed upserts batch by batch into version folders under paths["root"], from the table paths["current"] on.
+def upsert_sink(changes: DataFrame, paths: dict[str, str], now: float, checkpoint: str, buckets: int = 64):
+    """Keyed upserts batch by batch into the buckets under paths["root"], from the table paths["current"] on.
 
-    A batch's base is the last complete version of a lower number, found on disk: so a batch that is run again after a failure writes the
-    same version anew from the same base, and a restarted stream goes on from what earlier ones wrote. versions() lists them.
+    A batch rewrites the buckets that its keys fall into and leaves the files of all others. Its base is the last version of a lower number,
+    so a batch that is run again after a failure gives the same version, and a restarted stream goes on from what earlier ones wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        table = keyed(batch.sparkSession, paths["root"], buckets)
+        if not table.versions():
+            table.create(batch.sparkSession.read.parquet(paths["current"]))
         last = F.max_by(F.struct("value", "tags", "source"), "seq").alias("r")
         new = batch.groupBy("kv_key").agg(last).select("kv_key", "r.value", "r.tags", "r.source")
-        before = [v for v in versions(spark, paths["root"]) if v < number]
-        old = spark.read.parquet(_version(paths["root"], max(before)) if before else paths["current"])
-        upsert(old, new, now).write.mode("overwrite").parquet(_version(paths["root"], number))
+        table.change(number, new, lambda old, fresh: upsert(old, fresh, now))
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(root: str, number: int) -> str:
-    return f"{root}/v{number:09d}"
+def keyed(spark: SparkSession, root: str, buckets: int = 64) -> Buckets:
+    return Buckets(spark, root, "kv_key", SCHEMA.replace(" not null", ""), buckets)
 
 
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """The complete versions that upsert_sink has written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [str(x.getPath().getName()) for x in fs.listStatus(path)] if fs.exists(path) else []
-    return sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{x}/_SUCCESS")))
+    """The numbers of the batches that upsert_sink has committed."""
+    return [v for v in keyed(spark, root).versions() if v >= 0]
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """The table after the last complete batch."""
-    return spark.read.parquet(_version(root, max(versions(spark, root))))
+def current(spark: SparkSession, root: str, buckets: int = 64) -> DataFrame:
+    """The table after the last batch."""
+    return keyed(spark, root, buckets).read()
