@@ -30,11 +30,16 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     whole = base.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
     tf = base.select("_key", "_len", F.explode(F.filter("_tokens", lambda w: F.array_contains(wanted, w))).alias("_term")).groupBy("_key", "_len", "_term").agg(F.count("*").alias("_tf"))
+    return bm25_scores(tf, whole).withColumnRenamed("_key", key)
+
+
+def bm25_scores(tf: DataFrame, whole: DataFrame) -> DataFrame:
+    """_key, score from counts (_key, _len, _term, _tf) of the query's terms and one row (_n, _avg) of the corpus."""
     df = tf.groupBy("_term").agg(F.count("*").alias("_df"))
     s = tf.join(df, "_term").crossJoin(F.broadcast(whole))  # one row
     idf = F.ln(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     gain = F.col("_tf") / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return s.groupBy("_key").agg(F.sum(idf * gain).alias("score")).withColumnRenamed("_key", key)
+    return s.groupBy("_key").agg(F.sum(idf * gain).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

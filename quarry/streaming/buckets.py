@@ -77,6 +77,12 @@ class Buckets:
     def read(self, version: int | None = None) -> DataFrame:
         return self._read(self.folders(version))
 
+    def near(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """The rows of the buckets that the keys fall into; other buckets are not read."""
+        wanted = self._placed(keys.select(self.key)).select("bucket").distinct().collect()  # as many as buckets at most
+        folders = self.folders(version)
+        return self._read({r.bucket: folders[r.bucket] for r in wanted if r.bucket in folders})
+
     def change(self, version: int, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Makes a version with merge(old rows, changes) in the buckets that changes have a key of; returns these."""
         from quarry.operators.graph import _cut, _drop

@@ -146,3 +146,43 @@ def test_lives_expire_and_come_back(spark, tmp_path):
 def test_merged_lives():
     assert lives.merged([(0, 5, 2), (20, 20, 1)], [9, 30, 12], 10) == [(0, 20, 5), (30, 30, 1)]
     assert lives.merged([], [], 10) == []
+
+
+def test_index_follows_changes(spark, tmp_path):
+    """After random puts and deletes a search gives what BM25 from scratch gives, and reads the buckets of its words only."""
+    import random
+
+    from quarry.operators import index, retrieval
+
+    rng, words = random.Random(5), ["alpha", "beta", "gamma", "delta", "the"]
+    body = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    schema = "kv_key string, value string, tags string"
+    store = {f"k{i}": (body(), None if i % 3 else '["beta"]') for i in range(30)}
+    frame = lambda d: spark.createDataFrame([(k, *v) for k, v in d.items()], schema)
+    own = index.Index(spark, str(tmp_path / "i"))
+    own.create(frame(store))
+    for version in range(2):
+        puts = {f"k{rng.randint(0, 40)}": (rng.choice([body(), None, "beta the"]), None) for _ in range(8)}
+        gone = [f"k{rng.randint(0, 40)}" for _ in range(6)]
+        for _ in range(1 + version):  # the second time as after a failure
+            own.change(version, frame(puts), spark.createDataFrame([(k,) for k in [*gone, gone[0]]], "kv_key string"))
+        for k in gone:
+            store.pop(k, None)
+        store.update(puts)
+        now = frame(store).select("kv_key", F.concat_ws("\n", "kv_key", F.coalesce("value", F.lit("")), F.coalesce("tags", F.lit(""))).alias("t"))
+        for asked in ("beta the", "zeta"):
+            want = {r.kv_key: round(r.score, 9) for r in retrieval.bm25(now, "kv_key", "t", asked).collect()}
+            assert {r.kv_key: round(r.score, 9) for r in own.search(asked).collect()} == want, (version, asked)
+    found = own.search("beta")
+    read = {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles() if "/postings/" in f}
+    assert found.count() and len(read) <= index.SPREAD and all("/keys/" not in f for f in found.inputFiles())
+    assert own.search("").count() == 0
+    dense = spark.createDataFrame([("k1", 0.9), ("no such key", 1.0)], "kv_key string, score double")
+    assert "no such key" not in {r.kv_key for r in own.hybrid("beta", dense, 50).collect()}
+    own.postings.change(5, own.postings.read().limit(0), lambda old, new: old)
+    with pytest.raises(ValueError, match="not completed"):
+        own.change(6, frame({"a": ("b", None)}))
+    own.vacuum(1)
+    empty = index.Index(spark, str(tmp_path / "e"))
+    empty.create(frame({"x": ("y", None)}).limit(0))
+    assert empty.search("y").count() == 0
