@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import _cut
+
 #: Fixed values of the sizing model: anchor, windows relative to it, reach of each dimension, ends of the point scale, band ends, deck.
 ANCHOR = 87.5
 WINDOWS = {"effort": (0.35, 2.40), "complexity": (0.35, 1.40), "uncertainty": (0.00, 0.50)}
@@ -89,6 +91,62 @@ def inherit(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     return j.select(F.coalesce(f"c.{key}", f"p.{key}").alias(key), *[F.coalesce(f"c.{f}", f"p.{f}").alias(f) if f in child.columns else F.col(f"p.{f}").alias(f) for f in fields])
 
 
+def lineage(profiles: DataFrame) -> DataFrame:
+    """profile, ancestor, distance of every profile and the chain above it, itself at 0; profiles: profile, parent (null: none).
+
+    Chains are followed by doubling, so rounds are the logarithm of their length. Chains that close, unknown parents and profiles with two parents raise.
+    """
+    own = profiles.where("profile is not null").select("profile", "parent").distinct()
+    twice = own.groupBy("profile").count().where("count > 1").select("profile")
+    lost = own.where("parent is not null").join(own.select(F.col("profile").alias("parent")), "parent", "left_anti").select("profile")
+    for what, rows in (("has two parents", twice), ("has a parent that is no profile", lost)):
+        bad = rows.take(1)
+        if bad:
+            raise ValueError(f"profile {bad[0].profile} {what}")
+    ups = _cut(own.where("parent is not null").select("profile", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
+    reach, size = ups, ups.count()
+    while True:
+        a, b = reach.alias("a"), reach.alias("b")
+        further = a.join(b, F.col("a.ancestor") == F.col("b.profile")).select("a.profile", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        reach = _cut(reach.union(further).distinct(), reach)
+        closed = reach.where("profile = ancestor").take(1)
+        if closed:
+            raise ValueError(f"profile {closed[0].profile} inherits from itself")
+        before, size = size, reach.count()
+        if size == before:
+            return own.select("profile", F.col("profile").alias("ancestor"), F.lit(0).cast("long").alias("distance")).union(reach)
+
+
+def catalogue(profiles: DataFrame, entries: DataFrame, groups: DataFrame, fields: list[str]) -> DataFrame:
+    """profile, kind, name, fields, stated_by: what each profile rates, the nearest statement above it winning as a whole.
+
+    entries: profile, kind, name, fields. groups: profile, group_no, kind, names (array), fields; a group stands for its names, a later group for those of
+    an earlier one, and an entry of the same profile for those of all groups. Names are compared case aside; rows without a profile, kind or name are
+    left out. Of repeated entries of a profile the greatest counts.
+    """
+    value = F.struct(*fields).alias("value")
+    named = entries.select("profile", "kind", F.lower("name").alias("name"), F.lit(1).alias("named"), F.lit(0).cast("long").alias("no"), value)
+    grouped = groups.select("profile", "kind", F.explode("names").alias("name"), F.lit(0).alias("named"), F.col("group_no").cast("long").alias("no"), value).withColumn("name", F.lower("name"))
+    said = named.unionByName(grouped).where("profile is not null and kind is not null and name is not null")
+    own = said.groupBy(F.col("profile").alias("ancestor"), "kind", "name").agg(F.max(F.struct("named", "no", "value")).alias("s"))
+    near = lineage(profiles).join(own, "ancestor").groupBy("profile", "kind", "name").agg(F.min(F.struct("distance", "ancestor", "s")).alias("n"))
+    return near.select("profile", "kind", "name", *[F.col(f"n.s.value.{f}").alias(f) for f in fields], F.col("n.ancestor").alias("stated_by"))
+
+
+def flags(profiles: DataFrame, stated: DataFrame, fields: list[str]) -> DataFrame:
+    """profile, name, fields: flags merge field by field, each from the nearest profile above that states it; stated: profile, name, fields."""
+    once = stated.where("profile is not null and name is not null").groupBy(F.col("profile").alias("ancestor"), "name").agg(*[F.max(f).alias(f) for f in fields])
+    nearest = [F.min(F.when(F.col(f).isNotNull(), F.struct("distance", F.col(f).alias("v"))))["v"].alias(f) for f in fields]
+    return lineage(profiles).join(once, "ancestor").groupBy("profile", "name").agg(*nearest)
+
+
+def allowed(uses: DataFrame, rated: DataFrame, fields: list[str]) -> DataFrame:
+    """Uses (profile, kind, name and what else they hold) with their profile's ratings, and listed: whether the profile has an entry at all."""
+    u = uses.withColumn("_name", F.lower("name"))
+    r = rated.select("profile", "kind", F.col("name").alias("_name"), *fields, F.lit(True).alias("_listed"))
+    return u.join(r, ["profile", "kind", "_name"], "left").select(*uses.columns, *fields, F.coalesce("_listed", F.lit(False)).alias("listed"))
+
+
 def hardest(df: DataFrame, n: int, tier: str = "tier", score: str = "score", key: str = "key") -> DataFrame:
     rank = F.when(F.col(tier) == "HIGH", 3).when(F.col(tier) == "MEDIUM", 2).otherwise(1)
     return df.orderBy(rank.desc(), F.col(score).desc(), key).limit(n)

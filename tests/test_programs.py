@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import batching, evaluation, macros, memory, merge, text
+from quarry.operators import batching, evaluation, guidance, macros, memory, merge, text
 from quarry.streaming import events, lives
 from quarry.streaming.buckets import Buckets
 
@@ -186,3 +186,65 @@ def test_index_follows_changes(spark, tmp_path):
     empty = index.Index(spark, str(tmp_path / "e"))
     empty.create(frame({"x": ("y", None)}).limit(0))
     assert empty.search("y").count() == 0
+
+
+def test_claims_and_budgets(spark):
+    """Tiers, turns of constructs, gates and a second claim; then both budgets against a plain loop, wider ones dropping less."""
+    schema = "chunk_id int, scope string, langs array<string>, kinds array<string>, metas array<string>, constructs array<string>, size int"
+    chunks = spark.createDataFrame(
+        [
+            (1, "reference", None, [], [], ["proc:sort"], 10), (2, "reference", [], [], [], ["proc:sort"], 10), (3, "reference", [], [], [], ["proc:means"], 10), (4, "reference", [], [], [], ["call:symput", "proc:sort"], None),
+            (5, "pinned", [], [], [], [], 10), (6, "always", ["sql"], [], [], [], 10), (7, "always", [], ["K"], [], [], 10), (8, "always", [], ["other"], [], [], 10), (9, "when", [], [], ["hazard"], ["proc:means", "proc:sort"], 10),
+            (10, "example", [], [], [], [], 10), (11, "example", [], [], [], ["proc:sort"], 10), (12, "topic", [], [], [], [], 10), (13, "reference", [], [], [], [], 10), (14, "reference", [], [], [], ["proc:print"], 10), (None, "always", [], [], [], [], 1),
+        ],
+        schema,
+    )
+    items = spark.createDataFrame([("a", "sql", ["K"], ["hazard"], ["proc:sort", "proc:means", "call:symput", "proc:print", "proc:sort"]), ("b", "py", None, None, None), ("c", None, [], [], [])], "item_id string, lang string, kinds array<string>, metas array<string>, constructs array<string>")
+    ranking = spark.createDataFrame([("a", 13, 1), ("a", 12, 9), ("a", 1, 2), ("a", 6, 1), ("b", 12, 3), ("b", 1, 1), ("b", 1, 4)], "item_id string, chunk_id int, rank int")
+    claimed = guidance.claims(chunks, items, ranking, ["call:symput"], ["proc:print"])
+    got = {}
+    for r in claimed.orderBy("item_id", "claim_no").collect():
+        got.setdefault(r.item_id, []).append((r.chunk_id, r.tier, r.construct))
+    assert got["a"] == [(6, "user_always", None), (9, "user_when", "proc:sort"), (7, "user_gated", None), (10, "user_example", None), (11, "user_example", "proc:sort"), (5, "pinned", None), (4, "hazard", "call:symput"), (1, "construct", "proc:sort"), (3, "construct", "proc:means"), (2, "construct", "proc:sort"), (12, "user_topic", None), (13, "topical", None)]
+    assert [x[:2] for x in got["b"]] == [(10, "user_example"), (5, "pinned"), (12, "user_topic"), (1, "topical")]
+    assert [x[0] for x in got["c"]] == [6, 10, 5]
+    shares = []
+    for budget, own, k in ((25, 15, 6), (60, 40, 1), (80, 40, 6), (200, 100, 6)):
+        taken, used, mine, topics = set(), 0, 0, 0
+        for r in sorted((x for x in claimed.collect() if x.item_id == "a"), key=lambda x: x.claim_no):
+            topic = r.tier in ("topical", "user_topic")
+            if used + r.size <= budget and not (r.is_user and mine + r.size > own) and not (topic and topics >= k):
+                taken.add(r.chunk_id)
+                used, mine, topics = used + r.size, mine + r.size * r.is_user, topics + topic
+        out = guidance.selected(claimed, budget, own, k).where("item_id = 'a'").collect()
+        assert {r.chunk_id for r in out if r.taken} == taken and len(out) == 12
+        shares.append((sum(r.size for r in out if r.taken), sum(not r.taken for r in out)))
+    assert [s <= b for (s, _), b in zip(shares, (25, 60, 80, 200), strict=True)] == [True] * 4
+    assert sorted(shares) == shares and shares[-1][1] == 0 and shares[0][1] > shares[2][1] > 0
+    assert guidance.selected(guidance.claims(chunks.limit(0), items, ranking), 1, 1, 1).count() == 0
+
+
+def test_catalogues_inherit_over_levels(spark):
+    """Three levels, a group below an entry, a long chain; closed chains, two parents and unknown ones are refused; the allow-list."""
+    from quarry.operators import scoring
+
+    profiles = spark.createDataFrame([("base", None), ("mid", "base"), ("leaf", "mid")], "profile string, parent string")
+    entries = spark.createDataFrame([("base", "function", "MD5", "LOW", "DIRECT"), ("base", "proc", "sort", "LOW", "DIRECT"), ("leaf", "function", "md5", "HIGH", None), ("mid", "function", None, "LOW", None)], "profile string, kind string, name string, tier string, parity string")
+    groups = spark.createDataFrame([("mid", 1, "function", ["md5", "sha256"], "MEDIUM", "HARD"), ("base", 1, "function", ["md5", "hmac"], "MEDIUM", "PARTIAL"), ("base", 2, "function", ["hmac"], "HIGH", "MANUAL"), ("leaf", 1, "x", None, "LOW", None)], "profile string, group_no int, kind string, names array<string>, tier string, parity string")
+    got = scoring.catalogue(profiles, entries, groups, ["tier", "parity"])
+    want = {
+        "base": {("hmac", "HIGH", "MANUAL", "base"), ("md5", "LOW", "DIRECT", "base"), ("sort", "LOW", "DIRECT", "base")},
+        "mid": {("hmac", "HIGH", "MANUAL", "base"), ("md5", "MEDIUM", "HARD", "mid"), ("sha256", "MEDIUM", "HARD", "mid"), ("sort", "LOW", "DIRECT", "base")},
+        "leaf": {("hmac", "HIGH", "MANUAL", "base"), ("md5", "HIGH", None, "leaf"), ("sha256", "MEDIUM", "HARD", "mid"), ("sort", "LOW", "DIRECT", "base")},
+    }
+    rows_ = got.collect()
+    assert {p: {(r.name, r.tier, r.parity, r.stated_by) for r in rows_ if r.profile == p} for p in want} == want
+    uses = spark.createDataFrame([("mid", "function", "SHA256", 3), ("mid", "function", "zip", 1), ("base", "function", "sha256", 2)], "profile string, kind string, name string, n int")
+    assert {(r.profile, r.name, r.n, r.tier, r.listed) for r in scoring.allowed(uses, got, ["tier"]).collect()} == {("mid", "SHA256", 3, "MEDIUM", True), ("mid", "zip", 1, None, False), ("base", "sha256", 2, None, False)}
+    stated = spark.createDataFrame([("base", "f", "LOW", 1), ("mid", "f", None, 2), ("leaf", "f", "HIGH", None), ("leaf", "g", None, None)], "profile string, name string, tier string, weight int")
+    assert {tuple(r) for r in scoring.flags(profiles, stated, ["tier", "weight"]).collect()} == {("base", "f", "LOW", 1), ("mid", "f", "LOW", 2), ("leaf", "f", "HIGH", 2), ("leaf", "g", None, None)}
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "profile int, parent int")
+    assert scoring.lineage(chain).count() == 40 * 41 // 2
+    for bad, what in (([("a", "b"), ("b", "a")], "itself"), ([("a", "a")], "itself"), ([("a", None), ("a", "b"), ("b", None)], "two parents"), ([("a", "z")], "no profile")):
+        with pytest.raises(ValueError, match=what):
+            scoring.lineage(spark.createDataFrame(bad, "profile string, parent string"))
