@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.catalog.base import query
+from quarry.catalog.base import ORACLES, query
 from quarry.catalog.corpus import _EXPECTED, _chunk_rows, _programs
 from quarry.functions import char, dates, hooks
 from quarry.operators import batching, evaluation, memory, step, text
@@ -154,3 +154,11 @@ def hook_statements(t):
     hooks.register(t.spark)
     _programs(t).createOrReplaceTempView("quarry_programs")
     return t.spark.sql("select source_id, s.unit_no, s.statement from quarry_programs, lateral statements(text) s where s.unit_no = 2")
+
+
+@query(ORACLES["chunk_program"])
+def hook_chunks(t):
+    """The chunks of chunk_program through the table function, with a state for each source."""
+    hooks.register(t.spark)
+    text.described_units(text.units(_programs(t))).createOrReplaceTempView("quarry_units")
+    return t.spark.sql("select * from chunk_units(TABLE(quarry_units) PARTITION BY source_id ORDER BY unit_no)")

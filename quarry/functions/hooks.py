@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from quarry.operators.text import scan_statements
+from quarry.operators.text import CHUNK, Grouping, scan_statements
 
 
 def token_counter(count: Callable[[pd.Series], pd.Series]) -> Callable[[Column], Column]:
@@ -64,6 +66,34 @@ class _Statements:
                 yield i, unit[2].strip()
 
 
+class _Chunks:
+    """A table function with one state for each partition: units of a source come in order, its chunks go out as they end."""
+
+    @staticmethod
+    def analyze(units: AnalyzeArgument) -> AnalyzeResult:
+        if not units.isTable:
+            raise ValueError("chunk_units takes a table: chunk_units(TABLE(units) PARTITION BY source_id ORDER BY unit_no)")
+        given = {f.name: f for f in units.dataType.fields}
+        missing = {"source_id", "unit_no", "start_char", "end_char", "text", "is_comment", "kind", "normal"} - set(given)
+        if missing:
+            raise ValueError(f"chunk_units: the table has no column {', '.join(sorted(missing))}")
+        types = [IntegerType(), StringType(), *[IntegerType()] * 4, StringType()]
+        return AnalyzeResult(StructType([given["source_id"], *[StructField(n, t) for n, t in zip(CHUNK, types, strict=True)]]))
+
+    def __init__(self):
+        self.source, self.group = None, Grouping()
+
+    def eval(self, units) -> Iterator[tuple]:
+        self.source = units.source_id
+        for row in self.group.add(units):
+            yield self.source, *row
+
+    def terminate(self) -> Iterator[tuple]:
+        for row in self.group.flush():
+            yield self.source, *row
+
+
 def register(spark: SparkSession) -> None:
-    """SQL: select * from statements(text)."""
+    """SQL: select * from statements(text); select * from chunk_units(TABLE(units) PARTITION BY source_id ORDER BY unit_no), units as text.described_units gives them."""
     spark.udtf.register("statements", F.udtf(_Statements, returnType="unit_no int, statement string"))
+    spark.udtf.register("chunk_units", F.udtf(_Chunks))

@@ -91,62 +91,75 @@ def kind(text: Column) -> Column:
     return F.when(head == "", None).when(head.startswith("%"), F.coalesce(_looked_up(word, MACRO_WORDS), F.lit("MACRO_CALL"))).otherwise(plain)
 
 
-def chunks(found: DataFrame) -> DataFrame:
-    """Units grouped into steps: an opener starts a chunk, RUN, QUIT or %MEND ends it, a new opener ends it too.
+#: The columns of a chunk after its source.
+CHUNK = ["chunk_no", "kind", "first_unit", "last_unit", "start_char", "end_char", "text"]
+
+
+class Grouping:
+    """The units of one source, in order, grouped into steps: an opener starts a chunk, RUN, QUIT or %MEND ends it, a new opener ends it too.
 
-    Steps inside a macro belong to it. source_id, chunk_no, kind, first_unit, last_unit, start_char, end_char, text.
+    Steps inside a macro belong to it. add() and flush() return the chunks (in the order of CHUNK) that are ended.
     """
-    openers, enders = {"DATA_STEP", "PROC_STEP", "MACRO_DEFINITION"}, re.compile(r"^(run|quit)\b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, no, held, what, depth = None, 0, [], None, 0
+    OPENERS, ENDERS = {"DATA_STEP", "PROC_STEP", "MACRO_DEFINITION"}, re.compile(r"^(run|quit)\b")
+
+    def __init__(self):
+        self.no, self.held, self.what, self.depth = 0, [], None, 0
+
+    def flush(self) -> list[tuple]:
+        if not self.held:
+            return []
+        self.no += 1
+        first, last = self.held[0], self.held[-1]
+        row = (self.no, self.what or "UNKNOWN_STATEMENT_GROUP", int(first.unit_no), int(last.unit_no), int(first.start_char), int(last.end_char), "".join(u.text for u in self.held))
+        self.held, self.what, self.depth = [], None, 0
+        return [row]
+
+    def add(self, u) -> list[tuple]:
+        k, n = u.kind, u.normal
+        if self.what == "MACRO_DEFINITION":
+            self.held.append(u)
+            self.depth += (k == "MACRO_DEFINITION") - bool(re.match(r"%\s*mend\b", n))
+            return self.flush() if self.depth == 0 else []
+        if k in self.OPENERS:
+            done = self.flush()
+            self.held, self.what, self.depth = [u], k, 1
+            return done
+        if self.what in self.OPENERS:
+            self.held.append(u)
+            return self.flush() if self.ENDERS.match(n) else []
+        if k is None and not u.is_comment:
+            done = self.flush() if self.what is not None else []
+            self.held.append(u)
+            return done
+        done = self.flush()
+        self.held, self.what = [u], "COMMENT_BLOCK" if u.is_comment else k
+        return done + self.flush()
+
+
+def described_units(found: DataFrame) -> DataFrame:
+    """Units with their kind and normal form, as Grouping reads them."""
+    return found.withColumn("kind", F.when(~F.col("is_comment"), kind(F.col("text")))).withColumn("normal", normalised(F.col("text")))
+
 
-        def flush() -> list[tuple]:
-            nonlocal no, held, what, depth
-            if not held:
-                return []
-            no += 1
-            row = (source, no, what or "UNKNOWN_STATEMENT_GROUP", int(held[0].unit_no), int(held[-1].unit_no), int(held[0].start_char), int(held[-1].end_char), "".join(u.text for u in held))
-            held, what, depth = [], None, 0
-            return [row]
+def chunks(found: DataFrame) -> DataFrame:
+    """Units grouped into steps (see Grouping): source_id, chunk_no, kind, first_unit, last_unit, start_char, end_char, text."""
+    columns = ["source_id", *CHUNK]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, group = None, Grouping()
         for pdf in batches:
             rows = []
             for u in pdf.itertuples(index=False):
                 if u.source_id != source:
-                    rows += flush()
-                    source, no = u.source_id, 0
-                k, n = u.kind, u.normal
-                if what == "MACRO_DEFINITION":
-                    held.append(u)
-                    depth += (k == "MACRO_DEFINITION") - bool(re.match(r"%\s*mend\b", n))
-                    if depth == 0:
-                        rows += flush()
-                elif what in openers:
-                    if k in openers:
-                        rows += flush()
-                        held, what, depth = [u], k, 1
-                    else:
-                        held.append(u)
-                        if enders.match(n):
-                            rows += flush()
-                elif k in openers:
-                    rows += flush()
-                    held, what, depth = [u], k, 1
-                elif k is None and not u.is_comment:
-                    if what is not None:
-                        rows += flush()
-                    held.append(u)
-                else:
-                    rows += flush()
-                    held, what = [u], "COMMENT_BLOCK" if u.is_comment else k
-                    rows += flush()
-            yield pd.DataFrame(rows, columns=["source_id", "chunk_no", "kind", "first_unit", "last_unit", "start_char", "end_char", "text"])
-        yield pd.DataFrame(flush(), columns=["source_id", "chunk_no", "kind", "first_unit", "last_unit", "start_char", "end_char", "text"])
+                    rows += [(source, *x) for x in group.flush()]
+                    source, group = u.source_id, Grouping()
+                rows += [(source, *x) for x in group.add(u)]
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame([(source, *x) for x in group.flush()], columns=columns)
 
-    rows = found.withColumn("kind", F.when(~F.col("is_comment"), kind(F.col("text")))).withColumn("normal", normalised(F.col("text")))
     schema = "source_id string, chunk_no int, kind string, first_unit int, last_unit int, start_char int, end_char int, text string"
-    return rows.repartition("source_id").sortWithinPartitions("source_id", "unit_no").mapInPandas(run, schema)
+    return described_units(found).repartition("source_id").sortWithinPartitions("source_id", "unit_no").mapInPandas(run, schema)
 
 
 def sanitised(text: str) -> str:

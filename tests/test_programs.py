@@ -248,3 +248,21 @@ def test_catalogues_inherit_over_levels(spark):
     for bad, what in (([("a", "b"), ("b", "a")], "itself"), ([("a", "a")], "itself"), ([("a", None), ("a", "b"), ("b", None)], "two parents"), ([("a", "z")], "no profile")):
         with pytest.raises(ValueError, match=what):
             scoring.lineage(spark.createDataFrame(bad, "profile string, parent string"))
+
+
+def test_chunks_as_a_table_function(spark):
+    """A state for each source: SQL gives the rows of text.chunks; tables without the columns, and scalars, are refused."""
+    from quarry.functions import hooks
+
+    bodies = ["data a; set b; run; %let x = 1; proc sort data=a; by k; data c; set a;", "%macro m; data q; %macro n; run; %mend; %mend; foo; bar; /* c */ %m", "", "run; quit;", "proc sql; select 1; quit; title 'x';", None]
+    units = text.units(spark.createDataFrame([(f"s{i}", b) for i, b in enumerate(bodies)], "source_id string, text string"))
+    hooks.register(spark)
+    text.described_units(units).createOrReplaceTempView("some_units")
+    got = spark.sql("select * from chunk_units(TABLE(some_units) PARTITION BY source_id ORDER BY unit_no)")
+    want = text.chunks(units)
+    assert got.columns == want.columns
+    plain = lambda d: sorted(tuple(r) for r in d.collect())
+    assert plain(got) == plain(want) and got.count() > 8
+    for bad in ("TABLE(select 1 as source_id)", "'data a;'"):
+        with pytest.raises(Exception, match="chunk_units"):
+            spark.sql(f"select * from chunk_units({bad})").collect()
