@@ -200,3 +200,21 @@ def references(uses: DataFrame, makes: DataFrame, files: int, exempt: Sequence[s
     m = uses.select("source", "name").distinct().join(makers, "name", "left").groupBy("source", "name").agg(F.max((F.col("maker") == F.col("source")).cast("int")).alias("own"), F.count("maker").alias("n"))
     rest = F.when(F.col("name").isin(list(exempt)) | F.lit(files < 2), "external").otherwise("unresolved")
     return m.select("source", "name", F.when(F.col("own") == 1, "own").when(F.col("n") > 0, "import").otherwise(rest).alias("status"))
+
+
+def profiles(uses: DataFrame, makes: DataFrame, files: int, exempt: Sequence[str] = ()) -> DataFrame:
+    """source, depends_on, depended_on_by, imports, exports, unresolved (sorted arrays) of every source that uses or makes a name.
+
+    A source that makes a name itself doesn't import it; each user of a name depends on all its makers.
+    """
+    met = references(uses, makes, files, exempt)
+    makers = makes.select(F.col("source").alias("maker"), "name").distinct()
+    links = met.where("status = 'import'").join(makers, "name")
+    of = lambda c: F.sort_array(F.collect_set(c))
+    down = links.groupBy("source").agg(of("maker").alias("depends_on"), of("name").alias("imports"))
+    up = links.groupBy(F.col("maker").alias("source")).agg(of("source").alias("depended_on_by"), of("name").alias("exports"))
+    lost = met.where("status = 'unresolved'").groupBy("source").agg(of("name").alias("unresolved"))
+    every = uses.select("source").union(makes.select("source")).distinct().join(down, "source", "left").join(up, "source", "left").join(lost, "source", "left")
+    nothing = F.array()
+    arrays = ["depends_on", "depended_on_by", "imports", "exports", "unresolved"]
+    return every.select("source", *[F.coalesce(c, nothing.cast(every.schema[c].dataType)).alias(c) for c in arrays])

@@ -104,6 +104,19 @@ def select_history(df: DataFrame, by: str, seq: str, score: str, keep_tail: int,
     return x.withColumn("_best", best).where((F.col("_tail") <= keep_tail) | (F.col("_best") <= top)).drop("_tail", "_best")
 
 
+def select_turns(df: DataFrame, by: str, seq: str, score: str, top_k: int, keep_last: int) -> DataFrame:
+    """At most top_k rows of each group: the last keep_last always, and the best scored of the rest; where none of the rest has a score, its newest.
+
+    Groups of top_k rows or fewer stay whole; a null score is none; ties go to the newer row.
+    """
+    newest = Window.partitionBy(by).orderBy(F.col(seq).desc())
+    x = df.withColumn("_tail", F.row_number().over(newest) <= min(keep_last, top_k)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+    part = Window.partitionBy(by, "_tail")
+    x = x.withColumn("_any", F.count(score).over(part) > 0).withColumn("_best", F.row_number().over(part.orderBy(F.col(score).desc_nulls_last(), F.col(seq).desc())))
+    fits = (F.col("_best") <= max(top_k - keep_last, 0)) & (F.col(score).isNotNull() | ~F.col("_any"))
+    return x.where((F.col("_n") <= top_k) | F.col("_tail") | fits).select(*df.columns)
+
+
 def pack_best_first(df: DataFrame, by: str, order: Column, size: str, budget: int) -> DataFrame:
     """Takes rows in order while they fit; one that doesn't is skipped, later ones may still fit. A fold: its state depends on every choice."""
     rows = df.withColumn("_o", F.row_number().over(Window.partitionBy(by).orderBy(order)))

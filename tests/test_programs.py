@@ -266,3 +266,16 @@ def test_chunks_as_a_table_function(spark):
     for bad in ("TABLE(select 1 as source_id)", "'data a;'"):
         with pytest.raises(Exception, match="chunk_units"):
             spark.sql(f"select * from chunk_units({bad})").collect()
+
+
+def test_turns_and_profiles(spark):
+    from quarry.operators import graph, retrieval
+
+    x = spark.createDataFrame([("a", i, s) for i, s in enumerate([5.0, None, 1.0, 9.0, None, None], 1)] + [("b", i, None) for i in range(1, 7)] + [("c", 1, None), ("c", 2, 1.0)] + [(None, i, float(i == 1)) for i in range(1, 5)], "g string, seq int, score double")
+    kept = lambda *n: {g: [r.seq for r in sorted(retrieval.select_turns(x, "g", "seq", "score", *n).collect(), key=lambda r: r.seq) if r.g == g] for g in ("a", "b", "c", None)}
+    assert kept(3, 1) == {"a": [1, 4, 6], "b": [4, 5, 6], "c": [1, 2], None: [1, 3, 4]}
+    assert kept(5, 1)["a"] == [1, 3, 4, 6] and kept(2, 5)["a"] == [5, 6] and kept(6, 1)["a"] == [1, 2, 3, 4, 5, 6]
+    uses = spark.createDataFrame([("p", "x"), ("p", "y"), ("q", "x"), ("q", "z"), ("p", "x"), ("s", "std")], "source string, name string")
+    makes = spark.createDataFrame([("q", "x"), ("r", "x"), ("p", "w")], "source string, name string")
+    got = {r.source: tuple(r)[1:] for r in graph.profiles(uses, makes, 3, ["std"]).collect()}
+    assert got == {"p": (["q", "r"], [], ["x"], [], ["y"]), "q": ([], ["p"], [], ["x"], ["z"]), "r": ([], ["p"], [], ["x"], []), "s": ([], [], [], [], [])}
