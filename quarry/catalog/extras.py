@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.catalog.base import query
 from quarry.operators import evaluation, graph, memory, merge, procs, retrieval, scoring, step, text
 from quarry.plans import scripting
-from quarry.sources import datasets, files
+from quarry.sources import datasets, files, infile
 
 _R = lambda c, n=6: F.round(c, n)
 
@@ -150,6 +150,41 @@ def infile_fixed(t):
     return files.read_fixed(t.spark, path, {"n_nationkey": (1, 4, "int"), "n_name": (5, 25, "string")})
 
 
+@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate from orders")
+def infile_list_flow(t):
+    """Orders over one to three lines, with lines without values and values too many, read under FLOWOVER."""
+    path = files.scratch(t.spark)
+    names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    gaps = F.get(F.array(*[F.array(*map(F.lit, g)) for g in ([" "] * 4, [" ", "\n", " ", " "], ["\n", " ", "\n\n", "   "], [" ", " ", " ", "\n"])]), F.pmod("o_custkey", F.lit(4)).cast("int"))
+    cells = [F.concat(F.col(name).cast("string"), F.coalesce(F.get(gaps, F.lit(i)), F.lit(""))) for i, name in enumerate(names)]
+    t.orders.select(F.concat(*cells, F.when(F.pmod("o_orderkey", F.lit(3)) == 0, " too many").otherwise("")).alias("value")).write.text(path)
+    return infile.read_list(t.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.orders.select(*names).schema))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineitem")
+def infile_list_held(t):
+    """Line items one after another, three values a line, read with @@."""
+    path = files.scratch(t.spark)
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    cells = t.lineitem.groupBy("l_orderkey").agg(F.flatten(F.collect_list(F.array(*[F.col(name).cast("string") for name in names]))).alias("v"))
+    ends = F.transform("v", lambda v, i: F.concat(v, F.when(i % 3 == 2, "\n").otherwise(" ")))
+    cells.select(F.array_join(ends, "").alias("value")).write.text(path)
+    return infile.read_list(t.spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in t.lineitem.select(*names).schema), hold=True)
+
+
+@query("""select c_custkey, c_name || ', "' || c_mktsegment || '"' as label, case when c_acctbal >= 0 then c_acctbal end as balance,
+    case when c_custkey % 2 = 0 then c_nationkey end as nation from customer""")
+def infile_list_dsd(t):
+    """Quoted delimiters and quotes, empty values, and lines that end early, read with DSD under TRUNCOVER."""
+    path = files.scratch(t.spark)
+    label = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"""'))
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal").cast("string")).otherwise("")
+    nation = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(","), F.col("c_nationkey").cast("string"))).otherwise("")
+    t.customer.select(F.concat(F.col("c_custkey").cast("string"), F.lit(","), label, F.lit(","), balance, nation).alias("value")).write.text(path)
+    kinds = {f.name: f.dataType.simpleString() for f in t.customer.schema}
+    return infile.read_list(t.spark, path, f"c_custkey {kinds['c_custkey']}, label string, balance {kinds['c_acctbal']}, nation {kinds['c_nationkey']}", ",", dsd=True, short="TRUNCOVER")
+
+
 @query("select 55 as total")
 def procedural_loop(t):
     return scripting.run(t.spark, "BEGIN DECLARE i INT = 0; DECLARE s INT = 0; WHILE i < 10 DO SET i = i + 1; SET s = s + i; END WHILE; SELECT s AS total; END")

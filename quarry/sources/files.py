@@ -47,7 +47,7 @@ def read_fixed(spark: SparkSession, path: str, columns: dict[str, tuple[int, int
 
 
 def line_hold(*_):
-    raise NonConvertible("@@ holds a line across rows")
+    raise NonConvertible("@@ with column input holds a line across rows; list input has it (infile.read_list)")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
