@@ -250,6 +250,22 @@ def retain_running_sum(t):
     return step.running_sum(x, "value", "event_id", ["user_id"]).select("event_id", "user_id", _R("running").alias("running"))
 
 
+@query("""with e as (select event_id, event_type, cast(round(value * 100) as bigint) as cents, case when event_id % 3 = 0 then user_id end as u from events)
+    select event_id, sum(cents) over w as running, last_value(u ignore nulls) over w as held from e window w as (order by event_id rows unbounded preceding)""")
+def retain_chain(t):
+    """RETAIN without BY: one chain over the whole table, by ranges."""
+    x = t.events.select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("u"))
+    return step.carry_forward(step.running_sum(x, "cents", "event_id"), "u", "event_id", name="held").select("event_id", "running", "held")
+
+
+@query("""with o as (select o_orderkey, o_custkey, o_orderstatus, lag(o_custkey, 5) over w as lag_o_custkey, lag(o_orderstatus) over w as p from orders window w as (order by o_orderkey))
+    select o_orderkey, o_orderstatus, lag_o_custkey, o_custkey - lag_o_custkey as dif_o_custkey from o where p is distinct from o_orderstatus""")
+def lag_chain(t):
+    """LAG5 and NODUPRECS without BY: rows before, over the ends of ranges."""
+    x = step.lag_dif(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", "o_orderkey", n=5).drop("o_custkey")
+    return step.nodup_adjacent(x, ["o_orderstatus"], "o_orderkey")
+
+
 @query("select event_id, user_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as held from events")
 def retain_carry_forward(t):
     x = t.events.withColumn("v", F.expr("case when event_type = 'purchase' then value end"))

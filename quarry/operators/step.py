@@ -66,28 +66,61 @@ def obs(df: DataFrame, order, first: int = 1, last: int | None = None) -> DataFr
     return out.limit(last - first + 1) if last is not None else out
 
 
-def position(df: DataFrame, order, name: str = "_n_", total: str | None = None) -> DataFrame:
-    """The place of each row in a total order of the whole table, without bringing the table into one task.
+def _ranges(df: DataFrame, order, what: str) -> DataFrame:
+    """df in a total order by ranges, so that no task holds the whole table: adds _part, _row (from 0, in the range) and of each range _before, the rows before
+    it, and _count.
 
     Rows are range-partitioned and sorted; each partition numbers its own, and the counts of partitions (one row each) give where it
-    starts. The sorted rows are written to a shared folder in between, so that both passes see the same partitions.
+    starts. The sorted rows are written to a shared folder in between, so that all passes see the same partitions.
     """
     from quarry.sources.files import scratch
 
     spark = df.sparkSession
     path = scratch(spark)
-    keyed = df.orderBy(*_order(need_order(order, "a position")))
+    keyed = df.orderBy(*_order(need_order(order, what)))
     keyed.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(path)
     held = spark.read.parquet(path)
     parts = held.groupBy("_part").agg(F.count("*").alias("_count"))  # a row for each partition
-    before = F.coalesce(F.sum("_count").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = parts.select("_part", before.alias("_before"), F.sum("_count").over(Window.partitionBy()).alias("_total"))
-    out = held.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1)
+    before = F.coalesce(F.sum("_count").over(_earlier()), F.lit(0))
+    return held.join(F.broadcast(parts.select("_part", "_count", before.alias("_before"))), "_part")
+
+
+def _earlier():
+    """Of a table with a row for each range: the ranges before one."""
+    return Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def position(df: DataFrame, order, name: str = "_n_", total: str | None = None) -> DataFrame:
+    """The place of each row in a total order of the whole table, without bringing the table into one task."""
+    held = _ranges(df, order, "a position")
+    out = held.withColumn(name, F.col("_before") + F.col("_row") + 1)
     if total:
-        out = out.withColumn(total, F.col("_total"))
+        out = out.crossJoin(F.broadcast(held.agg(F.count("*").alias(total))))  # one row
     return out.select(*df.columns, name, *([total] if total else []))
 
 
+def _carried(df: DataFrame, order, within: Column, own: Column, over_ranges, join, name: str) -> DataFrame:
+    """A running value over the whole table: within a range by a window, and what the ranges before it hand on.
+
+    within: the value in its range, over a window that is open at its start; own: what a range hands on, an aggregate; over_ranges: the same of all
+    ranges before one; join: (handed on, within) to the running value.
+    """
+    held = _ranges(df, order, "RETAIN")
+    w = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    handed = held.groupBy("_part").agg(own.alias("_own")).select("_part", over_ranges(F.col("_own")).over(_earlier()).alias("_handed"))  # a row for each range
+    return held.withColumn("_within", within.over(w)).join(F.broadcast(handed), "_part").withColumn(name, join(F.col("_handed"), F.col("_within"))).select(*dict.fromkeys([*df.columns, name]))
+
+
+def _previous(df: DataFrame, value: Column, order, by: Sequence[str], n: int, name: str, what: str) -> DataFrame:
+    """Adds the value n rows before; without by a range's first n rows get theirs from the last n of the ranges before it."""
+    if by:
+        return df.withColumn(name, F.lag(value, n).over(_window(by, need_order(order, what))))
+    rows = _ranges(df, order, what).withColumns({"_value": value, "_place": F.col("_before") + F.col("_row")})
+    given = rows.where(F.col("_count") - F.col("_row") <= n).select((F.col("_place") + n).alias("_place"), F.struct("_value").alias("_given"))  # n rows for each range
+    rows = rows.withColumn("_near", F.lag("_value", n).over(Window.partitionBy("_part").orderBy("_row"))).join(given, "_place", "left")
+    return rows.withColumn(name, F.when(F.col("_row") < n, F.col("_given._value")).otherwise(F.col("_near"))).select(*dict.fromkeys([*df.columns, name]))
+
+
 def row_counter(df: DataFrame, order, by: Sequence[str] = (), name: str = "_n_", end: str | None = None) -> DataFrame:
     """_N_ and END=."""
     if not by:
@@ -110,23 +143,27 @@ def first_last(df: DataFrame, by: str | Sequence[str], order) -> DataFrame:
 
 def running_sum(df: DataFrame, value: str, order, by: Sequence[str] = (), name: str = "running") -> DataFrame:
     """The sum statement: missing values leave the total as it is."""
-    w = _window(by, need_order(order, "RETAIN")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(F.coalesce(F.col(value), F.lit(0))).over(w))
+    known = F.coalesce(F.col(value), F.lit(0))
+    if not by:
+        return _carried(df, order, F.sum(known), F.sum(known), F.sum, lambda handed, within: F.coalesce(handed, F.lit(0)) + within, name)
+    return df.withColumn(name, F.sum(known).over(_window(by, need_order(order, "RETAIN")).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def carry_forward(df: DataFrame, value: str, order, by: Sequence[str] = (), name: str | None = None) -> DataFrame:
-    w = _window(by, need_order(order, "RETAIN")).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name or value, F.last(value, ignorenulls=True).over(w))
+    name = name or value
+    if not by:
+        newest = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_row")))
+        return _carried(df, order, F.last(value, ignorenulls=True), newest, lambda c: F.last(c, ignorenulls=True), lambda handed, within: F.coalesce(within, handed), name)
+    return df.withColumn(name, F.last(value, ignorenulls=True).over(_window(by, need_order(order, "RETAIN")).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def lag_dif(df: DataFrame, value: str, order, by: Sequence[str] = (), n: int = 1) -> DataFrame:
-    w = _window(by, need_order(order, "LAG"))
-    return df.withColumn(f"lag_{value}", F.lag(value, n).over(w)).withColumn(f"dif_{value}", F.col(value) - F.lag(value, n).over(w))
+    return _previous(df, F.col(value), order, by, n, f"lag_{value}", "LAG").withColumn(f"dif_{value}", F.col(value) - F.col(f"lag_{value}"))
 
 
 def lag_when(df: DataFrame, condition: Column, value: str, key: Sequence[str], order, by: Sequence[str] = (), name: str = "lagged") -> DataFrame:
     """LAG inside an IF: a queue that only rows on which it runs move on; missing elsewhere. key identifies a row."""
-    runs = df.where(condition).select(*key, F.lag(value).over(_window(by, need_order(order, "LAG"))).alias(name))
+    runs = _previous(df.where(condition), F.col(value), order, by, 1, name, "LAG").select(*key, name)
     return df.join(runs, list(key), "left")
 
 
@@ -143,10 +180,9 @@ def nodupkey(df: DataFrame, key, order, dupout: bool = False) -> DataFrame:
 
 def nodup_adjacent(df: DataFrame, columns: Sequence[str], order, by: Sequence[str] = ()) -> DataFrame:
     """Drops a row that equals the one before it in these columns."""
-    w = _window(by, need_order(order, "NODUPRECS"))
     whole = F.struct(*columns)
-    before = F.lag(whole).over(w)
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(whole)).drop("_before")
+    rows = _previous(df, whole, order, by, 1, "_previous", "NODUPRECS")
+    return rows.where(F.col("_previous").isNull() | ~F.col("_previous").eqNullSafe(whole)).drop("_previous")
 
 
 def top_k(df: DataFrame, score: str, recency: str, k: int) -> DataFrame:

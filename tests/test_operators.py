@@ -348,3 +348,26 @@ def test_more_refusals(spark):
         params.sysfunc(spark, "upper('x') --")
     with pytest.raises(ValueError):
         text.split_oversized(spark.range(1).selectExpr("id", "'x' as t"), ["id"], "t", 5, 5)
+
+
+@pytest.mark.parametrize("n_rows", [0, 1, 40])
+def test_chains_over_ranges(spark, n_rows):
+    """Without BY, ranges of a few rows hand on what one window over all rows would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        data = [(i, None if i % 7 < 5 else i * i, i // 4) for i in range(n_rows)]
+        x = spark.createDataFrame(data, "i int, v long, g int").repartition(3)
+        one = x.withColumn("all", F.lit(1))
+        for f in (
+            lambda d, by: step.running_sum(d, "v", "i", by),
+            lambda d, by: step.carry_forward(d, "v", "i", by),
+            lambda d, by: step.carry_forward(d, "v", "i", by, "held"),
+            lambda d, by: step.lag_dif(d, "v", "i", by, 13),
+            lambda d, by: step.lag_when(d, F.col("i") % 2 == 0, "v", ["i"], "i", by),
+            lambda d, by: step.nodup_adjacent(d, ["v", "g"], "i", by),
+        ):
+            got, want = f(x, ()), f(one, ["all"]).drop("all")
+            assert got.columns == want.columns
+            assert rows(got, "i") == rows(want, "i")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
