@@ -27,8 +27,10 @@ SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
 SUBSETS, RATES = 64, 8
 NO_ID = -(1 << 63)
-#: Bytes of text in a range of ids.
+#: Bytes of text in a range of ids; beyond RANGES of them ranges grow instead (a task sorts its range and spills), so that what the driver holds and
+#: what is broadcast are at most so many rows.
 RANGE_BYTES = 16 << 20
+RANGES = 20_000
 
 
 def let(value: Column, use) -> Column:
@@ -92,12 +94,13 @@ def as_text(found: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, bucket, donor and next_text, the text of the next document in descending doc_id (after the last: the first).
 
-    Documents are dealt by ranges of ids, as many as the table's bytes call for; the last of each range gets a copy of the next range's first
+    Documents are dealt by ranges of ids, as many as the table's bytes call for and RANGES at most; the last of each range gets a copy of the next range's first
     (a donor), so no window spans more than a range.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    count = max(8, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // RANGE_BYTES))
+    n_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    count = min(RANGES, max(8, -(-n_bytes // RANGE_BYTES)))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], max(20_000, 10 * count)).alias("b")).first().b or []
     dealt = _range_of(F.col("doc_id"), sorted(set(bounds)))
     rows = docs.withColumn("bucket", dealt)

@@ -369,6 +369,9 @@ def test_op4_many_ranges(spark, small, monkeypatch):
     whole = sorted(map(tuple, imatch.fingerprints(small).collect()))
     monkeypatch.setattr(imatch, "RANGE_BYTES", 20_000)
     assert sorted(map(tuple, imatch.fingerprints(small).collect())) == whole
+    monkeypatch.setattr(imatch, "RANGES", 3)  # ranges that may not become more grow
+    assert sorted(map(tuple, imatch.fingerprints(small).collect())) == whole
+    assert imatch.with_next(small).select("bucket").distinct().count() <= 3
 
 
 def test_op4_odd_tables(odd, none, spark):
