@@ -164,6 +164,36 @@ def test_op10(spark, small):
         assert g.media_bytes == len(media.wav_bytes(data)) and g.media_sha256 == hashlib.sha256(media.wav_bytes(data)).hexdigest()
 
 
+def test_op10_features_by_plain_transforms(spark, small):
+    """Peaks by Fourier sums written out in double precision, pairs by loops over frames and bands, for every whole text."""
+    k = np.arange(media.FRAME)
+    sums = np.exp(-2j * np.pi * np.outer(k, k[: media.FRAME // 2 + 1]) / media.FRAME)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * k / (media.FRAME - 1))
+    got = {r.doc_id: r.feature for r in queries.op10_media(spark, SF).collect()}
+    for r in small.collect():
+        raw = r.text.encode()
+        data = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        x = list(data) + [128] * (media.FRAME - len(data) if len(data) < media.FRAME else -(len(data) - media.FRAME) % media.HOP)
+        found = media.peaks(data).tolist()
+        assert len(found) == (len(x) - media.FRAME) // media.HOP + 1
+        for t, own in enumerate(found):
+            frame = np.array(x[t * media.HOP : t * media.HOP + media.FRAME], float)
+            power = abs((frame - frame.mean()) * hann @ sums) ** 2
+            floor = power.mean() + 1e-3
+            for band, best in enumerate(own):  # single precision may choose otherwise among values that hardly differ
+                top = power[media.BANDS[band] : media.BANDS[band + 1]].max()
+                assert best >= 0 or top <= floor * 1.001
+                assert best < 0 or (media.BANDS[band] <= best < media.BANDS[band + 1] and power[best] >= 0.999 * top and power[best] >= 0.999 * floor)
+        codes = []
+        for t, own in enumerate(found):
+            for lag in (0, 1):
+                for band, a in enumerate(own):
+                    b = found[t + lag][(band + 1) % len(own)] if t + lag < len(found) else -1
+                    if a >= 0 and b >= 0:
+                        codes.append(t << 32 | lag << 18 | a << 9 | b)
+        assert got[r.doc_id] == hashlib.sha256(" ".join(map(str, sorted(codes))).encode()).hexdigest()
+
+
 def test_peaks_find_a_tone():
     t = np.arange(8192)
     tone = (128 + 90 * np.sin(2 * np.pi * 64 * t / 512)).astype(np.uint8).tobytes()
