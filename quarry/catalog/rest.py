@@ -67,7 +67,7 @@ def interleave_set(t):
     return merge.interleave(*[t.orders.where(F.col("o_orderstatus") == s).select("o_orderkey", "o_orderstatus") for s in "FO"], by=["o_orderkey", "o_orderstatus"])
 
 
-@query("select doc_id, round(n_chars * 0.5 + coalesce(case when doc_id % 3 > 0 then doc_id % 3 end, 0) * 2.0, 6) as score from documents")
+@query("select doc_id, round(n_chars * 0.5 + coalesce(case when doc_id % 3 > 0 then doc_id % 3 end, 0) * 2.0, 6)::double as score from documents")
 def weighted_sum(t):
     x = t.documents.selectExpr("doc_id", "n_chars", "case when doc_id % 3 > 0 then doc_id % 3 end as r")
     return x.select("doc_id", F.round(scoring.weighted({"n_chars": 0.5, "r": 2.0}), 6).alias("score"))

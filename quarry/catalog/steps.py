@@ -251,7 +251,7 @@ def retain_running_sum(t):
 
 
 @query("""with e as (select event_id, event_type, cast(round(value * 100) as bigint) as cents, case when event_id % 3 = 0 then user_id end as u from events)
-    select event_id, sum(cents) over w as running, last_value(u ignore nulls) over w as held from e window w as (order by event_id rows unbounded preceding)""")
+    select event_id, (sum(cents) over w)::bigint as running, last_value(u ignore nulls) over w as held from e window w as (order by event_id rows unbounded preceding)""")
 def retain_chain(t):
     """RETAIN without BY: one chain over the whole table, by ranges."""
     x = t.events.select("event_id", F.round(F.col("value") * 100).cast("long").alias("cents"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("u"))

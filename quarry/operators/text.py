@@ -189,6 +189,10 @@ def statements(text: Column) -> Column:
 LEADING = {"array": "array", "modify": "modify", "update": "update", "infile": "infile", "file": "file_output", "link": "link", "goto": "goto"}
 
 
+#: Access methods of FILENAME; each is a construct, emailsys as email. Fixed values.
+ACCESS = ("email", "emailsys", "ftp", "pipe", "sftp", "socket", "url")
+
+
 def constructs(text: Column) -> Column:
     """The names of constructs in a text, sorted: found in the words of its clauses, so that neither comments nor strings count."""
     clauses = F.flatten(F.transform(statements(text), lambda s: F.split(s, r"\b(?:then|else)\b")))
@@ -203,8 +207,9 @@ def constructs(text: Column) -> Column:
         led = F.when(name(second) | (quoted & first.isin("infile", "file")), _looked_up(first, LEADING))
         do = F.when(first == "do", F.when((second == "while") & (third == "("), "do_while").when((second == "until") & (third == "("), "do_until").when(name(second) & (third == "="), "do_loop"))
         joined = F.when((first == "merge") & name(second), F.when(by, "merge").otherwise("merge_no_by"))
+        reached = F.when((first == "filename") & name(second) & third.isin(*ACCESS), F.concat(F.lit("filename_"), F.regexp_replace(third, "sys$", "")))
         edge = F.when(F.exists(w, lambda x: x.rlike(r"^(first|last)\.[a-z_]")), "first_last")
-        return F.array(F.coalesce(led, do, joined, F.when(first == "retain", "retain"), F.when((first == "go") & (second == "to") & name(third), "goto")), edge)
+        return F.array(F.coalesce(led, do, joined, reached, F.when(first == "retain", "retain"), F.when((first == "go") & (second == "to") & name(third), "goto")), edge)
 
     found = F.flatten(F.transform(words_, of))
     return F.sort_array(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))

@@ -14,7 +14,7 @@ from quarry.errors import NonConvertible
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that executors share: in spark.checkpoint.dir, or a temporary one where that is unset (tests, one machine)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")

@@ -350,6 +350,18 @@ def test_more_refusals(spark):
         text.split_oversized(spark.range(1).selectExpr("id", "'x' as t"), ["id"], "t", 5, 5)
 
 
+def test_access_methods_are_constructs(spark):
+    cases = [
+        ("filename f pipe 'ls'; filename g url 'x';", ["filename_pipe", "filename_url"]),
+        ("FILENAME m EmailSys 'a@b.c';", ["filename_email"]),
+        ("filename a sftp 'x'; filename b ftp 'y'; filename c socket 'z'; filename d email 'w';", ["filename_email", "filename_ftp", "filename_sftp", "filename_socket"]),
+        ("filename plain '/tmp/pipe'; /* filename f pipe 'x'; */ x = 'filename f url 1;';", []),
+        ("filename pipes pipeline 'x'; filename &f pipe 'y';", ["filename_pipe"]),
+    ]
+    got = spark.createDataFrame(list(enumerate(t for t, _ in cases)), "i int, t string").select("i", text.constructs(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [list(r.c) for r in got] == [want for _, want in cases]
+
+
 @pytest.mark.parametrize("n_rows", [0, 1, 40])
 def test_chains_over_ranges(spark, n_rows):
     """Without BY, ranges of a few rows hand on what one window over all rows would."""
