@@ -14,7 +14,7 @@ not go on in the next file; values after a record's last are dropped with their
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -55,24 +55,52 @@ def _in_order(lines: DataFrame) -> DataFrame:
     return lines.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "at")
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[dict]]]:
-    rows = (row for batch in batches for row in batch.to_pylist())
-    return groupby(rows, lambda r: (r["file"], r["start"]))
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[pa.RecordBatch]]]:
+    """Each block's file and start with the stretches of its lines."""
+
+    def stretches() -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+        for batch in batches:
+            file, start = batch.column("file").dictionary_encode(), batch.column("start").to_numpy()
+            codes = file.indices.to_numpy()
+            cut = (np.flatnonzero((codes[1:] != codes[:-1]) | (start[1:] != start[:-1])) + 1).tolist()
+            for i, j in zip([0, *cut], [*cut, len(start)], strict=True):
+                if j > i:
+                    yield (file.dictionary[codes[i]].as_py(), int(start[i])), batch.slice(i, j - i)
+
+    for block, group in groupby(stretches(), lambda x: x[0]):
+        yield block, (stretch for _, stretch in group)
+
+
+def _moved(after: np.ndarray, counts: np.ndarray, fields: int, hold: bool) -> np.ndarray:
+    """Values read of a record after lines with so many values, for each number before them."""
+    if hold:
+        return (after + counts.sum()) % fields
+    whole = np.flatnonzero(counts >= fields)  # ends a record whatever came before
+    if len(whole):
+        after, counts = np.zeros_like(after), counts[whole[-1] + 1 :]
+    rest = iter(counts[counts > 0].tolist())
+    while (after != after[0]).any() and (n := next(rest, None)) is not None:
+        after = np.where(after + n >= fields, 0, after + n)
+    one = int(after[0])
+    for n in rest:  # from here on it's the same from all
+        one = 0 if one + n >= fields else one + n
+    return after if (after != after[0]).any() else np.full_like(after, one)
 
 
 def _summaries(fields: int, hold: bool):
     """Each block's table of values read before to values read after, and the values its first lines would give to an open record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file, start), rows in _by_block(batches):
+        for (file, start), stretches in _by_block(batches):
             after, heads, given = np.arange(fields), [], 0
-            for row in rows:
-                n = row["n"]
-                if n and given < fields:
-                    heads.append(row["found"])
-                    given += n
-                after = after + n
-                after = after % fields if hold else np.where(after >= fields, 0, after)
+            for lines in stretches:
+                counts = lines.column("n").to_numpy()
+                for i in np.flatnonzero(counts).tolist():
+                    if given >= fields:
+                        break
+                    heads.append(lines.column("found")[i].as_py())
+                    given += int(counts[i])
+                after = _moved(after, counts, fields, hold)
             yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "after": after.tolist(), "heads": heads}], pa.schema([("file", pa.string()), ("start", pa.int64()), ("after", pa.list_(pa.int32())), ("heads", pa.list_(pa.list_(pa.string())))]))
 
     return run
@@ -104,12 +132,10 @@ def _records(fields: int, hold: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[str]] = []
-        for _, rows in _by_block(batches):
-            held, owed, rest = [], 0, None
-            for i, row in enumerate(rows):
-                if i == 0:
-                    owed, rest = (fields - row["before"]) % fields, row["rest"]
-                found = row["found"]
+        for _, stretches in _by_block(batches):
+            first = next(stretches)
+            held, owed, rest = [], (fields - first.column("before")[0].as_py()) % fields, first.column("rest")[0].as_py()
+            for found in (line for lines in chain([first], stretches) for line in lines.column("found").to_pylist()):
                 if owed:  # these belong to a record that began in an earlier block
                     taken = min(owed, len(found))
                     owed -= taken
