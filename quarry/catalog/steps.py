@@ -169,13 +169,13 @@ def cross_join_explicit(t):
     return t.region.select("r_name").crossJoin(t.nation.select("n_name"))  # both tables are of fixed size
 
 
-_FIRST = "select * from (select l_partkey as p_partkey, l_orderkey, l_quantity, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as rn from lineitem) where rn = 1"
+_FIRST = "select * from (select l_partkey as p_partkey, l_orderkey, l_quantity, row_number() over (partition by l_partkey order by l_orderkey nulls first, l_linenumber nulls first, l_quantity nulls first) as rn from lineitem) where rn = 1"
 
 
 @query(f"select p.p_partkey, p_brand, l_orderkey, l_quantity from part p left join ({_FIRST}) f on p.p_partkey = f.p_partkey")
 def hash_find_first_match(t):
     table = t.lineitem.selectExpr("l_partkey as p_partkey", "l_orderkey", "l_linenumber", "l_quantity")
-    return merge.find_first(t.part.select("p_partkey", "p_brand"), table, "p_partkey", ["l_orderkey", "l_linenumber"]).drop("l_linenumber")
+    return merge.find_first(t.part.select("p_partkey", "p_brand"), table, "p_partkey", ["l_orderkey", "l_linenumber", "l_quantity"]).drop("l_linenumber")
 
 
 @query("select p_partkey, p_brand, l_orderkey, l_linenumber from part left join lineitem on l_partkey = p_partkey")
