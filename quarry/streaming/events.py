@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.memory import SCHEMA, upsert
+from quarry.sources.files import scratch
 from quarry.streaming.buckets import Buckets
 
 
@@ -34,11 +33,21 @@ def first_within(events: DataFrame, keys: list[str], late: str = "1 day") -> Dat
 
 
 def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is there now, as a table: the stream runs until it has read everything, then the result is returned."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that is there now, as a table: the stream runs until it has read everything, then the result is returned.
+
+    Each batch writes its rows to the folder that executors share, so none passes the driver; of a complete result only the last batch's stay.
+    """
+    spark, place = df.sparkSession, scratch(df.sparkSession)
+    folders: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = f"{place}/rows-{'all' if mode == 'complete' else number}"
+        batch.write.mode("overwrite").parquet(folder)
+        folders.append(folder)
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(*sorted(set(folders))) if folders else spark.createDataFrame([], df.schema)
 
 
 def upsert_sink(changes: DataFrame, paths: dict[str, str], now: float, checkpoint: str, buckets: int = 64):
