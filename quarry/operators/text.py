@@ -436,7 +436,8 @@ def split_steps(found: DataFrame, chunks_: DataFrame, most: int = 700) -> DataFr
     was; those of an oversized one, 1, 2, ..., have it as their parent and its datasets. A part takes statements while it holds at most `most`
     words (a longer statement stands in a part whole, as does what is repeated before it); each repeats the last statements of the one before,
     OVERLAP_UNITS at most and no more than OVERLAP_WORDS words, one at least. oversized: a part has more than twice `most` words all the same.
-    A fold over sorted partitions, which holds one part at a time.
+    A fold over sorted partitions, which holds one part at a time. The joins are never broadcast: their tables grow with the programs, and estimates
+    made before the units are exploded don't tell how far.
     """
     schema = "source_id string, chunk_no int, part int, first_unit int, last_unit int, start_char int, end_char int, words int, text string"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -483,9 +484,9 @@ def split_steps(found: DataFrame, chunks_: DataFrame, most: int = 700) -> DataFr
     whole = chunks_.withColumn("words", words(F.col("text"))).withColumn("reads", reads).withColumn("writes", writes)
     large = whole.where((F.col("words") > most) & (F.col("first_unit") < F.col("last_unit")))
     wanted = large.select("source_id", "chunk_no", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no"))
-    rows = found.join(wanted, ["source_id", "unit_no"]).select("source_id", "chunk_no", "unit_no", "start_char", "end_char", "text")
+    rows = found.join(wanted.hint("shuffle_merge"), ["source_id", "unit_no"]).select("source_id", "chunk_no", "unit_no", "start_char", "end_char", "text")
     parts = rows.repartition("source_id", "chunk_no").sortWithinPartitions("source_id", "chunk_no", "unit_no").mapInPandas(run, schema)
-    parts = parts.join(large.select("source_id", "chunk_no", "reads", "writes"), ["source_id", "chunk_no"]).withColumn("parent", F.lit(0))
+    parts = parts.join(large.select("source_id", "chunk_no", "reads", "writes").hint("shuffle_merge"), ["source_id", "chunk_no"]).withColumn("parent", F.lit(0))
     every = whole.withColumn("part", F.lit(0)).withColumn("parent", F.lit(None).cast("int"))
     columns = [*names[:3], "parent", *names[3:], "reads", "writes"]
     return every.select(*columns).unionByName(parts.select(*columns)).withColumn("oversized", (F.col("words") > 2 * most) & (F.col("parent").isNotNull() | (F.col("first_unit") == F.col("last_unit"))))
