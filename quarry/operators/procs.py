@@ -70,24 +70,29 @@ def mode(df: DataFrame, column: str) -> DataFrame:
 
 
 def rank(df: DataFrame, column: str, name: str | None = None, by: Sequence[str] = (), ties: str = "MEAN", descending: bool = False) -> DataFrame:
-    """Ranks of the non-missing values; name None replaces the column."""
+    """Ranks of the non-missing values; name None replaces the column. A window runs over the counts of distinct values and not over the rows."""
     c = F.col(column)
     order = c.desc() if descending else c.asc()
-    whole = [*map(F.col, by), c.isNull()]
-    w = Window.partitionBy(*whole).orderBy(order)
+    w = Window.partitionBy(*by).orderBy(order)
+    high = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    low = high - F.col("_n") + 1
     ties = ties.upper()
     if ties == "LOW":
-        r = F.rank().over(w)
+        r = low.cast("int")
     elif ties == "DENSE":
-        r = F.dense_rank().over(w)
+        r = F.row_number().over(w)
     elif ties == "HIGH":
-        r = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
+        r = high
     elif ties == "MEAN":  # the mean of the ranks that equal values span, not of one rank repeated
-        low, high = F.rank().over(w), F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0))
         r = (low + high) / 2
     else:
         raise NonConvertible(f"TIES={ties}")
-    return df.withColumn(name or column, F.when(c.isNotNull(), r))
+    counted = df.where(c.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    ranks = counted.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], c.alias("_value"), r.alias("_rank"))
+    same = c == F.col("_value")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(ranks, same, "left").withColumn(name or column, F.col("_rank")).select(*dict.fromkeys([*df.columns, name or column]))
 
 
 def rank_groups(df: DataFrame, column: str, groups: int, tiebreak: Sequence[str], name: str, by: Sequence[str] = ()) -> DataFrame:
