@@ -22,7 +22,7 @@ def described(chunks: DataFrame) -> DataFrame:
     """chunks with what each reads, writes, publishes and consumes (arrays), and the macro it defines (null: none); written once, since much is asked of it."""
     reads, writes = text.datasets(F.col("text"))
     parameters = macros.signature(F.col("text"))
-    found = chunks.select("source_id", "idx", "kind", "text", reads.alias("reads"), writes.alias("writes"), macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), parameters).alias("used"), macros.macro_name(F.col("text")).alias("macro"))
+    found = text.spread(chunks, "source_id", "idx").select("source_id", "idx", "kind", "text", reads.alias("reads"), writes.alias("writes"), macros.produced(F.col("text")).alias("made"), macros.consumed(F.col("text"), parameters).alias("used"), macros.macro_name(F.col("text")).alias("macro"))
     return graph._cut(found)
 
 

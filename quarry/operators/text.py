@@ -55,6 +55,12 @@ def scan_statements(text: str) -> list[tuple[int, int, str, bool, bool, bool]]:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over all cores by keys. A table of few bytes is read by few tasks, however much work a row is; a given number is kept as it is."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def units(programs: DataFrame, source: str = "source_id", text: str = "text") -> DataFrame:
     """source_id, unit_no, start_char, end_char, text, is_comment, terminated, unclosed_comment."""
 
@@ -63,7 +69,7 @@ def units(programs: DataFrame, source: str = "source_id", text: str = "text") ->
             rows = [(s, i, *u) for s, t in zip(pdf[source], pdf[text], strict=True) for i, u in enumerate(scan_statements(t or ""), 1)]
             yield pd.DataFrame(rows, columns=["source_id", "unit_no", "start_char", "end_char", "text", "is_comment", "terminated", "unclosed_comment"])
 
-    return programs.select(source, text).mapInPandas(run, "source_id string, unit_no int, start_char int, end_char int, text string, is_comment boolean, terminated boolean, unclosed_comment boolean")
+    return spread(programs.select(source, text), source, text).mapInPandas(run, "source_id string, unit_no int, start_char int, end_char int, text string, is_comment boolean, terminated boolean, unclosed_comment boolean")
 
 
 def normalised(text: Column) -> Column:
