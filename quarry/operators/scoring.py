@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import _cut
+from quarry.operators.spread import pairs
 
 #: Fixed values of the sizing model: anchor, windows relative to it, reach of each dimension, ends of the point scale, band ends, deck.
 ANCHOR = 87.5
@@ -117,6 +118,19 @@ def lineage(profiles: DataFrame) -> DataFrame:
             return own.select("profile", F.col("profile").alias("ancestor"), F.lit(0).cast("long").alias("distance")).union(reach)
 
 
+def _over_levels(profiles: DataFrame, own: DataFrame, nearest: list[Column], *key: str) -> DataFrame:
+    """profile, key and `nearest` over the statements (own: ancestor, key) of each profile and those above it.
+
+    Only profiles that state something are worked out, by grouping what their chains state; the others take all that the nearest of these has.
+    """
+    own, chains = _cut(own), lineage(profiles)
+    says = own.select("ancestor").distinct()
+    at = chains.join(says, "ancestor").groupBy("profile").agg(F.min(F.struct("distance", "ancestor"))["ancestor"].alias("_at"))
+    stating = chains.join(says.select(F.col("ancestor").alias("profile")), "profile", "left_semi")
+    full = stating.join(own, "ancestor").groupBy(F.col("profile").alias("_at"), *key).agg(*nearest)
+    return pairs(full, at, "_at", F.xxhash64(*key)).drop("_at")
+
+
 def catalogue(profiles: DataFrame, entries: DataFrame, groups: DataFrame, fields: list[str]) -> DataFrame:
     """profile, kind, name, fields, stated_by: what each profile rates, the nearest statement above it winning as a whole.
 
@@ -129,7 +143,7 @@ def catalogue(profiles: DataFrame, entries: DataFrame, groups: DataFrame, fields
     grouped = groups.select("profile", "kind", F.explode("names").alias("name"), F.lit(0).alias("named"), F.col("group_no").cast("long").alias("no"), value).withColumn("name", F.lower("name"))
     said = named.unionByName(grouped).where("profile is not null and kind is not null and name is not null")
     own = said.groupBy(F.col("profile").alias("ancestor"), "kind", "name").agg(F.max(F.struct("named", "no", "value")).alias("s"))
-    near = lineage(profiles).join(own, "ancestor").groupBy("profile", "kind", "name").agg(F.min(F.struct("distance", "ancestor", "s")).alias("n"))
+    near = _over_levels(profiles, own, [F.min(F.struct("distance", "ancestor", "s")).alias("n")], "kind", "name")
     return near.select("profile", "kind", "name", *[F.col(f"n.s.value.{f}").alias(f) for f in fields], F.col("n.ancestor").alias("stated_by"))
 
 
@@ -137,7 +151,7 @@ def flags(profiles: DataFrame, stated: DataFrame, fields: list[str]) -> DataFram
     """profile, name, fields: flags merge field by field, each from the nearest profile above that states it; stated: profile, name, fields."""
     once = stated.where("profile is not null and name is not null").groupBy(F.col("profile").alias("ancestor"), "name").agg(*[F.max(f).alias(f) for f in fields])
     nearest = [F.min(F.when(F.col(f).isNotNull(), F.struct("distance", F.col(f).alias("v"))))["v"].alias(f) for f in fields]
-    return lineage(profiles).join(once, "ancestor").groupBy("profile", "name").agg(*nearest)
+    return _over_levels(profiles, once, nearest, "name").select("profile", "name", *fields)
 
 
 def allowed(uses: DataFrame, rated: DataFrame, fields: list[str]) -> DataFrame:
