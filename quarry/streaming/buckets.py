@@ -34,7 +34,7 @@ class Buckets:
         return sorted(int(x) - 1 for x in names if x.isdigit())
 
     def folders(self, version: int | None = None) -> dict[int, str]:
-        """The folder of each bucket that has rows."""
+        """The folder of each run of a bucket that has rows."""
         version = max(self.versions()) if version is None else version
         stream = self.fs.open(self.path(self._manifest(version)))
         try:
@@ -81,7 +81,8 @@ class Buckets:
         """The rows of the buckets that the keys fall into; other buckets are not read."""
         wanted = self._placed(keys.select(self.key)).select("bucket").distinct().collect()  # as many as buckets at most
         folders = self.folders(version)
-        return self._read({r.bucket: folders[r.bucket] for r in wanted if r.bucket in folders})
+        near = {r.bucket for r in wanted}
+        return self._read({k: v for k, v in folders.items() if k % self.count in near})
 
     def change(self, version: int, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
         """Makes a version with merge(old rows, changes) in the buckets that changes have a key of; returns these."""
@@ -90,12 +91,26 @@ class Buckets:
         base = self.folders(max(v for v in self.versions() if v < version))
         new = _cut(self._placed(changes))
         touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # as many as buckets at most
-        rows = merge(self._read({k: base[k] for k in touched if k in base}), new.drop("bucket"))
+        rows = merge(self._read({k: v for k, v in base.items() if k % self.count in touched}), new.drop("bucket"))
         written = self._write(self._placed(rows)) if touched else {}
-        self._commit(version, {k: v for k, v in base.items() if k not in touched} | written)
+        self._commit(version, {k: v for k, v in base.items() if k % self.count not in touched} | written)
         _drop(new)
         return touched
 
+    def runs(self, version: int | None = None) -> int:
+        """The largest number of runs that a bucket may have."""
+        return max((k // self.count + 1 for k in self.folders(version)), default=0)
+
+    def append(self, version: int, rows: DataFrame) -> None:
+        """Makes a version with rows in a new run beside what there is, which is neither read nor written."""
+        base = max(v for v in self.versions() if v < version)
+        run = self.runs(base) * self.count
+        self._commit(version, self.folders(base) | {run + k: v for k, v in self._write(self._placed(rows)).items()})
+
+    def replace(self, version: int, table: DataFrame) -> None:
+        """Makes a version of the rows of table alone, in one run."""
+        self._commit(version, self._write(self._placed(table)))
+
     def vacuum(self, keep: int = 2) -> int:
         """Deletes versions but the last `keep`, and the folders that these don't name; returns how many folders went."""
         last = self.versions()[-keep:]
