@@ -4,7 +4,8 @@ A file is read in blocks, as Spark splits it; a block's lines keep their order.
 a record the lines before it have given, a number below the count of fields. So a first pass makes of each block a table from
 that number before it to that after it, and keeps the values that its first lines would give to a record begun earlier; the tables are
 chained by file (a row for each block); the second pass reads every block by itself, from the number it starts with, and
-completes its last record with what the next blocks give. No task reads more than a block, and nothing passes the driver.
+completes its last record with what the next blocks give. Lines are never shuffled, so no task reads more than Spark gives one to scan; of the
+text only what completes a record passes the driver, a row for each block.
 
 Cases: a single period and an empty value are missing; a value that isn't of its field's type is missing; a line without values
 gives none (a record of missing values under MISSOVER and TRUNCOVER); a record left open at the end of a file is dropped and does
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.errors import NonConvertible
+from quarry.operators.graph import _cut
 
 SHORT = ("FLOWOVER", "MISSOVER", "TRUNCOVER", "STOPOVER")
 BLOCK = ["file", "start"]
@@ -47,12 +49,13 @@ def _lines(spark: SparkSession, path: str, first: int, last: int | None) -> Data
     counted = lines.groupBy(*BLOCK).agg(F.min("at").alias("_from"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     number = F.col("at") - F.col("_from") + F.col("_before") + 1
-    kept = lines.join(counted.select(*BLOCK, "_from", before.alias("_before")), BLOCK).where(number.between(first, last or 1 << 62))
-    return _in_order(kept.select(*lines.columns))
+    kept = _with(lines, counted.select(*BLOCK, "_from", before.alias("_before"))).where(number.between(first, last or 1 << 62))
+    return kept.select(*lines.columns)
 
 
-def _in_order(lines: DataFrame) -> DataFrame:
-    return lines.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "at")
+def _with(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Lines with what is known of their block. A row for each block is written, then broadcast, so lines stay in the tasks that scan them, and in order."""
+    return lines.join(F.broadcast(_cut(blocks)), BLOCK)
 
 
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], Iterator[pa.RecordBatch]]]:
@@ -172,7 +175,7 @@ def read_list(spark: SparkSession, path: str, schema: StructType | str, delimite
     if short == "FLOWOVER":
         blocks = lines.select(*BLOCK, F.size("found").alias("n"), F.slice("found", 1, n).alias("found")).mapInArrow(_summaries(n, hold), "file string, start long, after array<int>, heads array<array<string>>")
         chained = blocks.groupBy("file").applyInPandas(_chained(n), "file string, start long, before int, rest array<string>")
-        records = _in_order(lines.join(chained, BLOCK)).mapInArrow(_records(n, hold), "found array<string>")
+        records = _with(lines, chained).mapInArrow(_records(n, hold), "found array<string>")
     else:
         records = lines
         if short == "STOPOVER":
