@@ -168,7 +168,7 @@ def _half(t):
 def _rank_query(name, sql, ties):
     @query(f"select l_orderkey, l_linenumber, case when q is not null then {sql} end as r from {_HALF}", name=name)
     def run(t):
-        return procs.rank(_half(t), "q", "r", ["l_linestatus"], ties).select("l_orderkey", "l_linenumber", F.col("r").cast("double").alias("r") if ties == "MEAN" else F.col("r").cast("long").alias("r"))
+        return procs.rank(_half(t), "q", "r", ["l_linestatus"], ties, fixed=True).select("l_orderkey", "l_linenumber", F.col("r").cast("double").alias("r") if ties == "MEAN" else F.col("r").cast("long").alias("r"))
 
 
 _P = "(partition by l_linestatus, q is null order by q)"

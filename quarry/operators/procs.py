@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.errors import NonConvertible, need_key
+from quarry.operators.graph import _cut
 from quarry.operators.step import position
 
 STATS = {
@@ -69,8 +70,13 @@ def mode(df: DataFrame, column: str) -> DataFrame:
     return counted.agg(F.max_by(column, F.struct("count", (-F.col(column)).alias("low"))).alias("mode"), F.max("count").alias("count"))
 
 
-def rank(df: DataFrame, column: str, name: str | None = None, by: Sequence[str] = (), ties: str = "MEAN", descending: bool = False) -> DataFrame:
-    """Ranks of the non-missing values; name None replaces the column. A window runs over the counts of distinct values and not over the rows."""
+def rank(df: DataFrame, column: str, name: str | None = None, by: Sequence[str] = (), ties: str = "MEAN", descending: bool = False, fixed: bool = False) -> DataFrame:
+    """Ranks of the non-missing values; name None replaces the column. A window runs over the counts of distinct values and not over the rows.
+
+    Rows meet the ranks of their values, which takes two passes over df. A mean of doubles differs in its last bits each time it is worked out, so
+    df is written in between. fixed: df gives the same values each time, as what is read from a table does, and isn't written.
+    """
+    df = df if fixed else _cut(df)
     c = F.col(column)
     order = c.desc() if descending else c.asc()
     w = Window.partitionBy(*by).orderBy(order)
